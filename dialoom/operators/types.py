@@ -26,7 +26,6 @@ DIALECT_TYPES = {
     },
     "oracle": {
         "CLOB": "string", "NCLOB": "string", "NUMBER": "decimal({p})", "VARCHAR2": "string", "NVARCHAR2": "string",
-        "DATE": "timestamp",
     },
     "snowflake": {
         "VARCHAR2": "string", "DATETIME": "timestamp", "TIMESTAMP_NTZ": "timestamp_ntz",
