@@ -18,7 +18,9 @@ from dialoom.operators import pyscripts
 from dialoom.operators.ordering import HOT_ROWS, position_within
 from dialoom.session import materialize
 
-CHECK_TYPE = "error string, statements array<string>"
+CHECK_TYPE = T.StructType(
+    [T.StructField("error", T.StringType()), T.StructField("statements", T.ArrayType(T.StringType()))]
+)
 
 
 @F.pandas_udf(CHECK_TYPE)
@@ -155,9 +157,6 @@ def _cell_starts(code: pd.Series) -> pd.Series:
     return code.map(pyscripts.cell_starts)
 
 
-CELL_TYPE = "array<struct<start_line:int,end_line:int,text:string>>"
-
-
 def with_cells(df: DataFrame, col: str = "result_content", name: str = "cells") -> DataFrame:
     """Array of cells (start_line, end_line, text). Python returns line numbers only; the text is cut here."""
     lines = F.split(F.col(col), "\n", -1)

@@ -95,7 +95,10 @@ def number_files(df: DataFrame, path: str = "path", name: str = "input_file_numb
     return df.join(numbers, path)
 
 
-@F.pandas_udf("content string, encoding string")
+DECODED_TYPE = T.StructType([T.StructField("content", T.StringType()), T.StructField("encoding", T.StringType())])
+
+
+@F.pandas_udf(DECODED_TYPE)
 def _sniff_and_decode(raw: pd.Series) -> pd.DataFrame:
     marks = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 
