@@ -231,6 +231,8 @@ def batch_infer(
     stamp = as_of or datetime.now(timezone.utc)
     rows = requests.select(F.col(key).alias("input_file_number"), F.col(messages).alias("messages"))
     rows = rows.repartition(partitions) if partitions else rows
+    key_type = rows.schema["input_file_number"].dataType
+    schema = T.StructType([T.StructField("input_file_number", key_type), *RESPONSE_SCHEMA.fields[1:]])
     columns = RESPONSE_SCHEMA.names
 
     def respond(number, turns):
@@ -254,7 +256,7 @@ def batch_infer(
                 frame["result_processing_time_seconds"] = frame["result_processing_time_seconds"].astype("float32")
                 yield frame
 
-    return rows.mapInPandas(run, RESPONSE_SCHEMA)
+    return rows.mapInPandas(run, schema)
 
 
 def distinct_requests(requests: DataFrame, key: str = "input_file_number", messages: str = "messages") -> DataFrame:

@@ -1 +1,247 @@
+"""Model-call queries with a deterministic stand-in for the model."""
 
+from __future__ import annotations
+
+import hashlib
+import json
+
+from pyspark.sql import functions as F
+
+from dialoom.operators import inference as inf
+from dialoom.operators import rounds
+from dialoom.plans.derived import PY_SQL, RESULT_SQL, python_scripts, result_table
+from dialoom.plans.registry import query, table
+from dialoom.schema import with_result_columns
+
+
+def stand_in(messages):
+    """Answers with a digest of the last message; some texts fail or need a second part."""
+    text = messages[-1]["content"]
+    asked = [m for m in messages if m["role"] == "user" and not m["content"].startswith("The previous response")]
+    subject = asked[-1]["content"]
+    digest = hashlib.md5(subject.encode()).hexdigest()
+    size = len(subject)
+    if size % 10 == 3:
+        raise inf.CallError(400, "Bad Request", json.dumps({"message": "Invalid parameter x"}))
+    if size % 10 == 4:
+        raise inf.CallError(500, "Server Error", "oops")
+    if size % 10 == 5 and text == subject:
+        return inf.Reply("part one ", "length", size % 100, 1, size % 100 + 1)
+    return inf.Reply([{"type": "reasoning"}, {"type": "text", "text": digest}], "stop", size % 100, 2, size % 100 + 2)
+
+
+ANSWERED = """CASE WHEN n_chars % 10 IN (3, 4) THEN 'none' WHEN n_chars % 10 = 5 THEN 'part one ' || md5(text)
+  ELSE md5(text) END"""
+FAILED = """CASE n_chars % 10 WHEN 3 THEN 'Bad Request' || chr(10) || 'Response details: {"message": "Invalid parameter x"}'
+  WHEN 4 THEN 'Server Error' || chr(10) || 'Response details: oops' ELSE 'none' END"""
+TOKENS = "CASE WHEN n_chars % 10 IN (3, 4) THEN -1 WHEN n_chars % 10 = 5 THEN 2 * (n_chars % 100) + 3 ELSE n_chars % 100 + 2 END"
+QUICK = inf.RetryPolicy(max_backpressure=2, max_other=2, multiplier=0)
+
+
+def _requests(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").alias("input_file_number"), inf.build_messages("text", "Convert.").alias("messages")
+    )
+
+
+def _responses(df):
+    return df.select(
+        F.col("input_file_number").alias("doc_id"),
+        F.coalesce("result_content", F.lit("none")).alias("content"),
+        F.coalesce("result_error", F.lit("none")).alias("error"),
+        F.coalesce("result_total_tokens", F.lit(-1)).cast("long").alias("tokens"),
+    )
+
+
+@query(
+    "INF-1",
+    """SELECT doc_id, md5(CASE WHEN lang = 'en' THEN '' ELSE 'system=Convert ' || lang || '|' END
+      || 'user=a|assistant=b|user=' || text) AS messages FROM documents""",
+)
+def build_messages(spark, sf_dir):
+    system = F.when(F.col("lang") != "en", F.concat(F.lit("Convert "), "lang")).otherwise("")
+    shots = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    docs = table(spark, sf_dir, "documents").select("doc_id", inf.build_messages("text", system, shots).alias("m"))
+    joined = F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|")
+    return docs.select("doc_id", F.md5(joined).alias("messages"))
+
+
+@query(
+    "INF-2",
+    """SELECT 'system_message' AS key, 'Use English. AFRICA, AMERICA rules: be brief in English' AS text
+    UNION ALL SELECT 'rules', 'rules: be brief in English' UNION ALL SELECT r_name, 'region ' || r_name FROM region""",
+)
+def render_prompts(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("key"), F.concat(F.lit("common "), "r_name").alias("text")
+    )
+    fixed = spark.range(1).select(F.lit("rules").alias("key"), F.lit("rules: be brief in {comment_lang}").alias("text"))
+    custom = table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("key"), F.concat(F.lit("region "), "r_name").alias("text")
+    )
+    system = spark.range(1).select(
+        F.lit("system_message").alias("key"), F.lit("Use {comment_lang}. AFRICA, AMERICA ${rules}").alias("text")
+    )
+    return inf.render_prompt(custom.unionByName(system), regions.unionByName(fixed), {"comment_lang": "English"})
+
+
+@query(
+    "INF-3 INF-7",
+    f"SELECT doc_id, {ANSWERED} AS content, {FAILED} AS error, {TOKENS} AS tokens FROM documents",
+)
+def batch_responses(spark, sf_dir):
+    return _responses(inf.batch_infer(_requests(spark, sf_dir), stand_in, threads=4, policy=QUICK))
+
+
+@query(
+    "INF-3",
+    f"SELECT doc_id, {ANSWERED} AS content, {FAILED} AS error, {TOKENS} AS tokens FROM documents",
+)
+def batch_responses_distinct(spark, sf_dir):
+    """Equal requests are asked once."""
+    from dialoom.session import materialize
+
+    def ask(requests, key):
+        return materialize(inf.batch_infer(requests, stand_in, policy=QUICK, key=key))
+
+    return _responses(inf.infer_distinct(_requests(spark, sf_dir), ask))
+
+
+@query(
+    "INF-4",
+    """SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS content, cast(sum(length(text)) AS bigint) AS tokens
+    FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
+)
+def join_continuations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(
+        "conv_id", "turn", "text", F.length("text").alias("tokens")
+    )
+    out = inf.join_continuations(turns, ["conv_id"], "turn", "text", ["tokens"])
+    return out.withColumn("content", F.md5("content"))
+
+
+RAW_ANSWER = """CASE turn % 3 WHEN 0 THEN to_json(array(named_struct('type', 'reasoning', 'text', 'hm'),
+    named_struct('type', 'text', 'text', text), named_struct('type', 'text', 'text', '!')))
+  WHEN 1 THEN text ELSE '[]' END"""
+
+
+@query(
+    "INF-5",
+    "SELECT conv_id, turn, md5(CASE turn % 3 WHEN 0 THEN text || '!' WHEN 1 THEN text ELSE '' END) AS content FROM conversations",
+)
+def parse_contents(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{RAW_ANSWER} AS raw")
+    return rows.select("conv_id", "turn", F.md5(inf.parse_content("raw")).alias("content"))
+
+
+ATTEMPT_STATUS = """CASE event_type WHEN 'click' THEN 429 WHEN 'view' THEN 400 WHEN 'error' THEN 500 WHEN 'signup' THEN 503
+  ELSE NULL END"""
+ATTEMPT_MESSAGE = "CASE WHEN event_id % 2 = 0 THEN 'Missing Parameter ' || props ELSE 'busy ' || props END"
+
+
+@query(
+    "INF-6",
+    f"""WITH a AS (SELECT user_id AS request_id, event_id AS attempt, {ATTEMPT_STATUS} AS status, {ATTEMPT_MESSAGE} AS message
+        FROM events),
+      p AS (SELECT request_id, max(attempt) AS attempts, max_by(status, attempt) AS s, max_by(message, attempt) AS m,
+        max_by(coalesce(status, -1), attempt) AS s2 FROM a GROUP BY request_id),
+      k AS (SELECT request_id, attempts, CASE WHEN s2 = -1 THEN 'none' WHEN s2 = 400 AND m LIKE 'Missing%' THEN 'stop'
+        WHEN s2 IN (429, 503) THEN 'backpressure' ELSE 'other' END AS retry_class FROM p)
+    SELECT request_id, attempts, retry_class, attempts < CASE retry_class WHEN 'backpressure' THEN 9990 WHEN 'other' THEN 9950
+      ELSE 1 END AS retry FROM k""",
+)
+def retry_decisions(spark, sf_dir):
+    attempts = table(spark, sf_dir, "events").selectExpr(
+        "user_id AS request_id", "event_id AS attempt", f"{ATTEMPT_STATUS} AS status", f"{ATTEMPT_MESSAGE} AS message"
+    )
+    return inf.retry_decision(attempts, max_backpressure=9990, max_other=9950)
+
+
+@query(
+    "INF-7",
+    """SELECT doc_id, md5('failed' || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Response details: ' || left(text, 500)
+      ELSE chr(10) || 'Response details: {"n": ' || n_chars || ', "lang": "' || lang || repeat('x', 600) || '"}' END) AS detail
+    FROM documents""",
+)
+def error_details(spark, sf_dir):
+    body = """CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN text
+      ELSE '{"n": ' || cast(n_chars AS string) || ', "lang": "' || lang || repeat('x', 600) || '"}' END"""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{body} AS body")
+    return rows.select("doc_id", F.md5(inf.error_detail(F.lit("failed"), "body")).alias("detail"))
+
+
+@query(
+    "INF-8",
+    f"""WITH {RESULT_SQL} SELECT input_file_number, md5('Fix:' || chr(10) || coalesce(result_python_parse_error || chr(10), '')
+      || coalesce(array_to_string(result_sql_parse_errors, chr(10))
+        || CASE WHEN len(result_sql_parse_errors) > 0 THEN chr(10) ELSE '' END, '')) AS system_message,
+      md5(coalesce(result_content, 'none')) AS user_message
+    FROM result WHERE result_python_parse_error IS NOT NULL OR coalesce(len(result_sql_parse_errors), 0) > 0""",
+)
+def fix_requests(spark, sf_dir):
+    asked = inf.fix_requests(result_table(spark, sf_dir), "Fix:\n")
+    return asked.select(
+        "input_file_number",
+        F.md5(F.col("messages")[0]["content"]).alias("system_message"),
+        F.md5(F.coalesce(F.col("messages")[1]["content"], F.lit("none"))).alias("user_message"),
+    )
+
+
+@query(
+    "INF-9",
+    f"""WITH {RESULT_SQL} SELECT lang, count(*) AS files, cast(sum(result_prompt_tokens) AS bigint) AS prompt_tokens,
+      cast(sum(result_completion_tokens) AS bigint) AS completion_tokens, cast(sum(result_total_tokens) AS bigint) AS total_tokens
+    FROM result GROUP BY lang""",
+)
+def token_usage(spark, sf_dir):
+    return inf.usage(result_table(spark, sf_dir), ["lang"]).drop("seconds")
+
+
+JUDGED = "CASE doc_id % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.5 WHEN 2 THEN 0.2 ELSE 0.9 END"
+
+
+@query(
+    "JDG-2",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 1 ELSE 2 END AS attempts, doc_id % 4 <> 2 AS accepted,
+      md5(CASE doc_id % 4 WHEN 0 THEN text WHEN 3 THEN text ELSE text || '+2' END) AS converted FROM documents""",
+)
+def judge_rounds(spark, sf_dir):
+    """Convert and judge; documents below the mark are tried once more."""
+
+    def attempt(rows, number):
+        score = F.expr(f"cast({JUDGED} AS double)") + F.lit(0.0 if number == 1 else 0.45)
+        suffix = "" if number == 1 else f"+{number}"
+        return rows.withColumns({"converted": F.concat("text", F.lit(suffix)), "overall_score": score})
+
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.lit("").alias("converted"), F.lit(0.0).alias("overall_score")
+    )
+    out = rounds.rounds(docs, attempt)
+    return out.select("doc_id", "attempts", "accepted", F.md5("converted").alias("converted"))
+
+
+def repair(messages):
+    """Drops the broken last line of a script, or closes its bracket."""
+    code = messages[-1]["content"]
+    return code[: -len("def (\n")] if code.endswith("def (\n") else code.replace("SELEC (1", "SELECT (1)")
+
+
+@query(
+    "CTL-1",
+    f"""WITH {PY_SQL} SELECT doc_id, md5(CASE doc_id % 6 WHEN 1 THEN left(code, length(code) - 6)
+        WHEN 3 THEN replace(code, 'SELEC (1', 'SELECT (1)') ELSE code END) AS code,
+      CASE WHEN doc_id % 6 = 3 THEN 3 ELSE 2 END AS statements, 0 AS errors FROM pys""",
+)
+def check_and_fix(spark, sf_dir):
+    """Check every script, repair the failing ones once, check again."""
+    rows = python_scripts(spark, sf_dir).select(
+        F.col("doc_id").cast("int").alias("input_file_number"), F.col("code").alias("result_content")
+    )
+    out = rounds.check_and_fix(with_result_columns(rows), repair, max_attempts=2)
+    return out.select(
+        F.col("input_file_number").cast("long").alias("doc_id"),
+        F.md5("result_content").alias("code"),
+        F.size("result_extracted_sqls").alias("statements"),
+        F.size("result_sql_parse_errors").alias("errors"),
+    )

@@ -1 +1,110 @@
+"""Type mapping and table definition queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dialoom.operators import types as ty
+from dialoom.plans.registry import query, table
+
+TY_IDS = {
+    "mssql": "TY-1", "oracle": "TY-2", "snowflake": "TY-3", "teradata": "TY-4", "postgresql": "TY-5",
+    "mysql": "TY-6", "redshift": "TY-7", "netezza": "TY-8",
+}
+
+# Declarations per dialect for the same four columns, and the SQL types they end as.
+DECLARED = {
+    "mssql": ("BIGINT", "MONEY", "NVARCHAR(20)", "SMALLINT"),
+    "oracle": ("NUMBER(10,0)", "NUMBER(12,2)", "VARCHAR2(20)", "NUMBER(5,0)"),
+    "snowflake": ("INTEGER", "NUMBER(12,2)", "TEXT", "INT"),
+    "teradata": ("BIGINT", "DECIMAL(12,2)", "VARCHAR(20)", "SMALLINT"),
+    "postgresql": ("BIGSERIAL", "NUMERIC(12,2)", "TEXT", "INTEGER"),
+    "mysql": ("BIGINT UNSIGNED", "DECIMAL(12,2)", "MEDIUMTEXT", "TINYINT"),
+    "redshift": ("BIGINT", "DECIMAL(12,2)", "VARCHAR(20)", "INT"),
+    "netezza": ("BIGINT", "numeric(12,2)", "CHARACTER VARYING(20)", "INTEGER"),
+}
+COLUMNS = ("o_orderkey", "o_totalprice", "o_orderpriority", "o_custkey")
+SOURCE = (
+    "SELECT cast(o_orderkey AS string) AS o_orderkey, cast(o_totalprice AS string) AS o_totalprice, o_orderpriority, "
+    "CASE WHEN o_orderkey % 50 = 0 THEN '99999999999999999999x' ELSE cast(o_custkey % 100 AS string) END AS o_custkey "
+    "FROM orders"
+)
+
+
+def _mapping_query(dialect: str):
+    sql = f"""SELECT cast(try_cast(o_orderkey AS bigint) AS varchar) AS o_orderkey,
+      cast(try_cast(o_totalprice AS decimal(19,4)) AS double) AS o_totalprice, o_orderpriority,
+      coalesce(cast(try_cast(o_custkey AS integer) AS varchar), 'none') AS o_custkey,
+      CASE WHEN try_cast(o_custkey AS integer) IS NULL THEN 'o_custkey' ELSE '' END AS failures FROM ({SOURCE})"""
+
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "orders").selectExpr(
+            *[part.strip() for part in (
+                "cast(o_orderkey AS string) AS o_orderkey",
+                "cast(o_totalprice AS string) AS o_totalprice",
+                "o_orderpriority",
+                "CASE WHEN o_orderkey % 50 = 0 THEN '99999999999999999999x' "
+                "ELSE cast(o_custkey % 100 AS string) END AS o_custkey",
+            )]
+        )
+        declared = dict(zip(COLUMNS, DECLARED[dialect], strict=True))
+        mapped = ty.map_schema(rows, dialect, declared, strict=False)
+        return mapped.select(
+            F.col("o_orderkey").cast("string").alias("o_orderkey"),
+            F.col("o_totalprice").cast("double").alias("o_totalprice"),
+            "o_orderpriority",
+            F.coalesce(F.col("o_custkey").cast("string"), F.lit("none")).alias("o_custkey"),
+            F.array_join("_cast_failures", ",").alias("failures"),
+        )
+
+    run.__name__ = f"map_schema_{dialect}"
+    query(TY_IDS[dialect], sql)(run)
+
+
+for _dialect in DECLARED:
+    _mapping_query(_dialect)
+
+
+@query(
+    "TY-9",
+    """WITH d AS (SELECT *, (doc_id % 8) AS i, doc_id AS p FROM documents)
+    SELECT doc_id, declared_type, CASE i WHEN 0 THEN 'decimal(19,4)' WHEN 1 THEN 'decimal(' || (p % 20 + 3) || ',2)'
+      WHEN 2 THEN 'timestamp_ntz' WHEN 3 THEN 'string' WHEN 4 THEN 'binary' WHEN 5 THEN 'decimal(20,0)'
+      WHEN 6 THEN 'string' ELSE 'none' END AS spark_type, i IN (3, 6, 7) AS lossy FROM (
+      SELECT *, CASE i WHEN 0 THEN 'money' WHEN 1 THEN 'NUMBER( ' || (p % 20 + 3) || ', 2 )' WHEN 2 THEN 'TIMESTAMP_NTZ(9)'
+        WHEN 3 THEN 'ST_GEOMETRY' WHEN 4 THEN 'bytea' WHEN 5 THEN 'BIGINT  UNSIGNED' WHEN 6 THEN 'SUPER'
+        ELSE 'NO_SUCH_TYPE' END AS declared_type FROM d)""",
+)
+def type_report(spark, sf_dir):
+    dialects = F.array(*[F.lit(d) for d in ty.DIALECT_TYPES])
+    declared = """CASE doc_id % 8 WHEN 0 THEN 'money' WHEN 1 THEN 'NUMBER( ' || cast(doc_id % 20 + 3 AS string) || ', 2 )'
+        WHEN 2 THEN 'TIMESTAMP_NTZ(9)' WHEN 3 THEN 'ST_GEOMETRY' WHEN 4 THEN 'bytea' WHEN 5 THEN 'BIGINT  UNSIGNED'
+        WHEN 6 THEN 'SUPER' ELSE 'NO_SUCH_TYPE' END AS declared_type"""
+    rows = table(spark, sf_dir, "documents").select(
+        F.get(dialects, F.expr("cast(doc_id % 8 AS int)")).alias("dialect"),
+        F.col("doc_id").cast("string").alias("column_name"),
+        F.expr(declared),
+    )
+    report = ty.type_report(rows)
+    return report.select(
+        F.col("column_name").cast("long").alias("doc_id"),
+        "declared_type",
+        F.coalesce("spark_type", F.lit("none")).alias("spark_type"),
+        "lossy",
+    )
+
+
+@query(
+    "DDL-3 DDL-5",
+    """SELECT o_orderkey AS sale_id, cast(o_totalprice AS double) AS total_amount, 'NULL' AS discount FROM orders""",
+)
+def add_and_rename_columns(spark, sf_dir):
+    """ALTER TABLE ADD COLUMN and RENAME COLUMN as projections."""
+    sales = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sale_id", "o_totalprice AS sale_amount")
+    out = sales.withColumn("discount", F.lit(None).cast("decimal(5,2)")).withColumnRenamed("sale_amount", "total_amount")
+    return out.withColumn("discount", F.coalesce(F.col("discount").cast("string"), F.lit("NULL")))
+
+
+@query("DDL-4", "SELECT * EXCLUDE (o_orderpriority, o_orderdate) FROM orders")
+def drop_columns(spark, sf_dir):
+    return table(spark, sf_dir, "orders").drop("o_orderpriority", "o_orderdate")
