@@ -138,7 +138,7 @@ def truncate_json_leaves(text: Column | str, max_length: int = 2000) -> Column:
 
         return values.map(one)
 
-    return run(as_col(text))
+    return run.asNondeterministic()(as_col(text))
 
 
 def json_span(text: Column | str) -> Column:
@@ -181,7 +181,7 @@ def extract_json(text: Column | str, schema: T.StructType, literals: bool = Fals
     found = F.coalesce(parse_object(text, schema), parse_object(json_span(text), schema))
     if literals:
         rest = F.when(found.isNull(), json_span(text))
-        found = F.coalesce(found, parse_object(_literal_to_json(rest), schema))
+        found = F.coalesce(found, parse_object(_literal_to_json.asNondeterministic()(rest), schema))
     return found
 
 

@@ -44,11 +44,17 @@ def left_summary(dim: DataFrame, fact: DataFrame, keys: Sequence[str], aggs: dic
     return joined.fillna(0, subset=[n for n, (fn, _) in aggs.items() if fn == "count"])
 
 
-def apply_explode(df: DataFrame, arr: Column, name: str = "value", outer: bool = False, with_index: bool = False):
-    """CROSS APPLY / LATERAL / FLATTEN over an array; ``outer`` keeps rows without elements."""
-    if with_index:
-        return df.select("*", (F.posexplode_outer(arr) if outer else F.posexplode(arr)).alias("index", name))
-    return df.select("*", (F.explode_outer(arr) if outer else F.explode(arr)).alias(name))
+def apply_explode(
+    df: DataFrame, arr: Column, name: str = "value", outer: bool = False, with_index: bool = False, index: str = "index"
+) -> DataFrame:
+    """CROSS APPLY / LATERAL / FLATTEN over an array; ``outer`` keeps rows without elements.
+
+    A plain explode makes the optimizer add a non-empty test below it that computes ``arr`` a
+    second time; exploding outer and dropping the empty rows afterwards computes it once.
+    """
+    rows = df.select("*", F.posexplode_outer(arr).alias(index, name))
+    rows = rows if outer else rows.filter(F.col(index).isNotNull())
+    return rows if with_index else rows.drop(index)
 
 
 def top_per_key(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, name: str = "rn") -> DataFrame:

@@ -16,6 +16,7 @@ from dialoom.functions.text import CELL_MARKER, basename, stem
 from dialoom.messages import DEFAULT_LANGUAGE, messages_table
 from dialoom.operators import pyscripts
 from dialoom.operators.ordering import HOT_ROWS, position_within
+from dialoom.operators.relational import apply_explode
 from dialoom.session import materialize
 
 CHECK_TYPE = T.StructType(
@@ -28,6 +29,10 @@ def _check_python(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([pyscripts.check_python(c) for c in code], columns=["error", "statements"])
 
 
+# Marked so that filters on a result are not pushed below it with a second run of the function.
+_check_python = _check_python.asNondeterministic()
+
+
 def syntax_check_python(df: DataFrame, col: str = "result_content", strip_comments_first: bool = False) -> DataFrame:
     """Add ``result_python_parse_error`` and ``result_extracted_sqls`` (flattened statements)."""
     checked = df.withColumn("_check", _check_python(F.col(col)))
@@ -44,7 +49,8 @@ def syntax_check_python(df: DataFrame, col: str = "result_content", strip_commen
 def extract_sql(df: DataFrame, key: str, col: str = "result_content") -> DataFrame:
     """One row per extracted statement: (key, idx, sql)."""
     checked = syntax_check_python(df.select(key, col), col)
-    return checked.select(key, F.posexplode("result_extracted_sqls").alias("idx", "sql"))
+    rows = apply_explode(checked, F.col("result_extracted_sqls"), "sql", with_index=True, index="idx")
+    return rows.select(key, "idx", "sql")
 
 
 def error_rate(df: DataFrame, by: str) -> DataFrame:
@@ -140,7 +146,7 @@ def attach_sql_checks(
 
             return values.map(lambda row: None if row is None else [message(s) for s in row])
 
-        found = run(col)
+        found = run.asNondeterministic()(col)
 
     def labelled(message: Column, idx: Column) -> Column:
         kept = F.when(message.contains(STACK_MARK), F.trim(F.substring_index(message, STACK_MARK, 1)))
@@ -157,6 +163,9 @@ def _cell_starts(code: pd.Series) -> pd.Series:
     return code.map(pyscripts.cell_starts)
 
 
+_cell_starts = _cell_starts.asNondeterministic()
+
+
 def with_cells(df: DataFrame, col: str = "result_content", name: str = "cells") -> DataFrame:
     """Array of cells (start_line, end_line, text). Python returns line numbers only; the text is cut here."""
     lines = F.split(F.col(col), "\n", -1)
@@ -179,8 +188,8 @@ def join_cells(cells: Column | str) -> Column:
 
 def split_cells(df: DataFrame, key: str, col: str = "result_content") -> DataFrame:
     """One row per cell: (key, cell_no, start_line, end_line, text)."""
-    exploded = with_cells(df.select(key, col), col).select(key, F.posexplode("cells").alias("_i", "_c"))
-    return exploded.select(key, (F.col("_i") + F.lit(1)).alias("cell_no"), "_c.*")
+    rows = apply_explode(with_cells(df.select(key, col), col), F.col("cells"), "_c", with_index=True, index="_i")
+    return rows.select(key, (F.col("_i") + F.lit(1)).alias("cell_no"), "_c.*")
 
 
 # Documents.
@@ -306,10 +315,11 @@ def split_marked_files(df: DataFrame, key: str, col: str) -> DataFrame:
     # What stands before the first mark belongs to no file.
     bodies = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - F.lit(1), F.lit(0)))
     zipped = F.arrays_zip(names.alias("name"), bodies.alias("content"))
-    rows = df.select(key, F.posexplode(zipped).alias("_i", "_f"))
+    rows = apply_explode(df.select(key, col), zipped, "_f", with_index=True, index="_i")
     return rows.select(key, (F.col("_i") + F.lit(1)).alias("file_no"), F.col("_f.name"), F.col("_f.content"))
 
 
 def lint_frequency(df: DataFrame, rules: str = "lint") -> DataFrame:
     """How many scripts each residual-syntax rule fires on."""
-    return df.select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("scripts"))
+    fired = apply_explode(df.select(rules), F.col(rules), "rule")
+    return fired.groupBy("rule").agg(F.count(F.lit(1)).alias("scripts"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialoom.functions.base import as_col
-from dialoom.functions.text import CHARS_PER_TOKEN, estimate_tokens, preprocess_sql
+from dialoom.functions.text import CHARS_PER_TOKEN, estimate_tokens, expand_ranges, preprocess_sql
+from dialoom.operators.relational import apply_explode
 
 # Tokenizer kinds, the endpoint name that means the ratio, the default vocabulary name.
 RATIO_KIND, BPE_KIND = "claude", "openai"
@@ -37,7 +38,7 @@ class Counter:
         def run(values: pd.Series) -> pd.Series:
             return values.map(lambda v: None if v is None else count(v)).astype("Int32")
 
-        return run(as_col(text))
+        return run.asNondeterministic()(as_col(text))
 
 
 def choose_counter(
@@ -94,6 +95,4 @@ def with_token_columns(
 
 def explode_ranges(df: DataFrame, column: str, name: str = "number") -> DataFrame:
     """One row per number of a range text such as ``1,5-8``."""
-    from dialoom.functions.text import expand_ranges
-
-    return df.withColumn(name, F.explode(expand_ranges(column)))
+    return apply_explode(df, expand_ranges(column), name)

@@ -48,6 +48,7 @@ def load_all() -> dict[str, Query]:
         q_schema,
         q_scripts,
         q_selection,
+        q_sources,
         q_values,
     )
 

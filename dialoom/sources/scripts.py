@@ -122,7 +122,7 @@ def decode_content(df: DataFrame, raw: str = "content", encoding: str | None = N
     Without ``encoding``: a byte-order mark decides, else UTF-8, else ISO-8859-1.
     """
     if encoding is None:
-        out = df.withColumn("_d", _sniff_and_decode(F.col(raw)))
+        out = df.withColumn("_d", _sniff_and_decode.asNondeterministic()(F.col(raw)))
         return out.select(
             *[c for c in df.columns if c != raw],
             F.col("_d.content").alias("input_file_content"),
@@ -134,7 +134,7 @@ def decode_content(df: DataFrame, raw: str = "content", encoding: str | None = N
     def decode_all(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None else b.decode(name, errors="replace"))
 
-    text = F.decode(F.col(raw), "ISO-8859-1") if name == "iso8859-1" else decode_all(F.col(raw))
+    text = F.decode(F.col(raw), "ISO-8859-1") if name == "iso8859-1" else decode_all.asNondeterministic()(F.col(raw))
     return df.select(
         *[c for c in df.columns if c != raw],
         text.alias("input_file_content"),

@@ -36,6 +36,9 @@ def write_text_files(
         F.col(path).alias("input_file_path"), target.alias("target"), F.col(content).alias("content")
     )
 
+    def plain(where: str) -> str:
+        return "/" + where.removeprefix("file:").lstrip("/") if where.startswith("file:") else where
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
@@ -47,7 +50,8 @@ def write_text_files(
             for source, where, text in batch.itertuples(index=False):
                 data = text.encode("utf-8")
                 try:
-                    system, name = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
+                    remote = "://" in where and not where.startswith("file:")
+                    system, name = fs.FileSystem.from_uri(where) if remote else (fs.LocalFileSystem(), plain(where))
                     parent = name.rsplit("/", 1)[0]
                     if parent not in made:
                         system.create_dir(parent, recursive=True)
