@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters Python treats as white space: the Unicode set plus the four separators U+001C..U+001F.
-WS = r"[\s\x1c-\x1f]"
+# A plain class is several times faster in the JVM than a Unicode-aware \\s.
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def as_col(value: Column | str) -> Column:
@@ -16,13 +18,13 @@ def as_col(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Trim every kind of white space at both ends (``trim`` alone drops spaces only)."""
-    return F.regexp_replace(as_col(value), rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(as_col(value), F.lit(WS_CHARS))
 
 
 def is_blank(value: Column | str) -> Column:
     """True for NULL, the empty string and white space only."""
     value = as_col(value)
-    return value.isNull() | value.rlike(rf"(?U)\A{WS}*\z")
+    return value.isNull() | (F.btrim(value, F.lit(WS_CHARS)) == "")
 
 
 def size0(value: Column | str) -> Column:

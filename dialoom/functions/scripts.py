@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dialoom.functions.base import as_col, strip
+from dialoom.functions.base import WS, as_col, strip
 
-# Object patterns, first match wins, tested on the upper-cased text.
+# Object patterns, first match wins, upper and lower case alike.
 OBJECT_PATTERNS = (
     (r"(CREATE|REPLACE)\s+(OR\s+REPLACE\s+)?(PROC|PROCEDURE)", "PROCEDURE"),
     (r"CREATE\s+(OR\s+REPLACE\s+)?FUNCTION", "FUNCTION"),
@@ -40,10 +40,10 @@ LINT_RULES = (
 
 def classify_object(text: Column | str) -> Column:
     """Kind of the first listed object a script creates."""
-    upper = F.upper(as_col(text))
+    text = as_col(text)
     kind = None
     for pattern, label in OBJECT_PATTERNS:
-        hit = upper.rlike("(?U)" + pattern)
+        hit = text.rlike("(?iu)" + pattern.replace(r"\s", WS))
         kind = F.when(hit, label) if kind is None else kind.when(hit, label)
     return kind.otherwise(UNKNOWN_OBJECT)
 

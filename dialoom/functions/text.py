@@ -29,12 +29,12 @@ def strip_sql_comments(text: Column | str) -> Column:
     """
     no_line = F.regexp_replace(as_col(text), r"(?d)--.*", "")
     no_block = F.regexp_replace(no_line, r"(?s)/\*.*?\*/", "")
-    return F.regexp_replace(no_block, rf"(?U)\n{WS}*\n", "\n\n")
+    return F.regexp_replace(no_block, rf"\n{WS}*\n", "\n\n")
 
 
 def collapse_ws(text: Column | str) -> Column:
     """Every run of white space becomes one space; the ends are not trimmed."""
-    return F.regexp_replace(as_col(text), rf"(?U){WS}+", " ")
+    return F.regexp_replace(as_col(text), rf"{WS}+", " ")
 
 
 def preprocess_sql(text: Column | str) -> Column:
@@ -51,9 +51,8 @@ def expand_ranges(text: Column | str) -> Column:
     text = as_col(text)
 
     def numbers(part: Column) -> Column:
-        ends = F.split(strip(part), "-")
-        first = F.trim(F.element_at(ends, 1)).cast("int")
-        last = F.trim(F.element_at(ends, -1)).cast("int")
+        ends = F.split(part, "-")
+        first, last = F.element_at(ends, 1).cast("int"), F.element_at(ends, -1).cast("int")
         return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     return (
@@ -69,7 +68,7 @@ def clean_code_fence(text: Column | str) -> Column:
     body = F.substr(text, F.instr(text, PYTHON_FENCE) + F.lit(len(PYTHON_FENCE)))
     code = F.regexp_replace(F.substring_index(body, FENCE, 1), r"\A\n", "")
     code = F.when((code != "") & ~code.endswith("\n"), F.concat(code, F.lit("\n"))).otherwise(code)
-    opens = text.rlike(rf"(?U)\A{WS}*{PYTHON_FENCE}") & (F.instr(body, FENCE) > 0)
+    opens = text.rlike(rf"\A{WS}*{PYTHON_FENCE}") & (F.instr(body, FENCE) > 0)
     return (
         F.when(~text.contains(PYTHON_FENCE), text)
         .when(opens, code)
@@ -151,8 +150,14 @@ def parse_object(text: Column | str, schema: T.StructType) -> Column:
     text = as_col(text)
     marked = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     parsed = F.from_json(text, marked, {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "true"})
-    fields = F.struct(*[parsed[f.name].alias(f.name) for f in schema.fields])
-    return F.when(text.rlike(rf"(?U)\A{WS}*\{{") & parsed["_bad"].isNull(), fields)
+
+    def fields(read: Column) -> Column:
+        whole = F.struct(*[read[f.name].alias(f.name) for f in schema.fields])
+        return F.when(read["_bad"].isNull(), whole)
+
+    # Through a one-element array the text is parsed once, not once per field.
+    once = F.get(F.transform(F.array(parsed), fields), F.lit(0))
+    return F.when(text.rlike(rf"\A{WS}*\{{"), once)
 
 
 @F.pandas_udf(T.StringType())

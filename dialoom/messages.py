@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dialoom.session import small_table
+
 DEFAULT_LANGUAGE = "English"
 KEYS = (
     "notebook_description",
@@ -114,4 +116,4 @@ MESSAGES = {
 def messages_table(spark: SparkSession) -> DataFrame:
     """(language, one column per message key)."""
     rows = [(language, *texts) for language, texts in MESSAGES.items()]
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("language", *KEYS)))
+    return small_table(spark, rows, [("language", "string"), *((key, "string") for key in KEYS)])

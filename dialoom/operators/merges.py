@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dialoom.functions.rules import normalize_export_status
 from dialoom.functions.text import clean_code_fence
@@ -198,8 +197,6 @@ def delete_using(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
 
 def put_row(target: DataFrame, key: str, row: dict) -> DataFrame:
     """Update the row with this key, or insert it."""
-    schema = [f for f in target.schema.fields if f.name in row]
-    one = target.sparkSession.createDataFrame(
-        [tuple(row[f.name] for f in schema)], T.StructType(schema)
-    )
+    given = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in target.schema.fields if f.name in row]
+    one = target.sparkSession.range(1).select(*given)
     return upsert(target, one, [key])

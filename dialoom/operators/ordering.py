@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from dialoom.session import materialize, parallelism
 
 HOT_ROWS = 20_000_000
-HOT_GROUPS_BROADCAST = 1_000_000
 
 
 def _order_columns(order: Sequence[Column | str]) -> list[Column]:
@@ -60,7 +59,7 @@ def number_rows(
 def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Groups with more than ``hot_rows`` rows, or None. Counting combines before its shuffle."""
     hot = df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by)
-    hot = materialize(hot)
+    hot = materialize(hot)  # small: at most one row per ``hot_rows`` rows of input
     return None if hot.isEmpty() else hot
 
 
@@ -77,8 +76,6 @@ def position_within(
     hot = hot_groups(df, by, hot_rows)
     if hot is None:
         return df.withColumn(name, F.row_number().over(window).cast("long"))
-    small = F.broadcast if hot.count() <= HOT_GROUPS_BROADCAST else (lambda frame: frame)
-    hot = small(hot)
     same = [df[c].eqNullSafe(hot[c]) for c in by]
     usual = df.join(hot, same, "left_anti").withColumn(name, F.row_number().over(window).cast("long"))
     large = df.join(hot, same, "left_semi")
@@ -87,7 +84,7 @@ def position_within(
     firsts = numbered.groupBy(*by).agg(F.min("_global").alias("_first"))  # one row per hot group
     firsts = firsts.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_first")
     match = [numbered[c].eqNullSafe(firsts[f"_g_{c}"]) for c in by]
-    placed = numbered.join(small(firsts), match).withColumn(
+    placed = numbered.join(firsts, match).withColumn(
         name, F.col("_global") - F.col("_first") + F.lit(1)
     )
     return usual.unionByName(placed.select(*df.columns, name))

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.session import small_table
+
 # Spark type per source type. ``{p}`` takes over the declared precision and scale.
 # COMMON holds for every dialect; a dialect's own list goes first.
 COMMON = {
@@ -107,7 +109,8 @@ def map_schema(df: DataFrame, dialect: str, declared: dict[str, str], strict: bo
 def mapping_table(spark, dialects: Sequence[str] = tuple(DIALECT_TYPES)) -> DataFrame:
     """The mapping as a table (dialect, source_type, spark_type, lossy)."""
     rows = [(d, s, t, s in LOSSY) for d in dialects for s, t in type_table(d).items()]
-    return spark.createDataFrame(rows, "dialect string, source_type string, spark_type string, lossy boolean")
+    columns = [("dialect", "string"), ("source_type", "string"), ("spark_type", "string"), ("lossy", "boolean")]
+    return small_table(spark, rows, columns)
 
 
 def type_report(declarations: DataFrame) -> DataFrame:

@@ -50,7 +50,9 @@ def ingest(spark: SparkSession, cfg: RunConfig, bpe: Callable[[str], int] | None
     texts = texts.withColumn("input_file_path", plain_path("input_file_path"))
     counter = tokens.choose_counter(cfg.tokenizer_type, cfg.endpoint, bpe=bpe)
     counted = tokens.with_token_columns(texts, "input_file_content", counter, cfg.source_format)
-    return with_result_columns(selection.select_targets(counted, cfg.token_count_threshold))
+    chosen = selection.select_targets(counted, cfg.token_count_threshold)
+    # Many small files would become many small parts in every later version.
+    return with_result_columns(chosen).hint("rebalance")
 
 
 def convert(df: DataFrame, cfg: RunConfig, predict: Callable) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -22,62 +23,79 @@ ARCHIVE_SUFFIXES = (".sql", ".bteq")
 BUILT_IN_ENCODINGS = {"utf-8": "UTF-8", "utf-16": "UTF-16", "iso-8859-1": "ISO-8859-1", "us-ascii": "US-ASCII"}
 
 
-def _loads(path: str) -> list[tuple[str, str | None]]:
-    """One given path as (load path, path filter regex) pairs."""
-    if "**" not in path:
-        return [(path, None)]
-    # ``a/**/x*.sql``: read the folder before the first ``**`` with recursion and keep matching paths.
-    root = path.split("**", 1)[0]
-    root = root[: root.rindex("/") + 1] if "/" in root else "./"
-    while any(ch in root for ch in GLOB_CHARS):
-        root = root.rstrip("/").rsplit("/", 1)[0] + "/"
-    regex, i = "", 0
-    while i < len(path):
-        if path.startswith("**/", i):
-            regex, i = regex + "(.*/)?", i + 3
-        elif path.startswith("**", i):
-            regex, i = regex + ".*", i + 2
-        elif path[i] == "*":
-            regex, i = regex + "[^/]*", i + 1
-        elif path[i] == "?":
-            regex, i = regex + "[^/]", i + 1
-        elif path[i] == "[" and "]" in path[i:]:
-            end = path.index("]", i)
-            regex, i = regex + "[" + path[i + 1 : end].replace("!", "^", 1) + "]", end + 1
+def _regex(pattern: str) -> str:
+    """A path pattern as a regular expression over whole paths; what lies below a match counts too."""
+    out, i = "", 0
+    while i < len(pattern):
+        if pattern.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif pattern.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif pattern[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif pattern[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif pattern[i] == "[" and "]" in pattern[i:]:
+            end = pattern.index("]", i)
+            out, i = out + "[" + pattern[i + 1 : end].replace("!", "^", 1) + "]", end + 1
         else:
-            regex, i = regex + ("\\" + path[i] if not path[i].isalnum() and path[i] not in "/_-" else path[i]), i + 1
-    return [(root, rf"\A(?:[a-z0-9]+:/{{0,2}}[^/]*)?{regex}\z")]
+            out, i = out + re.escape(pattern[i]), i + 1
+    return rf"(?s)\A{out.rstrip('/')}(?:/.*)?\z"
+
+
+def _has_glob(text: str) -> bool:
+    return any(ch in text for ch in GLOB_CHARS)
+
+
+def _load_root(pattern: str) -> str:
+    """Folder to list for a pattern: before a ``**``, else above a last part with glob characters."""
+    if "**" in pattern:
+        first = min(pattern.index(ch) for ch in GLOB_CHARS if ch in pattern)
+        return pattern[: pattern.rindex("/", 0, first) + 1]
+    parent, _, last = pattern.rpartition("/")
+    return parent + "/" if _has_glob(last) else pattern
+
+
+def _read_pattern(spark: SparkSession, pattern: str) -> DataFrame:
+    def reader(**options):
+        binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        return binary.options(**options).load(_load_root(pattern))
+
+    root, last = _load_root(pattern), pattern.rstrip("/").rpartition("/")[2]
+    if root == pattern:
+        return reader()
+    matches = F.col("path").rlike(_regex(pattern))
+    if last == "**":
+        return reader().filter(matches)
+    # A test of the path comes too late to save reading a file, a name filter does not. It is the
+    # same as long as no folder has a matching name, which a listing without contents tells.
+    by_name = F.regexp_extract("path", r"([^/]*)\z", 1).rlike(_regex(last))
+    if reader().select("path").filter(matches & ~by_name).isEmpty():
+        return reader(pathGlobFilter=last).filter(matches)
+    return reader().filter(matches)
 
 
 def read_scripts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Files below comma-separated folders, files and globs (``* ? [ ] **``), each file once.
 
     Result: path, length, modificationTime, content (bytes). Select what is needed: the bytes are
-    only read when ``content`` is.
+    only read when ``content`` is. A file that several paths name is kept from the first of them;
+    that is a test of its path, so nothing is shuffled.
     """
-    given = paths.split(",") if isinstance(paths, str) else list(paths)
-    plain, filtered = [], []
-    for load, regex in (pair for p in given if p.strip() for pair in _loads(p.strip())):
-        (plain if regex is None else filtered).append((load, regex))
-    if not plain and not filtered:
+    given = [p.strip() for p in (paths.split(",") if isinstance(paths, str) else paths) if p.strip()]
+    if not given:
         raise ValueError("no input path given")
-
-    def reader(load):
-        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(load)
-
-    frames = [reader([load for load, _ in plain])] if plain else []
-    frames += [reader(load).filter(F.col("path").rlike(regex)) for load, regex in filtered]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    # One load of distinct paths lists every file once; overlapping loads are cut by path.
-    overlapping = len(given) > 1
-    return _once_per_path(out) if overlapping else out
-
-
-def _once_per_path(df: DataFrame) -> DataFrame:
-    """Keep one row per path; equal paths hold equal bytes, so any of them will do."""
-    return df.dropDuplicates(["path"])
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    out, earlier = None, []
+    for path in given:
+        whole = hadoop(path).getFileSystem(conf).makeQualified(hadoop(path)).toString()
+        found = _read_pattern(spark, whole)
+        for before in earlier:
+            found = found.filter(~F.col("path").rlike(before))
+        earlier.append(_regex(whole))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def plain_path(path: Column | str) -> Column:
@@ -142,7 +160,10 @@ def decode_content(df: DataFrame, raw: str = "content", encoding: str | None = N
     )
 
 
+MEMBER_COLUMNS = ["archive", "member", "name", "content"]
 MEMBER_SCHEMA = "archive string, member string, name string, content binary"
+# Unpacked members leave a task in batches of at most this size.
+MEMBER_BATCH_BYTES, MEMBER_BATCH_ROWS = 32 << 20, 2000
 
 
 def read_archive_members(df: DataFrame, suffixes: Sequence[str] = ARCHIVE_SUFFIXES) -> DataFrame:
@@ -154,20 +175,20 @@ def read_archive_members(df: DataFrame, suffixes: Sequence[str] = ARCHIVE_SUFFIX
     wanted = tuple(suffixes)
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(data)) as archive:
                     for member in archive.namelist():
                         if member.endswith(wanted):
-                            # One member at a time, so a large archive never sits unpacked in memory.
-                            yield pd.DataFrame(
-                                {
-                                    "archive": [path],
-                                    "member": [member],
-                                    "name": [member.replace("/", "_")],
-                                    "content": [archive.read(member)],
-                                }
-                            )
+                            body = archive.read(member)
+                            held += len(body)
+                            out.append((path, member, member.replace("/", "_"), body))
+                        if held > MEMBER_BATCH_BYTES or len(out) >= MEMBER_BATCH_ROWS:
+                            yield pd.DataFrame(out, columns=MEMBER_COLUMNS)
+                            out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=MEMBER_COLUMNS)
 
     return df.select("path", "content").mapInPandas(members, MEMBER_SCHEMA)
 
