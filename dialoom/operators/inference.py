@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from dialoom.functions.base import as_col
 from dialoom.functions.rules import has_syntax_error
 from dialoom.operators.ordering import ordered_values
+from dialoom.operators.relational import apply_explode
 from dialoom.schema import MESSAGE_TYPE, RESPONSE_SCHEMA
 
 # Retry limits, back-off, continuation tail, response detail length, the
@@ -169,25 +170,34 @@ def build_messages(
     return F.concat(head, shots, F.array(message("user", as_col(text))))
 
 
+# Fixed value: how a prompt part refers to another.
+REFERENCE = r"\$\{([^{}]+)\}"
+
+
 def render_prompt(custom: DataFrame, common: DataFrame, variables: dict[str, str] | None = None) -> DataFrame:
     """Prompt parts (key, text): custom wins over common, ``${key}`` takes in a part, ``{name}`` a variable.
 
-    Prompt parts are a handful of rows; only common parts may be taken in.
+    A part is taken in as it stands; references inside it are not followed.
     """
     ours = custom.select("key", F.col("text").alias("_custom"))
     merged = common.withColumnRenamed("text", "_common").join(ours, "key", "full_outer")
     merged = merged.select("key", F.coalesce("_custom", "_common").alias("text"))
-    blocks = merged.agg(F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("_blocks"))
-    one = F.lit(1).alias("_one")
-    both = merged.select("*", one).join(F.broadcast(blocks.select("*", one)), "_one")
+    wanted = F.array_distinct(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1)))
+    parts = merged.select(F.col("key").alias("_ref"), F.col("text").alias("_part"))
+    found = (
+        apply_explode(merged, wanted, "_ref")
+        .join(parts, "_ref")
+        .groupBy("key")
+        .agg(F.collect_list(F.struct("_ref", "_part")).alias("_parts"))
+    )
     text = F.aggregate(
-        F.map_entries("_blocks"),
+        F.coalesce("_parts", F.array().cast("array<struct<_ref:string,_part:string>>")),
         F.col("text"),
-        lambda acc, e: F.replace(acc, F.concat(F.lit("${"), e["key"], F.lit("}")), e["value"]),
+        lambda acc, p: F.replace(acc, F.concat(F.lit("${"), p["_ref"], F.lit("}")), p["_part"]),
     )
     for name, value in (variables or {}).items():
         text = F.replace(text, F.lit("{" + name + "}"), F.lit(value))
-    return both.select("key", text.alias("text"))
+    return merged.join(found, "key", "left").select("key", text.alias("text"))
 
 
 # Fixed part of a repair request.

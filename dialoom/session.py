@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -59,9 +60,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def small_table(spark: SparkSession, rows: list[tuple], columns: list[tuple[str, str]]) -> DataFrame:
-    """A fixed table as a literal of the plan; no Python worker is needed to read it."""
-    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, columns, strict=True)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A fixed table as one literal of the plan; no Python worker is needed to read it."""
+    names = [n for n, _ in columns]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    schema = "array<struct<" + ",".join(f"{n}:{t}" for n, t in columns) + ">>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), schema)))
 
 
 def parallelism(spark: SparkSession) -> int:

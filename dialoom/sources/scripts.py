@@ -19,8 +19,6 @@ from dialoom.operators.ordering import number_rows
 GLOB_CHARS = "*?["
 # Archive members to keep; the test is case-sensitive.
 ARCHIVE_SUFFIXES = (".sql", ".bteq")
-# Encodings the built-in decoder knows; others are decoded in Python.
-BUILT_IN_ENCODINGS = {"utf-8": "UTF-8", "utf-16": "UTF-16", "iso-8859-1": "ISO-8859-1", "us-ascii": "US-ASCII"}
 
 
 def _regex(pattern: str) -> str:
@@ -113,51 +111,53 @@ def number_files(df: DataFrame, path: str = "path", name: str = "input_file_numb
     return df.join(numbers, path)
 
 
-DECODED_TYPE = T.StructType([T.StructField("content", T.StringType()), T.StructField("encoding", T.StringType())])
-
+def _decode_in_python(raw: Column, encoding: str) -> Column:
+    @F.pandas_udf(T.StringType())
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else b.decode(encoding, errors="replace"))
 
-@F.pandas_udf(DECODED_TYPE)
-def _sniff_and_decode(raw: pd.Series) -> pd.DataFrame:
-    marks = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+    return run.asNondeterministic()(raw)
 
-    def one(data):
-        if data is None:
-            return None, None
-        for mark, encoding in marks:
-            if data.startswith(mark):
-                return data.decode(encoding, errors="replace"), encoding
-        try:
-            return data.decode("utf-8"), "utf-8"
-        except UnicodeDecodeError:
-            return data.decode("iso-8859-1"), "iso-8859-1"
 
-    return pd.DataFrame([one(d) for d in raw], columns=["content", "encoding"])
+def _utf8(raw: Column) -> Column:
+    return F.make_valid_utf8(raw.cast("string"))
 
 
 def decode_content(df: DataFrame, raw: str = "content", encoding: str | None = None) -> DataFrame:
     """Bytes to (input_file_content, input_file_encoding); bytes that do not fit become U+FFFD.
 
-    Without ``encoding``: a byte-order mark decides, else UTF-8, else ISO-8859-1.
+    Without ``encoding``: a byte-order mark decides, else UTF-8, else ISO-8859-1. UTF-8 and
+    ISO-8859-1 are decoded without Python; other encodings go through it, and when the encoding
+    is found per row only the rows concerned carry their bytes there.
     """
+    data = F.col(raw)
     if encoding is None:
-        out = df.withColumn("_d", _sniff_and_decode.asNondeterministic()(F.col(raw)))
-        return out.select(
-            *[c for c in df.columns if c != raw],
-            F.col("_d.content").alias("input_file_content"),
-            F.col("_d.encoding").alias("input_file_encoding"),
+        marked8 = F.substring(data, 1, 3) == F.lit(codecs.BOM_UTF8)
+        marked16 = F.substring(data, 1, 2).isin(codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)
+        valid = F.try_validate_utf8(data.cast("string"))
+        df = df.withColumn("_wide", _decode_in_python(F.when(marked16, data), "utf-16")).withColumn("_valid", valid)
+        text = (
+            F.when(marked8, _utf8(F.substr(data, F.lit(4))))
+            .when(marked16, F.col("_wide"))
+            .otherwise(F.coalesce("_valid", F.decode(data, "ISO-8859-1")))
         )
-    name = codecs.lookup(encoding).name
-
-    @F.pandas_udf(T.StringType())
-    def decode_all(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else b.decode(name, errors="replace"))
-
-    text = F.decode(F.col(raw), "ISO-8859-1") if name == "iso8859-1" else decode_all.asNondeterministic()(F.col(raw))
-    return df.select(
-        *[c for c in df.columns if c != raw],
-        text.alias("input_file_content"),
-        F.lit(encoding).alias("input_file_encoding"),
-    )
+        name = (
+            F.when(marked8, "utf-8-sig")
+            .when(marked16, "utf-16")
+            .when(F.col("_valid").isNotNull(), "utf-8")
+            .when(data.isNotNull(), "iso-8859-1")
+        )
+    else:
+        known = codecs.lookup(encoding).name
+        if known == "utf-8":
+            text = _utf8(data)
+        elif known == "iso8859-1":
+            text = F.decode(data, "ISO-8859-1")
+        else:
+            text = _decode_in_python(data, known)
+        name = F.lit(encoding)
+    kept = [c for c in df.columns if c not in (raw, "_wide", "_valid")]
+    return df.select(*kept, text.alias("input_file_content"), name.alias("input_file_encoding"))
 
 
 MEMBER_COLUMNS = ["archive", "member", "name", "content"]
