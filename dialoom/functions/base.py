@@ -6,9 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters Python treats as white space: the Unicode set plus the four separators U+001C..U+001F.
-# A plain class is several times faster in the JVM than a Unicode-aware \\s.
 WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _outside(chars: str) -> list[tuple[int, int]]:
+    """Code point ranges between the given characters, the one with the letters first, then by size."""
+    points = [-1, *map(ord, chars), 0x110000]
+    gaps = [(a + 1, b - 1) for a, b in zip(points, points[1:], strict=False) if b - a > 1]
+    return sorted(gaps, key=lambda g: (not g[0] <= ord("a") <= g[1], g[0] - g[1]))
+
+
+# The class as "none of the other ranges": a letter fails at the first range it is compared with,
+# which makes it about twice as fast in the JVM as a list of the white space itself.
+WS = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _outside(WS_CHARS)) + "]"
 
 
 def as_col(value: Column | str) -> Column:
