@@ -59,8 +59,8 @@ def number_rows(
 def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Groups with more than ``hot_rows`` rows, or None. Counting combines before its shuffle."""
     hot = df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by)
-    hot = materialize(hot)  # small: at most one row per ``hot_rows`` rows of input
-    return None if hot.isEmpty() else hot
+    # Written only when there are any; small, with at most one row per ``hot_rows`` rows of input.
+    return None if hot.isEmpty() else materialize(hot)
 
 
 def position_within(

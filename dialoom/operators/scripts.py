@@ -252,6 +252,59 @@ def _named(stem_col: Column, k: Column) -> Column:
     return F.when(k == 0, stem_col).otherwise(F.concat(stem_col, F.lit("_"), k.cast("string")))
 
 
+TAKEN_SCHEMA = "parent string, child string, displaced int, threshold long"
+
+
+def _settle_blocks(blocks: DataFrame) -> DataFrame:
+    """Walk the competing numbers ``k`` of each stem upwards.
+
+    ``before`` is how many renamed files of the stem precede the real file ``stem_k``. With ``c``
+    numbers passed over so far, ``stem_k`` is the turn of renamed file ``k - c``. Is that file
+    later than the real one, the number is passed over from there on (``threshold``); else the
+    real file finds its name taken (``displaced``). Rows stream through; no stem is held whole.
+    """
+
+    def walk(batches):
+        stem, passed = None, 0
+        for batch in batches:
+            out = []
+            for parent, k, child, before in batch[["parent", "k", "child", "before"]].itertuples(index=False):
+                if parent != stem:
+                    stem, passed = parent, 0
+                turn = k - passed
+                if turn > before:
+                    passed += 1
+                    out.append((parent, child, 0, turn))
+                else:
+                    out.append((parent, child, 1, None))
+            frame = pd.DataFrame(out, columns=["parent", "child", "displaced", "threshold"])
+            frame["threshold"] = frame["threshold"].astype("Int64")
+            yield frame
+
+    return blocks.repartition("parent").sortWithinPartitions("parent", "k").mapInPandas(walk, TAKEN_SCHEMA)
+
+
+def _competing_numbers(rows: DataFrame, order: str, hot_rows: int) -> DataFrame | None:
+    """Real stems ``stem_k`` beside a stem: (parent, child, k, files), files = earlier files of the parent.
+
+    None when there is no such stem.
+    """
+    stems = rows.filter("_pos = 1").select(F.col("stem").alias("child"), F.col(order).alias("_at"))
+    number = F.regexp_extract("child", r"_([1-9]\d*)\z", 1).try_cast("bigint")
+    numbered = stems.withColumn("k", number).filter(F.col("k").isNotNull())
+    numbered = numbered.withColumn("parent", F.regexp_replace("child", r"_[1-9]\d*\z", ""))
+    real = materialize(numbered.join(stems.select(F.col("child").alias("parent")), "parent", "left_semi"))
+    if real.isEmpty():
+        return None
+    files = rows.join(real.select(F.col("parent").alias("stem")).distinct(), "stem", "left_semi")
+    marks = real.select(F.col("parent").alias("stem"), F.col("_at").alias(order), "child", "k")
+    nothing = [F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("k")]
+    merged = files.select("stem", order, *nothing).unionByName(marks)
+    merged = position_within(merged, ["stem"], [F.col(order)], "_all", hot_rows).filter(F.col("k").isNotNull())
+    merged = position_within(merged, ["stem"], [F.col(order)], "_marks", hot_rows)
+    return merged.select(F.col("stem").alias("parent"), "child", "k", (F.col("_all") - F.col("_marks")).alias("files"))
+
+
 def unique_output_paths(
     df: DataFrame,
     directory: str,
@@ -262,43 +315,47 @@ def unique_output_paths(
 ) -> DataFrame:
     """``directory/stem``, then ``stem_1``, ``stem_2``, ... for later files of the same stem.
 
-    The names are those of handing them out one file at a time in ``order``: a file takes the
-    first of its names that no earlier file holds. A stem without namesakes such as ``stem_1``
-    is settled by its files' positions. Where a real ``stem_1`` competes with a made one, rounds
-    follow: each name goes to its earliest claimant, and from the first lost name of a stem on
-    its files move up by one, until nothing is lost. That is the same result, because a name
-    refused once to a file stays refused to it and to every later file of its stem.
+    The names are those of handing them out one file at a time in ``order`` (unique per file): a
+    file takes the first of its names that no earlier file holds. A stem without namesakes such as
+    ``stem_1`` is settled by its files' positions. Beside real namesakes, a file's number is its
+    position among the stem's renamed files and the numbers passed over before its turn; those are
+    found stem by stem from the shortest name on, one step per added ``_number``.
     """
     rows = df.select(F.col(order), stem(path).alias("stem"))
-    rows = position_within(rows, ["stem"], [F.col(order)], "_pos", hot_rows)
-    rows = rows.select(order, "stem", (F.col("_pos") - F.lit(1)).alias("k"))
-    stems = rows.select("stem").distinct()
-    numbered = stems.filter(F.col("stem").rlike(r"_[1-9]\d*\z")).select(
-        F.col("stem").alias("child"), F.regexp_replace("stem", r"_[1-9]\d*\z", "").alias("parent")
-    )
-    related = numbered.join(stems, F.col("parent") == F.col("stem"), "left_semi")
-    competing = (
-        related.select(F.col("child").alias("stem")).union(related.select(F.col("parent").alias("stem"))).distinct()
-    )
-    rows, competing = materialize(rows), materialize(competing)
-    settled = rows.join(competing, "stem", "left_anti")
-    open_rows = materialize(rows.join(competing, "stem", "left_semi"))
-    while True:
-        claims = open_rows.withColumn("name", _named(F.col("stem"), F.col("k")))
-        holders = claims.groupBy("name").agg(F.min(order).alias("holder"))
-        lost = (
-            claims.join(holders, "name")
-            .filter(F.col(order) != F.col("holder"))
-            .groupBy("stem")
-            .agg(F.min("k").alias("lost_from"))
-        )
-        lost = materialize(lost)
-        if lost.isEmpty():
+    rows = materialize(position_within(rows, ["stem"], [F.col(order)], "_pos", hot_rows))
+    blocks, steps = _competing_numbers(rows, order, hot_rows), []
+    if blocks is not None:
+        blocks = materialize(blocks)
+        roots = blocks.select("parent").subtract(blocks.select("child"))
+        known = roots.select(F.col("parent").alias("stem"), F.lit(0).alias("moved"))
+    while blocks is not None:
+        now = blocks.join(known, F.col("parent") == F.col("stem"))
+        # A stem's first file keeps its name unless it was displaced, so it is no renamed file.
+        renamed = F.greatest(F.col("files") - F.lit(1) + F.col("moved"), F.lit(0))
+        done = materialize(_settle_blocks(now.select("parent", "k", "child", renamed.alias("before"))))
+        if done.isEmpty():
             break
-        moved = open_rows.join(lost, "stem", "left")
-        step = F.when(F.col("k") >= F.col("lost_from"), F.lit(1)).otherwise(F.lit(0))
-        open_rows = materialize(moved.select(order, "stem", (F.col("k") + step).alias("k")))
-    named = settled.unionByName(open_rows).select(
+        steps.append(done)
+        known = done.select(F.col("child").alias("stem"), F.col("displaced").alias("moved"))
+    if not steps:
+        numbered = rows.select(order, "stem", (F.col("_pos") - F.lit(1)).alias("k"))
+    else:
+        settled = steps[0]
+        for step in steps[1:]:
+            settled = settled.unionByName(step)
+        moved = settled.select(F.col("child").alias("stem"), F.col("displaced").alias("_moved"))
+        turn = F.col("_pos") - F.lit(1) + F.coalesce("_moved", F.lit(0))
+        placed = rows.join(moved, "stem", "left").select(order, "stem", turn.alias("turn"))
+        passed = settled.filter(F.col("threshold").isNotNull()).select(
+            F.lit(None).cast(rows.schema[order].dataType).alias(order), F.col("parent").alias("stem"),
+            F.col("threshold").alias("turn"),
+        )
+        kind = F.when(F.col(order).isNull(), 0).otherwise(1)
+        renamed = placed.filter("turn > 0").unionByName(passed).withColumn("_kind", kind)
+        renamed = position_within(renamed, ["stem"], [F.col("turn"), F.col("_kind")], "k", hot_rows)
+        first = placed.filter("turn = 0").select(order, "stem", F.lit(0).cast("long").alias("k"))
+        numbered = first.unionByName(renamed.filter("_kind = 1").select(order, "stem", "k"))
+    named = numbered.select(
         order, F.concat(F.lit(directory.rstrip("/") + "/"), _named(F.col("stem"), F.col("k"))).alias(name)
     )
     return df.join(named, order)
