@@ -122,7 +122,10 @@ def datediff(unit: str, start: Column | str, end: Column | str, week_start: str
     seconds = SECONDS_PER[unit]
 
     def ticks(ts: Column) -> Column:
-        return F.floor(F.unix_timestamp(ts.cast("timestamp")) / F.lit(seconds))
+        # On the clock's face, so that a change to summer time is no boundary.
+        days = F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("long")
+        of_day = F.hour(ts) * F.lit(3600) + F.minute(ts) * F.lit(60) + F.second(ts)
+        return F.floor((days * F.lit(86400) + of_day) / F.lit(seconds))
 
     return (ticks(end) - ticks(start)).cast("long")
 
@@ -200,8 +203,9 @@ def from_unixtime(seconds: Column | str, pattern: str = "%Y-%m-%d %H:%i:%s") ->
 
 def zone_text(epoch_ms: Column | str, zone: str = "Asia/Kolkata") -> Column:
     """Epoch milliseconds as local text such as ``Jan 05, 2024, 03:07 PM``."""
-    local = F.from_utc_timestamp(F.timestamp_millis(as_col(epoch_ms)), zone)
-    return F.date_format(local, "MMM dd, yyyy, hh:mm a")
+    seconds = (as_col(epoch_ms) / F.lit(1000)).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_interval(secs=seconds)
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "MMM dd, yyyy, hh:mm a")
 
 
 def minus_days(date: Column | str, n: Column | int) -> Column:

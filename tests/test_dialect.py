@@ -51,6 +51,7 @@ def test_dates_and_periods(one):
     assert one(dates.in_periods(F.lit("201912"), ["201912"], 6, "2021-03-15"))
     assert one(dates.roll_period(F.lit("202011"), 2)) == "202101"
     assert one(dates.zone_text(F.lit(0).cast("long"))) == "Jan 01, 1970, 05:30 AM"
+    assert one(dates.zone_text(F.lit(1704441420999).cast("long"), "America/New_York")) == "Jan 05, 2024, 02:57 AM"
     assert one(dates.duration_seconds(F.lit(0), F.lit(1250))) == 1.3
     assert one(dates.time_from_parts(1, 2, 3)) == "01:02:03"
     assert one(dates.now("2024-01-01 10:00:00")) == dt.datetime(2024, 1, 1, 10)
@@ -137,3 +138,13 @@ def test_map_schema_modes(spark):
         ty.map_schema(df, "mssql", declared).collect()
     with pytest.raises(ValueError, match="no mapping"):
         ty.spark_type("NOPE", "mssql")
+
+
+def test_results_do_not_depend_on_the_session_zone(spark, one):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        before, after = (F.lit(t).cast("timestamp_ntz") for t in ("2024-03-10 01:30:00", "2024-03-10 03:30:00"))
+        assert one(dates.datediff("hour", before, after)) == 2
+        assert one(dates.zone_text(F.lit(0).cast("long"))) == "Jan 01, 1970, 05:30 AM"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
