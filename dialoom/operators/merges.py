@@ -196,7 +196,10 @@ def delete_using(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
 
 
 def put_row(target: DataFrame, key: str, row: dict) -> DataFrame:
-    """Update the row with this key, or insert it."""
-    given = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in target.schema.fields if f.name in row]
-    one = target.sparkSession.range(1).select(*given)
-    return upsert(target, one, [key])
+    """Update the rows with this key, or insert one; a count tells which, so there is nothing to join."""
+    types = {f.name: f.dataType for f in target.schema.fields}
+    here = F.col(key) == F.lit(row[key])
+    new = {c: F.lit(row.get(c)).cast(t) for c, t in types.items()}
+    updated = target.select(*[F.when(here, new[c]).otherwise(F.col(c)).alias(c) if c in row else F.col(c) for c in types])
+    absent = target.filter(here).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0")
+    return updated.unionByName(absent.select(*[v.alias(c) for c, v in new.items()]))

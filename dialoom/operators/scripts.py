@@ -13,7 +13,7 @@ from dialoom.functions.base import as_col, is_blank, size0
 from dialoom.functions.rules import parse_error_count
 from dialoom.functions.scripts import flatten_sql
 from dialoom.functions.text import CELL_MARKER, basename, stem
-from dialoom.messages import DEFAULT_LANGUAGE, messages_table
+from dialoom.messages import DEFAULT_LANGUAGE, KEYS, MESSAGES, messages_table
 from dialoom.operators import pyscripts
 from dialoom.operators.ordering import HOT_ROWS, position_within
 from dialoom.operators.relational import apply_explode
@@ -203,12 +203,17 @@ def compose_document(
 ) -> DataFrame:
     """Add ``document``: header, source path, body and check results in the wanted language.
 
-    With ``lang=None`` a column ``comment_lang`` names the language of each row. The catalogue
-    holds one row per language and is broadcast.
+    One language for all rows is taken from the catalogue as literals. With ``lang=None`` a column
+    ``comment_lang`` names the language of each row and the catalogue, one row per language, is
+    broadcast.
     """
     texts = messages_table(df.sparkSession) if messages is None else messages
-    language = F.col("comment_lang") if lang is None else F.lit(lang)
-    joined = df.withColumn("_lang", language).join(F.broadcast(texts), F.col("_lang") == F.col("language"))
+    if lang is None:
+        joined = df.join(F.broadcast(texts), F.col("comment_lang") == F.col("language"))
+    else:
+        found = texts.filter(F.col("language") == lang).first() if messages is not None else None
+        chosen = found.asDict() if found else dict(zip(KEYS, MESSAGES[lang], strict=True))
+        joined = df.withColumns({key: F.lit(chosen[key]) for key in KEYS})
     py, sqls = F.col("result_python_parse_error"), F.col("result_sql_parse_errors")
     has_py = py.isNotNull() & (py != "")
     has_sql = size0(sqls) > 0
