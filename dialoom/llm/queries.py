@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import mixing, quality_rules, url_filter
+from dialoom.llm import mixing, pii, quality_rules, secret_scan, url_filter
 from dialoom.llm.common import read
 
 
@@ -17,6 +17,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, "page_id", "url", url_filter.RULES, listed)
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms of the same format."""
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secret_scan.digest(read(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, source targets and the words that the mix takes from every document."""
     return mixing.digest(read(spark, sf_dir, "documents"))
@@ -28,6 +38,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op5_source_mixing, op9_quality_rules)
+    f.__name__: f for f in (op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op5_source_mixing, op9_quality_rules)
 }
 SQL = {"op1_url_filters": url_filter.SQL, "op5_source_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL}
