@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import mixing, pii, quality_rules, secret_scan, url_filter
+from dialoom.llm import decontamination, mixing, pii, quality_rules, secret_scan, token_output, url_filter
 from dialoom.llm.common import read
 
 
@@ -32,12 +32,22 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that every document holds."""
+    return decontamination.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written as ORC and read back."""
+    return token_output.digest(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of every document, with its host's verdict."""
     return quality_rules.judge_quality(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op5_source_mixing, op9_quality_rules)
+    f.__name__: f for f in (op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op5_source_mixing, op7_decontamination, op8_token_output, op9_quality_rules)
 }
 SQL = {"op1_url_filters": url_filter.SQL, "op5_source_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL}
