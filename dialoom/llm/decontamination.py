@@ -1,10 +1,10 @@
 """Benchmark decontamination: short test items found inside long documents.
 
-An item counts as found if the document holds at least ``THRESHOLD`` of the item's distinct word
+An item counts as found if the document holds at least ``PER_CENT`` per cent of the item's distinct word
 shingles. Items are partitioned by the size of their shingle set, and each partition has its own
 number of minima: an item's signature is the shingle with the smallest hash under each of these
 functions. A minimum lies in the document with a probability equal to the containment, so the
-chance that none of k does is at most ``(1 - THRESHOLD) ** k``, below 1e-6 from ten on; small
+chance that none of k does is at most ``0.2 ** k``, below 1e-6 from ten on; small
 items keep every shingle. Documents are searched with their whole shingle sets: a signature on
 their side as well would lose short items, since a document's minimum lies in the item only with
 |item| / |document|. Each hit is verified by exact containment of the full sets.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from dialoom.llm.shingles import Hasher, mix
 
 WORDS = 5
-THRESHOLD = 0.8
+PER_CENT = 80
 #: Size partitions of the items: the largest set of each, and the number of minima.
 PARTITIONS = [(12, 12), (64, 12), (512, 16), (1 << 62, 24)]
 BLOCK = 2_000_000
@@ -78,7 +78,7 @@ class ItemIndex:
                 items = self.sets[k]
                 at = np.minimum(np.searchsorted(whole, items), len(whole) - 1)
                 common = int((whole[at] == items).sum())
-                if common >= THRESHOLD * len(items):
+                if common * 100 >= PER_CENT * len(items):
                     yield self.ids[k], common, len(items)
 
 

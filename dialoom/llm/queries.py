@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import decontamination, mixing, pii, quality_rules, secret_scan, token_output, url_filter
+from dialoom.llm import decontamination, language_id, mixing, pii, quality_rules, secret_scan, token_output, url_filter
 from dialoom.llm.common import read
 
 
@@ -47,7 +47,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return language_id.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op5_source_mixing, op7_decontamination, op8_token_output, op9_quality_rules)
+    f.__name__: f for f in (op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op5_source_mixing, op7_decontamination, op8_token_output, op9_quality_rules, op10_language_id)
 }
 SQL = {"op1_url_filters": url_filter.SQL, "op5_source_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL}
