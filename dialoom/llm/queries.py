@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import decontamination, language_id, mixing, pii, quality_rules, secret_scan, token_output, url_filter
+from dialoom.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules, secret_scan, token_output, url_filter
 from dialoom.llm.common import read
 
 
@@ -32,6 +32,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that every document holds."""
     return decontamination.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -53,6 +58,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op5_source_mixing, op7_decontamination, op8_token_output, op9_quality_rules, op10_language_id)
+    f.__name__: f for f in (op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op5_source_mixing, op6_near_dedup, op7_decontamination, op8_token_output, op9_quality_rules, op10_language_id)
 }
 SQL = {"op1_url_filters": url_filter.SQL, "op5_source_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL}

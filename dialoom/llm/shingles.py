@@ -73,7 +73,8 @@ class Hasher:
 
     def shingles(self, text: str | None, n: int = 5) -> np.ndarray:
         """The distinct shingle hashes, sorted."""
-        return np.unique(self.all_shingles(text, n))
+        found = np.sort(self.all_shingles(text, n))
+        return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
 
 
 def set_key(shingles: np.ndarray) -> bytes | None:
@@ -86,19 +87,17 @@ def set_key(shingles: np.ndarray) -> bytes | None:
 
 
 class MinHash:
-    """Signatures of sets of hashes: ``size`` 32-bit minima under seeded multiply-shift functions."""
+    """Signatures of sets of hashes: 32-bit minima under seeded multiply-and-add functions."""
 
     def __init__(self, size: int, seed: int = 20240611) -> None:
         seeds = mix(np.arange(1, 2 * size + 1, dtype=np.uint64) * _ADD + np.uint64(seed))
-        self.a = seeds[:size] | np.uint64(1)
-        self.b = seeds[size:]
+        self.a = (seeds[:size] >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+        self.b = (seeds[size:] >> np.uint64(32)).astype(np.uint32)[:, None]
         self.size = size
 
-    def signature(self, hashes: np.ndarray, chunk: int = 4096) -> np.ndarray:
-        low = np.full(self.size, np.iinfo(np.uint64).max, np.uint64)
-        for begin in range(0, len(hashes), chunk):
-            part = hashes[begin : begin + chunk]
-            values = self.a[:, None] * part[None, :] + self.b[:, None]
-            values ^= values >> np.uint64(32)
-            np.minimum(low, values.min(axis=1), out=low)
-        return (mix(low) >> np.uint64(32)).astype(np.uint32)
+    def signature(self, hashes: np.ndarray, chunk: int = 512) -> np.ndarray:
+        folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+        low = np.full(self.size, np.iinfo(np.uint32).max, np.uint32)
+        for begin in range(0, len(folded), chunk):
+            np.minimum(low, (self.a * folded[None, begin : begin + chunk] + self.b).min(axis=1), out=low)
+        return low
