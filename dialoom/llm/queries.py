@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules, secret_scan, token_output, url_filter
+from dialoom.llm import decontamination, html_main, language_id, mixing, near_dedup, pii, quality_rules, secret_scan, token_output, url_filter
 from dialoom.llm.common import read
 
 
@@ -27,6 +27,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_main.digest(read(spark, sf_dir, "pages"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, source targets and the words that the mix takes from every document."""
     return mixing.digest(read(spark, sf_dir, "documents"))
@@ -58,6 +63,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op5_source_mixing, op6_near_dedup, op7_decontamination, op8_token_output, op9_quality_rules, op10_language_id)
+    f.__name__: f for f in (op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op4_html_extraction, op5_source_mixing, op6_near_dedup, op7_decontamination, op8_token_output, op9_quality_rules, op10_language_id)
 }
 SQL = {"op1_url_filters": url_filter.SQL, "op5_source_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL}
