@@ -13,6 +13,7 @@ files without rows. Only the id and text columns are read, so other columns cann
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,14 @@ REMEMBERED = 150_000
 _MARK = "|"
 
 
+#: Blanks for Python that the tokenizer takes for characters.
+_NOT_BLANK = re.compile("[\x1c-\x1f]")
+
+
+def _cut(text: str) -> list[str]:
+    return re.split(r"[ \t\n\r]+", text) if _NOT_BLANK.search(text) else text.split()
+
+
 class WordEncoder:
     """Ids of whole texts, with a bounded memory of words already encoded.
 
@@ -76,7 +85,7 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text with the end id, and the number of ids of each."""
-        cut = [(t or "").split() for t in texts]
+        cut = [_cut(t or "") for t in texts]
         if len(self.known) > REMEMBERED:
             self._reset()
         new = {w for words in cut for w in words} - self.known.keys()
