@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.rules import normalize_export_status
 from dialoom.functions.text import clean_code_fence
+from dialoom.session import materialize
 
 LABELS = (
     "model_serving_endpoint_for_conversion",
@@ -161,11 +162,15 @@ def upsert(
 
     Two joins in place of one full outer join: the updating LEFT join may broadcast a small
     source and lets the adaptive skew split work on the target; the inserting ANTI join sees only
-    the target's distinct keys. A NULL key matches nothing. Duplicate source keys raise.
+    the target's distinct keys. The checked source is written once before both, so both see the
+    same rows even if it would not come out alike twice. A NULL key matches nothing. Duplicate
+    source keys raise.
     """
     keys = list(keys)
     set_cols = [c for c in source.columns if c not in keys] if set_cols is None else list(set_cols)
     source = one_per_key(source, keys)
+    if update and insert:
+        source = materialize(source)
     out = target
     if update:
         new = source.select(*[F.col(k).alias("_k_" + k) for k in keys], *[F.col(c).alias("_n_" + c) for c in set_cols])
@@ -195,11 +200,37 @@ def delete_using(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
     return target.join(source.select(*keys).distinct(), keys, "left_anti")
 
 
-def put_row(target: DataFrame, key: str, row: dict) -> DataFrame:
-    """Update the rows with this key, or insert one; a count tells which, so there is nothing to join."""
+def put_rows(target: DataFrame, key: str, rows: Sequence[dict]) -> DataFrame:
+    """Update the rows with these keys, or insert them: two scans of the target, however many rows.
+
+    A later row of the same key wins. Columns that a row does not name stay, or are NULL in a new
+    row. A count per key tells which are new, so there is nothing to join.
+    """
     types = {f.name: f.dataType for f in target.schema.fields}
-    here = F.col(key) == F.lit(row[key])
-    new = {c: F.lit(row.get(c)).cast(t) for c, t in types.items()}
-    updated = target.select(*[F.when(here, new[c]).otherwise(F.col(c)).alias(c) if c in row else F.col(c) for c in types])
-    absent = target.filter(here).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0")
-    return updated.unionByName(absent.select(*[v.alias(c) for c, v in new.items()]))
+    given: dict = {}
+    for row in rows:
+        given[row[key]] = {**given.get(row[key], {}), **row}
+    if not given:
+        return target
+    here = {k: F.col(key) == F.lit(k).cast(types[key]) for k in given}
+
+    def changed(name: str) -> Column:
+        out = F.col(name)
+        for k, row in given.items():
+            if name in row:
+                out = F.when(here[k], F.lit(row[name]).cast(types[name])).otherwise(out)
+        return out.alias(name)
+
+    updated = target.select(*[changed(c) for c in types])
+    some = target.filter(F.col(key).isin([F.lit(k).cast(types[key]) for k in given]))
+    counts = some.agg(*[F.count_if(here[k]).alias(f"n{i}") for i, k in enumerate(given)])
+    new = [
+        F.when(F.col(f"n{i}") == 0, F.struct(*[F.lit(row.get(c)).cast(t).alias(c) for c, t in types.items()]))
+        for i, row in enumerate(given.values())
+    ]
+    return updated.unionByName(counts.select(F.inline(F.array_compact(F.array(*new)))))
+
+
+def put_row(target: DataFrame, key: str, row: dict) -> DataFrame:
+    """Update the rows with this key, or insert one."""
+    return put_rows(target, key, [row])

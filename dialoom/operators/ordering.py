@@ -1,9 +1,9 @@
 """Positions and ordered concatenation that hold when one group owns a large share of the rows.
 
 ``row_number`` over a window puts a whole group (or, unpartitioned, the whole table) into one
-task. Here only groups below ``hot_rows`` go that way. Larger groups, and global numbering, are
-range-partitioned by (group, order) so that many tasks share a group; each task numbers its own
-slice and a small table of slice sizes supplies the offsets.
+task. Here the rows are range-partitioned by (group, order), so that many tasks share a group;
+each task numbers its own slice and a small table of slice sizes supplies the offsets. All groups
+go the same way, whatever their size.
 """
 
 from __future__ import annotations
@@ -15,79 +15,52 @@ from pyspark.sql import functions as F
 
 from dialoom.session import materialize, parallelism
 
-HOT_ROWS = 20_000_000
-
 
 def _order_columns(order: Sequence[Column | str]) -> list[Column]:
     return [c if isinstance(c, Column) else F.col(c) for c in order]
 
 
-def number_rows(
-    df: DataFrame,
-    order: Sequence[Column | str],
-    name: str = "row_no",
-    start: int = 1,
-    partitions: int | None = None,
-) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "row_no", start: int = 1) -> DataFrame:
     """Consecutive numbers in ``order`` over the whole frame without a single-task window.
 
-    ``order`` should end in a unique column. The sorted rows are written once to the checkpoint
-    folder, because a second evaluation could cut the ranges elsewhere.
+    ``order`` should end in a unique column. The rows are written once before they are sorted, so
+    the input is evaluated once and the slices are as many as its files need; the sorted rows are
+    written once more, because a second evaluation could cut the ranges elsewhere.
     """
     order = _order_columns(order)
-    partitions = partitions or parallelism(df.sparkSession)
+    rows = materialize(df)
+    # Planning only: one partition per stretch of the written files, or the session's number.
+    slices = max(parallelism(df.sparkSession), rows.rdd.getNumPartitions())
     placed = materialize(
-        df.repartitionByRange(partitions, *order)
+        rows.repartitionByRange(slices, *order)
         .sortWithinPartitions(*order)
         .withColumn("_pos", F.monotonically_increasing_id())
     )
     # monotonically_increasing_id = partition number << 33 | position, so both can be read back.
     slice_no, position = F.shiftrightunsigned("_pos", 33), F.col("_pos").bitwiseAND((1 << 33) - 1)
-    sizes = placed.groupBy(slice_no.alias("_slice")).count().collect()  # at most one row per partition
-    counts = {row["_slice"]: row["count"] for row in sizes}
-    offsets, total = [], start
-    for i in range(max(counts, default=-1) + 1):
-        offsets.append(total)
-        total += counts.get(i, 0)
-    if not offsets:
-        return placed.withColumn(name, F.lit(None).cast("long")).drop("_pos")
-    offset_of = F.array(*[F.lit(v).cast("long") for v in offsets])
-    number = F.get(offset_of, slice_no.cast("int")) + position
-    return placed.withColumn(name, number).drop("_pos")
-
-
-def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Groups with more than ``hot_rows`` rows, or None. Counting combines before its shuffle."""
-    hot = df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by)
-    # Written only when there are any; small, with at most one row per ``hot_rows`` rows of input.
-    return None if hot.isEmpty() else materialize(hot)
-
-
-def position_within(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column | str],
-    name: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """1-based position inside each group of ``by``; ``order`` should end in a unique column."""
+    placed = placed.withColumn("_slice", slice_no).withColumn("_pos", position)
+    sizes = placed.groupBy(F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per slice: as many as partitions, never as many as rows.
+    earlier = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(sizes.select("_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    joined = placed.join(F.broadcast(offsets), F.col("_slice") == F.col("_s"))
+    number = F.lit(start).cast("long") + F.col("_before") + F.col("_pos")
+    return joined.withColumn(name, number).drop("_pos", "_slice", "_s", "_before")
+
+
+def position_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """1-based position inside each group of ``by``; ``order`` should end in a unique column.
+
+    Groups are contiguous in (by, order), so a position is the distance to the group's first row.
+    The first rows are a minimum per group, combined before the shuffle; in the join the adaptive
+    execution splits a large group.
+    """
     by, order = list(by), _order_columns(order)
-    window = Window.partitionBy(*by).orderBy(*order)
-    hot = hot_groups(df, by, hot_rows)
-    if hot is None:
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
-    same = [df[c].eqNullSafe(hot[c]) for c in by]
-    usual = df.join(hot, same, "left_anti").withColumn(name, F.row_number().over(window).cast("long"))
-    large = df.join(hot, same, "left_semi")
-    numbered = number_rows(large, [*map(F.col, by), *order], "_global")
-    # Groups are contiguous in (by, order), so a position is the distance to the group's first row.
-    firsts = numbered.groupBy(*by).agg(F.min("_global").alias("_first"))  # one row per hot group
-    firsts = firsts.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_first")
-    match = [numbered[c].eqNullSafe(firsts[f"_g_{c}"]) for c in by]
-    placed = numbered.join(firsts, match).withColumn(
-        name, F.col("_global") - F.col("_first") + F.lit(1)
-    )
-    return usual.unionByName(placed.select(*df.columns, name))
+    numbered = number_rows(df, [*map(F.col, by), *order], "_global")
+    firsts = numbered.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.min("_global").alias("_first"))
+    match = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
+    placed = numbered.join(firsts, match).withColumn(name, F.col("_global") - F.col("_first") + F.lit(1))
+    return placed.select(*df.columns, name)
 
 
 def ordered_values(
@@ -101,27 +74,14 @@ def ordered_values(
 ) -> DataFrame:
     """Per group, the non-NULL values in order: an array, or one text when ``separator`` is given.
 
-    Two steps. Rows are range-partitioned by (group, order), so a large group is spread over
-    several tasks and each builds one ordered piece; then the few pieces of a group are joined.
-    No task holds more than its slice of the input besides the finished values themselves.
-    ``extra`` holds sums to carry along, as aggregates over ``df`` aliased to their names.
+    One exchange. The finished value of a group is one row by definition, so its values meet in
+    one task in any case. ``extra`` holds aggregates to carry along, aliased to their names.
     """
-    by, order = list(by), list(order)
-    spark = df.sparkSession
-    keyed = df.repartitionByRange(parallelism(spark), *by, *order).withColumn("_slice", F.spark_partition_id())
     item = F.struct(*[F.col(c) for c in order], F.col(value).alias("_v"))
     kept = F.when(F.col(value).isNotNull(), item)
-    partial = keyed.groupBy(*by, "_slice").agg(
-        F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["_v"]).alias("_part"), *extra
-    )
-    names = [c for c in partial.columns if c not in (*by, "_slice", "_part")]
-    if separator is not None:
-        partial = partial.withColumn(
-            "_part", F.when(F.size("_part") > 0, F.array_join(F.col("_part").cast("array<string>"), separator))
-        )
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("_slice", "_part"))), lambda x: x["_part"])
-    joined = F.flatten(pieces)
-    if separator is not None:
-        kept_pieces = F.array_compact(pieces)
-        joined = F.when(F.size(kept_pieces) > 0, F.array_join(kept_pieces, separator))
-    return partial.groupBy(*by).agg(joined.alias(name), *[F.sum(n).alias(n) for n in names])
+    values = F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["_v"])
+    out = df.groupBy(*by).agg(values.alias(name), *extra)
+    if separator is None:
+        return out
+    text = F.when(F.size(name) > 0, F.array_join(F.col(name).cast("array<string>"), separator))
+    return out.withColumn(name, text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 
 PLACEHOLDER = "_placeholder_"
@@ -71,10 +72,16 @@ def cell_starts(code: str | None) -> list[int] | None:
     if not isinstance(code, str) or not code.strip():
         return None
     try:
-        body = parse(code).body
+        return _starts(parse(code).body, LINE_END.split(code))
     except Exception:  # noqa: BLE001 - unreadable code is one cell
         return [1]
-    lines = code.split("\n")
+
+
+# The ends of lines as the parser counts them.
+LINE_END = re.compile(r"\r\n|\r|\n")
+
+
+def _starts(body: list[ast.stmt], lines: list[str]) -> list[int]:
     starts, last_end = [1], None
     for node in body:
         first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", ()))])

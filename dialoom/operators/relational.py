@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.base import as_col
-from dialoom.operators.ordering import HOT_ROWS, number_rows, ordered_values, position_within
+from dialoom.operators.ordering import number_rows, ordered_values, position_within
 from dialoom.session import materialize
 
 # Fixed value: a T-SQL money amount has four decimals.
@@ -107,7 +108,9 @@ def sales_summary(fact: DataFrame, customers: DataFrame, products: DataFrame) ->
     fact(customer_id, product_id, sale_amount), customers(customer_id, city),
     products(product_id, category).
     """
-    joined = star_join(fact, [(customers, ["customer_id"]), (products, ["product_id"])])
+    # Summed first: the distinct counts then work on a row per pair, not per sale.
+    pairs = fact.groupBy("customer_id", "product_id").agg(F.sum("sale_amount").alias("sale_amount"))
+    joined = star_join(pairs, [(customers, ["customer_id"]), (products, ["product_id"])])
     return joined.groupBy("city", "category").agg(
         F.sum("sale_amount").alias("total_sales"),
         F.countDistinct("customer_id").alias("total_customers"),
@@ -175,9 +178,9 @@ def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str, v
 # Ranking, limits, paging, sampling.
 
 
-def rank_within(df, by: Sequence[str], order, name: str = "rank", hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_within(df, by: Sequence[str], order, name: str = "rank") -> DataFrame:
     """ROW_NUMBER() OVER (PARTITION BY ... ORDER BY ...); ``order`` should end in a unique column."""
-    return position_within(df, by, order, name, hot_rows)
+    return position_within(df, by, order, name)
 
 
 def top_n(df: DataFrame, order, n: int) -> DataFrame:
@@ -200,15 +203,15 @@ def with_page(df: DataFrame, order, size: int = 10, name: str = "page") -> DataF
     return numbered.withColumn(name, (F.floor(F.col("_row") / size) + 1).cast("long")).drop("_row")
 
 
-def latest(df: DataFrame, ts: str, n: int = 100, cap: int = 100, tie: str | None = None) -> DataFrame:
-    """Newest ``n`` rows (never more than ``cap``); rows without a time come last."""
+def latest(df: DataFrame, ts: str, n: int = 100, tie: str | None = None) -> DataFrame:
+    """Newest ``n`` rows; rows without a time come last. A page limit is the caller's."""
     order = [F.coalesce(F.col(ts), F.lit(0)).desc()] + ([F.col(tie)] if tie else [])
-    return top_n(df, order, min(n, cap))
+    return top_n(df, order, n)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """SAMPLE n: exactly ``n`` rows (or all), the same ones for the same seed."""
-    mark = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    mark = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     return top_n(df, [mark, F.col(key)], n)
 
 
@@ -251,25 +254,44 @@ def generate_series(
 
 
 def generate_dates(spark: SparkSession, start: str, stop: str, step: str = "1 day", name: str = "d") -> DataFrame:
-    """GENERATE_SERIES over dates with an interval step."""
-    series = F.sequence(F.lit(start).cast("date"), F.lit(stop).cast("date"), F.expr(f"interval {step}"))
-    return spark.range(1).select(F.explode(series).alias(name))
+    """GENERATE_SERIES over dates with a step such as ``1 day``, ``2 weeks`` or ``1 month``, inclusive.
 
-
-def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], max_depth: int = 100) -> DataFrame:
+    Made in parallel from a range of numbers: each date is the start plus so many steps.
+    """
+    count, unit = step.split()
+    count, unit = int(count), unit.rstrip("s")
+    first, last = F.lit(start).cast("date"), F.lit(stop).cast("date")
+    scale = {"day": 1, "week": 7, "month": 1, "quarter": 3, "year": 12}[unit] * count
+    begin, end = date.fromisoformat(start), date.fromisoformat(stop)
+    if unit in ("day", "week"):
+        steps = (end - begin).days // scale + 1
+        made = F.date_add(first, (F.col("id") * scale).cast("int"))
+    else:
+        steps = ((end.year - begin.year) * 12 + end.month - begin.month) // scale + 1
+        made = F.add_months(first, (F.col("id") * scale).cast("int"))
+    return spark.range(0, max(steps, 0)).select(made.alias(name)).filter(F.col(name) <= last)
+
+
+def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """WITH RECURSIVE (UNION ALL): ``step`` maps the rows of one level to the next until none come.
 
     Each level is written to the checkpoint folder, so the plan stays as long as one level and a
-    lost executor costs no earlier level.
+    lost executor costs no earlier level. A level equal to an earlier one, by its row count and
+    two hashes of its rows, would come round for ever and is an error.
     """
-    level = materialize(anchor)
-    levels = [level]
-    for _ in range(max_depth):
-        level = materialize(step(level).select(*anchor.columns))
-        if level.isEmpty():
-            return union_all(levels)
+    level, levels, seen = materialize(anchor), [], set()
+    while not level.isEmpty():
+        columns = [F.col(c) for c in level.columns]
+        mark = level.agg(
+            F.count(F.lit(1)), F.bit_xor(F.xxhash64(*columns)), F.bit_xor(F.hash(*columns)),
+            F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)")),
+        ).first()
+        if mark in seen:
+            raise RuntimeError("the recursion comes round: a level repeats an earlier one")
+        seen.add(mark)
         levels.append(level)
-    raise RuntimeError(f"recursion did not end within {max_depth} levels")
+        level = materialize(step(level).select(*anchor.columns))
+    return union_all(levels) if levels else level
 
 
 def assign_ids(df: DataFrame, order, start: int = 1, name: str = "id", existing: DataFrame | None = None) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.functions.rules import has_syntax_error
 from dialoom.operators.inference import batch_infer, fix_requests
 from dialoom.operators.merges import merge_responses
-from dialoom.operators.reports import error_count
 from dialoom.operators.scripts import attach_sql_checks, syntax_check_python
 from dialoom.session import materialize
 
@@ -59,19 +59,27 @@ def check_and_fix(
     predict: Callable,
     check_fn: Callable | None = None,
     max_attempts: int = 1,
+    labels: dict[str, str] | None = None,
     **infer_settings,
 ) -> DataFrame:
-    """Check; while errors remain, ask for repairs of the failing rows only; check once more at the end.
+    """Check; while errors remain, ask for repairs of the failing rows only and check those again.
 
-    No attempts allowed means no check at all.
+    Sound rows are checked once and not carried through the rounds. ``labels`` are noted on the
+    rows asked. No attempts allowed means no check at all.
     """
     if max_attempts == 0:
         return df
-    current = df
+    current = materialize(check(df, check_fn))
+    done = []
     for _ in range(max_attempts):
-        current = materialize(check(current, check_fn))
-        if error_count(current) == 0:
-            return current
-        responses = materialize(batch_infer(fix_requests(current), predict, **infer_settings))
-        current = merge_responses(current, responses)
-    return materialize(check(current, check_fn))
+        failing = has_syntax_error("result_python_parse_error", "result_sql_parse_errors")
+        faulty = current.filter(failing)
+        if faulty.isEmpty():
+            break
+        done.append(current.filter(~failing))
+        responses = materialize(batch_infer(fix_requests(faulty), predict, **infer_settings))
+        current = materialize(check(merge_responses(faulty, responses, labels), check_fn))
+    out = current
+    for part in done:
+        out = out.unionByName(part)
+    return out

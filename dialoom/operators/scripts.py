@@ -15,7 +15,7 @@ from dialoom.functions.scripts import flatten_sql
 from dialoom.functions.text import CELL_MARKER, basename, stem
 from dialoom.messages import DEFAULT_LANGUAGE, KEYS, MESSAGES, messages_table
 from dialoom.operators import pyscripts
-from dialoom.operators.ordering import HOT_ROWS, position_within
+from dialoom.operators.ordering import position_within
 from dialoom.operators.relational import apply_explode
 from dialoom.session import materialize
 
@@ -92,10 +92,12 @@ CLOSED_PARTS = (
 STACK_MARK = "JVM stacktrace:"
 
 
-def statement_error(sql: Column | str) -> Column:
-    """First structural fault of a statement, or NULL: quotes, comments, brackets, leading word."""
-    sql = as_col(sql)
-    bare = F.regexp_replace(sql, CLOSED_PARTS, " ")
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is evaluated once, also inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _fault(bare: Column) -> Column:
     steps = F.transform(
         F.regexp_extract_all(bare, F.lit("[()]"), F.lit(0)), lambda p: F.when(p == "(", F.lit(1)).otherwise(F.lit(-1))
     )
@@ -107,17 +109,25 @@ def statement_error(sql: Column | str) -> Column:
             (s["depth"] + d).alias("depth"), F.least(s["lowest"], s["depth"] + d).alias("lowest")
         ),
     )
+    brackets = _once(
+        walk,
+        lambda w: F.when(w["lowest"] < 0, "closing bracket without an opening one").when(w["depth"] > 0, "unclosed bracket"),
+    )
     verb = F.upper(F.regexp_extract(bare, r"\A[\s(;]*([A-Za-z_]+)", 1))
+    first = _once(verb, lambda v: F.when(~v.isin(*LEADING_VERBS), F.concat(F.lit("unknown statement: "), v)))
     return (
         F.when(is_blank(bare), "empty statement")
         .when(bare.rlike("['\"`]"), "unclosed quote")
         .when(bare.contains("/*"), "unclosed comment")
-        .when(walk["lowest"] < 0, "closing bracket without an opening one")
-        .when(walk["depth"] > 0, "unclosed bracket")
-        .when(~verb.isin(*LEADING_VERBS), F.concat(F.lit("unknown statement: "), verb))
+        .otherwise(F.coalesce(brackets, first))
     )
 
 
+def statement_error(sql: Column | str) -> Column:
+    """First structural fault of a statement, or NULL: quotes, comments, brackets, leading word."""
+    return _once(F.regexp_replace(as_col(sql), CLOSED_PARTS, " "), _fault)
+
+
 def attach_sql_checks(
     df: DataFrame,
     check_fn: Callable[[str], str | None] | None = None,
@@ -166,13 +176,23 @@ def _cell_starts(code: pd.Series) -> pd.Series:
 _cell_starts = _cell_starts.asNondeterministic()
 
 
+# The ends of lines as Python's parser knows them; the ends stay with their lines.
+LINE_CUT = r"(?<=\n)|(?<=\r)(?!\n)"
+
+
 def with_cells(df: DataFrame, col: str = "result_content", name: str = "cells") -> DataFrame:
-    """Array of cells (start_line, end_line, text). Python returns line numbers only; the text is cut here."""
-    lines = F.split(F.col(col), "\n", -1)
+    """Array of cells (start_line, end_line, text). Python returns line numbers only; the text is cut here.
+
+    Lines end at ``\\r\\n``, ``\\r`` or ``\\n`` and keep their ends; a cell's last end before another
+    cell goes.
+    """
+    lines = F.split(F.col(col), LINE_CUT, -1)
 
     def cell(start: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(F.col("_starts"), i + F.lit(1)) - F.lit(1), F.size(F.col("_lines")))
-        text = F.array_join(F.slice(F.col("_lines"), start, end - start + F.lit(1)), "\n")
+        after = F.get(F.col("_starts"), i + F.lit(1))
+        end = F.coalesce(after - F.lit(1), F.size(F.col("_lines")))
+        text = F.array_join(F.slice(F.col("_lines"), start, end - start + F.lit(1)), "")
+        text = F.when(after.isNull(), text).otherwise(F.regexp_replace(text, r"(\r\n|\r|\n)\z", ""))
         return F.struct(start.alias("start_line"), end.alias("end_line"), text.alias("text"))
 
     ready = df.withColumn("_starts", _cell_starts(F.col(col))).withColumn("_lines", lines)
@@ -204,12 +224,11 @@ def compose_document(
     """Add ``document``: header, source path, body and check results in the wanted language.
 
     One language for all rows is taken from the catalogue as literals. With ``lang=None`` a column
-    ``comment_lang`` names the language of each row and the catalogue, one row per language, is
-    broadcast.
+    ``comment_lang`` names the language of each row and the catalogue is joined.
     """
     texts = messages_table(df.sparkSession) if messages is None else messages
     if lang is None:
-        joined = df.join(F.broadcast(texts), F.col("comment_lang") == F.col("language"))
+        joined = df.join(texts, F.col("comment_lang") == F.col("language"))
     else:
         found = texts.filter(F.col("language") == lang).first() if messages is not None else None
         chosen = found.asDict() if found else dict(zip(KEYS, MESSAGES[lang], strict=True))
@@ -289,7 +308,7 @@ def _settle_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.repartition("parent").sortWithinPartitions("parent", "k").mapInPandas(walk, TAKEN_SCHEMA)
 
 
-def _competing_numbers(rows: DataFrame, order: str, hot_rows: int) -> DataFrame | None:
+def _competing_numbers(rows: DataFrame, order: str) -> DataFrame | None:
     """Real stems ``stem_k`` beside a stem: (parent, child, k, files), files = earlier files of the parent.
 
     None when there is no such stem.
@@ -305,8 +324,8 @@ def _competing_numbers(rows: DataFrame, order: str, hot_rows: int) -> DataFrame
     marks = real.select(F.col("parent").alias("stem"), F.col("_at").alias(order), "child", "k")
     nothing = [F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("k")]
     merged = files.select("stem", order, *nothing).unionByName(marks)
-    merged = position_within(merged, ["stem"], [F.col(order)], "_all", hot_rows).filter(F.col("k").isNotNull())
-    merged = position_within(merged, ["stem"], [F.col(order)], "_marks", hot_rows)
+    merged = position_within(merged, ["stem"], [F.col(order)], "_all").filter(F.col("k").isNotNull())
+    merged = position_within(merged, ["stem"], [F.col(order)], "_marks")
     return merged.select(F.col("stem").alias("parent"), "child", "k", (F.col("_all") - F.col("_marks")).alias("files"))
 
 
@@ -316,7 +335,6 @@ def unique_output_paths(
     path: str = "input_file_path",
     order: str = "input_file_number",
     name: str = "output_path",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``directory/stem``, then ``stem_1``, ``stem_2``, ... for later files of the same stem.
 
@@ -327,8 +345,8 @@ def unique_output_paths(
     found stem by stem from the shortest name on, one step per added ``_number``.
     """
     rows = df.select(F.col(order), stem(path).alias("stem"))
-    rows = materialize(position_within(rows, ["stem"], [F.col(order)], "_pos", hot_rows))
-    blocks, steps = _competing_numbers(rows, order, hot_rows), []
+    rows = materialize(position_within(rows, ["stem"], [F.col(order)], "_pos"))
+    blocks, steps = _competing_numbers(rows, order), []
     if blocks is not None:
         blocks = materialize(blocks)
         roots = blocks.select("parent").subtract(blocks.select("child"))
@@ -357,7 +375,7 @@ def unique_output_paths(
         )
         kind = F.when(F.col(order).isNull(), 0).otherwise(1)
         renamed = placed.filter("turn > 0").unionByName(passed).withColumn("_kind", kind)
-        renamed = position_within(renamed, ["stem"], [F.col("turn"), F.col("_kind")], "k", hot_rows)
+        renamed = position_within(renamed, ["stem"], [F.col("turn"), F.col("_kind")], "k")
         first = placed.filter("turn = 0").select(order, "stem", F.lit(0).cast("long").alias("k"))
         numbered = first.unionByName(renamed.filter("_kind = 1").select(order, "stem", "k"))
     named = numbered.select(

@@ -90,9 +90,10 @@ def without_empty_code(df: DataFrame, code: str = "result_content") -> DataFrame
     return df.filter(F.col(code).isNotNull() & (F.col(code) != ""))
 
 
-def report_columns(df: DataFrame, limit: int = 1000) -> DataFrame:
-    """The report's columns, pruned before the row limit."""
-    return df.select(*REPORT_COLUMNS).limit(limit)
+def report_columns(df: DataFrame, limit: int | None = None, order: str = "input_file_number") -> DataFrame:
+    """The report's columns of all rows, or of the first ``limit`` in ``order`` when the caller asks for so many."""
+    chosen = df.select(*REPORT_COLUMNS)
+    return chosen if limit is None else chosen.orderBy(order).limit(limit)
 
 
 def where_exists(df: DataFrame, other: DataFrame, keys: Sequence[str], negate: bool = False) -> DataFrame:

@@ -120,11 +120,11 @@ def attach_labels(spark, sf_dir):
 
 @query(
     "JN-4",
-    "SELECT doc_id, n_chars AS before, cast(length(trim(text)) AS bigint) AS after FROM documents WHERE lang = 'de'",
+    "SELECT doc_id, n_chars AS before, cast(length(trim(text)) AS bigint) AS after FROM documents",
 )
 def compare_versions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    trimmed = docs.filter("lang = 'de'").select("doc_id", F.length(F.trim("text")).cast("long").alias("n_chars"))
+    trimmed = docs.select("doc_id", F.length(F.trim("text")).cast("long").alias("n_chars"))
     return merges.compare(docs.select("doc_id", "n_chars"), trimmed, "doc_id", "n_chars")
 
 
@@ -190,8 +190,8 @@ def delete_lines_of_urgent_orders(spark, sf_dir):
 )
 def put_customer_rows(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    once = merges.put_row(people, "c_custkey", {"c_custkey": 5, "c_name": "Renamed"})
-    return merges.put_row(once, "c_custkey", {"c_custkey": -7, "c_name": "Newcomer"})
+    rows = [{"c_custkey": 5, "c_name": "Renamed"}, {"c_custkey": -7, "c_name": "Newcomer"}]
+    return merges.put_rows(people, "c_custkey", rows)
 
 
 @query(

@@ -171,7 +171,7 @@ PARAM = "CASE event_type WHEN 'click' THEN '/Workspace/Shared/a' WHEN 'view' THE
         epoch_ms(date_trunc('second', ts)) + cast(round(value * 100) AS bigint) AS e,
         CASE event_type WHEN 'error' THEN 'UNKNOWN' ELSE event_type END AS status,
         coalesce(nullif({PARAM}, ''), '/Workspace/job/' || user_id) AS dir FROM events),
-      n AS (SELECT * FROM r ORDER BY coalesce(s, 0) DESC, run_id LIMIT 100)
+      n AS (SELECT * FROM r ORDER BY coalesce(s, 0) DESC, run_id LIMIT 250)
     SELECT run_id, strftime(epoch_ms(s) + INTERVAL 330 MINUTE, '%b %d, %Y, %I:%M %p') AS start_time, status,
       round(cast(e - s AS double) / 1000.0, 1) AS duration, dir AS output_dir,
       'https://host/#workspace' || replace(dir, '/Workspace', '') AS output_link FROM n""",

@@ -146,13 +146,16 @@ def lint_scripts(spark, sf_dir):
 @query(
     "SCR-6",
     f"""WITH r AS (SELECT {KIND} AS k, doc_id % 7 AS t FROM documents)
-    SELECT 'table_missing_delta' AS rule, count(*) AS scripts FROM r WHERE k = 'TABLE' AND t NOT IN (0, 5)
-    UNION ALL SELECT 'view_not_create_or_replace', count(*) FROM r WHERE k = 'VIEW'""",
+    SELECT rule, count(*) AS scripts FROM r JOIN (VALUES ('TABLE', [0, 3], 'table_check_or_unique'),
+      ('TABLE', [0], 'table_default_expression'), ('TABLE', [0], 'table_volatile_default'), ('TABLE', [3], 'table_index_keyword'),
+      ('TABLE', [0], 'table_key_direction'), ('TABLE', [1, 2, 3, 4, 6], 'table_missing_delta'),
+      ('VIEW', [0, 1, 2, 3, 4, 5, 6], 'view_not_create_or_replace'), ('VIEW', [1], 'view_outer_join_mark'),
+      ('VIEW', [1], 'view_schemabinding'), ('VIEW', [1], 'view_double_colon_cast'), ('PROCEDURE', [2], 'procedure_transaction'),
+      ('FUNCTION', [2, 4], 'function_block')) AS fires(kind, tails, rule) ON k = kind AND list_contains(tails, t) GROUP BY rule""",
 )
 def lint_rule_frequency(spark, sf_dir):
     kinds = scripts(spark, sf_dir).select("content", sc.classify_object("content").alias("k"))
-    counted = ops.lint_frequency(kinds.select(sc.lint_sql("content", "k").alias("lint")), "lint")
-    return counted.filter(F.col("rule").isin("table_missing_delta", "view_not_create_or_replace"))
+    return ops.lint_frequency(kinds.select(sc.lint_sql("content", "k").alias("lint")), "lint")
 
 
 ALL_LINES = "cast(length(code) - length(replace(code, chr(10), '')) + 1 AS int)"

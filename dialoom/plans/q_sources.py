@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pandas as pd
@@ -10,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialoom.functions.text import basename, stem
-from dialoom.operators import reports
+from dialoom.operators.inference import CallError
 from dialoom.plans import corpus_run, warehouse
 from dialoom.plans.derived import SCRIPTS_SQL, customers, orders, scripts
 from dialoom.plans.q_corpus import COLLAPSE, STRIP, TOKENS
 from dialoom.plans.registry import query, table
 from dialoom.session import materialize, scratch_dir
 from dialoom.sources.scripts import decode_content, read_archive_members, read_external_csv, read_scripts
-from dialoom.sources.versions import VersionedTable, stage, write_result_version
+from dialoom.sources.versions import stage, version_name, write_result_version, written
 from dialoom.sources.writers import write_text_files
 
 
@@ -58,56 +59,79 @@ def read_script_files(spark, sf_dir):
 
 @query(
     "SRC-3",
-    """SELECT doc_id, md5(text) AS latin, md5(text) AS utf16, md5(text) AS sniffed, 'utf-16' AS sniffed_encoding
-    FROM documents WHERE lang <> 'zz' AND NOT regexp_matches(text, '[^\\x00-\\xff]')""",
+    """SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x00-\\xff]') THEN 'none' ELSE md5(text) END AS latin, md5(text) AS utf16,
+      md5(text) AS sniffed, 'utf-16' AS sniffed_encoding FROM documents""",
 )
 def decode_encodings(spark, sf_dir):
-    """The texts that fit into Latin-1, in several encodings."""
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\xff]"))
-    latin = decode_content(docs.select("doc_id", F.encode("text", "ISO-8859-1").alias("content")), encoding="iso-8859-1")
+    """All texts through UTF-16, stated and found out, and those that fit through Latin-1."""
+    docs = table(spark, sf_dir, "documents")
+    narrow = docs.filter(~F.col("text").rlike(r"[^\x00-\xff]"))
+    latin = decode_content(narrow.select("doc_id", F.encode("text", "ISO-8859-1").alias("content")), encoding="iso-8859-1")
     wide = docs.select("doc_id", F.encode("text", "UTF-16").alias("content"))
     utf16, sniffed = decode_content(wide, encoding="utf-16"), decode_content(wide)
 
     def digest(df, name):
         return df.select("doc_id", F.md5("input_file_content").alias(name))
 
-    return (
-        digest(latin, "latin")
-        .join(digest(utf16, "utf16"), "doc_id")
-        .join(
-            sniffed.select(
-                "doc_id", F.md5("input_file_content").alias("sniffed"), F.col("input_file_encoding").alias("sniffed_encoding")
-            ),
-            "doc_id",
-        )
+    found = sniffed.select(
+        "doc_id", F.md5("input_file_content").alias("sniffed"), F.col("input_file_encoding").alias("sniffed_encoding")
     )
+    joined = digest(utf16, "utf16").join(found, "doc_id").join(digest(latin, "latin"), "doc_id", "left")
+    return joined.fillna("none", ["latin"])
 
 
 @F.pandas_udf(T.BinaryType())
-def _zipped(name: pd.Series, text: pd.Series) -> pd.Series:
-    def pack(label, body):
+def _zipped(number: pd.Series, name: pd.Series, text: pd.Series) -> pd.Series:
+    def pack(n, label, body):
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w") as archive:
             archive.writestr(f"sub/{label}.sql", body)
             archive.writestr(f"{label}.bteq", "SEL 1")
             archive.writestr(f"{label}.SQL", "upper case suffix")
-        return buffer.getvalue()
+        whole = buffer.getvalue()
+        return whole[: len(whole) // 2] if n % 50 == 0 else whole
 
-    return pd.Series([pack(n, t) for n, t in zip(name, text, strict=True)])
+    return pd.Series([pack(*row) for row in zip(number, name, text, strict=True)])
 
 
 @query(
     "SRC-4",
-    """SELECT doc_id, 'sub_' || source || '.sql' AS name, md5(text) AS content FROM documents
-    UNION ALL SELECT doc_id, source || '.bteq', md5('SEL 1') FROM documents""",
+    """SELECT doc_id, 'sub_' || source || '.sql' AS name, md5(text) AS content, false AS damaged FROM documents WHERE doc_id % 50 > 0
+    UNION ALL SELECT doc_id, source || '.bteq', md5('SEL 1'), false FROM documents WHERE doc_id % 50 > 0
+    UNION ALL SELECT doc_id, 'none', 'none', true FROM documents WHERE doc_id % 50 = 0""",
 )
 def archive_members(spark, sf_dir):
+    """Zip files written, some of them cut off, and read back member by member."""
+    folder = f"{scratch_dir(spark)}/zips"
     zips = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("path"), _zipped("source", "text").alias("content")
+        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".sql")).alias("input_file_path"),
+        _zipped("doc_id", "source", "text").alias("result_content"),
     )
-    return read_archive_members(zips).select(
-        F.col("archive").cast("long").alias("doc_id"), "name", F.md5("content").alias("content")
+    materialize(write_text_files(zips, folder, "zip"))
+    return read_archive_members(read_scripts(spark, folder).select("path", "content")).select(
+        stem("archive").cast("long").alias("doc_id"),
+        F.coalesce("name", F.lit("none")).alias("name"),
+        F.coalesce(F.md5("content"), F.lit("none")).alias("content"),
+        F.col("error").isNotNull().alias("damaged"),
+    )
+
+
+@query(
+    "SNK-2",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'export_failed' ELSE 'exported' END AS export_status FROM documents",
+)
+def unwritable_files(spark, sf_dir):
+    """A storage that does not exist and a path with a NUL byte are reported, row by row."""
+    folder = scratch_dir(spark)
+    number = F.col("doc_id").cast("string")
+    target = (
+        F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("nosuch://out/"), number))
+        .when(F.col("doc_id") % 3 == 0, F.concat(F.lit(f"{folder}/a\0"), number))
+        .otherwise(F.concat(F.lit(f"{folder}/"), number, F.lit(".txt")))
     )
+    rows = table(spark, sf_dir, "documents").select(number.alias("input_file_path"), target.alias("target"), "text")
+    done = materialize(write_text_files(rows, folder, "txt", content="text", output="target"))
+    return done.select(F.col("input_file_path").cast("long").alias("doc_id"), "export_status")
 
 
 @query("SRC-5", "SELECT event_id, event_type, value FROM events")
@@ -134,29 +158,32 @@ def result_versions(spark, sf_dir):
 
 @query(
     "DDL-1 DML-6",
-    """SELECT o_orderkey AS sale_id, o_orderpriority AS product_name, cast(o_totalprice AS double) AS sale_amount,
+    """SELECT o_orderkey AS sale_id, o_orderpriority AS product_name, cast(cast(o_totalprice AS decimal(10,2)) AS double) AS sale_amount,
       'retail' AS channel FROM orders""",
 )
 def create_and_insert(spark, sf_dir):
-    """An empty table with comment and default, then an insert whose rows are handed back."""
-    sales = VersionedTable(spark, f"{scratch_dir(spark)}/sales")
-    schema = T.StructType.fromDDL("sale_id BIGINT, product_name STRING, sale_amount DECIMAL(10,2), channel STRING")
-    sales.create(schema, comment="Sales table", defaults={"channel": "'retail'"})
-    rows = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS sale_id", "o_orderpriority AS product_name", "o_totalprice AS sale_amount"
+    """CREATE TABLE with comment and default, INSERT naming some columns: the stored rows."""
+    name = version_name("sales")
+    spark.sql(
+        f"""CREATE TABLE {name} (sale_id BIGINT, product_name STRING, sale_amount DECIMAL(10,2), channel STRING DEFAULT 'retail')
+        USING PARQUET COMMENT 'Sales table'"""
     )
-    sales.insert_returning(rows)
-    return sales.read().withColumn("sale_amount", F.col("sale_amount").cast("double"))
+    try:
+        warehouse.run_sql(
+            spark,
+            f"""INSERT INTO {name} (sale_id, product_name, sale_amount)
+            SELECT o_orderkey, o_orderpriority, cast(o_totalprice AS decimal(10,2)) FROM new_orders""",
+            {"new_orders": table(spark, sf_dir, "orders")},
+        )
+        return materialize(spark.table(name).withColumn("sale_amount", F.col("sale_amount").cast("double")))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-@query(
-    "DDL-2",
-    "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY o_custkey",
-)
+@query("DDL-2", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def staged_table(spark, sf_dir):
     """A temporary table: written, read, dropped."""
-    big = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select("o_custkey", "o_totalprice")
-    with stage(big, scratch_dir(spark)) as temp:
+    with stage(table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")) as temp:
         return materialize(temp.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -167,19 +194,16 @@ def staged_table(spark, sf_dir):
     UNION ALL SELECT 'truncated', 0, 2 UNION ALL SELECT 'restored', count(*), 2 FROM orders""",
 )
 def alter_and_restore(spark, sf_dir):
-    """Column changes, truncate and undo on a versioned table."""
-    sales = VersionedTable(spark, f"{scratch_dir(spark)}/sales")
-    sales.replace(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sale_id", "o_totalprice AS sale_amount"))
-    steps = [("added", sales.add_column("discount", "decimal(5,2)"))]
-    steps.append(("renamed", sales.rename_column("sale_amount", "total_amount")))
-    steps.append(("dropped", sales.drop_column("discount")))
-    kept = sales.current
-    steps.append(("truncated", sales.truncate()))
-    sales.restore(kept)
-    steps.append(("restored", sales.current))
+    """Column changes and truncation as new written tables; the one before stays and can be taken again."""
+    base = scratch_dir(spark)
+    sales = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sale_id", "o_totalprice AS sale_amount")
+    added = written(sales.withColumn("discount", F.lit(None).cast("decimal(5,2)")), base)
+    renamed = written(added.withColumnRenamed("sale_amount", "total_amount"), base)
+    dropped = written(renamed.drop("discount"), base)
+    truncated = written(dropped.limit(0), base)
+    steps = {"added": added, "renamed": renamed, "dropped": dropped, "truncated": truncated, "restored": dropped}
     out = None
-    for name, version in steps:
-        content = sales.read(version)
+    for name, content in steps.items():
         line = content.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(name).alias("step"), "rows", F.lit(len(content.columns)).alias("columns")
         )
@@ -194,8 +218,8 @@ def alter_and_restore(spark, sf_dir):
 )
 def build_layers(spark, sf_dir):
     """Bronze, silver and gold as three written tables."""
-    gold = warehouse.build_layers(orders(spark, sf_dir), warehouse.Layers(scratch_dir(spark)))
-    return gold.read().withColumn("total_revenue", F.col("total_revenue").cast("double"))
+    gold = warehouse.build_layers(orders(spark, sf_dir), scratch_dir(spark))
+    return gold.withColumn("total_revenue", F.col("total_revenue").cast("double"))
 
 
 @query(
@@ -207,17 +231,17 @@ def build_layers(spark, sf_dir):
 )
 def refresh_layers(spark, sf_dir):
     """Refill the cache, rebuild the summary, append to the audit log."""
-    layers = warehouse.Layers(scratch_dir(spark))
-    summary = warehouse.refresh_layers(*warehouse.silver_tables(spark, sf_dir), layers, as_of="2024-01-01 00:00:00")
+    tables = warehouse.silver_tables(spark, sf_dir)
+    summary = warehouse.refresh_layers(*tables, scratch_dir(spark), as_of="2024-01-01 00:00:00")
     return summary.withColumn("total_sales", F.col("total_sales").cast("double"))
 
 
 @query("DML-2", "SELECT '2024-01-01 00:00:00' AS ts, 'sp_refresh_gold_layer' AS job, 'SUCCESS' AS status")
 def refresh_audit_log(spark, sf_dir):
     """The audit row a refresh leaves."""
-    layers = warehouse.Layers(scratch_dir(spark))
-    warehouse.refresh_layers(*warehouse.silver_tables(spark, sf_dir), layers, as_of="2024-01-01 00:00:00")
-    audit = layers.at(spark, "etl_audit_log").read()
+    base = scratch_dir(spark)
+    warehouse.refresh_layers(*warehouse.silver_tables(spark, sf_dir), base, as_of="2024-01-01 00:00:00")
+    audit = spark.read.parquet(f"{base}/{warehouse.AUDIT_LOG}")
     return audit.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "job", "status")
 
 
@@ -226,48 +250,79 @@ def refresh_audit_log(spark, sf_dir):
     """SELECT c_custkey AS customer_id, CASE WHEN c_custkey = 9 THEN 'Changed' ELSE c_name END AS customer_name FROM customer""",
 )
 def undo_failed_change(spark, sf_dir):
-    """A change is kept, a second one inside a failing block is taken back."""
+    """A change is kept; a second one whose write fails leaves the table before it."""
     from dialoom.operators.merges import put_row
 
-    people = VersionedTable(spark, f"{scratch_dir(spark)}/customers")
-    people.replace(customers(spark, sf_dir).select("customer_id", "customer_name"))
-    people.update(lambda df: put_row(df, "customer_id", {"customer_id": 9, "customer_name": "Changed"}))
+    base = scratch_dir(spark)
+    people = customers(spark, sf_dir).select("customer_id", "customer_name")
+    people = written(put_row(people, "customer_id", {"customer_id": 9, "customer_name": "Changed"}), base)
+    lost = put_row(people, "customer_id", {"customer_id": 10, "customer_name": "Lost"})
+    stopped = F.when(F.col("customer_id") == 10, F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("customer_name"))
     try:
-        with people.undo_on_error():
-            people.update(lambda df: put_row(df, "customer_id", {"customer_id": 10, "customer_name": "Lost"}))
-            raise ValueError("stop")
-    except ValueError:
-        pass
-    return people.read()
+        people = written(lost.withColumn("customer_name", stopped), base)
+    except Exception as error:  # noqa: BLE001 - the failure is the point
+        if "stop" not in str(error):
+            raise
+    return people
 
 
 def _echo(messages):
-    """Stands in for the model: a script that runs the preprocessed length as a statement."""
-    return f"```python\nimport os\n\n\nspark.sql('SELECT {len(messages[-1]['content'])} AS n')\n```"
+    """Stands in for the model: a script that runs the length of what it was asked as a statement."""
+    size = len(messages[-1]["content"])
+    if size % 5 == 0:
+        raise CallError(400, "Bad Request", '{"message": "invalid parameter"}')
+    return f"```python\nimport os\n\n\nspark.sql('SELECT {size} AS n')\n```"
+
+
+# The text that is sent is the one without comments and with white space collapsed.
+SENT = COLLAPSE.replace("{c}", STRIP.replace("{c}", "content"))
 
 
 @query(
     "CTL-2 SRC-2 SNK-1",
-    f"""WITH {SCRIPTS_SQL}, p AS (SELECT doc_id, content, cast(doc_id AS varchar) || '.sql' AS file,
-        {TOKENS.replace('{c}', COLLAPSE.replace('{c}', STRIP.replace('{c}', 'content')))} AS pre FROM scripts)
-    SELECT file, pre AS tokens, CASE WHEN pre <= 25 THEN 'Converted successfully' END AS conversion_status,
-      'Exported successfully' AS export_status,
-      'import os' || chr(10) || chr(10) || chr(10) || '# COMMAND ----------' || chr(10) || 'spark.sql(''SELECT '
-        || length(content) || ' AS n'')' || chr(10) AS code, 100.0 AS accuracy
-    FROM p WHERE pre <= 25""",
+    f"""WITH {SCRIPTS_SQL}, p AS (SELECT doc_id, content, cast(doc_id AS varchar) || '.sql' AS file, length({SENT}) AS sent,
+        {TOKENS.replace('{c}', SENT)} AS pre FROM scripts)
+    SELECT file, pre AS tokens, CASE WHEN pre > 25 THEN 'Skipped' WHEN sent % 5 = 0 THEN 'Not converted'
+        ELSE 'Converted successfully' END AS conversion_status,
+      CASE WHEN pre > 25 OR sent % 5 = 0 THEN 'Not exported' ELSE 'Exported successfully' END AS export_status,
+      CASE WHEN pre > 25 OR sent % 5 = 0 THEN 'none' ELSE 'import os' || chr(10) || chr(10) || chr(10) || '# COMMAND ----------'
+        || chr(10) || 'spark.sql(''SELECT ' || sent || ' AS n'')' || chr(10) END AS code,
+      CASE WHEN pre > 25 OR sent % 5 = 0 THEN 0.0 ELSE 100.0 END AS accuracy
+    FROM p""",
 )
 def corpus_run_documents(spark, sf_dir):
-    """The whole run over script files: ingest, convert, check, split, compose, export."""
+    """The whole run over script files: ingest, convert, check, split, compose, export; every file with its status."""
     base = scratch_dir(spark)
     _written_scripts(spark, sf_dir, f"{base}/in")
     cfg = corpus_run.RunConfig(f"{base}/in", f"{base}/out", f"{base}/result", token_count_threshold=25)
-    done = corpus_run.run_corpus(spark, cfg, _echo).read()
-    status = reports.status_detail(done).select("input_file_number", "conversion_status", "export_status")
+    done = corpus_run.run_corpus(spark, cfg, _echo)
+    status = corpus_run.status_of_all(done).select("input_file_number", "conversion_status", "export_status")
     rows = done.select(
         "input_file_number",
         basename("input_file_path").alias("file"),
         F.col("input_file_token_count_preprocessed").alias("tokens"),
-        F.regexp_replace("result_content", r"\A# COMMAND ----------\n", "").alias("code"),
+        F.coalesce(F.regexp_replace("result_content", r"\A# COMMAND ----------\n", ""), F.lit("none")).alias("code"),
         F.col("accuracy_percent").alias("accuracy"),
     )
     return rows.join(status, "input_file_number").drop("input_file_number")
+
+
+@query(
+    "CTL-2 FIL-6 REP-6 REP-7",
+    f"""WITH {SCRIPTS_SQL}, p AS (SELECT doc_id, length({SENT}) AS sent, {TOKENS.replace('{c}', SENT)} AS pre FROM scripts)
+    SELECT doc_id, 'SELECT ' || sent AS sql_text FROM p WHERE pre <= 25 AND sent % 5 > 0""",
+)
+def corpus_run_sql_files(spark, sf_dir):
+    """The stage after the run: each exported document's SQL, asked for and written as a file."""
+    base = scratch_dir(spark)
+    _written_scripts(spark, sf_dir, f"{base}/in")
+    cfg = corpus_run.RunConfig(
+        f"{base}/in", f"{base}/out", f"{base}/result", token_count_threshold=25, sql_output_dir=f"{base}/sql"
+    )
+
+    def to_sql(messages):
+        return re.search(r"SELECT \d+", messages[-1]["content"]).group()
+
+    corpus_run.run_corpus(spark, cfg, _echo, predict_sql=to_sql)
+    files = decode_content(read_scripts(spark, f"{base}/sql").select("path", "content"), encoding="utf-8")
+    return files.select(stem("path").cast("long").alias("doc_id"), F.trim("input_file_content").alias("sql_text"))

@@ -144,10 +144,33 @@ def hash_bytes(spark, sf_dir):
     )
 
 
-@query("ST-11")
+# Published SHA-512 test values: of the empty text and of "abc".
+SHA512_EMPTY = (
+    "cf83e1357eefb8bdf1542850d66d8007d620e4050b5715dc83f4a921d36ce9ce"
+    "47d0d13c5d85f2b0ff8318d2877eec2f63b931bd47417a81a538327af927da3e"
+)
+SHA512_ABC = (
+    "ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a"
+    "2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f"
+)
+
+
+@query(
+    "ST-11",
+    f"""SELECT doc_id, 128 AS digits, true AS is_hex, count(*) OVER (PARTITION BY text) AS same_text,
+      CASE doc_id % 2 WHEN 0 THEN '{SHA512_EMPTY}' ELSE '{SHA512_ABC}' END AS known FROM documents""",
+)
 def hash_bytes_512(spark, sf_dir):
-    """SHA-512 has no counterpart in the SQL check; known digests are tested."""
-    return table(spark, sf_dir, "documents").select("doc_id", st.hashbytes("SHA2_512", "text").alias("sha512_hex"))
+    """SHA-512 of all texts: form, equal digests exactly for equal texts, and two published digests."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        st.hashbytes("SHA2_512", "text").alias("h"),
+        st.hashbytes("SHA2_512", F.expr("CASE doc_id % 2 WHEN 0 THEN '' ELSE 'abc' END")).alias("known"),
+    )
+    counts = docs.groupBy("h").agg(F.count(F.lit(1)).alias("same_text"))
+    return docs.join(counts, "h").select(
+        "doc_id", F.length("h").alias("digits"), F.col("h").rlike("^[0-9a-f]+$").alias("is_hex"), "same_text", "known"
+    )
 
 
 @query("ST-12", "SELECT r_regionkey AS regionkey, r_name AS \"Region Name\" FROM region")

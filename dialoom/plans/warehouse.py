@@ -1,15 +1,13 @@
-"""Layered builds and refreshes over versioned tables."""
+"""Layered builds and refreshes over written tables."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.operators.relational import customer_revenue, rollup_sum, star_join
 from dialoom.plans.registry import table
-from dialoom.sources.versions import VersionedTable
+from dialoom.sources.versions import written
 
 
 def silver_orders(bronze: DataFrame, amount: str = "order_amount") -> DataFrame:
@@ -35,55 +33,41 @@ def silver_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return sales, people.join(nation, "c_nationkey").drop("c_nationkey"), products
 
 
-@dataclass
-class Layers:
-    """Where the layers of a build live."""
-
-    base: str
-
-    def at(self, spark: SparkSession, name: str) -> VersionedTable:
-        return VersionedTable(spark, f"{self.base.rstrip('/')}/{name}")
-
-
-def build_layers(raw: DataFrame, layers: Layers) -> VersionedTable:
+def build_layers(raw: DataFrame, base: str) -> DataFrame:
     """Bronze as it came, silver filtered without repeats, gold per customer: three written tables."""
-    spark = raw.sparkSession
-    bronze, silver, gold = (layers.at(spark, n) for n in ("bronze", "silver", "gold"))
-    bronze.replace(raw)
-    silver.replace(silver_orders(bronze.read()))
-    gold.replace(gold_revenue(silver.read()))
-    return gold
+    bronze = written(raw, base, "bronze")
+    silver = written(silver_orders(bronze), base, "silver")
+    return written(gold_revenue(silver), base, "gold")
 
 
-AUDIT_SCHEMA = "ts timestamp, job string, status string"
+AUDIT_LOG = "etl_audit_log"
 
 
 def refresh_layers(
-    sales: DataFrame, customers: DataFrame, products: DataFrame, layers: Layers, as_of: str | None = None,
+    sales: DataFrame, customers: DataFrame, products: DataFrame, base: str, as_of: str | None = None,
     job: str = "sp_refresh_gold_layer",
 ) -> DataFrame:
-    """Refill the cache, rebuild the summary, append an audit row; returns the summary.
+    """Refill the cache, rebuild the summary, append an audit row; returns the new summary.
 
-    The audit row tells failure too, and a failed step leaves the tables on their last version.
+    Cache and summary go to new paths, so a failed step leaves the earlier ones as they were. The
+    audit row, which tells failure too, is appended to the log below ``base``.
     """
     spark = sales.sparkSession
-    cache, summary, audit = (layers.at(spark, n) for n in ("silver_cache", "gold_sales_summary", "etl_audit_log"))
-    if not audit.exists():
-        audit.replace(spark.createDataFrame([], AUDIT_SCHEMA))
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
 
     def log(status: str) -> None:
-        audit.append(spark.range(1).select(now.alias("ts"), F.lit(job).alias("job"), F.lit(status).alias("status")))
+        row = spark.range(1).select(now.alias("ts"), F.lit(job).alias("job"), F.lit(status).alias("status"))
+        row.write.mode("append").parquet(f"{base.rstrip('/')}/{AUDIT_LOG}")
 
     try:
-        cache.replace(sales)
-        joined = star_join(cache.read(), [(customers, ["customer_id"]), (products, ["product_id"])])
-        summary.replace(rollup_sum(joined, ["city", "category"], "sale_amount", "total_sales"))
+        cache = written(sales, base, "silver_cache")
+        joined = star_join(cache, [(customers, ["customer_id"]), (products, ["product_id"])])
+        summary = written(rollup_sum(joined, ["city", "category"], "sale_amount", "total_sales"), base, "gold_sales_summary")
     except Exception:
         log("FAILED")
         raise
     log("SUCCESS")
-    return summary.read()
+    return summary
 
 
 def lookup(df: DataFrame, **params) -> DataFrame:

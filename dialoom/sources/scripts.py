@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -38,7 +39,16 @@ def _regex(pattern: str) -> str:
             out, i = out + "[" + pattern[i + 1 : end].replace("!", "^", 1) + "]", end + 1
         else:
             out, i = out + re.escape(pattern[i]), i + 1
-    return rf"(?s)\A{out.rstrip('/')}(?:/.*)?\z"
+    # The reader names files with their storage, also where the pattern does not.
+    storage = "(?:[a-z][a-z0-9+.-]*:(?://[^/]*)?)?" if pattern.startswith("/") else ""
+    return rf"(?s)\A{storage}{out.rstrip('/')}(?:/.*)?\z"
+
+
+def _whole(path: str) -> str:
+    """A local path without its scheme and from the root; other paths as given."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return path if re.match("[A-Za-z][A-Za-z0-9+.-]*:", path) else os.path.abspath(path) + "/" * path.endswith("/")
 
 
 def _has_glob(text: str) -> bool:
@@ -83,11 +93,9 @@ def read_scripts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     given = [p.strip() for p in (paths.split(",") if isinstance(paths, str) else paths) if p.strip()]
     if not given:
         raise ValueError("no input path given")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
     out, earlier = None, []
     for path in given:
-        whole = hadoop(path).getFileSystem(conf).makeQualified(hadoop(path)).toString()
+        whole = _whole(path)
         found = _read_pattern(spark, whole)
         for before in earlier:
             found = found.filter(~F.col("path").rlike(before))
@@ -160,8 +168,8 @@ def decode_content(df: DataFrame, raw: str = "content", encoding: str | None = N
     return df.select(*kept, text.alias("input_file_content"), name.alias("input_file_encoding"))
 
 
-MEMBER_COLUMNS = ["archive", "member", "name", "content"]
-MEMBER_SCHEMA = "archive string, member string, name string, content binary"
+MEMBER_COLUMNS = ["archive", "member", "name", "content", "error"]
+MEMBER_SCHEMA = "archive string, member string, name string, content binary, error string"
 # Unpacked members leave a task in batches of at most this size.
 MEMBER_BATCH_BYTES, MEMBER_BATCH_ROWS = 32 << 20, 2000
 
@@ -170,23 +178,34 @@ def read_archive_members(df: DataFrame, suffixes: Sequence[str] = ARCHIVE_SUFFIX
     """(path, content) of zip files -> one row per member with a wanted suffix.
 
     The member's folder separators become underscores in ``name``. A zip's directory is at its
-    end, so one archive is one row of work; many archives spread over the tasks.
+    end, so one archive is one row of work; many archives spread over the tasks. An archive or a
+    member that cannot be read gives a row with ``error`` and no content.
     """
     wanted = tuple(suffixes)
 
+    def unpacked(path: str, data: bytes | None) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data or b"")) as archive:
+                for member in archive.namelist():
+                    if member.endswith(wanted):
+                        name = member.replace("/", "_")
+                        try:
+                            yield path, member, name, archive.read(member), None
+                        except Exception as error:  # noqa: BLE001 - a member's fault is its row's
+                            yield path, member, name, None, str(error) or type(error).__name__
+        except Exception as error:  # noqa: BLE001 - an archive's fault is its row's
+            yield path, None, None, None, str(error) or type(error).__name__
+
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held = [], 0
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                    for member in archive.namelist():
-                        if member.endswith(wanted):
-                            body = archive.read(member)
-                            held += len(body)
-                            out.append((path, member, member.replace("/", "_"), body))
-                        if held > MEMBER_BATCH_BYTES or len(out) >= MEMBER_BATCH_ROWS:
-                            yield pd.DataFrame(out, columns=MEMBER_COLUMNS)
-                            out, held = [], 0
+                for row in unpacked(path, data):
+                    held += len(row[3] or b"")
+                    out.append(row)
+                    if held > MEMBER_BATCH_BYTES or len(out) >= MEMBER_BATCH_ROWS:
+                        yield pd.DataFrame(out, columns=MEMBER_COLUMNS)
+                        out, held = [], 0
         if out:
             yield pd.DataFrame(out, columns=MEMBER_COLUMNS)
 

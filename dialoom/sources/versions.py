@@ -1,20 +1,17 @@
-"""Tables kept as written versions.
+"""Written results: every stage writes a new path and hands it on.
 
-A stage never overwrites what it reads: it writes a new version and then moves the pointer. A
-failed write leaves the pointer, and so the table, as it was.
+A stage never overwrites what it reads, so a failed write leaves the earlier result as it was.
 """
 
 from __future__ import annotations
 
-import json
 import random
-from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dialoom.functions.base import as_col
 
@@ -23,46 +20,15 @@ TABLE_PREFIX = "conversion_result"
 STAMP_FORMAT = "%Y%m%d%H%M%S"
 STAMP_IN_NAME = r"_(\d{14})_"
 STAMP_ANYWHERE = r"(\d{14})"
-POINTER = "_current"
 
 
-class _Files:
-    """The Hadoop file system behind a path, for the few metadata calls needed here."""
-
-    def __init__(self, spark: SparkSession, base: str):
-        self._jvm = spark._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        return self._fs.exists(self._path(path))
-
-    def names(self, path: str) -> list[str]:
-        return [s.getPath().getName() for s in self._fs.listStatus(self._path(path))] if self.exists(path) else []
-
-    def read_text(self, path: str) -> str:
-        stream = self._fs.open(self._path(path))
-        try:
-            return bytes(stream.readAllBytes()).decode("utf-8")
-        finally:
-            stream.close()
-
-    def write_text(self, path: str, text: str) -> None:
-        """Written aside, then renamed over the old file."""
-        aside = f"{path}.{random.randrange(1 << 48):012x}"
-        stream = self._fs.create(self._path(aside), True)
-        try:
-            stream.write(bytearray(text.encode("utf-8")))
-        finally:
-            stream.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
-        options = self._jvm.org.apache.hadoop.fs.Options.Rename
-        wanted = self._jvm.java.lang.reflect.Array.newInstance(options.OVERWRITE.getClass(), 1)
-        wanted[0] = options.OVERWRITE
-        context.rename(self._path(aside), self._path(path), wanted)
-
-    def delete(self, path: str) -> None:
-        self._fs.delete(self._path(path), True)
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has ended; asked of Spark's reader, so any storage will do."""
+    try:
+        spark.read.text(f"{path.rstrip('/')}/_SUCCESS")
+    except AnalysisException:
+        return False
+    return True
 
 
 def version_name(prefix: str = TABLE_PREFIX, now: datetime | None = None, tag: str | None = None) -> str:
@@ -74,14 +40,18 @@ def version_name(prefix: str = TABLE_PREFIX, now: datetime | None = None, tag: s
 
 def write_result_version(df: DataFrame, base: str, name: str | None = None, prefix: str = TABLE_PREFIX) -> str:
     """Write a stage's output below ``base`` and return its path; a finished table of that name is reused."""
-    files = _Files(df.sparkSession, base)
     path = f"{base.rstrip('/')}/{name or version_name(prefix)}"
-    if name and files.exists(f"{path}/_SUCCESS"):
+    if name and finished(df.sparkSession, path):
         return path
     df.write.mode("overwrite" if name else "errorifexists").parquet(path)
     return path
 
 
+def written(df: DataFrame, base: str, prefix: str = TABLE_PREFIX) -> DataFrame:
+    """The rows from a new path below ``base``, computed once."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_result_version(df, base, prefix=prefix))
+
+
 def latest_table(names: DataFrame, prefix: str, column: str = "name", stamp: str = STAMP_IN_NAME) -> DataFrame:
     """One row: the newest table by the stamp in its name; names without a stamp are oldest; none is NULL."""
     name = F.col(column)
@@ -90,127 +60,15 @@ def latest_table(names: DataFrame, prefix: str, column: str = "name", stamp: str
     return names.filter(name.startswith(prefix)).agg(F.max_by(name, rank).alias("latest_table"))
 
 
-class VersionedTable:
-    """A table whose content is one of its written versions."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._files = _Files(spark, self.path)
-
-    # versions
-
-    def versions(self) -> list[int]:
-        done = (n for n in self._files.names(self.path) if n.startswith("v"))
-        return sorted(int(n[1:]) for n in done if self._files.exists(f"{self.path}/{n}/_SUCCESS"))
-
-    @property
-    def current(self) -> int:
-        return int(self._files.read_text(f"{self.path}/{POINTER}"))
-
-    def exists(self) -> bool:
-        return self._files.exists(f"{self.path}/{POINTER}")
-
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v{version:08d}"
-
-    def read(self, version: int | None = None) -> DataFrame:
-        folder = self._folder(self.current if version is None else version)
-        # The stored schema carries comments and defaults, and saves a look into the files.
-        schema = T.StructType.fromJson(json.loads(self._files.read_text(f"{folder}/_schema.json")))
-        return self.spark.read.schema(schema).parquet(folder)
-
-    def replace(self, df: DataFrame) -> int:
-        """Write ``df`` as the next version and make it current."""
-        taken = [int(n[1:]) for n in self._files.names(self.path) if n.startswith("v")]
-        version = max(taken, default=0) + 1
-        folder = self._folder(version)
-        df.write.mode("errorifexists").parquet(folder)
-        self._files.write_text(f"{folder}/_schema.json", df.schema.json())
-        self._files.write_text(f"{self.path}/{POINTER}", str(version))
-        return version
-
-    def restore(self, version: int) -> None:
-        """Make an earlier version current again."""
-        if version not in self.versions():
-            raise ValueError(f"no finished version {version}")
-        self._files.write_text(f"{self.path}/{POINTER}", str(version))
-
-    # definition
-
-    def create(self, schema: T.StructType, comment: str | None = None, defaults: dict | None = None) -> int:
-        """An empty table; column defaults are kept with the schema and fill appended rows."""
-        fields = []
-        for field in schema.fields:
-            meta = dict(field.metadata)
-            if defaults and field.name in defaults:
-                meta["default"] = defaults[field.name]
-            if comment:
-                meta["table_comment"] = comment
-            fields.append(T.StructField(field.name, field.dataType, field.nullable, meta))
-        return self.replace(self.spark.createDataFrame([], T.StructType(fields)))
-
-    def comment(self) -> str | None:
-        fields = self.read().schema.fields
-        return fields[0].metadata.get("table_comment") if fields else None
-
-    def append(self, df: DataFrame) -> int:
-        """Add rows; absent columns take their default, a SQL expression, or NULL."""
-        old = self.read()
-        columns = []
-        for field in old.schema.fields:
-            if field.name in df.columns:
-                value = F.col(field.name)
-            else:
-                value = F.expr(field.metadata.get("default", "NULL"))
-            columns.append(value.cast(field.dataType).alias(field.name, metadata=field.metadata))
-        return self.replace(self._keep_metadata(old.unionByName(df.select(*columns)), old))
-
-    @staticmethod
-    def _keep_metadata(df: DataFrame, old: DataFrame) -> DataFrame:
-        return df.select(*[F.col(f.name).alias(f.name, metadata=f.metadata) for f in old.schema.fields])
-
-    def add_column(self, name: str, dtype: str) -> int:
-        return self.replace(self.read().withColumn(name, F.lit(None).cast(dtype)))
-
-    def drop_column(self, name: str) -> int:
-        return self.replace(self.read().drop(name))
-
-    def rename_column(self, old: str, new: str) -> int:
-        return self.replace(self.read().withColumnRenamed(old, new))
-
-    def truncate(self) -> int:
-        return self.replace(self.read().limit(0))
-
-    @contextmanager
-    def undo_on_error(self):
-        """Changes inside the block are taken back when it raises."""
-        before = self.current
-        try:
-            yield self
-        except Exception:
-            self.restore(before)
-            raise
-
-    def insert_returning(self, df: DataFrame) -> DataFrame:
-        """Append rows and hand the stored rows back."""
-        self.append(df)
-        return df
-
-    def update(self, change: Callable[[DataFrame], DataFrame]) -> int:
-        """``replace(change(current rows))``."""
-        return self.replace(change(self.read()))
-
-
 @contextmanager
-def stage(df: DataFrame, base: str):
+def stage(df: DataFrame):
     """A temporary, transient or volatile table: written once, dropped at the end of the block."""
-    spark = df.sparkSession
-    path = f"{base.rstrip('/')}/{version_name('stage')}"
-    df.write.parquet(path)
+    spark, name = df.sparkSession, version_name("stage")
+    df.write.saveAsTable(name)
     try:
-        yield spark.read.schema(df.schema).parquet(path)
+        yield spark.table(name)
     finally:
-        _Files(spark, path).delete(path)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def full_table_name(catalog: str, schema: str, name: Column | str) -> Column:

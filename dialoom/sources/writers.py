@@ -29,17 +29,22 @@ def write_text_files(
     The result is lazy: evaluate it once, for instance by writing it as a version. Each file is
     written aside and then moved into place, so a task that runs again leaves the same file.
     ``output`` names a column with ready-made output paths; otherwise they follow from ``path``.
-    ``directory`` must be one all executors share (a mounted folder or a URI).
+    ``directory`` must be one all executors share, given with its scheme; a path without one is
+    taken in a local session only. A row that cannot be written, for whatever reason, is reported
+    as ``export_failed`` and never ends the job. ``content`` may be text or bytes.
     """
     target = F.col(output) if output else output_file_path(path, directory, extension)
     rows = df.filter(F.col(content).isNotNull()).select(
         F.col(path).alias("input_file_path"), target.alias("target"), F.col(content).alias("content")
     )
 
+    local = df.sparkSession.sparkContext.master.startswith("local")
+
     def plain(where: str) -> str:
         return "/" + where.removeprefix("file:").lstrip("/") if where.startswith("file:") else where
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
         import uuid
 
         from pyarrow import fs
@@ -48,9 +53,11 @@ def write_text_files(
         for batch in batches:
             out = []
             for source, where, text in batch.itertuples(index=False):
-                data = text.encode("utf-8")
+                data = text.encode("utf-8") if isinstance(text, str) else bytes(text)
                 try:
-                    remote = "://" in where and not where.startswith("file:")
+                    if not local and not re.match("[A-Za-z][A-Za-z0-9+.-]*:", where):
+                        raise ValueError(f"a path without a scheme is another folder on each machine: {where}")
+                    remote = ":" in where.split("/", 1)[0] and not where.startswith("file:")
                     system, name = fs.FileSystem.from_uri(where) if remote else (fs.LocalFileSystem(), plain(where))
                     parent = name.rsplit("/", 1)[0]
                     if parent not in made:
@@ -61,7 +68,7 @@ def write_text_files(
                         stream.write(data)
                     system.move(aside, name)
                     out.append((source, where, "exported", None, len(data)))
-                except OSError as error:
+                except Exception as error:  # noqa: BLE001 - every row gets its status
                     out.append((source, None, "export_failed", str(error), len(data)))
             yield pd.DataFrame(
                 out,

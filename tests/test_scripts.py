@@ -131,11 +131,11 @@ STEM_LISTS = [
 ]
 
 
-@pytest.mark.parametrize(("stems", "hot_rows"), [(s, 1000) for s in STEM_LISTS] + [(STEM_LISTS[1], 2)])
-def test_unique_paths_equal_handing_out_one_by_one(spark, stems, hot_rows):
+@pytest.mark.parametrize("stems", STEM_LISTS)
+def test_unique_paths_equal_handing_out_one_by_one(spark, stems):
     rows = [(i, f"/in/{i}/{s}.sql") for i, s in enumerate(stems)]
     df = spark.createDataFrame(rows, "input_file_number int, input_file_path string")
-    got = ops.unique_output_paths(df, "/out/", hot_rows=hot_rows).orderBy("input_file_number").collect()
+    got = ops.unique_output_paths(df, "/out/").orderBy("input_file_number").collect()
     assert [r.output_path for r in got] == ["/out/" + n for n in greedy(stems)]
 
 
@@ -179,3 +179,19 @@ def test_compose_document(spark):
         "# MAGIC ### Spark SQL Syntax Errors\n# MAGIC ```\n# MAGIC e1\n# MAGIC e2\n# MAGIC ```\n"
     )
     assert got[2].parse_error_count == 3
+
+
+def test_line_ends_of_all_kinds(spark):
+    """Lines as the parser counts them; no text may end the job."""
+    texts = {
+        "x=1\r\r\ry=2": [(1, 3, "x=1\r\r"), (4, 4, "y=2")],
+        "s='''x\ry\rz'''\na=1\n\nb=2\nc=3\nd=4": [(1, 5, "s='''x\ry\rz'''\na=1\n"), (6, 8, "b=2\nc=3\nd=4")],
+        "a=1\r\n\r\nb=2\r\n": [(1, 2, "a=1\r\n"), (3, 4, "b=2\r\n")],
+        "a=1\x0c\n\x0b": None,
+        "\r": None,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, result_content string")
+    got = {r.k: r.cells for r in ops.with_cells(df).collect()}
+    for k, expected in enumerate(texts.values()):
+        if expected is not None:
+            assert [tuple(c) for c in got[k]] == expected
