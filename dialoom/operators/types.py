@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.session import small_table
-
 # Spark type per source type. ``{p}`` takes over the declared precision and scale.
 # COMMON holds for every dialect; a dialect's own list goes first.
 COMMON = {
@@ -72,21 +70,53 @@ def type_table(dialect: str) -> dict[str, str]:
     return {**COMMON, **DIALECT_TYPES[dialect_name(dialect)]}
 
 
-def spark_type(declared: str, dialect: str) -> str:
-    """Spark type of a declared source type such as ``NUMBER(10,2)``, ``INTEGER[]`` or ``BIGINT UNSIGNED``."""
+def _split(fields: str) -> list[str]:
+    """Parts between commas that stand in no bracket."""
+    out, depth, begin = [], 0, 0
+    for at, ch in enumerate(fields):
+        depth += (ch in "(<[") - (ch in ")>]")
+        if ch == "," and not depth:
+            out.append(fields[begin:at])
+            begin = at + 1
+    return [part.strip() for part in [*out, fields[begin:]] if part.strip()]
+
+
+COMPOSITE = re.compile(r"(?is)^(?:ROW|STRUCT|COMPOSITE)?\s*[(<](.*)[)>]$")
+
+
+def describe_type(declared: str, dialect: str) -> tuple[str, bool]:
+    """Spark type of a declared source type, and whether something is lost on the way.
+
+    ``NUMBER(10,2)``, ``INTEGER[]`` (an array), ``BIGINT UNSIGNED``, ``TIMESTAMP(6) WITH TIME ZONE``
+    and composites such as ``ROW(street TEXT, zip INT)`` (a struct). An unknown type raises.
+    """
     text = re.sub(r"\s+", " ", declared.strip())
     if text.endswith("[]"):
-        return f"array<{spark_type(text[:-2], dialect)}>"
+        inner, lossy = describe_type(text[:-2], dialect)
+        return f"array<{inner}>", lossy
+    if composite := COMPOSITE.match(text):
+        fields = [part.split(" ", 1) for part in _split(composite.group(1))]
+        if not fields or any(len(f) < 2 for f in fields):
+            raise ValueError(f"no mapping for {dialect} type {declared}")
+        found = [(name, *describe_type(kind, dialect)) for name, kind in fields]
+        return f"struct<{','.join(f'{n}:{t}' for n, t, _ in found)}>", any(lossy for *_, lossy in found)
     args = re.search(r"\(([^)]*)\)", text)
     name = re.sub(r"\s*\([^)]*\)", "", text).strip().upper()
     types = type_table(dialect)
-    found = types.get(name) or types.get(re.sub(r" (WITH|WITHOUT) .*| UNSIGNED$| ZEROFILL$", "", name))
-    if found is None:
+    base = name if name in types else re.sub(r" (WITH|WITHOUT) .*| ZEROFILL$", "", name)
+    base = base if base in types else re.sub(r" UNSIGNED$", "", base)
+    if base not in types:
         raise ValueError(f"no mapping for {dialect} type {declared}")
+    found = types[base]
     if "{p}" in found:
-        given = re.sub(r"\s", "", args.group(1)) if args else DEFAULT_PRECISION.get(name, "38,0")
+        given = re.sub(r"\s", "", args.group(1)) if args else DEFAULT_PRECISION.get(base, "38,0")
         found = found.replace("{p}", given if "," in given else given + ",0")
-    return found
+    return found, base in LOSSY or " WITH TIME ZONE" in name
+
+
+def spark_type(declared: str, dialect: str) -> str:
+    """Spark type of a declared source type."""
+    return describe_type(declared, dialect)[0]
 
 
 def map_schema(df: DataFrame, dialect: str, declared: dict[str, str], strict: bool = True) -> DataFrame:
@@ -96,9 +126,17 @@ def map_schema(df: DataFrame, dialect: str, declared: dict[str, str], strict: bo
     ``_cast_failures`` lists the columns concerned.
     """
     targets = {name: spark_type(source, dialect) for name, source in declared.items()}
+    nested = {c: t for c, t in targets.items() if "<" in t and df.schema[c].dataType.typeName() == "string"}
+
+    def converted(c: str) -> Column:
+        # Text of an array or a composite is read as JSON; a cast knows no way from text to those.
+        if c in nested:
+            return F.from_json(F.col(c), targets[c], {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+        return F.col(c).cast(targets[c]) if strict else F.col(c).try_cast(targets[c])
+
     if strict:
-        return df.select(*[F.col(c).cast(targets[c]).alias(c) if c in targets else F.col(c) for c in df.columns])
-    tried: dict[str, Column] = {c: F.col(c).try_cast(targets[c]) for c in df.columns if c in targets}
+        return df.select(*[converted(c).alias(c) if c in targets else F.col(c) for c in df.columns])
+    tried: dict[str, Column] = {c: converted(c) for c in df.columns if c in targets}
     lost = [F.when(F.col(c).isNotNull() & new.isNull(), F.lit(c)) for c, new in tried.items()]
     return df.select(
         *[tried[c].alias(c) if c in tried else F.col(c) for c in df.columns],
@@ -106,35 +144,27 @@ def map_schema(df: DataFrame, dialect: str, declared: dict[str, str], strict: bo
     )
 
 
-def mapping_table(spark, dialects: Sequence[str] = tuple(DIALECT_TYPES)) -> DataFrame:
-    """The mapping as a table (dialect, source_type, spark_type, lossy)."""
-    rows = [(d, s, t, s in LOSSY) for d in dialects for s, t in type_table(d).items()]
-    columns = [("dialect", "string"), ("source_type", "string"), ("spark_type", "string"), ("lossy", "boolean")]
-    return small_table(spark, rows, columns)
-
-
 def type_report(declarations: DataFrame) -> DataFrame:
     """(dialect, column_name, declared_type) -> Spark type and whether something is lost.
 
-    The mapping table has a fixed size of a few hundred rows, so it is broadcast.
+    The rule is that of ``map_schema``; unknown types and dialects give NULL and count as lossy.
     """
-    types = mapping_table(declarations.sparkSession)
-    base = F.upper(F.trim(F.regexp_replace(F.regexp_replace("declared_type", r"\s*\([^)]*\)", ""), r"\s+", " ")))
-    args = F.regexp_replace(F.regexp_extract("declared_type", r"\(([^)]*)\)", 1), r"\s", "")
-    keyed = declarations.withColumn("source_type", base).withColumn("_args", args)
-    joined = keyed.join(F.broadcast(types), ["dialect", "source_type"], "left")
-    default = F.lit("38,0")
-    for name, precision in DEFAULT_PRECISION.items():
-        default = F.when(F.col("source_type") == name, precision).otherwise(default)
-    given = (
-        F.when(F.col("_args") == "", default)
-        .when(F.col("_args").contains(","), F.col("_args"))
-        .otherwise(F.concat("_args", F.lit(",0")))
-    )
-    return joined.select(
-        "dialect",
-        "column_name",
-        "declared_type",
-        F.replace(F.col("spark_type"), F.lit("{p}"), given).alias("spark_type"),
-        F.coalesce("lossy", F.lit(True)).alias("lossy"),
+
+    @F.pandas_udf("spark_type string, lossy boolean")
+    def described(dialects: pd.Series, types: pd.Series) -> pd.DataFrame:
+        known: dict[tuple, tuple] = {}
+
+        def look(pair: tuple) -> tuple:
+            if pair not in known:
+                try:
+                    known[pair] = describe_type(pair[1], pair[0])
+                except (ValueError, AttributeError):
+                    known[pair] = None, True
+            return known[pair]
+
+        return pd.DataFrame([look(p) for p in zip(dialects, types, strict=True)], columns=["spark_type", "lossy"])
+
+    found = described.asNondeterministic()("dialect", "declared_type")
+    return declarations.select("dialect", "column_name", "declared_type", found.alias("_t")).select(
+        "dialect", "column_name", "declared_type", "_t.spark_type", "_t.lossy"
     )

@@ -123,6 +123,8 @@ def test_objects_and_json(one):
         ("int unsigned", "mysql", "bigint"),
         ("SUPER", "redshift", "string"),
         ("DECIMAL(7)", "redshift", "decimal(7,0)"),
+        ("INT UNSIGNED ZEROFILL", "mysql", "bigint"),
+        ("ROW(a INT, b ROW(c TEXT, d DECIMAL(3,1)))", "postgresql", "struct<a:int,b:struct<c:string,d:decimal(3,1)>>"),
     ],
 )
 def test_spark_type(declared, dialect, expected):
@@ -138,6 +140,8 @@ def test_map_schema_modes(spark):
         ty.map_schema(df, "mssql", declared).collect()
     with pytest.raises(ValueError, match="no mapping"):
         ty.spark_type("NOPE", "mssql")
+    with pytest.raises(ValueError, match="no mapping"):
+        ty.spark_type("ROW(a)", "postgresql")
 
 
 def test_results_do_not_depend_on_the_session_zone(spark, one):
