@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from dialoom.operators import inference as inf
-from dialoom.operators import rounds
+from dialoom.operators import reports, rounds
 from dialoom.plans.derived import PY_SQL, RESULT_SQL, python_scripts, result_table
 from dialoom.plans.registry import query, table
 from dialoom.schema import with_result_columns
@@ -140,22 +140,28 @@ ATTEMPT_STATUS = """CASE event_type WHEN 'click' THEN 429 WHEN 'view' THEN 400 W
 ATTEMPT_MESSAGE = "CASE WHEN event_id % 2 = 0 THEN 'Missing Parameter ' || props ELSE 'busy ' || props END"
 
 
+# A log of attempts: request n has 1 + n % 23 of them, numbered from 1.
+ATTEMPTS = """SELECT event_id // 23 AS request_id, event_id % 23 + 1 AS attempt, {status} AS status, {message} AS message
+  FROM events WHERE event_id % 23 <= (event_id // 23) % 23"""
+
+
 @query(
     "INF-6",
-    f"""WITH a AS (SELECT user_id AS request_id, event_id AS attempt, {ATTEMPT_STATUS} AS status, {ATTEMPT_MESSAGE} AS message
-        FROM events),
-      p AS (SELECT request_id, max(attempt) AS attempts, max_by(status, attempt) AS s, max_by(message, attempt) AS m,
-        max_by(coalesce(status, -1), attempt) AS s2 FROM a GROUP BY request_id),
-      k AS (SELECT request_id, attempts, CASE WHEN s2 = -1 THEN 'none' WHEN s2 = 400 AND m LIKE 'Missing%' THEN 'stop'
-        WHEN s2 IN (429, 503) THEN 'backpressure' ELSE 'other' END AS retry_class FROM p)
-    SELECT request_id, attempts, retry_class, attempts < CASE retry_class WHEN 'backpressure' THEN 9990 WHEN 'other' THEN 9950
-      ELSE 1 END AS retry FROM k""",
+    f"""WITH a AS ({ATTEMPTS.format(status=ATTEMPT_STATUS, message=ATTEMPT_MESSAGE)}),
+      last AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) AS k FROM a),
+      k AS (SELECT request_id, attempt AS attempts, CASE WHEN status IS NULL THEN 'none'
+        WHEN status = 400 AND message LIKE 'Missing%' THEN 'stop' WHEN status IN (429, 503) THEN 'backpressure'
+        ELSE 'other' END AS retry_class FROM last WHERE k = 1)
+    SELECT request_id, attempts, retry_class,
+      attempts < CASE retry_class WHEN 'backpressure' THEN 20 WHEN 'other' THEN 5 ELSE 1 END AS retry FROM k""",
 )
 def retry_decisions(spark, sf_dir):
-    attempts = table(spark, sf_dir, "events").selectExpr(
-        "user_id AS request_id", "event_id AS attempt", f"{ATTEMPT_STATUS} AS status", f"{ATTEMPT_MESSAGE} AS message"
+    """The usual limits: 20 attempts under back-pressure, 5 otherwise."""
+    rows = table(spark, sf_dir, "events").filter("event_id % 23 <= (event_id div 23) % 23")
+    attempts = rows.selectExpr(
+        "event_id div 23 AS request_id", "event_id % 23 + 1 AS attempt", f"{ATTEMPT_STATUS} AS status", f"{ATTEMPT_MESSAGE} AS message"
     )
-    return inf.retry_decision(attempts, max_backpressure=9990, max_other=9950)
+    return inf.retry_decision(attempts)
 
 
 @query(
@@ -207,12 +213,14 @@ JUDGED = "CASE doc_id % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.5 WHEN 2 THEN 0.2 ELSE
       md5(CASE doc_id % 4 WHEN 0 THEN text WHEN 3 THEN text ELSE text || '+2' END) AS converted FROM documents""",
 )
 def judge_rounds(spark, sf_dir):
-    """Convert and judge; documents below the mark are tried once more."""
+    """Convert, let a judge answer, read the score from its answer; documents below the mark are tried once more."""
 
     def attempt(rows, number):
         score = F.expr(f"cast({JUDGED} AS double)") + F.lit(0.0 if number == 1 else 0.45)
         suffix = "" if number == 1 else f"+{number}"
-        return rows.withColumns({"converted": F.concat("text", F.lit(suffix)), "overall_score": score})
+        answer = F.concat(F.lit('Verdict: {"overall_score": '), score.cast("string"), F.lit(', "summary_reasoning": "s", "critical_errors": []}'))
+        tried = rows.withColumns({"converted": F.concat("text", F.lit(suffix)), "response": answer})
+        return reports.judge(tried, "response", "converted").select(*rows.columns)
 
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.lit("").alias("converted"), F.lit(0.0).alias("overall_score")

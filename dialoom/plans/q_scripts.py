@@ -222,7 +222,7 @@ def compose_documents(spark, sf_dir):
 
 @query(
     "SCR-8",
-    f"""WITH {RESULT_SQL} SELECT lang, count(*) AS documents, count(*) FILTER (lang IN ('en', 'fr')) AS with_heading
+    f"""WITH {RESULT_SQL} SELECT lang, count(*) AS documents, count(*) AS in_language
     FROM result WHERE result_content IS NOT NULL GROUP BY lang""",
 )
 def compose_by_language(spark, sf_dir):
@@ -231,10 +231,18 @@ def compose_by_language(spark, sf_dir):
     language = F.when(F.col("lang") == "fr", "French").when(F.col("lang") == "es", "Spanish")
     language = language.when(F.col("lang") == "de", "German").otherwise("English")
     composed = ops.compose_document(rows.withColumn("comment_lang", language), lang=None)
-    headed = F.col("document").contains("# MAGIC Source script: `") | F.col("document").contains("# MAGIC Script source: `")
-    return composed.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if(headed).alias("with_heading")
-    )
+    # What must stand before the source path and above the check results, language by language.
+    marks = {
+        "en": ("Source script", "Static Syntax Check Results"),
+        "fr": ("Script source", "Résultats de la vérification syntaxique statique"),
+        "es": ("Script fuente", "Resultados de la comprobación de sintaxis estática"),
+        "de": ("Quellskript", "Ergebnisse der statischen Syntaxprüfung"),
+    }
+    right = F.lit(False)
+    for lang, (source, results) in marks.items():
+        found = F.col("document").contains(f"\n# MAGIC {source}: `") & F.col("document").contains(f"\n# MAGIC ## {results}\n")
+        right = F.when(F.col("lang") == lang, found).otherwise(right)
+    return composed.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if(right).alias("in_language"))
 
 
 @query(
