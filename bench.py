@@ -55,6 +55,11 @@ HEADLINE = (
     "run_history",
     "upload_progress",
     "refresh_layers",
+    "check_and_fix",
+    "corpus_run_documents",
+    "judge_rounds",
+    "rank_large_groups",
+    "batch_responses_distinct",
 )
 
 
