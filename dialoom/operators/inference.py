@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,12 +23,13 @@ from dialoom.operators.ordering import ordered_values
 from dialoom.operators.relational import apply_explode
 from dialoom.schema import MESSAGE_TYPE, RESPONSE_SCHEMA
 
-# Retry limits, back-off, continuation tail, response detail length, the
+# Retry limits, back-off, time limit of a call, continuation tail, response detail length, the
 # messages of a rejected request that is never sent again, and the status codes of back-pressure.
 MAX_RETRIES_BACKPRESSURE = 20
 MAX_RETRIES_OTHER = 5
 BACKOFF_MULTIPLIER = 5
 BACKOFF_MAX_SECONDS = 60
+CALL_SECONDS = 300
 CONTINUE_TAIL = 50
 DETAIL_CHARS = 500
 REJECTED_PATTERNS = (
@@ -71,6 +74,7 @@ class RetryPolicy:
     max_other: int = MAX_RETRIES_OTHER
     multiplier: float = BACKOFF_MULTIPLIER
     max_wait: float = BACKOFF_MAX_SECONDS
+    call_seconds: float | None = CALL_SECONDS
 
     def kind(self, error: Exception) -> str:
         """``stop``, ``backpressure``, ``other``, or ``none`` for errors without a status."""
@@ -137,11 +141,35 @@ def answer(messages: list[dict], predict: Callable[[list[dict]], Reply | str]) -
         messages += [{"role": "assistant", "content": part}, {"role": "user", "content": ask}]
 
 
+def within(seconds: float | None, call: Callable, *args):
+    """The call's outcome, or TimeoutError when it takes longer; a call that hangs holds no task up."""
+    if seconds is None:
+        return call(*args)
+    outcome: list[tuple[bool, object]] = []
+
+    def run() -> None:
+        try:
+            outcome.append((True, call(*args)))
+        except BaseException as error:  # noqa: BLE001 - handed to the caller
+            outcome.append((False, error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not outcome:
+        raise TimeoutError(f"no answer within {seconds:g} seconds")
+    good, value = outcome[0]
+    if good:
+        return value
+    raise value
+
+
 def call_with_retries(messages, predict, policy: RetryPolicy, sleep=time.sleep) -> Reply:
-    attempt = 1
+    """An answer under the policy; every single call has its time limit."""
+    attempt, limited = 1, partial(within, policy.call_seconds, predict)
     while True:
         try:
-            return answer(messages, predict)
+            return answer(messages, limited)
         except Exception as error:  # noqa: BLE001 - the policy decides
             if not policy.again(error, attempt):
                 raise

@@ -152,3 +152,19 @@ def test_check_and_fix_stops_when_clean(spark):
 
     out = rounds.check_and_fix(scripts(spark, ["x = 1"]), predict, max_attempts=3)
     assert reports.error_count(out) == 0 and out.first().result_error is None
+
+
+def test_a_hanging_call_becomes_an_error_row(spark):
+    import time
+
+    def predict(messages):
+        if messages[-1]["content"] == "hang":
+            time.sleep(30)
+        return "fine"
+
+    rows = spark.createDataFrame([(1, "hang"), (2, "go")], "input_file_number int, text string")
+    requests = rows.select("input_file_number", inf.build_messages("text").alias("messages"))
+    began = time.monotonic()
+    got = {r.input_file_number: r for r in inf.batch_infer(requests, predict, policy=inf.RetryPolicy(call_seconds=0.5)).collect()}
+    assert time.monotonic() - began < 25
+    assert got[1].result_error == "no answer within 0.5 seconds" and got[2].result_content == "fine"
