@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from dialoom.session import scratch_dir
 END_ID = 2
 ROW_INDEX = 1_000
 STRIPE_BYTES = 16 << 20
-#: Words whose ids a worker remembers; the table starts anew beyond it.
-REMEMBERED = 150_000
+#: Words that a worker remembers, some 300 bytes each.
+REMEMBERED = 400_000
 _MARK = "|"
 
 
@@ -40,12 +41,52 @@ def _cut(text: str) -> list[str]:
     return re.split(r"[ \t\n\r]+", text) if _NOT_BLANK.search(text) else text.split()
 
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _core_and_tail(word: str) -> tuple[str, str]:
+    """A word as two parts whose ids follow each other: without its closing marks, and these.
+
+    The tokenizer cuts between a letter or digit and a run of marks in any case. It also lowers
+    letters; where that is one to one, the core comes lowered, so that fewer cores are encoded.
+    """
+    if "<|" in word:  # may hold a special token, which is matched as it stands
+        return word, ""
+    core = word.rstrip(_MARKS)
+    if not core or not core[-1].isalnum():
+        core = word
+    tail = word[len(core) :]
+    if core.isascii():
+        return core.lower(), tail
+    low = core.lower() if max(core) < "\u0250" else core
+    return low if len(low) == len(core) else core, tail
+
+
+class _Numbers(dict):
+    """Text -> number; an unknown one gets the next number and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self[text] = number = len(self)
+        self.new.append(text)
+        return number
+
+    def forget_new(self) -> None:
+        for text in self.new:
+            del self[text]
+
+
 class WordEncoder:
-    """Ids of whole texts, with a bounded memory of words already encoded.
+    """Ids of whole texts, with a bounded memory of what is already encoded.
 
     The tokenizer never joins characters across a blank (its patterns stop there and the blanks
-    themselves give no ids), so a text's ids are its words' ids in order. New words are encoded
-    many at a time, separated by a mark with an id of its own; words with that mark go alone.
+    themselves give no ids), so a text's ids are its words' ids in order, and a word's are those of
+    its core and its tail. New cores and tails, the pieces, are encoded many at a time, separated by
+    a mark with an id of its own; pieces with that mark go alone. The first ``REMEMBERED`` words and
+    pieces stay, later ones are forgotten after their batch.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,51 +98,59 @@ class WordEncoder:
         if len(mark) != 1:
             raise ValueError("the mark must be one token")
         self.mark = mark[0]
-        self._reset()
+        self.words, self.pieces = _Numbers(), _Numbers()
+        self.parts = np.empty((0, 2), np.int32)  # word -> numbers of its core and its tail
+        self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)  # ids of the pieces
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pieces: list[np.ndarray] = []
-        self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if _MARK not in w]
-        for begin in range(0, len(plain), 2000):
-            part = plain[begin : begin + 2000]
-            ids = np.array(self.ids(f" {_MARK} ".join(part)), np.int32)
-            cuts = np.flatnonzero(ids == self.mark)
-            for word, found in zip(part, np.split(ids, cuts), strict=True):
-                self.known[word] = len(self.pieces)
-                self.pieces.append(found[1:] if len(found) and found[0] == self.mark else found)
-        for word in new:
-            if _MARK in word:
-                self.known[word] = len(self.pieces)
-                self.pieces.append(np.array(self.ids(word), np.int32))
-        self.flat = np.concatenate([np.empty(0, np.int32), *self.pieces])
-        self.starts = np.concatenate(([0], np.cumsum([len(p) for p in self.pieces]))).astype(np.int64)
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in a row, and how many each has."""
+        if any(_MARK in p for p in pieces):
+            found = [self.ids(p) for p in pieces]
+            return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
+        ids = np.array(self.ids(f" {_MARK} ".join(pieces)), np.int32)
+        marks = ids == self.mark
+        cuts = np.concatenate(([-1], np.flatnonzero(marks), [len(ids)]))
+        return ids[~marks], np.diff(cuts) - 1
+
+    def _with_new(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``parts``, ``flat`` and ``starts`` with the batch's new words and pieces."""
+        pairs = [_core_and_tail(w) for w in self.words.new]
+        number = self.pieces.__getitem__
+        added = np.array([(number(core), number(tail)) for core, tail in pairs], np.int32).reshape(-1, 2)
+        new = self.pieces.new
+        # Pieces with the mark apart from the others, so that they alone go one by one.
+        runs = [list(run) for _, run in groupby(new, key=lambda p: _MARK in p)]
+        done = [self._encode(run[k : k + 500]) for run in runs for k in range(0, len(run), 500)]
+        flat = np.concatenate([self.flat, *(ids for ids, _ in done)])
+        sizes = np.concatenate([np.empty(0, np.int64), *(size for _, size in done)])
+        starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+        return np.concatenate((self.parts, added)), flat, starts
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text with the end id, and the number of ids of each."""
         cut = [_cut(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self._reset()
-        new = {w for words in cut for w in words} - self.known.keys()
-        if new:
-            self._learn(sorted(new))
-        out, sizes = [], np.empty(len(cut), np.int64)
-        end = np.array([END_ID], np.int32)
-        for k, words in enumerate(cut):
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            begin, length = self.starts[at], self.starts[at + 1] - self.starts[at]
-            total = int(length.sum())
-            # Position of every id: its word's start plus its place within the word.
-            shift = begin - np.concatenate(([0], np.cumsum(length)[:-1])) if len(at) else begin
-            out += [self.flat[np.repeat(shift, length) + np.arange(total)], end]
-            sizes[k] = total + 1
-        return np.concatenate(out) if out else np.empty(0, np.int32), sizes
+        self.words.new, self.pieces.new = [], []
+        counts = np.array([len(words) for words in cut], np.int64)
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        parts, flat, starts = self._with_new() if self.words.new else (self.parts, self.flat, self.starts)
+        if len(self.words) <= REMEMBERED:
+            self.parts, self.flat, self.starts = parts, flat, starts
+        else:
+            self.words.forget_new()
+            self.pieces.forget_new()
+        at = parts[at].ravel()
+        begin, length = starts[at], starts[at + 1] - starts[at]
+        # The place of every piece's ids in the output: behind the pieces and end ids before it.
+        text_of = np.repeat(np.arange(len(cut)), 2 * counts)
+        within = np.cumsum(length) - length
+        sizes = np.bincount(text_of, length, minlength=len(cut)).astype(np.int64) + 1
+        out = np.full(int(sizes.sum()), END_ID, np.int32)
+        run = np.arange(int(length.sum()))
+        out[np.repeat(text_of, length) + run] = flat[np.repeat(begin - within, length) + run]
+        return out, sizes
 
 
 def _encode(path: str):
