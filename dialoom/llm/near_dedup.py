@@ -12,8 +12,9 @@
    of n near copies gives some n links, not n squared. Units with equal members run once.
 5. Components of the links, by randomised contraction, name every document's group.
 
-A pair at a Jaccard similarity of 0.85 shares a prefix of d minima in a tree with probability
-0.85 ** d: sixteen trees miss it with probability 2e-7 at depth 3 and 9e-5 at depth 5.
+A pair at a Jaccard similarity of s shares a prefix of d minima in a tree with probability
+s ** d. Twenty trees miss a pair at 0.85 with probability 6e-9 at depth 3 and 4e-7 at depth 4, and
+a pair at 0.8 with 6e-7 and 3e-5.
 
 Defined results: a NULL text, or one without words, has no shingles and links with nothing; its
 component is its own id. A text of fewer than five words is one shingle. Rows with equal ids are
@@ -35,9 +36,9 @@ from dialoom.llm.components import components
 from dialoom.llm.shingles import Hasher, MinHash, set_key
 from dialoom.session import materialize
 
-PER_CENT = 85
-TREES = 16
-SHALLOWEST, DEEPEST = 3, 5
+PER_CENT = 85  # of the registered query
+TREES = 20
+SHALLOWEST, DEEPEST = 3, 4
 #: Work of a unit: shingles of its classes, with ``ROW_WORK`` for each class.
 UNIT, ROW_WORK = 400_000, 500
 
@@ -173,33 +174,42 @@ def forest_of(links: np.ndarray) -> np.ndarray:
         label = lower
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(per_cent: int):
     """Links within each unit. Rows come sorted by unit; one unit is held at a time."""
 
     def links_of(nodes: list[bytes], sets: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
-        root = forest_of(linked(sets))
+        root = forest_of(linked(sets, per_cent))
         at = [k for k in range(len(nodes)) if root[k] != k]
         return [nodes[k] for k in at], [nodes[root[k]] for k in at]
 
-    unit, nodes, sets = None, [], []
-    for batch in batches:
-        a, b = [], []
-        for k, u in enumerate(batch.column(0).to_pylist()):
-            if u != unit:
-                if len(nodes) > 1:
-                    x, y = links_of(nodes, sets)
-                    a, b = a + x, b + y
-                unit, nodes, sets = u, [], []
-            nodes.append(batch.column(1)[k].as_py())
-            sets.append(np.frombuffer(batch.column(2)[k].as_py(), np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-    if len(nodes) > 1:
-        a, b = links_of(nodes, sets)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, nodes, sets = None, [], []
+        for batch in batches:
+            a, b = [], []
+            for k, u in enumerate(batch.column(0).to_pylist()):
+                if u != unit:
+                    if len(nodes) > 1:
+                        x, y = links_of(nodes, sets)
+                        a, b = a + x, b + y
+                    unit, nodes, sets = u, [], []
+                nodes.append(batch.column(1)[k].as_py())
+                sets.append(np.frombuffer(batch.column(2)[k].as_py(), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        if len(nodes) > 1:
+            a, b = links_of(nodes, sets)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", per_cent: int = PER_CENT
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row.
+
+    Documents are linked at a Jaccard similarity of ``per_cent`` or more; the trees are made for 80
+    and above.
+    """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     signed = materialize(texts.mapInArrow(_sign, SIGNED))
     named = signed.filter("doc_id is not null and node is not null")
@@ -216,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # An id that stands on several rows may give a set twice, or one that is not wanted.
     sets = materialize(sets).dropDuplicates(["node"])
     placed = units.join(sets, "node").repartition("unit").sortWithinPartitions("unit").select("unit", "node", "shingles")
-    links = materialize(placed.mapInArrow(_verify, "a binary, b binary"))
+    links = materialize(placed.mapInArrow(_verify(per_cent), "a binary, b binary"))
     # Rows of one id are one document, so its classes belong together.
     twins = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     several = named.select("doc_id", F.col("node").alias("b")).join(twins.select("doc_id", "a"), "doc_id")
@@ -235,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, per_cent: int = 80) -> DataFrame:
     """One document of each group, with all columns: the one with the smallest id."""
-    copies = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    copies = near_duplicates(docs, per_cent=per_cent).filter(~F.col("kept")).select("doc_id")
     return docs.join(materialize(copies), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
