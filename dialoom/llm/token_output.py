@@ -12,6 +12,9 @@ files without rows. Only the id and text columns are read, so other columns cann
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import zlib
@@ -23,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.session import scratch_dir
+from dialoom.session import materialize, scratch_dir
 
 END_ID = 2
 ROW_INDEX = 1_000
 STRIPE_BYTES = 16 << 20
 #: Words that a worker remembers, some 300 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 _MARK = "|"
 
 
@@ -153,10 +156,31 @@ class WordEncoder:
         return out, sizes
 
 
+def _encoder_of_worker(path: str) -> WordEncoder:
+    """The worker's encoder, so that its tasks share what it has learned.
+
+    Functions travel by value and are new in each task; an imported module lasts.
+    """
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
+def _release_memory() -> None:
+    """Give back to the system what earlier tasks of this worker have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has the call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
-        row = 0
+        _release_memory()
+        encoder, row = _encoder_of_worker(path), 0
         for batch in batches:
             texts, ids = batch.column(1), batch.column(0)
             for begin in range(0, batch.num_rows, 512):
@@ -219,7 +243,10 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
     shifted by the sizes of the files before it: one row per file.
     """
     tokens = read_tokens(spark, path).select("doc_id", "row", F.col("_metadata.file_name").alias("_file"), "ids")
-    checked = tokens.mapInArrow(_checks, "doc_id bigint, row bigint, _file string, n_tokens bigint, ids_crc32 bigint")
+    # Written once, a narrow row per document: both the sums and the starts read it.
+    checked = materialize(
+        tokens.mapInArrow(_checks, "doc_id bigint, row bigint, _file string, n_tokens bigint, ids_crc32 bigint")
+    )
     part = F.regexp_extract("_file", r"^part-([0-9]+)", 1).cast("long")
     before = Window.partitionBy("_file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     within = checked.withColumn("_within", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
