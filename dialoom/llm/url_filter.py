@@ -28,6 +28,9 @@ TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 #: keys raises the share of false positives, which the join removes, and nothing else.
 BLOCKS = 1 << 16
 _WORDS, _BITS_PER_WORD = 4, 2
+#: Copies of each rule in the list. A rule such as ``org/`` can fit a third of all URLs; each URL
+#: asks for one copy, chosen by its hash, so the rule's hits spread over as many tasks.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -100,8 +103,8 @@ def may_contain(rows: DataFrame, key: str, bloom: DataFrame, blocks: int = BLOCK
     return probe.join(F.broadcast(bloom), hit, "left_semi").select(*rows.columns)
 
 
-def _rule_keys(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The keys under which a rule that fits this host and path could be listed."""
+def _rule_keys(url: Column, host: Column, path: Column, rules: list[Rule]) -> Column:
+    """The keys under which a rule that fits this host and path could be listed, with the URL's salt."""
     if not rules:
         return F.array().cast("array<string>")
     most_labels = max(r.host.count(".") + 1 for r in rules)
@@ -113,7 +116,8 @@ def _rule_keys(host: Column, path: Column, rules: list[Rule]) -> Column:
     lengths = sorted({len(r.path) for r in rules})
     prefixes = [F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]
     starts = F.array_compact(F.array(*prefixes))
-    pairs = F.transform(hosts, lambda h: F.transform(starts, lambda p: F.concat(F.lit("r:"), h, F.lit("\x1f"), p)))
+    mark = F.concat(F.lit("r"), F.pmod(F.xxhash64(url), F.lit(SALTS)).cast("string"), F.lit(":"))
+    pairs = F.transform(hosts, lambda h: F.transform(starts, lambda p: F.concat(mark, h, F.lit("\x1f"), p)))
     return F.flatten(pairs)
 
 
@@ -128,7 +132,7 @@ def judge_urls(
     spark = pages.sparkSession
     rule_rows = small_table(
         spark,
-        [(f"r:{r.host}\x1f{r.path}", r.text, len(r.text), len(r.host), r.verdict) for r in rules],
+        [(f"r{k}:{r.host}\x1f{r.path}", r.text, len(r.text), len(r.host), r.verdict) for r in rules for k in range(SALTS)],
         [("key", "string"), ("rule", "string"), ("size", "int"), ("host_size", "int"), ("verdict", "string")],
     )
     url_rows = listed.select(F.concat(F.lit("u:"), canonical("url")).alias("key")).filter(F.col("key") != "u:").distinct()
@@ -150,7 +154,7 @@ def judge_urls(
     asked = distinct.select(
         "_url",
         F.explode(
-            F.concat(_rule_keys(host, path, rules), F.array(F.concat(F.lit("u:"), canonical("_url"))))
+            F.concat(_rule_keys(F.col("_url"), host, path, rules), F.array(F.concat(F.lit("u:"), canonical("_url"))))
         ).alias("key"),
     )
     possible = may_contain(asked, "key", bloom_filter(entries, "key", blocks), blocks)
