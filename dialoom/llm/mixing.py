@@ -12,7 +12,7 @@ input keep their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.llm.common import count_words, hash_fraction, whole
@@ -42,11 +42,8 @@ def _ranked(sources: DataFrame, key: str) -> DataFrame:
     part, at = F.shiftrightunsigned("_mix_id", 33), F.col("_mix_id").bitwiseAND((1 << 33) - 1)
     rows = rows.withColumn("_mix_part", part).withColumn("_mix_at", at)
     sizes = rows.groupBy("_mix_part").agg(F.count("*").alias("n"))
-    later = sizes.select(F.col("_mix_part").alias("_mix_p"), "n")
-    offsets = (
-        sizes.select("_mix_part").join(later, F.col("_mix_p") < F.col("_mix_part"), "left")
-        .groupBy("_mix_part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_mix_before"))
-    )
+    earlier = Window.orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_mix_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_mix_before"))
     joined = rows.join(F.broadcast(offsets), "_mix_part")  # one row per shuffle partition
     return joined.withColumn("_mix_rank", F.col("_mix_before") + F.col("_mix_at")).drop(
         "_mix_id", "_mix_part", "_mix_at", "_mix_before"
