@@ -10,7 +10,7 @@ import numpy as np
 # Element names with a meaning of their own in HTML.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-HIDDEN = set("script style head title template noscript iframe object svg math select datalist noembed noframes".split())
+HIDDEN = set("script style head title template noscript iframe object svg select datalist noembed noframes".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -30,6 +30,12 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 P_STOPS = {"button", "td", "th", "caption", "object", "body", "html"}
+#: The start tags that leave a head open; any other one, or text, ends it.
+IN_HEAD = set("html head base basefont bgsound link meta title style script noscript noframes template".split())
+#: In svg and math every element can be closed by ``/>``; these start tags end both, but not within the elements of POINTS.
+FOREIGN = {"svg", "math"}
+BREAKOUT = CLOSES_P | set("b big body br code dd dt em embed head i img li listing meta nobr ruby s small span strong strike sub sup tt u var".split())
+POINTS = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>"
@@ -40,6 +46,7 @@ _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|
 _MARK = re.compile(r"""data-main="([01])\"""")
 _TOKEN = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
+_END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*+)")
 
 
 class Node:
@@ -53,14 +60,30 @@ class Node:
 
 
 def parse(page: str | None) -> Node:
-    """The tree of the page's block elements; inline elements only count, hidden ones are left out."""
+    """The tree of the page's block elements; inline elements only count, hidden ones are left out.
+
+    A head ends where HTML ends it, with or without ``</head>``. A hidden element hides what stands before its
+    end tag; one whose end tag is missing from the rest of the page hides nothing. All of a formula's text is kept.
+    """
     root = Node("html", [], None, None)
     stack: list[tuple[str, Node]] = [("html", root)]  # open elements, each with its block
     page = page or ""
-    at, hidden, links = 0, 0, 0
+    at, hidden, links, foreign = 0, 0, 0, 0
+    last: dict[str, int] | None = None  # each name's last end tag
+
+    def cut(depth: int) -> None:
+        nonlocal hidden, links, foreign
+        for name, _ in stack[depth:]:
+            hidden -= name in HIDDEN
+            links -= name == "a"
+            foreign -= name in FOREIGN
+        del stack[depth:]
+
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
+        if stack[-1][0] == "head" and page[at : m.start()].strip():
+            cut(len(stack) - 1)
         if m.start() > at and not hidden:
             _add_text(stack[-1][1], page[at : m.start()], links)
         at = m.end()
@@ -71,12 +94,18 @@ def parse(page: str | None) -> Node:
         if m[1] or m[4]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             if depth:
-                for name, _ in stack[depth:]:
-                    hidden -= name in HIDDEN
-                    links -= name == "a"
-                del stack[depth:]
+                cut(depth)
             continue
         attributes = m[3] or m[6] or ""
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            cut(len(stack) - 1)
+        if foreign and tag in BREAKOUT:
+            cut(_outside(stack))
+        block = stack[-1][1]
+        if (foreign or tag in FOREIGN) and _self_closed(attributes):
+            if not hidden and tag not in HIDDEN:
+                block.tags += 1
+            continue
         if tag == "br":
             _add_text(block, " ", 0)
         if tag in VOID:
@@ -85,6 +114,10 @@ def parse(page: str | None) -> Node:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if not end and tag in HIDDEN and tag not in ("script", "style"):
+                at = page.find("<", at)
+                at = at if at >= 0 else len(page)
+                continue
             at = end.end() if end else len(page)
             continue
         if tag in CLOSES_P:
@@ -93,9 +126,18 @@ def parse(page: str | None) -> Node:
             _close(stack, *CLOSES[tag])
         block = stack[-1][1]
         if tag in HIDDEN:
+            if tag == "head" and (len(stack) > 1 or root.children):
+                continue
+            if tag != "head":
+                if last is None:
+                    last = {e[1].lower(): e.start() for e in _END_TAG.finditer(page)}
+                if last.get(tag, -1) < at or (tag == "noscript" and any(name == tag for name, _ in stack)):
+                    continue
             hidden += 1
+            foreign += tag == "svg"
             stack.append((tag, block))
-        elif tag in INLINE:
+        elif tag in INLINE or tag in FOREIGN or (foreign and not hidden):
+            foreign += tag in FOREIGN
             block.tags += 1
             links += tag == "a"
             stack.append((tag, block))
@@ -109,11 +151,32 @@ def parse(page: str | None) -> Node:
                 block.children.append(node)
             stack.append((tag, node))
         links = sum(name == "a" for name, _ in stack) if tag in CLOSES_P or tag in CLOSES else links
+    if stack[-1][0] == "head" and page[at:].strip():
+        cut(len(stack) - 1)
     if at < len(page) and not hidden:
         _add_text(stack[-1][1], page[at:], links)
     return root
 
 
+def _self_closed(attributes: str) -> bool:
+    """Whether a tag ends in ``/>``; the stroke after a value without quotes belongs to the value."""
+    if not attributes.endswith("/"):
+        return False
+    word = attributes.rsplit(None, 1)[-1]
+    return "=" not in word[max(word.rfind('"'), word.rfind("'")) + 1 :]
+
+
+def _outside(stack: list[tuple[str, Node]]) -> int:
+    """How many open elements stay when a start tag ends the svg or math it stands in."""
+    keep = len(stack)
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k][0] in POINTS:
+            break
+        if stack[k][0] in FOREIGN:
+            keep = k
+    return keep
+
+
 def _names(attributes: str) -> list[str]:
     if not attributes.strip():
         return []
@@ -136,7 +199,7 @@ def _close(stack: list[tuple[str, Node]], names: set[str], stops: set[str]) -> N
         if stack[k][0] in names:
             del stack[k:]
             return
-        if stack[k][0] in stops or stack[k][0] in HIDDEN:
+        if stack[k][0] in stops or stack[k][0] in HIDDEN or stack[k][0] == "math":
             return
 
 

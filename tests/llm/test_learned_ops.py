@@ -325,6 +325,34 @@ class TestHtml:
         number = {id(n): k for k, n in enumerate(html_tree.preorder(root))}
         assert html_tree.blocks(root, None, number) == ["a&b c d e f", "g <i>", "j", "k", "ln &am"]
 
+    def test_head_ends_without_its_end_tag(self):
+        text = lambda page: "\n".join(html_tree.blocks(html_tree.parse(page), None, {}))
+        long = "<p>One.</p><div>Two.</div>"
+        for head in ("<title>x</title>", "<meta charset=x><title>x</title><noscript><img src=x></noscript>", "<script>a</script>"):
+            for start in ("<body>", "<body class=story>", ""):
+                page = f"<html><head>{head}{start}{long}</body></html>"
+                assert text(page) == "One.\nTwo." == text(page.replace(start or "<p>", "</head>" + (start or "<p>"), 1))
+        assert html_tree.parse("<html><head><title>x</title><body class=story><p>a").names == ["story"]
+        assert text("<head><title>x</title>Plain text <p>b") == "Plain text\nb"
+        assert text("<head><title>x<body><p>a</p>") == "a"
+        assert text("<p>a</p><head><p>b</p>") == "a\nb"
+
+    def test_hidden_elements_hide_no_more_than_themselves(self):
+        text = lambda page: "\n".join(html_tree.blocks(html_tree.parse(page), None, {}))
+        assert text('<p>a <svg width="1"/> b</p><p>c <svg><path d="M0"/><title/><style/><text>no</text></svg> d</p>') == "a b\nc d"
+        assert text("<p>a <svg href=x/><text>no</text></svg> b</p>") == "a b"
+        assert text("<div>a <svg><path></div><p>b</p><svg><g>no</g></svg><p>c") == "a\nb\nc"
+        assert text("<svg><path><p>a</p><svg><foreignObject><p>no</p></foreignObject></svg><p>b") == "a\nb"
+        for tag in ("svg", "noscript", "template", "object", "select", "datalist", "iframe", "noframes"):
+            assert text(f"<div><p>a</p><{tag}><p>b</p></div><p>c</p>") == "a\nb\nc"
+            assert "no" not in text(f"<div><p>a</p><{tag}><desc>no</desc></{tag}></div><p>c</p>")
+        assert text("<noscript><p>no<noscript>no</noscript><p>a") == "a"
+
+    def test_formulas_are_kept(self):
+        page = '<p>So <math display="inline"><mrow><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup><mspace/></mrow></math> holds.</p><p>Next.</p>'
+        assert html_tree.blocks(html_tree.parse(page), None, {}) == ["So a=b2 holds.", "Next."]
+        assert html_tree.blocks(html_tree.parse("<p>a <math/> b</p><p>c <math><mi>d</mi><p>e"), None, {}) == ["a b", "c d", "e"]
+
     def test_decoding_is_consistent(self):
         root = html_tree.parse("<body><div><div><p>a</p></div><p>b</p></div><p>c</p></body>")
         nodes = html_tree.preorder(root)
