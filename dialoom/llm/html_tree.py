@@ -37,12 +37,16 @@ FOREIGN = {"svg", "math"}
 BREAKOUT = CLOSES_P | set("b big body br code dd dt em embed head i img li listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 POINTS = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 
+# A quote opens a value only behind "="; elsewhere it is part of a name or of a value without quotes.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|)"""
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>"
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|{_VALUE})*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Every attribute in turn, so that nothing inside a value is taken for another attribute.
+_ATTRIBUTE = re.compile(r"""([^\s=/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+""")
+_NAMING = {"class", "id", "role", "itemprop"}
 _MARK = re.compile(r"""data-main="([01])\"""")
 _TOKEN = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
@@ -180,7 +184,8 @@ def _outside(stack: list[tuple[str, Node]]) -> int:
 def _names(attributes: str) -> list[str]:
     if not attributes.strip():
         return []
-    return [t for m in _NAMES.finditer(attributes) for t in _TOKEN.findall((m[1] or m[2] or m[3] or "").lower())]
+    found = (m for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in _NAMING)
+    return [t for m in found for t in _TOKEN.findall((m[2] or m[3] or m[4] or "").lower())]
 
 
 def _add_text(block: Node, text: str, links: int) -> None:

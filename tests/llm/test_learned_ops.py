@@ -348,6 +348,20 @@ class TestHtml:
             assert "no" not in text(f"<div><p>a</p><{tag}><desc>no</desc></{tag}></div><p>c</p>")
         assert text("<noscript><p>no<noscript>no</noscript><p>a") == "a"
 
+    def test_long_quoted_values_stay_in_their_tag(self):
+        text = lambda page: "\n".join(html_tree.blocks(html_tree.parse(page), None, {}))
+        for size in (10, 5_000, 500_000):
+            for quote in "\"'":
+                value = ("x" * size + "<p class=ad>no</p>") * 2
+                root = html_tree.parse(f"<body><div data-a={quote}{value}{quote} class=story>a</div><p title = {quote}>{value}{quote}>b</p>")
+                assert html_tree.blocks(root, None, {}) == ["a", "b"]
+                assert [n.names for n in html_tree.preorder(root)] == [[], ["story"], []]
+        assert html_tree.parse("<div data-a='<p class=\"ad\">' class=story>a").children[0].names == ["story"]
+        # A quote that opens no value ends nothing; one that is never closed leaves the tag as it was.
+        assert text("<p title=don't>a</p><p b'c>d</p><p>it's</p>") == "a\nd\nit's"
+        assert text('<p>a</p><p title="b>c</p><p>d') == "a\nc\nd"
+        assert text("<p a=\"" * 20_000 + ">" + "<p a='" * 20_000) == ""
+
     def test_formulas_are_kept(self):
         page = '<p>So <math display="inline"><mrow><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup><mspace/></mrow></math> holds.</p><p>Next.</p>'
         assert html_tree.blocks(html_tree.parse(page), None, {}) == ["So a=b2 holds.", "Next."]
