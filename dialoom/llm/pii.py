@@ -8,6 +8,10 @@ mapping is one to one within a format, and equal values get equal pseudonyms in
 whatever separators they are written with. Cards get a new Luhn digit; dates walk until the
 result is a date of the calendar range.
 
+Groups of digits with single blanks or hyphens between them, 13 digits or more in all, are one
+candidate: a run. From each group on, every kind and every card length is tried, and the leftmost
+valid ones that do not overlap get pseudonyms, so no invalid number hides a valid one beside it.
+
 All of it is one projection over the rows, without an exchange. Defined results: a NULL text
 stays NULL, an empty one empty; texts without valid candidates stay as they are; rows are handled
 each by itself, so repeated rows come out alike; other columns are passed through. Work columns
@@ -22,16 +26,24 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 _EDGE, _END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 #: Kind -> pattern. The mail pattern starts at the start of a run and never backs up, so long
-#: runs without an @ cost one pass.
+#: runs without an @ cost one pass; it ends in the last letter of its domain.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.(?!\.)(?:(?:[0-9-]|\.(?!\.))*+[A-Za-z]++)++",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})" + _END,
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "phone": r"(?<![A-Za-z0-9+])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END,
-    "card": _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END,
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+CARD_DIGITS = range(19, 12, -1)  # the longest first
+#: A number with dots or strokes is no part of a run.
+_OTHER = (
+    r"(?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
+    r"|[0-9]{3}\.[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ -][0-9]{3}\.[0-9]{4})(?![A-Za-z0-9])"
+)
+RUN = _EDGE + rf"(?!{_OTHER})(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{_OTHER})[0-9]++(?![A-Za-z]))*+" + _END
+#: Runs come before the kinds that may stand in them.
+ALL = {"email": PATTERNS["email"], "ip": PATTERNS["ip"], "run": RUN} | {k: PATTERNS[k] for k in ("date", "ssn", "phone")}
+ANY = "|".join(f"(?:{p})" for p in ALL.values())
 _FIRST_DAY, _DAYS = "1900-01-01", 73_049  # to 2099-12-31
 _DAY_RADIX = (271, 270)  # a little more than the days; results beyond them walk on
 
@@ -211,13 +223,50 @@ def _date(text: Column, key: str) -> Column:
     return outcome
 
 
+def _in_run(run: Column, key: str) -> Column:
+    """The run with its valid numbers replaced, and how many there are."""
+
+    def at(pieces: Column, i: Column) -> Column:
+        # The longest candidate has 19 groups; one more piece shows what follows it.
+        rest = F.array_join(F.slice(pieces, i, 20), "")
+        before = F.get(pieces, i - 2)
+        found = lambda kind: F.regexp_extract(rest, "^" + PATTERNS[kind], 0)
+        cards = F.array(*[F.regexp_extract(rest, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}" + _END, 0) for n in CARD_DIGITS])
+        card = F.get(F.filter(cards, lambda c: (c != "") & (luhn_sum(_digits(c)) % 10 == 0)), F.lit(0))
+        tried = [F.when(found(kind) != "", F.struct(found(kind).alias("old"), make(found(kind), key).alias("new")))
+                 for kind, make in (("date", _date), ("ssn", _ssn), ("phone", _phone))]
+        tried.append(F.when(card.isNotNull(), F.struct(card.alias("old"), _card(card, key).alias("new"))))
+        valid = F.get(F.filter(F.array(*tried), lambda t: t["new"].isNotNull()), F.lit(0))
+        return F.struct(i.alias("at"), valid["old"].alias("old"), valid["new"].alias("new"))
+
+    def body(pieces: Column) -> Column:
+        found = F.filter(F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: at(pieces, i)), lambda c: c["new"].isNotNull())
+        zero = F.struct(F.lit(1).alias("free"), F.lit("").alias("text"), F.lit(0).alias("n"))
+
+        def step(acc: Column, c: Column) -> Column:
+            after = c["at"] + F.size(F.split(c["old"], "[ -]"))
+            gap = F.array_join(F.slice(pieces, acc["free"], F.greatest(c["at"] - acc["free"], F.lit(0))), "")
+            mark = F.regexp_extract(F.get(pieces, after - 2), "[ -]$", 0)
+            taken = F.struct(after.alias("free"), F.concat(acc["text"], gap, c["new"], mark).alias("text"), (acc["n"] + 1).alias("n"))
+            return F.when(c["at"] >= acc["free"], taken).otherwise(acc)
+
+        end = lambda a: F.struct(
+            F.concat(a["text"], F.array_join(F.slice(pieces, a["free"], F.size(pieces)), "")).alias("text"), a["n"].alias("n")
+        )
+        return F.aggregate(found, zero, step, end)
+
+    # Each piece is a group with the mark behind it.
+    return _once(F.split(run, "(?<=[ -])"), body)
+
+
 def pseudonym(match: Column, key: str) -> Column:
-    """The pseudonym of one candidate; NULL if it is not valid."""
-    kinds = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+    """The text of one candidate with its pseudonyms, and their number."""
+    kinds = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
     chosen = F.lit(None).cast("string")
-    for name in reversed(list(PATTERNS)):
+    for name in reversed(list(kinds)):
         chosen = F.when(match.rlike(f"^(?:{PATTERNS[name]})$"), kinds[name](match, key)).otherwise(chosen)
-    return chosen
+    alone = _once(chosen, lambda p: F.struct(F.coalesce(p, match).alias("text"), p.isNotNull().cast("int").alias("n")))
+    return F.when(match.rlike(f"^(?:{RUN})$"), _in_run(match, key)).otherwise(alone)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", count: str | None = None) -> DataFrame:
@@ -226,12 +275,12 @@ def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", count: st
     staged = docs.withColumn("_pii_m", F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     staged = staged.withColumn("_pii_n", F.transform("_pii_m", lambda m: pseudonym(m, key)))
     pieces = F.split(text, ANY, -1)
-    new = F.zip_with(F.col("_pii_m"), F.col("_pii_n"), lambda m, p: F.coalesce(p, m))
+    new = F.transform("_pii_n", lambda p: p["text"])
     joined = F.array_join(
         F.flatten(F.zip_with(pieces, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""
     )
     if count:
-        staged = staged.withColumn(count, F.coalesce(F.size(F.array_compact("_pii_n")), F.lit(0)).cast("long"))
+        staged = staged.withColumn(count, F.coalesce(F.aggregate("_pii_n", F.lit(0), lambda a, p: a + p["n"]), F.lit(0)).cast("long"))
     return staged.withColumn(text_column, F.when(F.size("_pii_m") > 0, joined).otherwise(text)).drop("_pii_m", "_pii_n")
 
 

@@ -145,6 +145,37 @@ class TestPii:
         texts = ["4337166598464398", "999.1.1.1", "1.2.3", "31.02.2001", "000-12-3456", "x@y", "plain words", "", None, "01.2.3.4"]
         assert self.changed(spark, *texts) == texts
 
+    @pytest.mark.parametrize("text, valid", [
+        ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"),
+        ("4111111111111111 123", "4111111111111111"),
+        ("paid 2 4111111111111111", "4111111111111111"),
+        ("1234 5678 4111 1111 1111 1111", "4111 1111 1111 1111"),
+        ("12 4111-1111-1111-1111 99 123-45-6789 7", "4111-1111-1111-1111|123-45-6789"),
+        ("5 123-45-6789 1980-02-29", "123-45-6789|1980-02-29"),
+        ("123 988-555-2485", "988-555-2485"),
+        ("7 4111111111111111 29.02.1980 4111111111111111 42.144.35.254", "4111111111111111|29.02.1980|4111111111111111|42.144.35.254"),
+        ("4111111111111111 4111111111111111 4111111111111112x 4111111111111111", "4111111111111111|4111111111111111|4111111111111111"),
+        ("joe@example.com-", "joe"), ("joe@example.com-7, joe@mail.example.com.", "joe|joe"),
+        ("joe@42.144.35.254", "42.144.35.254"),
+    ])
+    def test_nothing_invalid_hides_a_valid_one(self, spark, text, valid):
+        rows = frame(spark, [(1, text)], "id int, text string")
+        got = pii.pseudonymise(rows, "k", "text", "n").first()
+        want, at = "", 0
+        for old in valid.split("|"):
+            place = text.index(old, at)
+            (alone,) = self.changed(spark, "joe@example.com" if old == "joe" else old)
+            new = alone.removesuffix("@example.com")
+            assert new != old
+            want += text[at:place] + new
+            at = place + len(old)
+        assert got.text == want + text[at:] and got.n == len(valid.split("|"))
+
+    def test_long_runs(self, spark):
+        rows = ["12 345 " * 20_000, "4111111111111111 " * 2_000, "a@" + "b.c-" * 50_000 + "1"]
+        got = self.changed(spark, *rows)
+        assert "4111111111111111" not in got[1] and [len(t) for t in got] == [len(t) for t in rows]
+
     def test_long_text_and_other_columns(self, spark):
         long = "a" * 200_000 + " 42.144.35.254 " + "1" * 100_000 + "@" * 1000
         rows = frame(spark, [(1, long, "w"), (1, long, "w")], "id int, text string, _w string")
