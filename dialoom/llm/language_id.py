@@ -3,8 +3,11 @@
 Features are hashed n-grams of one to four letters with word bounds, weighted by TF-IDF over whole
 texts. Document frequencies come from all training documents in one distributed pass. The weights
 are trained with follow-the-regularised-leader (per-coordinate rates, elastic-net penalties: most
-weights stay exactly zero) on a bounded sample of labelled documents, ``SAMPLE`` in expectation,
-chosen by a hash of the id; a fifth of it fits the temperature that calibrates the probabilities.
+weights stay exactly zero) on a bounded sample of labelled documents, chosen by a hash of the id:
+``SAMPLE`` of them in expectation, and ``LEAST`` of every language in expectation, or all it has.
+So every labelled language can be predicted whatever the table's size, and the sample has at most
+``SAMPLE + LEAST * languages`` documents in expectation. A fifth of it fits the temperature that
+calibrates the probabilities, but one document at least of every language trains.
 Prediction is one pass over the documents without an exchange.
 
 Training sees the text and label of documents that are not held out, and nothing else; a
@@ -33,6 +36,7 @@ UNKNOWN = "und"
 BITS = 15  # of the feature numbers
 LARGEST = 4  # letters in an n-gram, word bounds included
 SAMPLE = 2000  # labelled documents that train and calibrate, in expectation
+LEAST = 100  # of them from every language, or all it has
 FOLDS = 5  # one document in so many is held out
 EPOCHS = 4
 #: Rate, smoothing, and the elastic net: L1 and L2 penalties of the leader's objective.
@@ -183,9 +187,13 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     ours = docs.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("lang")
     ).filter(F.col("lang").isNotNull() & ~held_out("id"))
-    total = ours.count()
-    if not total:
+    # One row per language; texts without letters teach nothing and take no place in the sample.
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    found = ours.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(lettered).alias("useful")).collect()
+    if not found:
         return None
+    base = sample / sum(row["n"] for row in found)
+    rates = {row["lang"]: min(1.0, max(base, LEAST / row["useful"])) for row in found if row["useful"]}
     sums = ours.select("text").mapInArrow(_frequencies, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     rows = sums.collect()  # at most one row per feature
     frequency = np.zeros(1 << BITS)
@@ -197,20 +205,18 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             frequency[row["feature"]] = row["n"]
     idf = np.log((1.0 + texts) / (1.0 + frequency)) + 1.0
     draw = hash_fraction(F.col("id"), seed=10)
-    chosen = ours.filter(draw < F.lit(min(1.0, sample / total))).select(
-        "text", "lang", hash_fraction(F.col("id"), seed=11).alias("part")
-    )
+    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")] if rates else F.lit(0.0)
+    chosen = ours.filter(lettered & (draw < rate)).select("text", "lang", hash_fraction(F.col("id"), seed=11).alias("part"))
     examples = chosen.mapInArrow(_features, "lang string, part double, found binary, counts binary").collect()
     examples.sort(key=lambda r: (r["part"], r["lang"], r["found"]))
-    languages = sorted({r["lang"] for r in examples}) or sorted(
-        r["lang"] for r in ours.select("lang").limit(1).collect()
-    )
+    languages = sorted({r["lang"] for r in examples}) or [min(row["lang"] for row in found)]
+    latest = {r["lang"]: k for k, r in enumerate(examples)}  # each language's last one trains in any case
     vectors, labels, fits = [], [], []
-    for r in examples:
+    for k, r in enumerate(examples):
         found, counts = np.frombuffer(r["found"], np.int32), np.frombuffer(r["counts"], np.int32)
         vectors.append((np.append(found, 1 << BITS), np.append(_weights(found, counts, idf), 1.0)))
         labels.append(languages.index(r["lang"]))
-        fits.append(r["part"] >= 0.2)
+        fits.append(r["part"] >= 0.2 or latest[r["lang"]] == k)
     labels, fits = np.array(labels, int), np.array(fits, bool)
     weights, bias = train_ftrl([v for v, f in zip(vectors, fits, strict=True) if f], labels[fits], len(languages))
     both = np.vstack([weights, bias[None, :]])

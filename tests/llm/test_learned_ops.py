@@ -259,6 +259,17 @@ class TestLanguage:
         assert kept.columns == [*[c.split()[0] for c in DOCS.split(", ")], "score"]
         assert not {1000, 1001, 1002} & {r.doc_id for r in kept.collect()}
 
+    def test_rare_languages_are_learned_from_a_small_sample(self, spark):
+        draw = random.Random(4)
+        rows = [r for r in self.docs(800) if r[2] != "cc"]
+        word = lambda: "".join(draw.choice(["zhu", "xia", "qing", "wo"]) for _ in range(3))
+        rows += [(1000 + i, " ".join(word() for _ in range(20)), "zz", "s", 0) for i in range(8)] + [(2000, "жщы фщю " * 5, "yy", "s", 0), (2003, "5", "xx", "s", 0)]
+        assert all(zlib.crc32(str(k).encode()) % 5 for k in (2000, 2003))
+        model = language_id.train(frame(spark, rows), sample=20)
+        assert model.languages == ["aa", "bb", "yy", "zz"]
+        got = {r.doc_id: r.lang_pred for r in language_id.predict(frame(spark, rows), model).collect()}
+        assert all(got[1000 + i] == "zz" for i in range(8)) and got[2000] == "yy"
+
     def test_no_labels_and_one_language(self, spark):
         assert language_id.digest(frame(spark, [])).collect() == []
         got = language_id.digest(frame(spark, [(i, "kata", None, "s", 0) for i in range(9)])).collect()
