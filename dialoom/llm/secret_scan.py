@@ -4,8 +4,10 @@ Base spans are the matches of three fixed patterns. The method adds spans of can
 each candidate has a character class (hexadecimal, or the wider alphabet of keys and Base64), and
 a window of ``WINDOW`` characters slides over it. The window's Shannon entropy is kept up to
 date from the counts of the one character that enters and the one that leaves; the span reaches
-from the first to the last window at or above the class's threshold. Candidates on the allow-list
-and candidates without both letters and digits give no span.
+from the first to the last window at or above the class's threshold. A string of the allow-list
+inside a candidate suppresses the windows that overlap it and no others: what lies before and after
+it is scanned by itself. Candidates that are an allowed form as a whole (unique ids) and candidates
+without both letters and digits give no span.
 
 All of it is one projection over the rows, without an exchange. Positions are code points, the
 end exclusive. Defined results: a NULL or empty text has no spans and the digest of the empty
@@ -43,6 +45,9 @@ ALLOWED = [
     r"(?i)abcdefghijklmnop",
     r"(?i)example|placeholder|changeme",
 ]
+#: Forms that a whole candidate may have, and strings that may stand anywhere in one.
+ALLOWED_WHOLE = "|".join(f"(?:{p})" for p in ALLOWED if p.startswith("^"))
+ALLOWED_PART = "|".join(f"(?:{p})" for p in ALLOWED if not p.startswith("^"))
 
 
 def _none() -> Column:
@@ -120,33 +125,30 @@ def _base_spans(found: Column, starts: Column, checked: Column, kind: str, order
 
 
 def _method_spans(found: Column, starts: Column, order: int) -> Column:
-    def judged(m: Column, s: Column) -> Column:
+    def parts(m: Column) -> Column:
+        """The parts of a candidate between the strings of the allow-list, each with its place in it."""
+        pieces, cut = F.split(m, ALLOWED_PART, -1), F.regexp_extract_all(m, F.lit(ALLOWED_PART), F.lit(0))
+        places = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(_starts(m, ALLOWED_PART, cut), lambda s, i: s + F.char_length(F.get(cut, i))))
+        several = F.zip_with(pieces, places, lambda p, at: F.struct(p.alias("p"), at.alias("at")))
+        return F.when(m.rlike(ALLOWED_PART), several).otherwise(F.array(F.struct(m.alias("p"), F.lit(0).cast("bigint").alias("at"))))
+
+    def spans(m: Column, s: Column) -> Column:
         hexadecimal = m.rlike("^[0-9a-fA-F]+$")
         threshold = F.when(hexadecimal, F.lit(THRESHOLDS["hex"])).otherwise(F.lit(THRESHOLDS["wide"]))
-        allowed = F.lit(False)
-        for pattern in ALLOWED:
-            allowed = allowed | m.rlike(pattern)
-        mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-        outcome = _entropy_range(m, threshold)
-        return F.when(mixed & ~allowed, outcome).alias("e"), s
-
-    def span(m: Column, s: Column) -> Column:
-        outcome, _ = judged(m, s)
-        return F.element_at(
-            F.transform(
-                F.array(outcome),
-                lambda e: F.when(
-                    e["first"] >= 0,
-                    F.struct(
-                        (s + e["first"]).cast("long").alias("start"), F.lit(order).alias("order"),
-                        F.lit("entropy").alias("kind"), (s + e["last"] + WINDOW).cast("long").alias("end"),
-                    ),
-                ),
+        mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(ALLOWED_WHOLE)
+        long = F.filter(parts(m), lambda x: F.char_length(x["p"]) >= WINDOW)
+        outcomes = F.transform(long, lambda x: F.struct(_entropy_range(x["p"], threshold).alias("e"), x["at"].alias("at")))
+        high = F.filter(outcomes, lambda x: x["e"]["first"] >= 0)
+        made = F.transform(
+            high,
+            lambda x: F.struct(
+                (s + x["at"] + x["e"]["first"]).cast("long").alias("start"), F.lit(order).alias("order"),
+                F.lit("entropy").alias("kind"), (s + x["at"] + x["e"]["last"] + WINDOW).cast("long").alias("end"),
             ),
-            1,
         )
+        return F.when(mixed, made)
 
-    return F.array_compact(F.zip_with(found, starts, span))
+    return F.flatten(F.array_compact(F.zip_with(found, starts, spans)))
 
 
 def _joined(spans: Column) -> Column:
