@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import decontamination, html_main, language_id, mixing, near_dedup, pii, prefix_trie, quality_rules, secret_scan, token_output, url_filter, whitening
+from dialoom.llm import decontamination, html_main, language_id, mixing, near_dedup, ngram_join, pii, prefix_trie, quality_rules, secret_scan, token_output, url_filter, whitening
 from dialoom.llm.common import read
 
 
@@ -67,6 +67,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(read(spark, sf_dir, "conversations"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose word trigrams are alike."""
+    return ngram_join.digest(read(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding's leading whitened components."""
     return whitening.digest(read(spark, sf_dir, "embeddings"))
@@ -76,7 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_pii_pseudonyms, op3_secret_scans, op4_html_extraction, op5_source_mixing, op6_near_dedup,
-        op7_decontamination, op8_token_output, op9_quality_rules, op10_language_id, op11_prefix_trie, op13_embedding_whitening,
+        op7_decontamination, op8_token_output, op9_quality_rules, op10_language_id, op11_prefix_trie, op12_ngram_join,
+        op13_embedding_whitening,
     )
 }
 SQL = {"op1_url_filters": url_filter.SQL, "op5_source_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL, "op11_prefix_trie": prefix_trie.SQL}
