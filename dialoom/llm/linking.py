@@ -3,9 +3,13 @@
 A bucket holds sets that may be alike. Its pairs are compared on full sets, exactly, without a pair
 table and without all pairs of a group:
 
-1. Every set goes to one of its buckets. A heavy bucket is cut into blocks, and a few pivots of the
+1. Buckets are thinned by sketches: of the tokens that fall into one cell, a sketch has the parity,
+   so two sketches differ in no more cells than their sets in tokens. Pairs that differ too much
+   for the threshold are no candidates; what hangs together by candidates stays a bucket. Sketches
+   take a hundredth of their sets, and sets are read for what remains only.
+2. Every set goes to one of its buckets. A heavy bucket is cut into blocks, and a few pivots of the
    bucket join every block, so that copies of one text are linked in one pass over the bucket.
-2. Components of these links are labels. Buckets with one label are done. In the others only sets
+3. Components of these links are labels. Buckets with one label are done. In the others only sets
    of different labels are compared: light buckets as a whole, heavy ones by pairs of blocks. A
    label with much of a bucket has blocks of its own, which are not compared with each other.
 
@@ -15,7 +19,7 @@ pairs, are left for the second pass, and none of these is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm.components import components
-from dialoom.llm.shingles import Hasher, set_key
+from dialoom.llm.shingles import Hasher, mix, set_key
 from dialoom.session import materialize
 
 #: Work of a unit: shingles of its sets, with ``ROW_WORK`` for each set.
 UNIT, ROW_WORK = 400_000, 500
 PIVOTS = 8
+#: Work of a bucket that is thinned as a whole. Heavier ones are cut into units first.
+THINNED = 4 * UNIT
 #: Keys that are broadcast when a table of keys is joined: those with the most rows.
 HOT = 1000
 
@@ -60,6 +66,110 @@ def read_sets(texts: DataFrame, n: int = 5) -> DataFrame:
     return texts.select("text").mapInArrow(run, "node binary, shingles binary")
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens in a power of two of cells, a quarter to half as many as tokens."""
+    cells = 64
+    while 2 * cells < len(tokens):
+        cells *= 2
+    counts = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def candidates(sizes: list[int], sketches: list[bytes], per_cent: int) -> list[int]:
+    """For each set the smallest one that it hangs together with by candidate pairs."""
+    near = np.zeros((len(sizes), len(sizes)), bool)
+    if len(sizes) <= 12:  # whole numbers are the quickest way for few sets
+        numbers = [int.from_bytes(x, "little") for x in sketches]
+        for b in range(1, len(sizes)):
+            for a in range(b):
+                small, large = (a, b) if len(sketches[a]) <= len(sketches[b]) else (b, a)
+                if len(sketches[large]) > 2 * len(sketches[small]):
+                    continue  # sizes too far apart
+                x, y, cells = numbers[small], numbers[large], 8 * len(sketches[small])
+                if len(sketches[large]) > len(sketches[small]):
+                    y = (y >> cells) ^ (y & ((1 << cells) - 1))
+                near[a, b] = near[b, a] = (x ^ y).bit_count() * (100 + per_cent) <= (sizes[a] + sizes[b]) * (100 - per_cent)
+        return groups_of(near)
+    size = np.array(sizes, np.int64)
+    widths = np.array([len(x) for x in sketches])
+    bits = {}
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        raw = np.frombuffer(b"".join(sketches[k] for k in at), np.uint8).reshape(len(at), width)
+        bits[int(width)] = at, np.unpackbits(raw, axis=1, bitorder="little")
+
+    def compare(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> None:
+        x, y = x.astype(np.float32), y.astype(np.float32)
+        differ = x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - 2 * (x @ y.T)  # whole numbers below 2 ** 24
+        found = differ * (100 + per_cent) <= (size[a][:, None] + size[b][None, :]) * (100 - per_cent)
+        near[np.ix_(a, b)] = found
+        near[np.ix_(b, a)] = found.T
+
+    for width, (a, x) in bits.items():
+        compare(a, x, a, x)
+        if 2 * width in bits:  # cells of the wider ones fold onto the narrower ones
+            b, y = bits[2 * width]
+            compare(a, x, b, y[:, : 8 * width] ^ y[:, 8 * width :])
+    return groups_of(near)
+
+
+def groups_of(near: np.ndarray) -> list[int]:
+    """For each row of a symmetric matrix of flags the smallest row that it hangs together with."""
+    label = np.full(len(near), -1)
+    for seed in range(len(near)):
+        if label[seed] < 0:
+            label[seed], reached = seed, np.array([seed])
+            while len(reached):
+                reached = np.flatnonzero(near[reached].any(axis=0) & (label < 0))
+                label[reached] = seed
+    return label.tolist()
+
+
+def _thin(per_cent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units as the groups that their candidates make. Rows come sorted by unit."""
+        unit, rows = None, []
+        out: list[tuple[int, bytes]] = []
+
+        def settle() -> None:
+            label = candidates([n for _, n, _ in rows], [s for *_, s in rows], per_cent)
+            met: dict[int, int] = {}
+            for root in label:
+                met[root] = met.get(root, 0) + 1
+            for k, root in enumerate(label):
+                if met[root] > 1:
+                    name = mix(np.array([unit], np.int64).view(np.uint64) + np.uint64(root)).view(np.int64)
+                    out.append((int(name[0]), rows[k][0]))
+
+        for batch in batches:
+            for u, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if u != unit:
+                    if len(rows) > 1:
+                        settle()
+                    unit, rows = u, []
+                rows.append(row)
+            yield _unit_rows(out)
+            out.clear()
+        if len(rows) > 1:
+            settle()
+        yield _unit_rows(out)
+
+    return run
+
+
+def _unit_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([u for u, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.binary())], ["unit", "node"]
+    )
+
+
+def _thinned(units: DataFrame, facts: DataFrame, per_cent: int) -> DataFrame:
+    """``unit, node`` of the units' groups, equal ones once."""
+    rows = units.join(facts, "node").select("unit", "node", "n_shingles", "sketch")
+    placed = rows.repartition("unit").sortWithinPartitions("unit", "node")
+    return _once(placed.mapInArrow(_thin(per_cent), "unit bigint, node binary"))
+
+
 def linked(sets: list[np.ndarray], per_cent: int, columns: int = 4096) -> np.ndarray:
     """Which sets are linked, as a square matrix of flags, from exact intersection sizes."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -162,7 +272,7 @@ def _home_units(members: DataFrame) -> DataFrame:
     return own.unionByName(everywhere.select(F.xxhash64("bucket", "block").alias("unit"), "node"))
 
 
-def _cross_units(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _cross_units(members: DataFrame, labels: DataFrame, facts: DataFrame, per_cent: int) -> DataFrame:
     """What is left to compare: sets of different labels in one bucket."""
     named = members.join(labels, "node", "left").select("bucket", "node", "work", F.coalesce("root", "node").alias("label"))
     named = materialize(named)
@@ -188,19 +298,29 @@ def _cross_units(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
     unit = F.xxhash64("bucket", "x", "y").alias("unit")
     sides = pairs.select("bucket", "x.*", unit).unionByName(pairs.select("bucket", "y.*", unit)).distinct()
-    return light.unionByName(placed.join(sides, ["bucket", "owner", "block"]).select("unit", "node"))
+    dealt = placed.join(sides, ["bucket", "owner", "block"]).select("unit", "node")
+    return light.unionByName(_thinned(dealt, facts, per_cent))
 
 
-def links_in_buckets(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def links_in_buckets(
+    members: DataFrame, facts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int
+) -> DataFrame:
     """``a, b``: links that join all sets linked within some bucket.
 
-    ``members`` has distinct rows ``bucket, node, work`` (``bucket`` a long, ``work`` a set's
-    size plus ``ROW_WORK``), ``sets`` a row ``node, shingles`` for each of the nodes. Both are
-    read several times, so they should be written tables.
+    ``members`` has distinct rows ``bucket, node`` (``bucket`` a long), ``facts`` a row ``node,
+    n_shingles, sketch`` for each node; both are read several times, so they should be written
+    tables. ``sets_of`` gives ``node, shingles`` for a table of nodes.
     """
-    first = _links(_once(_home_units(members)), sets, per_cent)
+    weighed = materialize(members.join(facts.select("node", (F.col("n_shingles") + ROW_WORK).alias("work")), "node"))
+    sums = _sums(weighed, "bucket").filter(F.col("total") > THINNED).select("bucket", "n", F.lit(True).alias("heavy"))
+    marked = join_hot(weighed, materialize(sums), ["bucket"], "n", "left")
+    light = _thinned(marked.filter("heavy is null").select(F.col("bucket").alias("unit"), "node"), facts, per_cent)
+    light = light.withColumnRenamed("unit", "bucket").join(facts.select("node", (F.col("n_shingles") + ROW_WORK).alias("work")), "node")
+    buckets = materialize(light.select("bucket", "node", "work").unionByName(marked.filter("heavy").select("bucket", "node", "work")))
+    sets = materialize(sets_of(materialize(buckets.select("node").distinct())))
+    first = _links(_once(_home_units(buckets)), sets, per_cent)
     labels = components(first).select("node", "root")
-    return first.unionByName(_links(_once(_cross_units(members, labels)), sets, per_cent))
+    return first.unionByName(_links(_once(_cross_units(buckets, labels, facts, per_cent)), sets, per_cent))
 
 
 def grouped(signed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.linking import ROW_WORK, grouped, links_in_buckets, read_sets
+from dialoom.llm.linking import grouped, links_in_buckets, read_sets, sketch
 from dialoom.llm.shingles import Hasher, mix, set_key
 from dialoom.session import materialize
 
@@ -87,7 +87,7 @@ class Frequent:
         self.tokens, self.counts = both[keep], total[keep]
 
 
-_READ = "doc_id bigint, n_shingles bigint, node binary, key bigint, token bigint, n bigint"
+_READ = "doc_id bigint, n_shingles bigint, node binary, key bigint, sketch binary, token bigint, n bigint"
 
 
 def _key(node: bytes) -> int:
@@ -100,23 +100,24 @@ def _read(n: int, counters: int):
         """A row for every text, then a task's frequent tokens."""
         hasher, frequent = Hasher(), Frequent(counters)
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for k in range(batch.num_rows):
                 tokens = hasher.shingles(batch.column(1)[k].as_py(), n)
                 frequent.add(tokens)
                 sizes.append(len(tokens))
                 nodes.append(set_key(tokens))
+                sketches.append(sketch(tokens) if len(tokens) else None)
             none = pa.nulls(batch.num_rows, pa.int64())
             keys = pa.array([None if node is None else _key(node) for node in nodes], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), keys, none, none],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), keys, pa.array(sketches, pa.binary()), none, none],
                 [c.split()[0] for c in _READ.split(", ")],
             )
         frequent.fold()
         size = len(frequent.tokens)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()),
+                *(pa.nulls(size, kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())),
                 pa.array(frequent.tokens.view(np.int64)), pa.array(frequent.counts),
             ],
             [c.split()[0] for c in _READ.split(", ")],
@@ -222,23 +223,23 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     read = materialize(texts.mapInArrow(_read(n, COUNTERS), _READ))
     shared = spark.sparkContext.broadcast(frequent_tokens(read))
-    signed = read.filter("token is null").select("doc_id", "n_shingles", "node", "key")
-    classes = materialize(
-        signed.filter("doc_id is not null and node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("key").alias("key")
-        )
-    )
+    signed = read.filter("token is null").select("doc_id", "n_shingles", "node", "key", "sketch")
+    first = [F.first(c).alias(c) for c in ("n_shingles", "key", "sketch")]
+    named = signed.filter("doc_id is not null and node is not null")
+    classes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *first))
     keys = materialize(texts.filter("doc_id is not null").select("text").mapInArrow(_index(shared, n, per_cent), "bucket bigint, key bigint"))
     # A set that several tasks have met counts several times here; its bucket is dropped later on.
     several = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    met = materialize(keys.join(several, "bucket", "left_semi").distinct())
-    work = (F.col("n_shingles") + ROW_WORK).alias("work")
-    members = materialize(met.join(classes.select("key", "node", work), "key").select("bucket", "node", "work"))
-    wanted = members.select("node").distinct()
-    readers = materialize(classes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("doc_id")))
-    # An id that stands on several rows may give a set twice, or one that is not wanted.
-    sets = materialize(read_sets(texts.join(readers, "doc_id", "left_semi"), n)).dropDuplicates(["node"])
-    return grouped(signed, classes, links_in_buckets(members, materialize(sets), per_cent))
+    met = keys.join(several, "bucket", "left_semi").distinct()
+    members = materialize(met.join(classes.select("key", "node"), "key").select("bucket", "node"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        readers = classes.join(nodes, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
+        # An id that stands on several rows gives the sets of all; only the wanted one stays.
+        found = read_sets(texts.join(readers.select("doc_id").distinct(), "doc_id", "left_semi"), n)
+        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    return grouped(signed, classes, links_in_buckets(members, classes, sets_of, per_cent))
 
 
 def digest(docs: DataFrame) -> DataFrame:
