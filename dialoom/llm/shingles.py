@@ -23,7 +23,7 @@ def _odd_inverse() -> np.uint64:
     return np.uint64(pow(int(_PRIME), -1, 1 << 64))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     if n:
         out[0] = 1
@@ -34,13 +34,13 @@ class Hasher:
     """Hashes words and shingles; keeps its tables of powers between texts."""
 
     def __init__(self) -> None:
-        self._up = _powers(_PRIME, 1 << 16)
-        self._down = _powers(_odd_inverse(), 1 << 16)
+        self._up = powers(_PRIME, 1 << 16)
+        self._down = powers(_odd_inverse(), 1 << 16)
 
     def _tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self._up):
             size = 1 << int(n).bit_length()
-            self._up, self._down = _powers(_PRIME, size), _powers(_odd_inverse(), size)
+            self._up, self._down = powers(_PRIME, size), powers(_odd_inverse(), size)
         return self._up, self._down
 
     def words(self, text: str | None) -> np.ndarray:

@@ -19,67 +19,118 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dialoom.llm.shingles import mix, powers
 from dialoom.session import materialize, scratch_dir
 
 END_ID = 2
 ROW_INDEX = 1_000
 STRIPE_BYTES = 16 << 20
-#: Words that a worker remembers, some 300 bytes each.
-REMEMBERED = 120_000
+#: Words, and as many of their parts, that a worker remembers, some 45 bytes each.
+REMEMBERED = 1_000_000
+#: Bytes of text that a worker encodes at a time.
+SLICE_BYTES = 8 << 20
 _MARK = "|"
 
 
 #: Blanks for Python that the tokenizer takes for characters.
-_NOT_BLANK = re.compile("[\x1c-\x1f]")
+_NOT_BLANK = "[\x1c-\x1f]"
 
 
-def _cut(text: str) -> list[str]:
-    return re.split(r"[ \t\n\r]+", text) if _NOT_BLANK.search(text) else text.split()
+def _cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of all texts in a row, and how many each text has. Empty words may be among them."""
+    texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring_regex(texts, _NOT_BLANK)).as_py():
+        cut = lambda t: re.split(r"[ \t\n\r]+", t) if re.search(_NOT_BLANK, t) else t.split()
+        lists = pa.array([cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    return np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten()
 
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What ends in a letter or digit, and the marks behind it: the tokenizer cuts between these in any case.
+_SPLIT = r"(?s)^(?P<core>.*[\p{L}\p{N}])(?P<tail>[" + re.escape(_MARKS) + r"]*)$"
+#: May hold a special token, matched as it stands, or the one letter whose small form is two characters.
+_WHOLE = r"<\||\x{130}"
+#: Letters that Arrow and the tokenizer lower alike.
+_LOWERED = r"^[\x{0}-\x{24F}]*$"
 
 
-def _core_and_tail(word: str) -> tuple[str, str]:
-    """A word as two parts whose ids follow each other: without its closing marks, and these.
+def _cores_and_tails(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The numbers of every word's core and tail, and the distinct parts that they number.
 
-    The tokenizer cuts between a letter or digit and a run of marks in any case. It also lowers
-    letters; where that is one to one, the core comes lowered, so that fewer cores are encoded.
+    A word's ids are its core's, the word without its closing marks, and then its tail's, these
+    marks. The tokenizer lowers letters, so cores come lowered and fewer of them are encoded.
     """
-    if "<|" in word:  # may hold a special token, which is matched as it stands
-        return word, ""
-    core = word.rstrip(_MARKS)
-    if not core or not core[-1].isalnum():
-        core = word
-    tail = word[len(core) :]
-    if core.isascii():
-        return core.lower(), tail
-    low = core.lower() if max(core) < "\u0250" else core
-    return low if len(low) == len(core) else core, tail
+    halves = pc.extract_regex(words, pattern=_SPLIT)
+    split = pc.and_(pc.is_valid(halves), pc.invert(pc.match_substring_regex(words, _WHOLE)))
+    core = pc.if_else(split, pc.struct_field(halves, "core"), words)
+    tail = pc.if_else(split, pc.struct_field(halves, "tail"), "")
+    core = pc.if_else(pc.and_(split, pc.match_substring_regex(core, _LOWERED)), pc.utf8_lower(core), core)
+    numbered = pa.concat_arrays([core, tail]).dictionary_encode()
+    number = numbered.indices.to_numpy().astype(np.int64)
+    return number[: len(words)], number[len(words) :], numbered.dictionary
 
 
-class _Numbers(dict):
-    """Text -> number; an unknown one gets the next number and is noted as new."""
+class _Hash:
+    """128-bit hashes of many short texts at once, over their bytes."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
+    bases = 0x100000001B3, 0x9E3779B97F4A7C15
 
-    def __missing__(self, text: str) -> int:
-        self[text] = number = len(self)
-        self.new.append(text)
-        return number
+    def __init__(self) -> None:
+        self.tables = [(np.empty(0, np.uint64), np.empty(0, np.uint64)) for _ in self.bases]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)
+        starts, sizes = at[:-1] - at[0], np.diff(at)
+        raw = raw.astype(np.uint64) + np.uint64(1)
+        out = []
+        for k, base in enumerate(self.bases):
+            if len(self.tables[k][0]) <= len(raw):
+                inverse, size = pow(base, -1, 1 << 64), max(len(raw) + 1, 1 << 16)
+                self.tables[k] = powers(np.uint64(base), size), powers(np.uint64(inverse), size)
+            up, down = self.tables[k]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)], dtype=np.uint64)))
+            out.append(mix((sums[starts + sizes] - sums[starts]) * down[starts] + sizes.astype(np.uint64) * np.uint64(base)))
+        return out[0], out[1]
+
+
+class _Table:
+    """Ids of texts, found by 128-bit hashes: sorted arrays, some 30 bytes and the ids for each text."""
 
-    def forget_new(self) -> None:
-        for text in self.new:
-            del self[text]
+    def __init__(self) -> None:
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)  # sorted by the first
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat = np.empty(0, np.int32)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts are known, and the places of these."""
+        if not len(self.first):
+            return np.zeros(len(first), bool), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        known = (self.first[at] == first) & (self.second[at] == second)
+        return known, at[known]
+
+    def add(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """New texts with their ids in a row; beyond ``REMEMBERED`` none is added."""
+        if len(self.first) + len(first) > REMEMBERED:
+            return
+        both = np.concatenate((self.first, first))
+        order = np.argsort(both, kind="stable")
+        self.first, self.second = both[order], np.concatenate((self.second, second))[order]
+        start = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        self.start = np.concatenate((self.start, start))[order]
+        self.size = np.concatenate((self.size, size.astype(np.int32)))[order]
+        self.flat = np.concatenate((self.flat, ids))
 
 
 class WordEncoder:
@@ -87,9 +138,10 @@ class WordEncoder:
 
     The tokenizer never joins characters across a blank (its patterns stop there and the blanks
     themselves give no ids), so a text's ids are its words' ids in order, and a word's are those of
-    its core and its tail. New cores and tails, the pieces, are encoded many at a time, separated by
-    a mark with an id of its own; pieces with that mark go alone. The first ``REMEMBERED`` words and
-    pieces stay, later ones are forgotten after their batch.
+    its core and its tail. Only the distinct words of many texts are looked up, in a table of
+    hashes; new ones are cut into parts, which are looked up likewise; new parts are encoded many at
+    a time, separated by a mark with an id of its own, and parts with that mark alone. The first
+    ``REMEMBERED`` words and parts stay in the tables, later ones serve their slice only.
     """
 
     def __init__(self, path: str) -> None:
@@ -100,62 +152,81 @@ class WordEncoder:
         mark = self.ids(_MARK)
         if len(mark) != 1:
             raise ValueError("the mark must be one token")
-        self.mark = mark[0]
-        self.words, self.pieces = _Numbers(), _Numbers()
-        self.parts = np.empty((0, 2), np.int32)  # word -> numbers of its core and its tail
-        self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)  # ids of the pieces
+        self.mark, self.hash = mark[0], _Hash()
+        self.words, self.parts = _Table(), _Table()
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the pieces in a row, and how many each has."""
-        if any(_MARK in p for p in pieces):
-            found = [self.ids(p) for p in pieces]
-            return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
-        ids = np.array(self.ids(f" {_MARK} ".join(pieces)), np.int32)
-        marks = ids == self.mark
-        cuts = np.concatenate(([-1], np.flatnonzero(marks), [len(ids)]))
-        return ids[~marks], np.diff(cuts) - 1
-
-    def _with_new(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``parts``, ``flat`` and ``starts`` with the batch's new words and pieces."""
-        pairs = [_core_and_tail(w) for w in self.words.new]
-        number = self.pieces.__getitem__
-        added = np.array([(number(core), number(tail)) for core, tail in pairs], np.int32).reshape(-1, 2)
-        new = self.pieces.new
-        # Pieces with the mark apart from the others, so that they alone go one by one.
-        runs = [list(run) for _, run in groupby(new, key=lambda p: _MARK in p)]
-        done = [self._encode(run[k : k + 500]) for run in runs for k in range(0, len(run), 500)]
-        flat = np.concatenate([self.flat, *(ids for ids, _ in done)])
-        sizes = np.concatenate([np.empty(0, np.int64), *(size for _, size in done)])
-        starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-        return np.concatenate((self.parts, added)), flat, starts
-
-    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts in a row, and how many each has."""
+        marked = pc.match_substring(parts, _MARK).to_numpy(zero_copy_only=False)
+        texts = parts.to_pylist()
+        sizes, flats = np.zeros(len(texts), np.int64), []
+        others = np.flatnonzero(~marked)
+        runs = [others[k : k + 500] for k in range(0, len(others), 500)]
+        joined = [f" {_MARK} ".join([texts[k] for k in run]) for run in runs]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int32)
+            marks = ids == self.mark
+            sizes[run] = np.diff(np.concatenate(([-1], np.flatnonzero(marks), [len(ids)]))) - 1
+            flats.append(ids[~marks])
+        alone = np.flatnonzero(marked)
+        for k in alone:
+            ids = self.ids(texts[k])
+            sizes[k] = len(ids)
+            flats.append(np.array(ids, np.int32))
+        # The ids lie in the order of the runs; put them into the order of the parts.
+        flat = np.concatenate([np.empty(0, np.int32), *flats])
+        order = np.concatenate((others, alone))
+        starts = np.empty(len(texts), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return (flat if not len(alone) else flat[_ranges(starts, sizes)]), sizes
+
+    def _ids_of(self, table: _Table, texts: pa.Array, made) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts in a row, and how many each has; ``made`` encodes those not in the table."""
+        first, second = self.hash(texts)
+        known, at = table.find(first, second)
+        start, size = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        start[known], size[known] = table.start[at], table.size[at]
+        flat, new = table.flat, np.flatnonzero(~known)
+        if len(new):
+            ids, sizes = made(texts.take(pa.array(new)))
+            start[new], size[new] = len(flat) + np.cumsum(sizes) - sizes, sizes
+            flat = np.concatenate((flat, ids))
+            table.add(first[new], second[new], ids, sizes)
+        return flat[_ranges(start, size)], size
+
+    def _from_parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cores, tails, parts = _cores_and_tails(words)
+        flat, size = self._ids_of(self.parts, parts, self._encode)
+        both = np.stack((cores, tails), axis=1).ravel()
+        return flat[_ranges((np.cumsum(size) - size)[both], size[both])], size[cores] + size[tails]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text with the end id, and the number of ids of each."""
-        cut = [_cut(t or "") for t in texts]
-        self.words.new, self.pieces.new = [], []
-        counts = np.array([len(words) for words in cut], np.int64)
-        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
-        parts, flat, starts = self._with_new() if self.words.new else (self.parts, self.flat, self.starts)
-        if len(self.words) <= REMEMBERED:
-            self.parts, self.flat, self.starts = parts, flat, starts
-        else:
-            self.words.forget_new()
-            self.pieces.forget_new()
-        at = parts[at].ravel()
-        begin, length = starts[at], starts[at + 1] - starts[at]
-        # The place of every piece's ids in the output: behind the pieces and end ids before it.
-        text_of = np.repeat(np.arange(len(cut)), 2 * counts)
-        within = np.cumsum(length) - length
-        sizes = np.bincount(text_of, length, minlength=len(cut)).astype(np.int64) + 1
+        counts, words = _cut(texts)
+        numbered = words.dictionary_encode()
+        at, distinct = numbered.indices.to_numpy(), numbered.dictionary
+        ids, length = self._ids_of(self.words, distinct, self._from_parts)
+        begin = np.cumsum(length) - length
+        # The place of every word's ids in the output: behind the words and end ids before it.
+        text_of = np.repeat(np.arange(len(counts)), counts)
+        lengths = length[at]
+        sizes = np.bincount(text_of, lengths, minlength=len(counts)).astype(np.int64) + 1
         out = np.full(int(sizes.sum()), END_ID, np.int32)
-        run = np.arange(int(length.sum()))
-        out[np.repeat(text_of, length) + run] = flat[np.repeat(begin - within, length) + run]
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(sizes) - 1] = False
+        out[keep] = ids[_ranges(begin[at], lengths)]
         return out, sizes
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers ``start ... start + size - 1``, one range after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 def _encoder_of_worker(path: str) -> WordEncoder:
     """The worker's encoder, so that its tasks share what it has learned.
 
@@ -183,19 +254,20 @@ def _encode(path: str):
         encoder, row = _encoder_of_worker(path), 0
         for batch in batches:
             texts, ids = batch.column(1), batch.column(0)
-            for begin in range(0, batch.num_rows, 512):
-                part = texts.slice(begin, 512).to_pylist()
-                flat, sizes = encoder.encode_all(part)
+            bytes_ = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            slices = np.flatnonzero(np.diff((np.cumsum(bytes_, dtype=np.int64) - bytes_) // SLICE_BYTES, prepend=-1))
+            for begin, end in zip(slices, [*slices[1:], batch.num_rows], strict=True):
+                flat, sizes = encoder.encode_all(texts.slice(begin, end - begin))
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(begin, 512),
-                        pa.array(np.arange(row, row + len(part), dtype=np.int64)),
+                        ids.slice(begin, end - begin),
+                        pa.array(np.arange(row, row + len(sizes), dtype=np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())),
                     ],
                     ["doc_id", "row", "ids"],
                 )
-                row += len(part)
+                row += len(sizes)
 
     return run
 

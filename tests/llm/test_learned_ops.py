@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,10 +213,29 @@ class TestTokenOutput:
     def test_words_are_forgotten_and_learned_again(self, monkeypatch):
         monkeypatch.setattr(token_output, "REMEMBERED", 3)
         encoder = token_output.WordEncoder(token_output.default_tokenizer())
-        for text in ("one two three four", "five six", "one | two", ""):
-            ids, sizes = encoder.encode_all([text, text])
+        for text in ("one two three four", "five six", "one | two", "", "One, two! one"):
+            ids, sizes = encoder.encode_all(pa.array([text, text]))
             assert list(ids) == [*encoder.ids(text), 2] * 2 and list(sizes) == [len(ids) // 2] * 2
 
+    def test_ids_are_the_library_s_on_random_characters(self):
+        draw = random.Random(11)
+        pool = [*map(chr, range(1, 0x250)), *"\u0300\u0301\u03a3\u2028\u3000\u4e2d\U0001f600\ufb01\u1e9e\u0345\u0130\u0130", "<|endoftext|>", "<|", "|>", "'s"]
+        pool += [" "] * 60 + list("abcDEF .,!|'") * 12
+        texts = ["".join(draw.choice(pool) for _ in range(draw.randint(0, 60))) for _ in range(4000)] + [None, "", " "]
+        encoder = token_output.WordEncoder(token_output.default_tokenizer())
+        for begin in range(0, len(texts), 1500):
+            part = texts[begin : begin + 1500]
+            ids, sizes = encoder.encode_all(pa.array(part))
+            want = [[*encoder.ids(t or ""), 2] for t in part]
+            assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+
+    def test_hashes_of_words_are_their_own(self):
+        words = pa.array(["", "a", "b", "ab", "ba", "aa", "a\x00", "é", "x" * 70_000, "x" * 70_001])
+        first, second = token_output._Hash()(words)
+        again = token_output._Hash()(words.slice(3))
+        assert len(set(first.tolist())) == len(set(second.tolist())) == len(words)
+        assert (again[0] == first[3:]).all() and (again[1] == second[3:]).all()
+
     def test_empty_table_and_pruning(self, spark, tmp_path):
         assert token_output.digest(frame(spark, [])).collect() == []
         path = str(tmp_path / "orc")
