@@ -172,18 +172,17 @@ def progress(
 ) -> DataFrame:
     """Progress mark of each upload event: its share of the run's uploads times 30.
 
-    Rows where ``running`` holds stand at 60, rows where ``done`` holds at 100. Totals are
-    counted per run before the join, positions come from ``position_within``.
+    Rows where ``running`` holds stand at 60, rows where ``done`` holds at 100. Positions and totals
+    come from one pass over the sorted rows.
     """
-    placed = position_within(df, by, order, "upload_no")
-    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("uploads"))
+    placed = position_within(df, by, order, "upload_no", "uploads")
     share = (F.col("upload_no") / F.col("uploads") * F.lit(30)).cast("int")
     mark = share
     if running is not None:
         mark = F.when(running, F.lit(60)).otherwise(mark)
     if done is not None:
         mark = F.when(done, F.lit(100)).otherwise(mark)
-    return placed.join(totals, list(by)).withColumn("progress", mark)
+    return placed.withColumn("progress", mark)
 
 
 def export_gate(df: DataFrame, content: str = "document", max_bytes: int = rules.MAX_EXPORT_BYTES) -> DataFrame:

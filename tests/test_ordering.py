@@ -119,3 +119,36 @@ def test_series(spark):
     assert [str(r.d) for r in rel.generate_dates(spark, "2024-01-01", "2024-02-01", "2 weeks").orderBy("d").collect()] == [
         "2024-01-01", "2024-01-15", "2024-01-29"]
     assert rel.generate_dates(spark, "2024-02-01", "2024-01-01").count() == 0
+
+
+def test_positions_and_totals_across_slices(spark):
+    """Groups within a slice, over a border, over several slices and alone in some, in small Arrow batches."""
+    rng = random.Random(7)
+    sizes = [1, 2, 900, 3, 1, 2500, 40, 1, 700, 2]
+    rows = [(None if g == 4 else g / 2 - 1, rng.randrange(50), i) for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    rng.shuffle(rows)
+    rows += [(-0.0, 100, 10_000)]  # the group of 0.0
+    df = spark.createDataFrame(rows, "g double, o int, i int")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+        got = ordering.position_within(df, ["g"], [F.col("o").desc(), "i"], "n", "all").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for g, o, i in rows:
+        groups.setdefault(g, []).append((-o, i))
+    want = {i: (n, len(group)) for group in groups.values() for n, (_, i) in enumerate(sorted(group), 1)}
+    assert {r.i: (r.n, r["all"]) for r in got} == want
+
+
+def test_positions_need_one_write_and_no_join_on_the_group(skewed, monkeypatch):
+    _, df = skewed
+    written = []
+    real = ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda d: (written.append(d.columns), real(d))[1])
+    plan = ordering.position_within(df, ["g"], ["o", "i"], "n")._jdf.queryExecution().toString()
+    assert sum("i" in columns for columns in written) == 1
+    assert "SortMergeJoin" not in plan and "_slice" in plan
