@@ -188,9 +188,61 @@ def top_n(df: DataFrame, order, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def page(df: DataFrame, order, number: int, size: int = 10) -> DataFrame:
-    """The ``number``-th page (from 1): tasks keep at most the rows up to the page's end."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+def _after(keys: Sequence[tuple[str, bool]], values: Sequence, inclusive: bool) -> Column:
+    """Rows behind the one with these key values. NULLs come first upwards and last downwards."""
+    found, equal = F.lit(False), F.lit(True)
+    for (name, up), value in zip(keys, values, strict=True):
+        column = F.col(name)
+        if value is None:
+            behind = column.isNotNull() if up else F.lit(False)
+            same = column.isNull()
+        else:
+            behind = column > F.lit(value) if up else (column < F.lit(value)) | column.isNull()
+            same = column == F.lit(value)
+        found, equal = found | (equal & behind), equal & same
+    # NULL is not TRUE: a comparison with a NULL key decides nothing, and the row is not behind.
+    found = F.coalesce(found | equal if inclusive else found, F.lit(False))
+    (name, up), value = keys[0], values[0]
+    if value is None or not up:
+        return found
+    return (F.col(name) >= F.lit(value)) & found  # a range that reaches the scan
+
+
+def _keys(order: Sequence[str]) -> list[tuple[str, bool]]:
+    """``"a"`` is upwards, ``"-a"`` downwards."""
+    return [(name.removeprefix("-"), not name.startswith("-")) for name in order]
+
+
+def seek_page(df: DataFrame, order: Sequence[str], after: Sequence | None = None, size: int = 10, inclusive: bool = False) -> DataFrame:
+    """The page behind the row with the key values ``after`` (the first page without any).
+
+    ``order`` names columns, downwards with a leading ``-``, together unique. The keys bound the
+    scan, and tasks keep ``size`` rows each, however deep the page lies.
+    """
+    keys = _keys(order)
+    rows = df if after is None else df.filter(_after(keys, after, inclusive))
+    return rows.orderBy(*[F.col(n).asc() if up else F.col(n).desc() for n, up in keys]).limit(size)
+
+
+def page_index(df: DataFrame, order: Sequence[str], size: int = 10) -> DataFrame:
+    """``page`` (from 1) and the key values of its first row, for all pages: one distributed numbering."""
+    keys = _keys(order)
+    rows = number_rows(df.select(*[n for n, _ in keys]), [F.col(n).asc() if up else F.col(n).desc() for n, up in keys], "_row", start=0)
+    first = rows.filter(F.col("_row") % size == 0)
+    return first.select((F.col("_row") / size + 1).cast("long").alias("page"), *[n for n, _ in keys])
+
+
+def page(df: DataFrame, order: Sequence[str], number: int, size: int = 10, index: DataFrame | None = None) -> DataFrame:
+    """The ``number``-th page (from 1): its first row comes from the index, the rest by ``seek_page``.
+
+    Pass a written ``page_index`` to read many pages; without one it is made here. No task holds
+    more than a page of rows beside the numbering's own slices.
+    """
+    index = page_index(df, order, size) if index is None else index
+    row = index.filter(F.col("page") == number).first()
+    if row is None:
+        return df.limit(0)
+    return seek_page(df, order, [row[n] for n, _ in _keys(order)], size, inclusive=True)
 
 
 def page_count(df: DataFrame, size: int = 10) -> DataFrame:
@@ -211,8 +263,28 @@ def latest(df: DataFrame, ts: str, n: int = 100, tie: str | None = None) -> Data
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """SAMPLE n: exactly ``n`` rows (or all), the same ones for the same seed."""
-    mark = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    return top_n(df, [mark, F.col(key)], n)
+    return top_n(df, [_draw(key, seed), F.col(key)], n)
+
+
+def sample_n_within(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int = 0) -> DataFrame:
+    """SAMPLE n of every group: the ``n`` rows with the smallest draws, cut per task before the shuffle."""
+    return top_per_key(df, by, [_draw(key, seed), F.col(key)], n, "_rank").drop("_rank")
+
+
+def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:
+    """SAMPLE by fraction: rows whose draw lies below it, the same ones for the same seed; no shuffle.
+
+    The draw is a hash of the key, so copies of a key are taken or left together, and tables
+    sampled by one key stay joinable.
+    """
+    if not 0 <= fraction <= 1:
+        raise ValueError("fraction must lie between 0 and 1")
+    drawn = F.conv(F.substring(_draw(key, seed), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return df.filter(drawn < F.lit(float(fraction)))
+
+
+def _draw(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
 # Sets and sequences.
@@ -272,28 +344,67 @@ def generate_dates(spark: SparkSession, start: str, stop: str, step: str = "1 da
     return spark.range(0, max(steps, 0)).select(made.alias(name)).filter(F.col(name) <= last)
 
 
-def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """WITH RECURSIVE (UNION ALL): ``step`` maps the rows of one level to the next until none come.
+def recursive(
+    anchor: DataFrame, step: Callable[[DataFrame], DataFrame], mode: str = "all", by: Sequence[str] | None = None
+) -> DataFrame:
+    """WITH RECURSIVE: ``step`` maps the rows of one level to the next until none come.
+
+    ``mode`` says how it ends:
+
+    * ``all`` (UNION ALL): every row goes on. A recursion that would not end is an error.
+    * ``union`` (UNION): only rows that no earlier level had go on, each once.
+    * ``cycle`` (CYCLE by SET is_cycle): rows have a column ``path``, the places (values of ``by``)
+      from their anchor to them. A row whose place its path holds already is marked in ``is_cycle``
+      and does not go on, so the recursion ends on any finite set of places. ``step`` sees ``path``
+      and must hand it on.
 
     Each level is written to the checkpoint folder, so the plan stays as long as one level and a
-    lost executor costs no earlier level. A level equal to an earlier one, by its row count and
-    two hashes of its rows, would come round for ever and is an error.
+    lost executor costs no earlier level. In mode ``all`` the chain behind a row of level n has
+    n + 1 rows. Are there fewer different rows, some chain holds a row twice and would go round for
+    ever; they are counted whenever the number of levels has doubled. ``union`` compares new rows
+    with the written earlier ones, joined on all columns.
     """
-    level, levels, seen = materialize(anchor), [], set()
+    if mode == "cycle":
+        return _recursive_with_paths(anchor, step, list(by or anchor.columns))
+    if mode not in ("all", "union"):
+        raise ValueError(f"unknown mode: {mode}")
+    columns = anchor.columns
+
+    def unseen(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
+        rows = rows.select(*columns).distinct()
+        if seen is None:
+            return rows
+        old = seen.select(*[F.col(c).alias(f"_o_{c}") for c in columns])
+        return rows.join(old, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in columns], "left_anti")
+
+    level, levels, seen = materialize(anchor), [], None
     while not level.isEmpty():
-        columns = [F.col(c) for c in level.columns]
-        mark = level.agg(
-            F.count(F.lit(1)), F.bit_xor(F.xxhash64(*columns)), F.bit_xor(F.hash(*columns)),
-            F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)")),
-        ).first()
-        if mark in seen:
-            raise RuntimeError("the recursion comes round: a level repeats an earlier one")
-        seen.add(mark)
+        if mode == "union":
+            level = materialize(unseen(level, seen))
+            seen = level if seen is None else seen.unionByName(level)
         levels.append(level)
-        level = materialize(step(level).select(*anchor.columns))
+        count = len(levels)
+        if mode == "all" and count >= 4 and count & (count - 1) == 0 and union_all(levels).distinct().count() < count:
+            raise RuntimeError("the recursion comes round: a row is its own ancestor")
+        level = materialize(step(level).select(*columns))
     return union_all(levels) if levels else level
 
 
+def _recursive_with_paths(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], by: list[str]) -> DataFrame:
+    place = F.struct(*[F.col(c) for c in by])
+    columns = anchor.columns
+    level = materialize(anchor.withColumn("path", F.array(place)).withColumn("is_cycle", F.lit(False)))
+    levels = [level]
+    while True:
+        following = step(level.filter(~F.col("is_cycle")).drop("is_cycle")).select(*columns, "path")
+        # Structs compare whole, NULLs equal.
+        met = F.exists("path", lambda p: p.eqNullSafe(place))
+        level = materialize(following.select(*columns, F.concat("path", F.array(place)).alias("path"), met.alias("is_cycle")))
+        if level.isEmpty():
+            return union_all(levels)
+        levels.append(level)
+
+
 def assign_ids(df: DataFrame, order, start: int = 1, name: str = "id", existing: DataFrame | None = None) -> DataFrame:
     """NEXTVAL / IDENTITY / SERIAL: consecutive ids in ``order``, going on after ``existing``'s largest."""
     if existing is not None:

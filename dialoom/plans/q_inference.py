@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dialoom.operators import inference as inf
 from dialoom.operators import reports, rounds
+from dialoom.operators.relational import rank_within
 from dialoom.plans.derived import PY_SQL, RESULT_SQL, python_scripts, result_table
 from dialoom.plans.registry import query, table
 from dialoom.schema import with_result_columns
@@ -140,9 +141,9 @@ ATTEMPT_STATUS = """CASE event_type WHEN 'click' THEN 429 WHEN 'view' THEN 400 W
 ATTEMPT_MESSAGE = "CASE WHEN event_id % 2 = 0 THEN 'Missing Parameter ' || props ELSE 'busy ' || props END"
 
 
-# A log of attempts: request n has 1 + n % 23 of them, numbered from 1.
-ATTEMPTS = """SELECT event_id // 23 AS request_id, event_id % 23 + 1 AS attempt, {status} AS status, {message} AS message
-  FROM events WHERE event_id % 23 <= (event_id // 23) % 23"""
+# A log of attempts: each user's events in a row are the attempts of one request.
+ATTEMPTS = """SELECT user_id AS request_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, {status} AS status,
+  {message} AS message FROM events"""
 
 
 @query(
@@ -157,10 +158,9 @@ ATTEMPTS = """SELECT event_id // 23 AS request_id, event_id % 23 + 1 AS attempt,
 )
 def retry_decisions(spark, sf_dir):
     """The usual limits: 20 attempts under back-pressure, 5 otherwise."""
-    rows = table(spark, sf_dir, "events").filter("event_id % 23 <= (event_id div 23) % 23")
-    attempts = rows.selectExpr(
-        "event_id div 23 AS request_id", "event_id % 23 + 1 AS attempt", f"{ATTEMPT_STATUS} AS status", f"{ATTEMPT_MESSAGE} AS message"
-    )
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    rows = rank_within(events, ["user_id"], ["event_id"], "attempt")
+    attempts = rows.selectExpr("user_id AS request_id", "attempt", f"{ATTEMPT_STATUS} AS status", f"{ATTEMPT_MESSAGE} AS message")
     return inf.retry_decision(attempts)
 
 

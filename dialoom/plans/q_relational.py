@@ -302,7 +302,33 @@ def top_orders(spark, sf_dir):
 )
 def third_page(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts")
-    return rel.page(events, [F.col("ts").desc(), F.col("event_id")], 3).select("event_id", F.lit(3).alias("page"))
+    return rel.page(events, ["-ts", "event_id"], 3).select("event_id", F.lit(3).alias("page"))
+
+
+@query(
+    "LIM-2",
+    """SELECT event_id, event_type FROM events WHERE (ts, event_id) > (SELECT (ts, event_id) FROM (SELECT ts, event_id,
+      row_number() OVER (ORDER BY ts, event_id) AS i, count(*) OVER () AS n FROM events) WHERE i = n // 2)
+    ORDER BY ts, event_id LIMIT 25""",
+)
+def page_after_a_row(spark, sf_dir):
+    """The page behind the middle row, found by its keys."""
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type")
+    numbered = rel.page_index(events, ["ts", "event_id"], 1)
+    middle = numbered.agg(F.max("page")).first()[0] // 2
+    key = numbered.filter(F.col("page") == middle).first()
+    return rel.seek_page(events, ["ts", "event_id"], (key.ts, key.event_id), 25).select("event_id", "event_type")
+
+
+@query(
+    "LIM-2",
+    """SELECT (row_number() OVER (ORDER BY ts DESC, event_id) - 1) // 50 + 1 AS page, event_id AS first_event FROM events
+    QUALIFY (row_number() OVER (ORDER BY ts DESC, event_id) - 1) % 50 = 0""",
+)
+def page_starts(spark, sf_dir):
+    """The first row of every page of 50."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    return rel.page_index(events, ["-ts", "event_id"], 50).select("page", F.col("event_id").alias("first_event"))
 
 
 @query("LIM-2", "SELECT cast(ceil(count(*) / 10.0) AS bigint) AS pages FROM events")
@@ -325,6 +351,25 @@ def sample_customers(spark, sf_dir):
     return rel.sample_n(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 50, "c_custkey", seed=7)
 
 
+@query(
+    "SMP-1",
+    """SELECT o_orderkey, o_orderstatus FROM orders WHERE substr(md5(o_orderkey || ':3'), 1, 13) < '4000000000000'""",
+)
+def sample_quarter_of_orders(spark, sf_dir):
+    """A seeded quarter of all orders, in expectation."""
+    return rel.sample_fraction(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), 0.25, "o_orderkey", seed=3)
+
+
+@query(
+    "SMP-1",
+    """SELECT event_type, event_id FROM events
+    QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || ':5'), event_id) <= 20""",
+)
+def sample_events_per_type(spark, sf_dir):
+    """Twenty events of every type."""
+    return rel.sample_n_within(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], 20, "event_id", seed=5)
+
+
 @query(
     "SET-1",
     """SELECT 'distinct' AS kind, c_custkey, 1 AS n FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders
@@ -404,6 +449,53 @@ def recursive_parents(spark, sf_dir):
     return rel.recursive(anchor, parents)
 
 
+# Each customer points to three others, round and round.
+RING = """edges AS (SELECT c_custkey AS src, (c_custkey * 7 + 1) % (SELECT count(*) FROM customer) AS dst FROM customer UNION
+    SELECT c_custkey, c_custkey // 2 FROM customer)"""
+
+
+@query(
+    "SEQ-2",
+    f"""WITH RECURSIVE {RING}, reach AS (SELECT c_custkey AS node FROM customer WHERE c_name = (SELECT max(c_name) FROM customer)
+      UNION SELECT dst FROM reach JOIN edges ON src = node)
+    SELECT node FROM reach""",
+)
+def recursive_reach(spark, sf_dir):
+    """All customers reached over edges full of cycles: UNION, every row once."""
+    people = table(spark, sf_dir, "customer")
+    size = people.agg(F.count(F.lit(1)).alias("n"))
+    last = people.agg(F.max("c_name").alias("c_name"))
+    ring = people.join(F.broadcast(size)).selectExpr("c_custkey AS src", "(c_custkey * 7 + 1) % n AS dst")
+    edges = ring.union(people.selectExpr("c_custkey", "c_custkey div 2")).distinct()
+    start = people.join(last, "c_name", "left_semi").selectExpr("c_custkey AS node")
+    return rel.recursive(start, lambda level: level.join(edges, level.node == edges.src).select(F.col("dst").alias("node")), "union")
+
+
+@query(
+    "SEQ-2",
+    """WITH RECURSIVE edges AS (SELECT DISTINCT n_nationkey AS src, s_nationkey AS dst FROM nation JOIN (SELECT DISTINCT
+        s_nationkey FROM supplier) ON s_nationkey IN ((n_nationkey * 3 + 1) % 25, (n_nationkey + 5) % 25)),
+      walk AS (SELECT n_nationkey AS node, [n_nationkey] AS path, false AS is_cycle FROM nation WHERE n_nationkey < 5
+        UNION ALL SELECT dst, list_append(path, dst), list_contains(path, dst) FROM walk JOIN edges ON src = node
+        WHERE NOT is_cycle AND len(path) <= 6)
+    SELECT node, is_cycle, array_to_string(path, '>') AS path FROM walk""",
+)
+def recursive_walks(spark, sf_dir):
+    """Walks of up to six steps between nations that marks where each comes round: CYCLE."""
+    nations, at = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    targets = F.explode(F.array((at * 3 + 1) % 25, (at + 5) % 25))
+    pairs = nations.select(at.alias("src"), targets.alias("dst")).distinct()
+    edges = pairs.join(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("dst")), "dst", "left_semi")
+
+    def onward(level):
+        return level.filter(F.size("path") <= 6).join(edges, level.node == edges.src).select(F.col("dst").alias("node"), "path")
+
+    start = nations.filter(at < 5).select(at.alias("node"))
+    found = rel.recursive(start, onward, "cycle", by=["node"])
+    path = F.array_join(F.transform("path", lambda p: p["node"].cast("string")), ">")
+    return found.select("node", "is_cycle", path.alias("path"))
+
+
 @query(
     "SEQ-3",
     """SELECT c_custkey, 1000 + row_number() OVER (ORDER BY c_name, c_custkey) AS id FROM customer""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from dialoom.plans.q_corpus import COLLAPSE, STRIP, TOKENS
 from dialoom.plans.registry import query, table
 from dialoom.session import materialize, scratch_dir
 from dialoom.sources.scripts import decode_content, read_archive_members, read_external_csv, read_scripts
-from dialoom.sources.versions import stage, version_name, write_result_version, written
+from dialoom.sources.versions import INSERT_ID, insert_returning, restore, stage, version_name, write_result_version, written
 from dialoom.sources.writers import write_text_files
 
 
@@ -156,6 +157,16 @@ def result_versions(spark, sf_dir):
     return spark.read.parquet(again).groupBy("lang").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _sales_table(spark):
+    """An empty table with a comment, a default and a partition per insert."""
+    name = version_name("sales")
+    spark.sql(
+        f"""CREATE TABLE {name} (sale_id BIGINT, product_name STRING, sale_amount DECIMAL(10,2), channel STRING DEFAULT 'retail',
+        {INSERT_ID} STRING) USING PARQUET PARTITIONED BY ({INSERT_ID}) COMMENT 'Sales table'"""
+    )
+    return name
+
+
 @query(
     "DDL-1 DML-6",
     """SELECT o_orderkey AS sale_id, o_orderpriority AS product_name, cast(cast(o_totalprice AS decimal(10,2)) AS double) AS sale_amount,
@@ -163,19 +174,31 @@ def result_versions(spark, sf_dir):
 )
 def create_and_insert(spark, sf_dir):
     """CREATE TABLE with comment and default, INSERT naming some columns: the stored rows."""
-    name = version_name("sales")
-    spark.sql(
-        f"""CREATE TABLE {name} (sale_id BIGINT, product_name STRING, sale_amount DECIMAL(10,2), channel STRING DEFAULT 'retail')
-        USING PARQUET COMMENT 'Sales table'"""
+    name = _sales_table(spark)
+    sales = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS sale_id", "o_orderpriority AS product_name", "cast(o_totalprice AS decimal(10,2)) AS sale_amount"
     )
     try:
-        warehouse.run_sql(
-            spark,
-            f"""INSERT INTO {name} (sale_id, product_name, sale_amount)
-            SELECT o_orderkey, o_orderpriority, cast(o_totalprice AS decimal(10,2)) FROM new_orders""",
-            {"new_orders": table(spark, sf_dir, "orders")},
-        )
-        return materialize(spark.table(name).withColumn("sale_amount", F.col("sale_amount").cast("double")))
+        stored = insert_returning(spark, name, sales)
+        return materialize(stored.withColumn("sale_amount", F.col("sale_amount").cast("double")))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@query(
+    "DML-6",
+    """SELECT l_orderkey AS sale_id, cast(cast(l_extendedprice AS decimal(10,2)) AS double) AS sale_amount, 'retail' AS channel
+    FROM lineitem""",
+)
+def insert_returning_rows(spark, sf_dir):
+    """Of two inserts the second one's rows, whose amounts the table rounds and whose channel it fills in."""
+    name = _sales_table(spark)
+    try:
+        orders_ = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sale_id", "'mail' AS channel")
+        insert_returning(spark, name, orders_)
+        lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS sale_id", "l_extendedprice AS sale_amount")
+        stored = insert_returning(spark, name, lines)
+        return materialize(stored.select("sale_id", F.col("sale_amount").cast("double").alias("sale_amount"), "channel"))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -188,29 +211,51 @@ def staged_table(spark, sf_dir):
 
 
 @query(
-    "DDL-3 DDL-4 DDL-5 DDL-7 DML-5",
-    """SELECT 'added' AS step, count(*) AS rows, 3 AS columns FROM orders UNION ALL
-    SELECT 'renamed', count(*), 3 FROM orders UNION ALL SELECT 'dropped', count(*), 2 FROM orders
-    UNION ALL SELECT 'truncated', 0, 2 UNION ALL SELECT 'restored', count(*), 2 FROM orders""",
+    "DDL-3 DDL-4 DDL-5 DDL-7",
+    """WITH s AS (SELECT o_orderkey AS k, cast(o_totalprice AS varchar) AS v FROM orders)
+    SELECT 'added' AS step, count(*) AS rows, 'sale_id,sale_amount,discount' AS columns, 0 AS discounts FROM s
+    UNION ALL SELECT 'renamed', count(*), 'sale_id,total_amount,discount', 0 FROM s
+    UNION ALL SELECT 'dropped', count(*), 'sale_id,total_amount', -1 FROM s UNION ALL SELECT 'truncated', 0, 'sale_id,total_amount', -1""",
 )
-def alter_and_restore(spark, sf_dir):
-    """Column changes and truncation as new written tables; the one before stays and can be taken again."""
+def alter_columns(spark, sf_dir):
+    """Column changes and truncation as new written tables: rows, columns and values of each."""
     base = scratch_dir(spark)
     sales = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sale_id", "o_totalprice AS sale_amount")
     added = written(sales.withColumn("discount", F.lit(None).cast("decimal(5,2)")), base)
     renamed = written(added.withColumnRenamed("sale_amount", "total_amount"), base)
     dropped = written(renamed.drop("discount"), base)
     truncated = written(dropped.limit(0), base)
-    steps = {"added": added, "renamed": renamed, "dropped": dropped, "truncated": truncated, "restored": dropped}
     out = None
-    for name, content in steps.items():
-        line = content.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("step"), "rows", F.lit(len(content.columns)).alias("columns")
+    for name, content in {"added": added, "renamed": renamed, "dropped": dropped, "truncated": truncated}.items():
+        given = F.count("discount") if "discount" in content.columns else F.lit(-1).cast("long")
+        line = content.agg(F.count(F.lit(1)).alias("rows"), given.alias("discounts")).select(
+            F.lit(name).alias("step"), "rows", F.lit(",".join(content.columns)).alias("columns"), "discounts"
         )
         out = line if out is None else out.unionByName(line)
     return out
 
 
+@query(
+    "DML-5 DDL-4 DDL-5",
+    "SELECT o_orderkey AS sale_id, o_totalprice AS total_amount FROM orders",
+)
+def alter_and_restore(spark, sf_dir):
+    """A renamed column, then a change whose write fails half way: the rows of the newest finished version."""
+    base = scratch_dir(spark)
+    sales = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sale_id", "o_totalprice AS sale_amount")
+    day = datetime(2024, 1, 1)
+    write_result_version(sales, base, version_name("sales", day, "a"), "sales")
+    renamed = sales.withColumnRenamed("sale_amount", "total_amount")
+    write_result_version(renamed, base, version_name("sales", day.replace(day=2), "b"), "sales")
+    failing = F.when(F.col("sale_id") % 7 == 0, F.raise_error(F.lit("stop")).cast("double")).otherwise(F.lit(0.0))
+    try:
+        write_result_version(renamed.withColumn("total_amount", failing), base, version_name("sales", day.replace(day=3), "c"), "sales")
+    except Exception as error:  # noqa: BLE001 - the failure is the point
+        if "stop" not in str(error):
+            raise
+    return restore(spark, base, "sales")
+
+
 @query(
     "DML-1 AGG-9",
     """SELECT o_custkey AS customer_id, cast(sum(cast(o_totalprice AS decimal(10,2))) AS double) AS total_revenue FROM orders
@@ -310,10 +355,14 @@ def corpus_run_documents(spark, sf_dir):
 @query(
     "CTL-2 FIL-6 REP-6 REP-7",
     f"""WITH {SCRIPTS_SQL}, p AS (SELECT doc_id, length({SENT}) AS sent, {TOKENS.replace('{c}', SENT)} AS pre FROM scripts)
-    SELECT doc_id, 'SELECT ' || sent AS sql_text FROM p WHERE pre <= 25 AND sent % 5 > 0""",
+    SELECT doc_id, CASE WHEN pre > 25 THEN 'over the token limit' WHEN sent % 5 = 0 THEN 'not converted' WHEN sent % 3 = 0 THEN 'failed'
+        ELSE 'written' END AS status,
+      CASE WHEN pre <= 25 AND sent % 5 > 0 AND sent % 3 = 0 THEN 'refused' ELSE 'none' END AS reason,
+      CASE WHEN pre > 25 OR sent % 5 = 0 OR sent % 3 = 0 THEN 'none' ELSE 'SELECT ' || sent END AS sql_text
+    FROM p""",
 )
 def corpus_run_sql_files(spark, sf_dir):
-    """The stage after the run: each exported document's SQL, asked for and written as a file."""
+    """The stage after the run: what became of every script, and the SQL in the files that were written."""
     base = scratch_dir(spark)
     _written_scripts(spark, sf_dir, f"{base}/in")
     cfg = corpus_run.RunConfig(
@@ -321,8 +370,28 @@ def corpus_run_sql_files(spark, sf_dir):
     )
 
     def to_sql(messages):
-        return re.search(r"SELECT \d+", messages[-1]["content"]).group()
-
-    corpus_run.run_corpus(spark, cfg, _echo, predict_sql=to_sql)
+        statement = re.search(r"SELECT (\d+)", messages[-1]["content"])
+        if int(statement[1]) % 3 == 0:
+            raise CallError(400, "Bad Request", '{"message": "invalid parameter"}')
+        return statement.group()
+
+    done = corpus_run.run_corpus(spark, cfg, _echo, predict_sql=to_sql)
+    stage_rows = spark.read.parquet(f"{base}/result/sql_files").select(
+        stem("python_notebook_path").alias("name"), "success", "error", stem("sql_output_path").alias("made")
+    )
     files = decode_content(read_scripts(spark, f"{base}/sql").select("path", "content"), encoding="utf-8")
-    return files.select(stem("path").cast("long").alias("doc_id"), F.trim("input_file_content").alias("sql_text"))
+    files = files.select(stem("path").alias("made"), F.trim("input_file_content").alias("sql_text"))
+    scripts_ = done.select(
+        stem("input_file_path").alias("name"), "is_conversion_target", "result_content", F.col("result_error").alias("call_error")
+    )
+    asked = F.col("result_content").isNotNull() | F.col("call_error").isNotNull()
+    status = (
+        F.when(F.col("success"), "written").when(F.col("error").isNotNull(), "failed")
+        .when(asked, "not converted").otherwise("over the token limit")
+    )
+    joined = scripts_.join(stage_rows, "name", "left").join(files, "made", "left")
+    reason = F.when(F.col("error").contains("Bad Request"), "refused").otherwise(F.coalesce("error", F.lit("none")))
+    return joined.select(
+        F.col("name").cast("long").alias("doc_id"), status.alias("status"), reason.alias("reason"),
+        F.coalesce("sql_text", F.lit("none")).alias("sql_text"),
+    )

@@ -92,6 +92,8 @@ def test_left_summary_and_paging(spark):
     pages = rel.with_page(spark.range(21), ["id"]).groupBy("page").count().collect()
     assert {r.page: r["count"] for r in pages} == {1: 10, 2: 10, 3: 1}
     assert [r.id for r in rel.page(spark.range(21), ["id"], 3).collect()] == [20]
+    assert [r.id for r in rel.page(spark.range(21), ["-id"], 3).collect()] == [0]
+    assert rel.page(spark.range(21), ["id"], 4).count() == 0
     assert rel.page_count(spark.range(21)).first().pages == 3
 
 
@@ -111,6 +113,60 @@ def test_recursion_ends_and_tells_when_it_comes_round(spark):
     assert rel.recursive(anchor.limit(0), lambda level: level).count() == 0
 
 
+def test_recursion_over_branching_cycles(spark):
+    """a-b-a and a-c-a: the levels grow and never repeat as a whole."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "a")], "src string, dst string")
+    anchor = spark.createDataFrame([("a",)], "node string")
+    onward = lambda level: level.join(edges, level.node == edges.src).select(F.col("dst").alias("node"), *[c for c in level.columns if c != "node"])
+    with pytest.raises(RuntimeError, match="comes round"):
+        rel.recursive(anchor, onward)
+    assert sorted(r.node for r in rel.recursive(anchor, onward, "union").collect()) == ["a", "b", "c"]
+    got = rel.recursive(anchor, onward, "cycle").collect()
+    walks = sorted(("".join(p.node for p in r.path), r.is_cycle) for r in got)
+    assert walks == [("a", False), ("ab", False), ("aba", True), ("ac", False), ("aca", True)]
+    # Counting rows differ on every round, so only their place tells a cycle.
+    counted = anchor.withColumn("n", F.lit(0))
+    step = lambda level: level.join(edges, level.node == edges.src).select(F.col("dst").alias("node"), (F.col("n") + 1).alias("n"), "path")
+    assert rel.recursive(counted, step, "cycle", by=["node"]).count() == 5
+    nulls = spark.createDataFrame([(None,), (None,)], "node string")
+    assert rel.recursive(nulls, lambda level: level, "union").count() == 1
+    with pytest.raises(ValueError, match="unknown mode"):
+        rel.recursive(anchor, onward, "some")
+
+
+def test_seek_pages_in_all_orders(spark):
+    rows = [(None if i % 5 == 0 else i % 3, i) for i in range(23)]
+    df = spark.createDataFrame(rows, "a int, i int")
+    for order in (["a", "i"], ["-a", "i"], ["a", "-i"], ["-a", "-i"]):
+        whole = [tuple(r) for r in df.orderBy(*[F.col(k[1:]).desc() if k[0] == "-" else F.col(k) for k in order]).collect()]
+        seen, after = [], None
+        while part := [tuple(r) for r in rel.seek_page(df, order, after, 4).collect()]:
+            seen, after = seen + part, part[-1]
+        assert seen == whole, order
+        index = rel.page_index(df, order, 4)
+        assert [tuple(r) for n in range(1, 7) for r in rel.page(df, order, n, 4, index).collect()] == whole
+
+
+def test_a_deep_page_bounds_the_scan(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type")
+    last = events.agg(F.max("event_id")).first()[0]
+    plan = rel.seek_page(events, ["event_id"], (last - 5,), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(event_id" in plan and "TakeOrderedAndProject(limit=10" in plan and "offset" not in plan
+
+
+def test_samples_by_fraction_and_within_groups(spark):
+    df = spark.range(20_000).withColumn("g", F.when(F.col("id") < 5, "few").otherwise("many"))
+    part = rel.sample_fraction(df, 0.3, "id", seed=4)
+    assert abs(part.count() - 6000) < 300
+    assert {r.id for r in part.collect()} == {r.id for r in rel.sample_fraction(df.repartition(5), 0.3, "id", seed=4).collect()}
+    assert rel.sample_fraction(df, 1, "id").count() == 20_000 and rel.sample_fraction(df, 0, "id").count() == 0
+    assert "Exchange" not in part._jdf.queryExecution().executedPlan().toString()
+    counts = {r.g: r["count"] for r in rel.sample_n_within(df, ["g"], 50, "id").groupBy("g").count().collect()}
+    assert counts == {"few": 5, "many": 50}
+    with pytest.raises(ValueError, match="fraction"):
+        rel.sample_fraction(df, 1.5, "id")
+
+
 def test_series(spark):
     assert [r.n for r in rel.generate_series(spark, 1, 10, 4).orderBy("n").collect()] == [1, 5, 9]
     assert rel.generate_series(spark, 5, 1).count() == 0

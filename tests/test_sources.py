@@ -117,6 +117,34 @@ def test_written_tables_stay(spark, tmp_path):
     assert first.count() == 3 and second.count() == 6
 
 
+def test_restore_takes_the_newest_finished_version(spark, tmp_path):
+    base = str(tmp_path)
+    assert ver.restore(spark, base, "t") is None
+    for day in (1, 2, 3, 4):
+        ver.write_result_version(spark.range(day), base, f"t_2024010{day}000000_x", "t")
+    ver.write_result_version(spark.range(50), base, "other_20250101000000_x", "other")
+    (tmp_path / "t_20240104000000_x" / "_SUCCESS").unlink()  # as a write that has not ended
+    (tmp_path / "t_20240105000000_x").mkdir()
+    (tmp_path / "t_20240105000000_x" / "part-0.parquet").write_bytes(b"torn")
+    assert sorted(r.name for r in ver.versions(spark, base, "t").collect()) == [f"t_2024010{d}000000_x" for d in (1, 2, 3, 4, 5)]
+    assert sorted(r.id for r in ver.restore(spark, base, "t").collect()) == [0, 1, 2]
+
+
+def test_insert_returning_gives_its_own_rows(spark):
+    name = ver.version_name("returned")
+    spark.sql(f"CREATE TABLE {name} (k BIGINT, v DECIMAL(5,1), w STRING DEFAULT 'none', insert_id STRING) USING PARQUET PARTITIONED BY (insert_id)")
+    try:
+        first = ver.insert_returning(spark, name, spark.createDataFrame([(1, 2.25), (2, None)], "k int, v double"))
+        second = ver.insert_returning(spark, name, spark.createDataFrame([(1, "x")], "k int, w string"))
+        assert sorted((r.k, None if r.v is None else str(r.v), r.w) for r in first.collect()) == [(1, "2.3", "none"), (2, None, "none")]
+        assert [tuple(r) for r in second.collect()] == [(1, None, "x")]
+        plan = second._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(insert_id" in plan
+        assert spark.table(name).count() == 3
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_stage_is_dropped(spark):
     with ver.stage(spark.range(3)) as temp:
         assert temp.count() == 3
