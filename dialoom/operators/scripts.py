@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -277,6 +279,75 @@ def _named(stem_col: Column, k: Column) -> Column:
 
 
 TAKEN_SCHEMA = "parent string, child string, displaced int, threshold long"
+_RUN_SCHEMA = "slice long, run long, parent string, passed long, steps binary"
+
+
+class _Passing:
+    """What a stretch of competing numbers does to the count of numbers passed over before it.
+
+    A number ``k`` is passed over when fewer than ``k - before`` are, and then counts itself. So a
+    stretch maps a count ``c`` to ``c`` plus the number of its ``steps`` that lie above ``c``;
+    stretches that follow each other are applied one after the other.
+    """
+
+    def __init__(self) -> None:
+        self.steps: list[int] = []  # ascending
+
+    def add(self, limit: int) -> None:
+        """A number with ``k - before = limit`` at the stretch's end."""
+        low, high = 0, max(limit, 0)
+        while low < high:  # the least count that the stretch carries to the limit
+            middle = (low + high) // 2
+            if middle + len(self.steps) - bisect.bisect_right(self.steps, middle) >= limit:
+                high = middle
+            else:
+                low = middle + 1
+        if low > 0:
+            bisect.insort(self.steps, low)
+
+
+def _sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first and the last run of stems in each sorted slice: the first one as a function of the
+    incoming count, the last one, if it is another, by the count it ends with."""
+    columns = [c.split()[0] for c in _RUN_SCHEMA.split(", ")]
+    at, stem_, run, passed, passing, head = None, None, -1, 0, _Passing(), None
+
+    def ended() -> list[tuple]:
+        steps = np.array(passing.steps, np.int64).tobytes()
+        return [(at, 0, stem_, passed, steps)] if run == 0 else [head, (at, run, stem_, passed, b"")]
+
+    for batch in batches:
+        out = []
+        for number, parent, k, before in batch[["_slice", "parent", "k", "before"]].itertuples(index=False):
+            if number != at:
+                out += ended() if run >= 0 else []
+                at, stem_, run, passed, passing = number, parent, 0, 0, _Passing()
+            elif parent != stem_:
+                head = ended()[0] if run == 0 else head
+                stem_, run, passed = parent, run + 1, 0
+            if run == 0:
+                passing.add(k - before)
+            passed += passed < k - before
+        yield pd.DataFrame(out, columns=columns)
+    if run >= 0:
+        yield pd.DataFrame(ended(), columns=columns)
+
+
+def _carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The count that reaches each slice's first run, from the runs of a stem in order."""
+    stem_, count = None, 0
+    for batch in batches:
+        out = []
+        for number, run, parent, passed, steps in batch[["slice", "run", "parent", "passed", "steps"]].itertuples(index=False):
+            if parent != stem_:
+                stem_, count = parent, 0
+            if run == 0:
+                out.append((number, count))
+                above = np.frombuffer(steps, np.int64)
+                count += len(above) - int(np.searchsorted(above, count, "right"))
+            else:
+                count = passed
+        yield pd.DataFrame(out, columns=["slice", "incoming"])
 
 
 def _settle_blocks(blocks: DataFrame) -> DataFrame:
@@ -285,16 +356,24 @@ def _settle_blocks(blocks: DataFrame) -> DataFrame:
     ``before`` is how many renamed files of the stem precede the real file ``stem_k``. With ``c``
     numbers passed over so far, ``stem_k`` is the turn of renamed file ``k - c``. Is that file
     later than the real one, the number is passed over from there on (``threshold``); else the
-    real file finds its name taken (``displaced``). Rows stream through; no stem is held whole.
+    real file finds its name taken (``displaced``).
+
+    An associative scan, so that one stem spreads over tasks: the numbers are range-partitioned and
+    written once, each slice is summed up as a step function of the count that comes in, the few
+    functions of slices that a stem crosses are applied in order, and every slice is then walked
+    from its own count.
     """
 
-    def walk(batches):
-        stem, passed = None, 0
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, stem_, passed = None, None, 0
         for batch in batches:
             out = []
-            for parent, k, child, before in batch[["parent", "k", "child", "before"]].itertuples(index=False):
-                if parent != stem:
-                    stem, passed = parent, 0
+            for number, parent, k, child, before, incoming in batch[
+                ["_slice", "parent", "k", "child", "before", "incoming"]
+            ].itertuples(index=False):
+                if number != at or parent != stem_:
+                    passed = incoming if number != at else 0
+                    at, stem_ = number, parent
                 turn = k - passed
                 if turn > before:
                     passed += 1
@@ -305,7 +384,16 @@ def _settle_blocks(blocks: DataFrame) -> DataFrame:
             frame["threshold"] = frame["threshold"].astype("Int64")
             yield frame
 
-    return blocks.repartition("parent").sortWithinPartitions("parent", "k").mapInPandas(walk, TAKEN_SCHEMA)
+    placed = blocks.repartitionByRange("parent", "k").sortWithinPartitions("parent", "k")
+    placed = materialize(placed.withColumn("_slice", F.spark_partition_id().cast("long")))
+    in_slices = placed.repartition("_slice").sortWithinPartitions("_slice", "parent", "k")
+
+    runs = materialize(in_slices.select("_slice", "parent", "k", "before").mapInPandas(_sum_up, _RUN_SCHEMA))
+    in_order = runs.repartition("parent").sortWithinPartitions("parent", "slice", "run")
+    incoming = materialize(in_order.mapInPandas(_carry, "slice long, incoming long"))
+    # One row per slice.
+    started = in_slices.join(F.broadcast(incoming), F.col("_slice") == F.col("slice"), "left").drop("slice")
+    return started.withColumn("incoming", F.coalesce("incoming", F.lit(0))).sortWithinPartitions("_slice", "parent", "k").mapInPandas(walk, TAKEN_SCHEMA)
 
 
 def _competing_numbers(rows: DataFrame, order: str) -> DataFrame | None:

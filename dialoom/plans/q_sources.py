@@ -109,7 +109,7 @@ def archive_members(spark, sf_dir):
         _zipped("doc_id", "source", "text").alias("result_content"),
     )
     materialize(write_text_files(zips, folder, "zip"))
-    return read_archive_members(read_scripts(spark, folder).select("path", "content")).select(
+    return read_archive_members(read_scripts(spark, folder).select("path")).select(
         stem("archive").cast("long").alias("doc_id"),
         F.coalesce("name", F.lit("none")).alias("name"),
         F.coalesce(F.md5("content"), F.lit("none")).alias("content"),

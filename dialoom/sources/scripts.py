@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import codecs
-import io
 import os
 import re
+import struct
 import zipfile
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from dialoom.functions.base import as_col
 from dialoom.operators.ordering import number_rows
+from dialoom.session import materialize, parallelism
 
 GLOB_CHARS = "*?["
 # Archive members to keep; the test is case-sensitive.
@@ -168,48 +170,109 @@ def decode_content(df: DataFrame, raw: str = "content", encoding: str | None = N
     return df.select(*kept, text.alias("input_file_content"), name.alias("input_file_encoding"))
 
 
-MEMBER_COLUMNS = ["archive", "member", "name", "content", "error"]
+DIRECTORY_SCHEMA = "archive string, member string, place long, packed long, size long, method int, crc long, error string"
 MEMBER_SCHEMA = "archive string, member string, name string, content binary, error string"
 # Unpacked members leave a task in batches of at most this size.
 MEMBER_BATCH_BYTES, MEMBER_BATCH_ROWS = 32 << 20, 2000
+#: Fixed values of the zip format: size and signature of a member's header, where its name and extra lengths stand.
+_HEADER, _SIGNATURE, _LENGTHS = 30, b"PK\x03\x04", slice(26, 30)
+_STORED, _DEFLATED, _ENCRYPTED = 0, 8, 1
 
 
-def read_archive_members(df: DataFrame, suffixes: Sequence[str] = ARCHIVE_SUFFIXES) -> DataFrame:
-    """(path, content) of zip files -> one row per member with a wanted suffix.
+def open_binary(path: str):
+    """A seekable file of any storage that Arrow knows; only what is read is fetched."""
+    from pyarrow import fs
 
-    The member's folder separators become underscores in ``name``. A zip's directory is at its
-    end, so one archive is one row of work; many archives spread over the tasks. An archive or a
-    member that cannot be read gives a row with ``error`` and no content.
-    """
+    if path.startswith("file:") or ":" not in path.split("/", 1)[0]:
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")  # noqa: SIM115 - closed by the caller
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
+def archive_directory(paths: DataFrame, suffixes: Sequence[str] = ARCHIVE_SUFFIXES, opened: Callable = open_binary) -> DataFrame:
+    """One row per member with a wanted suffix: where its bytes lie in the archive. Only directories are read."""
     wanted = tuple(suffixes)
 
-    def unpacked(path: str, data: bytes | None) -> Iterator[tuple]:
+    def entries(path: str) -> Iterator[tuple]:
         try:
-            with zipfile.ZipFile(io.BytesIO(data or b"")) as archive:
-                for member in archive.namelist():
-                    if member.endswith(wanted):
-                        name = member.replace("/", "_")
-                        try:
-                            yield path, member, name, archive.read(member), None
-                        except Exception as error:  # noqa: BLE001 - a member's fault is its row's
-                            yield path, member, name, None, str(error) or type(error).__name__
+            with opened(path) as file, zipfile.ZipFile(file) as archive:
+                for m in archive.infolist():
+                    if m.filename.endswith(wanted):
+                        fault = "the member is encrypted" if m.flag_bits & _ENCRYPTED else None
+                        yield path, m.filename, m.header_offset, m.compress_size, m.file_size, m.compress_type, m.CRC, fault
         except Exception as error:  # noqa: BLE001 - an archive's fault is its row's
-            yield path, None, None, None, str(error) or type(error).__name__
+            yield path, None, None, None, None, None, None, str(error) or type(error).__name__
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, held = [], 0
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                for row in unpacked(path, data):
-                    held += len(row[3] or b"")
-                    out.append(row)
+            rows = [row for path in batch["path"] for row in entries(path)]
+            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in DIRECTORY_SCHEMA.split(", ")])
+            yield frame.astype({"place": "Int64", "packed": "Int64", "size": "Int64", "method": "Int32", "crc": "Int64"})
+
+    return paths.select("path").mapInPandas(run, DIRECTORY_SCHEMA)
+
+
+def _unpacked(file, place: int, packed: int, size: int, method: int, crc: int) -> bytes:
+    """A member from its own range of the archive."""
+    file.seek(place)
+    header = file.read(_HEADER)
+    if header[:4] != _SIGNATURE or len(header) < _HEADER:
+        raise zipfile.BadZipFile("no member begins at its place")
+    # The lengths here may differ from the directory's.
+    file.seek(place + _HEADER + sum(struct.unpack("<HH", header[_LENGTHS])))
+    data = file.read(packed)
+    if method == _DEFLATED:
+        data = zlib.decompress(data, -15, max(size, 1))
+    elif method != _STORED:
+        raise NotImplementedError(f"compression method {method}")
+    if len(data) != size or zlib.crc32(data) != crc:
+        raise zipfile.BadZipFile("the member's checksum differs")
+    return data
+
+
+def read_archive_members(
+    paths: DataFrame, suffixes: Sequence[str] = ARCHIVE_SUFFIXES, opened: Callable = open_binary
+) -> DataFrame:
+    """Zip files in ``path`` -> one row per member with a wanted suffix.
+
+    First the directories of all archives, then the members dealt over the tasks, each read by its
+    own range: no row holds an archive, whatever its size, and the members of one archive spread.
+    The member's folder separators become underscores in ``name``. An archive or a member that
+    cannot be read gives a row with ``error`` and no content. ``opened`` opens a path for seeking.
+    """
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, at, out, held = None, None, [], 0
+        frame = lambda: pd.DataFrame(out, columns=[c.split()[0] for c in MEMBER_SCHEMA.split(", ")])
+        try:
+            for batch in batches:
+                for path, member, place, packed, size, method, crc, fault in batch.itertuples(index=False):
+                    content, error = None, fault
+                    if error is None:
+                        try:
+                            if path != at:
+                                if file is not None:
+                                    file.close()
+                                file, at = None, None
+                                file, at = opened(path), path
+                            content = _unpacked(file, int(place), int(packed), int(size), int(method), int(crc))
+                        except Exception as found:  # noqa: BLE001 - a member's fault is its row's
+                            error = str(found) or type(found).__name__
+                    out.append((path, member, None if member is None else member.replace("/", "_"), content, error))
+                    held += len(content or b"")
                     if held > MEMBER_BATCH_BYTES or len(out) >= MEMBER_BATCH_ROWS:
-                        yield pd.DataFrame(out, columns=MEMBER_COLUMNS)
+                        yield frame()
                         out, held = [], 0
-        if out:
-            yield pd.DataFrame(out, columns=MEMBER_COLUMNS)
-
-    return df.select("path", "content").mapInPandas(members, MEMBER_SCHEMA)
+            if out:
+                yield frame()
+        finally:
+            if file is not None:
+                file.close()
+
+    # Written, so that no directory is read twice; neighbours in an archive share its open file.
+    found = materialize(archive_directory(paths, suffixes, opened))
+    dealt = found.repartition(parallelism(paths.sparkSession), "archive", F.floor(F.coalesce("place", F.lit(0)) / MEMBER_BATCH_BYTES))
+    return dealt.sortWithinPartitions("archive", "place").mapInPandas(members, MEMBER_SCHEMA)
 
 
 def read_external_csv(spark: SparkSession, location: str, schema: T.StructType | str) -> DataFrame:

@@ -1,4 +1,5 @@
 import ast
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -150,6 +151,50 @@ def test_unique_paths_on_random_lists(spark):
         assert [r.output_path for r in got] == ["/o/" + n for n in greedy(stems)]
 
 
+def test_stretches_of_numbers_compose():
+    rng = random.Random(3)
+    for _ in range(200):
+        limits = [rng.randint(-3, 30) for _ in range(rng.randint(0, 40))]
+        passing = ops._Passing()
+        for limit in limits:
+            passing.add(limit)
+        for count in range(45):
+            walked = count
+            for limit in limits:
+                walked += walked < limit
+            assert walked == count + sum(step > count for step in passing.steps)
+
+
+def test_one_stem_with_many_namesakes_spreads_over_tasks(spark):
+    """200,000 real files a_k beside the files of a, in eight slices, against a plain walk."""
+    n = 200_000
+    before = [(k * 7919) % n for k in range(n)]
+    rows = spark.range(n).select(
+        F.lit("a").alias("parent"), (F.col("id") + 1).alias("k"), F.concat(F.lit("a_"), (F.col("id") + 1).cast("string")).alias("child"),
+        (F.col("id") * 7919 % n).alias("before"),
+    )
+    few = spark.createDataFrame([("b", 1, "b_1", 0), ("b", 2, "b_2", 5), ("Z", 1, "Z_1", 3)], rows.schema)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        done = ops._settle_blocks(rows.unionByName(few)).withColumn("task", F.spark_partition_id())
+        got = done.collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    passed, want = 0, {"b_1": (0, 1), "b_2": (1, None), "Z_1": (1, None)}
+    for k in range(1, n + 1):
+        turn = k - passed
+        if turn > before[k - 1]:
+            passed += 1
+            want[f"a_{k}"] = (0, turn)
+        else:
+            want[f"a_{k}"] = (1, None)
+    assert {r.child: (r.displaced, r.threshold) for r in got} == want
+    assert len({r.task for r in got if r.parent == "a"}) >= 4
+
+
 def test_split_marked_files(spark):
     text = "x\n# === a.yml ===\nk: 1\n# === b/c.sql ===  \nSELECT 1\n# === empty ==="
     rows = ops.split_marked_files(frame(spark, [text, "none", None]), "id", "code").orderBy("file_no").collect()

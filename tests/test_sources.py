@@ -1,5 +1,6 @@
 import io
 import os
+import random
 import sys
 import zipfile
 
@@ -67,17 +68,69 @@ def test_decoding(spark):
     assert src.decode_content(bad, encoding="windows-1252").first().input_file_content == "aÿb€"
 
 
-def test_archives(spark):
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as archive:
+def test_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as archive:
         for name in ("d/a.sql", "b.bteq", "c.SQL", "e.txt"):
             archive.writestr(name, name)
-    df = spark.createDataFrame([("z.zip", buffer.getvalue())], "path string, content binary")
-    got = sorted((r.archive, r.member, r.name, bytes(r.content)) for r in src.read_archive_members(df).collect())
-    assert got == [("z.zip", "b.bteq", "b.bteq", b"b.bteq"), ("z.zip", "d/a.sql", "d_a.sql", b"d/a.sql")]
-    bad = spark.createDataFrame([("x.zip", b"no zip"), ("y.zip", None)], "path string, content binary")
-    rows = src.read_archive_members(bad.unionByName(df)).collect()
-    assert len(rows) == 4 and {r.archive for r in rows if r.error} == {"x.zip", "y.zip"}
+        archive.writestr("empty.sql", "")
+        archive.writestr("packed.sql", "select " * 5000, zipfile.ZIP_DEFLATED)
+        archive.writestr("other.sql", "x" * 100, zipfile.ZIP_BZIP2)
+    (tmp_path / "x.zip").write_bytes(b"no zip")
+    whole = (tmp_path / "z.zip").read_bytes()
+    at = whole.index(b"d/a.sql") + len("d/a.sql")
+    (tmp_path / "torn.zip").write_bytes(whole[:at] + b"D" + whole[at + 1 :])  # one changed byte in one member
+    (tmp_path / "half.zip").write_bytes(whole[: len(whole) // 2])
+    df = spark.createDataFrame([(str(tmp_path / f"{n}.zip"),) for n in ("z", "x", "torn", "half", "gone")], "path string")
+    rows = src.read_archive_members(df).collect()
+    got = {(os.path.basename(r.archive), r.member): r for r in rows}
+    assert {k: bytes(r.content) for k, r in got.items() if r.error is None and k[0] == "z.zip"} == {
+        ("z.zip", "d/a.sql"): b"d/a.sql", ("z.zip", "b.bteq"): b"b.bteq", ("z.zip", "empty.sql"): b"", ("z.zip", "packed.sql"): b"select " * 5000,
+    }
+    assert got["z.zip", "d/a.sql"].name == "d_a.sql"
+    assert "compression method 12" in got["z.zip", "other.sql"].error
+    assert got["torn.zip", "d/a.sql"].content is None and "checksum" in got["torn.zip", "d/a.sql"].error
+    assert got["torn.zip", "packed.sql"].error is None
+    assert all(got[f"{n}.zip", None].error for n in ("x", "half", "gone")) and len(rows) == 13
+
+
+def test_members_of_one_archive_spread_and_are_read_by_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as archive:
+        for k in range(40):
+            archive.writestr(f"{k}.sql", rng.randbytes(300_000))
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def opened(path):
+        import uuid
+
+        class Counted(io.FileIO):
+            seen = 0
+
+            def read(self, n=-1):
+                data = super().read(n)
+                Counted.seen += len(data)
+                return data
+
+            def close(self):
+                if not self.closed:
+                    (log / uuid.uuid4().hex).write_text(str(Counted.seen))
+                    Counted.seen = 0
+                super().close()
+
+        return Counted(path)
+
+    paths = spark.createDataFrame([(str(tmp_path / "big.zip"),)], "path string")
+    before = src.MEMBER_BATCH_BYTES
+    try:
+        src.MEMBER_BATCH_BYTES = 1_000_000
+        members = src.read_archive_members(paths, opened=opened)
+        tasks = members.withColumn("task", F.spark_partition_id()).select("task", "member").collect()
+    finally:
+        src.MEMBER_BATCH_BYTES = before
+    assert len(tasks) == 40 and len({r.task for r in tasks}) > 1
+    read = [int(p.read_text()) for p in log.iterdir()]
+    assert sum(read) < 2 * 40 * 300_000 and max(read) < 0.9 * 40 * 300_000
 
 
 def test_external_csv(spark, tmp_path):
