@@ -3,18 +3,21 @@
 A bucket holds sets that may be alike. Its pairs are compared on full sets, exactly, without a pair
 table and without all pairs of a group:
 
-1. Buckets are thinned by sketches: of the tokens that fall into one cell, a sketch has the parity,
-   so two sketches differ in no more cells than their sets in tokens. Pairs that differ too much
-   for the threshold are no candidates; what hangs together by candidates stays a bucket. Sketches
-   take a hundredth of their sets, and sets are read for what remains only.
-2. Every set goes to one of its buckets. A heavy bucket is cut into blocks, and a few pivots of the
+1. Every set goes to its largest bucket. A heavy bucket is cut into blocks, and a few pivots of the
    bucket join every block, so that copies of one text are linked in one pass over the bucket.
-3. Components of these links are labels. Buckets with one label are done. In the others only sets
-   of different labels are compared: light buckets as a whole, heavy ones by pairs of blocks. A
-   label with much of a bucket has blocks of its own, which are not compared with each other.
+2. Components of these links are labels. One set of every label in a bucket is compared with those
+   of its other labels, which joins most labels of one group.
+3. What is left are pairs of different labels in one bucket: light buckets are compared as a whole,
+   heavy ones by pairs of blocks. A label with much of a bucket has blocks of its own, which are not
+   compared with each other.
+
+Before sets are read, sketches thin each unit of work: of the tokens that fall into one cell, a
+sketch has the parity, so two sketches differ in no more cells than their sets in tokens. Pairs that
+differ too much for the threshold, or have one label, are no candidates; what hangs together by
+candidates is a unit. Sketches take a hundredth of their sets.
 
 So a bucket of n copies costs some n comparisons, whatever n; the pairs across labels, and no other
-pairs, are left for the second pass, and none of these is dropped.
+pairs, are left for the last pass, and none of these is dropped.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from dialoom.session import materialize
 #: Work of a unit: shingles of its sets, with ``ROW_WORK`` for each set.
 UNIT, ROW_WORK = 400_000, 500
 PIVOTS = 8
-#: Work of a bucket that is thinned as a whole. Heavier ones are cut into units first.
-THINNED = 4 * UNIT
+#: Sets of a bucket that is thinned as a whole. Larger ones are cut into units first.
+THINNED = 3000
 #: Keys that are broadcast when a table of keys is joined: those with the most rows.
 HOT = 1000
 
@@ -75,16 +78,16 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def candidates(sizes: list[int], sketches: list[bytes], per_cent: int) -> list[int]:
-    """For each set the smallest one that it hangs together with by candidate pairs."""
+def candidates(sizes: list[int], sketches: list[bytes], per_cent: int, labels: list[bytes] | None = None) -> list[int]:
+    """For each set the smallest one that it hangs together with by candidate pairs (of different labels)."""
     near = np.zeros((len(sizes), len(sizes)), bool)
     if len(sizes) <= 12:  # whole numbers are the quickest way for few sets
         numbers = [int.from_bytes(x, "little") for x in sketches]
         for b in range(1, len(sizes)):
             for a in range(b):
                 small, large = (a, b) if len(sketches[a]) <= len(sketches[b]) else (b, a)
-                if len(sketches[large]) > 2 * len(sketches[small]):
-                    continue  # sizes too far apart
+                if len(sketches[large]) > 2 * len(sketches[small]) or labels and labels[a] == labels[b]:
+                    continue  # sizes too far apart, or joined already
                 x, y, cells = numbers[small], numbers[large], 8 * len(sketches[small])
                 if len(sketches[large]) > len(sketches[small]):
                     y = (y >> cells) ^ (y & ((1 << cells) - 1))
@@ -110,6 +113,10 @@ def candidates(sizes: list[int], sketches: list[bytes], per_cent: int) -> list[i
         if 2 * width in bits:  # cells of the wider ones fold onto the narrower ones
             b, y = bits[2 * width]
             compare(a, x, b, y[:, : 8 * width] ^ y[:, 8 * width :])
+    if labels:
+        names = {label: k for k, label in enumerate(set(labels))}
+        number = np.array([names[label] for label in labels])
+        near &= number[:, None] != number[None, :]
     return groups_of(near)
 
 
@@ -132,17 +139,18 @@ def _thin(per_cent: int):
         out: list[tuple[int, bytes]] = []
 
         def settle() -> None:
-            label = candidates([n for _, n, _ in rows], [s for *_, s in rows], per_cent)
+            nodes, sizes, sketches, labels = zip(*rows, strict=True)
+            group = candidates(sizes, sketches, per_cent, labels)
             met: dict[int, int] = {}
-            for root in label:
+            for root in group:
                 met[root] = met.get(root, 0) + 1
-            for k, root in enumerate(label):
+            for node, root in zip(nodes, group, strict=True):
                 if met[root] > 1:
                     name = mix(np.array([unit], np.int64).view(np.uint64) + np.uint64(root)).view(np.int64)
-                    out.append((int(name[0]), rows[k][0]))
+                    out.append((int(name[0]), node))
 
         for batch in batches:
-            for u, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for u, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if u != unit:
                     if len(rows) > 1:
                         settle()
@@ -163,9 +171,9 @@ def _unit_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def _thinned(units: DataFrame, facts: DataFrame, per_cent: int) -> DataFrame:
-    """``unit, node`` of the units' groups, equal ones once."""
-    rows = units.join(facts, "node").select("unit", "node", "n_shingles", "sketch")
+def _thinned(units: DataFrame, per_cent: int) -> DataFrame:
+    """``unit, node`` of the candidates' groups in ``unit, node, n_shingles, sketch, label``, equal groups once."""
+    rows = units.select("unit", "node", "n_shingles", "sketch", "label")
     placed = rows.repartition("unit").sortWithinPartitions("unit", "node")
     return _once(placed.mapInArrow(_thin(per_cent), "unit bigint, node binary"))
 
@@ -249,57 +257,48 @@ def _once(units: DataFrame) -> DataFrame:
     return materialize(rows.join(wanted, "unit", "left_semi"))
 
 
-def _blocks(work: str, rows: str) -> Column:
-    return F.least(F.ceil(F.col(work) / F.lit(UNIT)), F.ceil(F.col(rows) / 2)).cast("int")
+def _blocks(work: str, count: str) -> Column:
+    return F.least(F.ceil(F.col(work) / F.lit(UNIT)), F.ceil(F.col(count) / 2)).cast("int")
 
 
 def _sums(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("work").alias("total"))
 
 
-def _home_units(members: DataFrame) -> DataFrame:
-    """Each set in one bucket; blocks of heavy buckets, each with the bucket's pivots."""
-    home = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("bucket"), "bucket", "work")).alias("h"))
-    home = materialize(home.select("node", "h.bucket", "h.work"))
+def _home_units(home: DataFrame) -> DataFrame:
+    """``unit`` and all columns of ``bucket, node, work, ...``: blocks of heavy buckets, each with the bucket's pivots."""
     sums = materialize(_sums(home, "bucket").filter("n > 1"))
     sized = materialize(join_hot(home, sums, ["bucket"], "n").withColumn("blocks", _blocks("total", "n")))
-    own = sized.select(F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("unit"), "node")
-    # A bounded top list per bucket, by two minima: of every block, then of the bucket's blocks.
-    mark = F.struct(F.xxhash64("node", F.lit(2)).alias("h"), F.col("node").alias("node"))
+    own = sized.withColumn("unit", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    # Pivots: the smallest hash in each of a few lanes of the bucket.
+    columns = [c for c in home.columns if c != "bucket"]
     first = sized.filter("blocks > 1").withColumn("lane", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PIVOTS)))
-    pivots = first.groupBy("bucket", "blocks", "lane").agg(F.min(mark).alias("m")).select("bucket", "blocks", "m.node")
-    everywhere = pivots.select("bucket", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
-    return own.unionByName(everywhere.select(F.xxhash64("bucket", "block").alias("unit"), "node"))
-
-
-def _cross_units(members: DataFrame, labels: DataFrame, facts: DataFrame, per_cent: int) -> DataFrame:
-    """What is left to compare: sets of different labels in one bucket."""
-    named = members.join(labels, "node", "left").select("bucket", "node", "work", F.coalesce("root", "node").alias("label"))
-    named = materialize(named)
-    several = named.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("work").alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi")
-    ).filter("lo <> hi")
-    rest = materialize(join_hot(named, materialize(several.select("bucket", "n", "total")), ["bucket"], "n"))
-    light = rest.filter(F.col("total") <= UNIT).select(F.xxhash64("bucket").alias("unit"), "node")
-    heavy = rest.filter(F.col("total") > UNIT).select("bucket", "node", "work", "label")
+    least = F.min(F.struct(F.xxhash64("node", F.lit(2)).alias("h"), *columns)).alias("m")
+    pivots = first.groupBy("bucket", "blocks", "lane").agg(least).select("bucket", "blocks", *[f"m.{c}" for c in columns])
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block")
+    everywhere = pivots.select("*", block).withColumn("unit", F.xxhash64("bucket", "block"))
+    return own.select("unit", *columns).unionByName(everywhere.select("unit", *columns)).dropDuplicates(["unit", "node"])
+
+
+def _cross_units(rows: DataFrame) -> DataFrame:
+    """``unit`` and all columns of rows of heavy buckets: pairs of blocks that may hold different labels."""
+    columns = [c for c in rows.columns if c != "bucket"]
     # A label with more than a unit's work has cells of its own, the others share cells.
-    parts = materialize(_sums(heavy, "bucket", "label").withColumn("owner", F.when(F.col("total") > UNIT, F.col("label")).otherwise(F.lit(b""))))
+    own_cells = F.when(F.col("total") > UNIT, F.col("label")).otherwise(F.lit(b""))
+    parts = materialize(_sums(rows, "bucket", "label").withColumn("owner", own_cells))
     plan = parts.groupBy("bucket", "owner").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     plan = materialize(plan.select("bucket", "owner", "n", _blocks("total", "n").alias("blocks")))
     owned = parts.filter("owner <> x''").select("bucket", "label", "n", "owner")
-    placed = join_hot(heavy, owned, ["bucket", "label"], "n", "left").withColumn("owner", F.coalesce("owner", F.lit(b""))).drop("n")
-    placed = join_hot(placed, plan, ["bucket", "owner"], "n").select(
-        "bucket", "owner", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node"
-    )
-    cells = plan.select("bucket", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
-    cell = cells.select("bucket", F.struct("owner", "block").alias("x"))
+    placed = join_hot(rows, owned, ["bucket", "label"], "n", "left").withColumn("owner", F.coalesce("owner", F.lit(b""))).drop("n")
+    placed = join_hot(placed, plan, ["bucket", "owner"], "n").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block")
+    cell = plan.select("bucket", "owner", block).select("bucket", F.struct("owner", "block").alias("x"))
     pairs = cell.join(cell.withColumnRenamed("x", "y"), "bucket").filter(
         (F.col("x") <= F.col("y")) & ((F.col("x.owner") != F.col("y.owner")) | (F.col("x.owner") == F.lit(b"")))
     )
     unit = F.xxhash64("bucket", "x", "y").alias("unit")
     sides = pairs.select("bucket", "x.*", unit).unionByName(pairs.select("bucket", "y.*", unit)).distinct()
-    dealt = placed.join(sides, ["bucket", "owner", "block"]).select("unit", "node")
-    return light.unionByName(_thinned(dealt, facts, per_cent))
+    return placed.join(sides, ["bucket", "owner", "block"]).select("unit", *columns)
 
 
 def links_in_buckets(
@@ -307,20 +306,40 @@ def links_in_buckets(
 ) -> DataFrame:
     """``a, b``: links that join all sets linked within some bucket.
 
-    ``members`` has distinct rows ``bucket, node`` (``bucket`` a long), ``facts`` a row ``node,
-    n_shingles, sketch`` for each node; both are read several times, so they should be written
-    tables. ``sets_of`` gives ``node, shingles`` for a table of nodes.
+    ``members`` has distinct rows ``bucket, key, n`` (longs; ``n`` the rows of the bucket), ``facts``
+    a row ``key, node, n_shingles, sketch`` for each key; both are read several times, so they
+    should be written tables. ``sets_of`` gives ``node, shingles`` for a table of nodes.
     """
-    weighed = materialize(members.join(facts.select("node", (F.col("n_shingles") + ROW_WORK).alias("work")), "node"))
-    sums = _sums(weighed, "bucket").filter(F.col("total") > THINNED).select("bucket", "n", F.lit(True).alias("heavy"))
-    marked = join_hot(weighed, materialize(sums), ["bucket"], "n", "left")
-    light = _thinned(marked.filter("heavy is null").select(F.col("bucket").alias("unit"), "node"), facts, per_cent)
-    light = light.withColumnRenamed("unit", "bucket").join(facts.select("node", (F.col("n_shingles") + ROW_WORK).alias("work")), "node")
-    buckets = materialize(light.select("bucket", "node", "work").unionByName(marked.filter("heavy").select("bucket", "node", "work")))
-    sets = materialize(sets_of(materialize(buckets.select("node").distinct())))
-    first = _links(_once(_home_units(buckets)), sets, per_cent)
-    labels = components(first).select("node", "root")
-    return first.unionByName(_links(_once(_cross_units(buckets, labels, facts, per_cent)), sets, per_cent))
+    work = (F.col("n_shingles") + ROW_WORK).alias("work")
+    plain = facts.select("key", "node", "n_shingles", "sketch", work)
+    own = F.col("node").alias("label")
+
+    def compared(units: DataFrame) -> DataFrame:
+        units = materialize(units)
+        sets = materialize(sets_of(units.select("node").distinct()))
+        return _links(units, sets, per_cent)
+
+    # Neither side of these joins is small by design, so none is left to a size.
+    home = members.groupBy("key").agg(F.max(F.struct("n", "bucket")).alias("h")).select("key", "h.bucket")
+    home = materialize(home.join(plain.hint("merge"), "key").drop("key").withColumn("label", own))
+    links = compared(_thinned(_home_units(home), per_cent))
+
+    labels = materialize(components(links).select("node", F.col("root").alias("label")))
+    named = plain.join(labels, "node").select("key", "label", "node", "n_shingles", "sketch")
+    heads = members.join(named.hint("merge"), "key").groupBy("bucket", "label").agg(
+        F.min(F.struct(F.xxhash64("node", "bucket"), "node", "n_shingles", "sketch")).alias("m")
+    )
+    heads = materialize(heads.select("bucket", "label", "m.node", "m.n_shingles", "m.sketch", F.lit(0).alias("work")))
+    sums = heads.groupBy("bucket").agg(F.count("*").alias("n"))
+    few = heads.join(sums.filter(F.col("n").between(2, THINNED)).select("bucket"), "bucket", "left_semi")
+    links = links.unionByName(compared(_thinned(few.withColumnRenamed("bucket", "unit"), per_cent)))
+
+    labels = materialize(components(links).select("node", F.col("root").alias("label")))
+    named = materialize(plain.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    rest = members.join(named.hint("merge"), "key").drop("key")
+    light = _thinned(rest.filter(F.col("n") <= THINNED).withColumnRenamed("bucket", "unit"), per_cent)
+    heavy = _cross_units(materialize(rest.filter(F.col("n") > THINNED).drop("n")))
+    return links.unionByName(compared(_once(light.unionByName(_thinned(heavy, per_cent)))))
 
 
 def grouped(signed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -228,10 +228,9 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     named = signed.filter("doc_id is not null and node is not null")
     classes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *first))
     keys = materialize(texts.filter("doc_id is not null").select("text").mapInArrow(_index(shared, n, per_cent), "bucket bigint, key bigint"))
-    # A set that several tasks have met counts several times here; its bucket is dropped later on.
-    several = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    met = keys.join(several, "bucket", "left_semi").distinct()
-    members = materialize(met.join(classes.select("key", "node"), "key").select("bucket", "node"))
+    # A set that several tasks have met counts several times here; it has no candidates then.
+    several = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialize(keys.join(several.hint("merge"), "bucket").distinct())
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         readers = classes.join(nodes, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")

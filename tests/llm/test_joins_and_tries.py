@@ -218,6 +218,7 @@ class TestNgramJoin:
         monkeypatch.setattr(ngram_join, "COUNTERS", 64)
         monkeypatch.setattr(ngram_join, "VERY", 3)
         monkeypatch.setattr(linking, "UNIT", 4000)
+        monkeypatch.setattr(linking, "THINNED", 20)
         self.compare(spark, self.rows(), per_cent)
 
     def test_similar_sets_share_a_key(self):
