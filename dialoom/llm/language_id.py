@@ -6,7 +6,9 @@ are trained with follow-the-regularised-leader (per-coordinate rates, elastic-ne
 weights stay exactly zero) on a bounded sample of labelled documents, chosen by a hash of the id:
 ``SAMPLE`` of them in expectation, and ``LEAST`` of every language in expectation, or all it has.
 So every labelled language can be predicted whatever the table's size, and the sample has at most
-``SAMPLE + LEAST * languages`` documents in expectation. A fifth of it fits the temperature that
+``SAMPLE + LEAST * languages`` documents in expectation. A label column may hold rubbish: the
+``LANGUAGES`` labels with the most documents are learned (ties by name), which bounds the driver's
+memory. Weights are kept and sent as the non-zero ones of each feature. A fifth of it fits the temperature that
 calibrates the probabilities, but one document at least of every language trains.
 Prediction is one pass over the documents without an exchange.
 
@@ -21,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 
 from dialoom.llm.common import hash_fraction
 from dialoom.llm.shingles import mix
+from dialoom.session import small_table
 
 UNKNOWN = "und"
 BITS = 15  # of the feature numbers
 LARGEST = 4  # letters in an n-gram, word bounds included
 SAMPLE = 2000  # labelled documents that train and calibrate, in expectation
 LEAST = 100  # of them from every language, or all it has
+LANGUAGES = 500  # labels that are learned at most, those with the most documents
 FOLDS = 5  # one document in so many is held out
 EPOCHS = 4
 #: Rate, smoothing, and the elastic net: L1 and L2 penalties of the leader's objective.
@@ -64,10 +67,18 @@ def letters_of(text: str | None) -> np.ndarray | None:
     return np.concatenate(([0], kept[keep], [0] if letter[-1] else [])).astype(np.uint32)
 
 
-@lru_cache(maxsize=1)
+_LETTERS: list[np.ndarray] = []
+
+
 def _letter_table() -> np.ndarray:
-    """Whether each code point is a letter."""
-    return np.array([chr(p).isalpha() for p in range(0x110000)], bool)
+    """Whether each code point is a letter; made once in a task.
+
+    A plain function and a list, which travel to the tasks by value; a caching decorator's object
+    travels by name and would need the package there.
+    """
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000))
+    return _LETTERS[0]
 
 
 def ngram_counts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +112,29 @@ def _weights(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
 
 @dataclass
 class Model:
+    """``place`` and ``weights`` hold the non-zero weights' languages and values, feature after feature;
+    those of feature f begin at ``starts[f]``."""
+
     languages: list[str]
-    weights: np.ndarray  # feature x language
+    starts: np.ndarray
+    place: np.ndarray
+    weights: np.ndarray
     bias: np.ndarray
     idf: np.ndarray
     temperature: float
 
+    def scores(self, found: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The languages' scores of a text with these features."""
+        begin, sizes = self.starts[found], self.starts[found + 1] - self.starts[found]
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.bincount(self.place[at], self.weights[at] * np.repeat(values, sizes), minlength=len(self.languages)) + self.bias
+
+
+def _sparse(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, place = np.nonzero(weights)
+    starts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(weights)))))
+    return starts.astype(np.int64), place.astype(np.int32), weights[at, place].astype(np.float32)
+
 
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases. ``rows`` hold feature numbers and values; the last feature is the bias."""
@@ -189,7 +217,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     ).filter(F.col("lang").isNotNull() & ~held_out("id"))
     # One row per language; texts without letters teach nothing and take no place in the sample.
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = ours.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(lettered).alias("useful")).collect()
+    counts = ours.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(lettered).alias("useful"))
+    found = counts.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
     if not found:
         return None
     base = sample / sum(row["n"] for row in found)
@@ -205,8 +234,10 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             frequency[row["feature"]] = row["n"]
     idf = np.log((1.0 + texts) / (1.0 + frequency)) + 1.0
     draw = hash_fraction(F.col("id"), seed=10)
-    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")] if rates else F.lit(0.0)
-    chosen = ours.filter(lettered & (draw < rate)).select("text", "lang", hash_fraction(F.col("id"), seed=11).alias("part"))
+    rate = small_table(docs.sparkSession, list(rates.items()), [("lang", "string"), ("rate", "double")])
+    # A label that is not learned has no rate; the table has at most LANGUAGES rows.
+    drawn = ours.join(F.broadcast(rate), "lang").filter(lettered & (draw < F.col("rate")))
+    chosen = drawn.select("text", "lang", hash_fraction(F.col("id"), seed=11).alias("part"))
     examples = chosen.mapInArrow(_features, "lang string, part double, found binary, counts binary").collect()
     examples.sort(key=lambda r: (r["part"], r["lang"], r["found"]))
     languages = sorted({r["lang"] for r in examples}) or [min(row["lang"] for row in found)]
@@ -222,7 +253,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     both = np.vstack([weights, bias[None, :]])
     rest = [v @ both[f] for (f, v), fit in zip(vectors, fits, strict=True) if not fit]
     temperature = fit_temperature(np.array(rest).reshape(len(rest), len(languages)), labels[~fits])
-    return Model(languages, weights.astype(np.float32), bias, idf, temperature)
+    return Model(languages, *_sparse(weights), bias, idf, temperature)
 
 
 def predict(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
@@ -230,12 +261,11 @@ def predict(docs: DataFrame, model: Model | None, text_column: str = "text") ->
     text = F.col(text_column)
     if model is None:
         return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (model.languages, model.weights, model.bias, model.idf, model.temperature)
-    )
+    # Plain values: a class of this package would travel in a broadcast by name.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        languages, weights, bias, idf, temperature = shared.value
+        model = Model(*shared.value)
         for texts in batches:
             out = []
             for value in texts:
@@ -244,9 +274,9 @@ def predict(docs: DataFrame, model: Model | None, text_column: str = "text") ->
                     out.append((UNKNOWN, 0.0))
                     continue
                 found, counts = ngram_counts(points)
-                scores = (_weights(found, counts, idf) @ weights[found] + bias) / temperature
+                scores = model.scores(found, _weights(found, counts, model.idf)) / model.temperature
                 p = np.exp(scores - scores.max())
-                out.append((languages[int(p.argmax())], float(p.max() / p.sum())))
+                out.append((model.languages[int(p.argmax())], float(p.max() / p.sum())))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

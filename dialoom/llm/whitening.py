@@ -247,10 +247,18 @@ class Model:
     explained: np.ndarray
     identity_error: float = 0.0
 
+    def parts(self) -> tuple:
+        """Plain values for a broadcast, where a class of this package would travel by name."""
+        return self.moments.rows, self.moments.sums, self.values, self.vectors, self.explained, self.identity_error
+
     def whiten(self, x: np.ndarray) -> np.ndarray:
         return self.moments.centred(x) @ (self.vectors / np.sqrt(self.values))
 
 
+def _model(rows: int, sums: list[int], *rest) -> Model:
+    return Model(Moments(rows, sums), *rest)
+
+
 def on_grid(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``vec_id, x``: the usable vectors with their entries as whole numbers."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
@@ -281,12 +289,12 @@ def fit(grid: DataFrame, count: int = COMPONENTS) -> Model | None:
     trace = float(np.trace(covariance))
     model = Model(moments, values, vectors, values / trace if trace else values)
     if len(values):
-        shared = grid.sparkSession.sparkContext.broadcast(model)
+        shared = grid.sparkSession.sparkContext.broadcast(model.parts())
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = 0.0
+            sent, total = _model(*shared.value), 0.0
             for batch in batches:
-                w = shared.value.whiten(_matrix(batch.column(0), dims))
+                w = sent.whiten(_matrix(batch.column(0), dims))
                 total = total + w.T @ w
             flat = (total + np.zeros((len(values), len(values)))).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], ["cell", "total"])
@@ -305,10 +313,10 @@ def whiten(grid: DataFrame, model: Model | None) -> DataFrame:
     spark = grid.sparkSession
     if model is None or not len(model.values):
         return spark.createDataFrame([], SCHEMA)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = _model(*shared.value)
         dims, count = model.vectors.shape
         for batch in batches:
             x = _matrix(batch.column(1), dims)
