@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -22,6 +24,7 @@ from dialoom.functions.rules import has_syntax_error
 from dialoom.operators.ordering import ordered_values
 from dialoom.operators.relational import apply_explode
 from dialoom.schema import MESSAGE_TYPE, RESPONSE_SCHEMA
+from dialoom.session import parallelism
 
 # Retry limits, back-off, time limit of a call, continuation tail, response detail length, the
 # messages of a rejected request that is never sent again, and the status codes of back-pressure.
@@ -249,6 +252,47 @@ def fix_requests(df: DataFrame, template: str = FIX_TEXT) -> DataFrame:
 # Calls.
 
 
+class AnswerStore:
+    """Answers of paid calls, kept while a task runs: files of JSON lines in a folder per bucket of requests.
+
+    A file is written aside and moved into place, so it is whole or not there; a torn one cannot be
+    read and cannot hide an answer. Requests are named by a hash of their key and messages, so an
+    answer is used for the very same request only. The folder must be one that all executors share.
+    """
+
+    def __init__(self, folder: str) -> None:
+        from pyarrow import fs
+
+        local = folder.startswith("file:") or ":" not in folder.split("/", 1)[0]
+        if local:
+            self.system, self.folder = fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+        else:
+            self.system, self.folder = fs.FileSystem.from_uri(folder)
+
+    @staticmethod
+    def name(key, turns: list[dict]) -> str:
+        return hashlib.sha256(json.dumps([str(key), turns]).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def load(self, bucket: int) -> dict[str, list]:
+        from pyarrow import fs
+
+        found: dict[str, list] = {}
+        for info in self.system.get_file_info(fs.FileSelector(f"{self.folder}/{bucket}", allow_not_found=True)):
+            if info.base_name.endswith(".json"):
+                with self.system.open_input_stream(info.path) as stream:
+                    found.update(json.loads(line) for line in stream.read().decode().splitlines())
+        return found
+
+    def save(self, bucket: int, answers: list[tuple[str, list]]) -> None:
+        if not answers:
+            return
+        self.system.create_dir(f"{self.folder}/{bucket}", recursive=True)
+        name = f"{self.folder}/{bucket}/{uuid.uuid4().hex}"
+        with self.system.open_output_stream(f"{name}.part") as stream:
+            stream.write("\n".join(json.dumps(a) for a in answers).encode())
+        self.system.move(f"{name}.part", f"{name}.json")
+
+
 def batch_infer(
     requests: DataFrame,
     predict: Callable[[list[dict]], Reply | str],
@@ -258,17 +302,29 @@ def batch_infer(
     key: str = "input_file_number",
     messages: str = "messages",
     as_of: datetime | None = None,
+    answers: str | None = None,
+    buckets: int = 1024,
 ) -> DataFrame:
     """One response row per request; a failed call gives an error text, never a failed job.
 
     ``predict`` runs in tasks, ``threads`` at a time in each; ``partitions`` bounds the tasks and
     so, together, the calls in flight. Without it the requests stay where they are. The result is
     lazy and calls are costly: write it once before using it.
+
+    With a folder ``answers`` the requests are dealt into ``buckets`` by their key, and every
+    ``threads`` answers are kept in their bucket's folder at once. A task that runs again, or a run
+    that is started again with the same folder, reads them and asks for the rest only; failed calls
+    are kept as well, as they have used up their retries.
     """
     policy = policy or RetryPolicy()
     stamp = as_of or datetime.now(timezone.utc)
     rows = requests.select(F.col(key).alias("input_file_number"), F.col(messages).alias("messages"))
-    rows = rows.repartition(partitions) if partitions else rows
+    bucket = F.pmod(F.xxhash64("input_file_number"), F.lit(buckets)).cast("int") if answers else F.lit(0)
+    rows = rows.withColumn("bucket", bucket)
+    if answers:
+        rows = rows.repartition(partitions or parallelism(requests.sparkSession), "bucket").sortWithinPartitions("bucket")
+    elif partitions:
+        rows = rows.repartition(partitions)
     key_type = rows.schema["input_file_number"].dataType
     schema = T.StructType([T.StructField("input_file_number", key_type), *RESPONSE_SCHEMA.fields[1:]])
     columns = RESPONSE_SCHEMA.names
@@ -284,10 +340,33 @@ def batch_infer(
         usage = reply.prompt_tokens, reply.completion_tokens, reply.total_tokens
         return number, reply.content, *usage, took, stamp, None
 
+    def kept_answers(pool: ThreadPoolExecutor, store: AnswerStore, bucket: int, part: pd.DataFrame, known: dict) -> list[tuple]:
+        numbers = part["input_file_number"].tolist()
+        turns = [[{"role": m["role"], "content": m["content"]} for m in each] for each in part["messages"]]
+        names = [store.name(*pair) for pair in zip(numbers, turns, strict=True)]
+        open_ = [k for k, name in enumerate(names) if name not in known]
+        for begin in range(0, len(open_), threads):
+            wave = open_[begin : begin + threads]
+            made = pool.map(respond, [numbers[k] for k in wave], [turns[k] for k in wave])
+            plain = [(names[k], [*row[1:6], row[6].isoformat(), row[7]]) for k, row in zip(wave, made, strict=True)]
+            store.save(bucket, plain)
+            known.update(plain)
+        rows = [(number, *known[name]) for number, name in zip(numbers, names, strict=True)]
+        return [(*row[:6], datetime.fromisoformat(row[6]), row[7]) for row in rows]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = AnswerStore(answers) if answers else None
+        at, known = None, {}
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                out = list(pool.map(respond, batch["input_file_number"], batch["messages"]))
+                if store is None:
+                    out = list(pool.map(respond, batch["input_file_number"], batch["messages"]))
+                else:
+                    out = []
+                    for number, part in batch.groupby("bucket", sort=False):
+                        if number != at:
+                            at, known = number, store.load(number)
+                        out += kept_answers(pool, store, number, part, known)
                 frame = pd.DataFrame(out, columns=columns)
                 for name in columns[2:5]:
                     frame[name] = frame[name].astype("Int32")

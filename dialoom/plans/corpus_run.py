@@ -29,6 +29,8 @@ class RunConfig:
     asked again. ``prompt`` holds the custom and the common prompt parts (key, text); the part
     ``system_message`` of the rendered prompt then replaces ``system_message``. ``sql_output_dir``
     adds the stage that asks for the SQL of each exported document and writes it as a file.
+    ``answers_dir`` keeps the answers of calls while the run goes on; a run that is started again
+    with the same folder asks for the missing ones only.
     """
 
     input_paths: str
@@ -52,6 +54,7 @@ class RunConfig:
     encoding: str | None = None
     existing_table: str | None = None
     sql_output_dir: str | None = None
+    answers_dir: str | None = None
     retry: inference.RetryPolicy = field(
         default_factory=lambda: inference.RetryPolicy(max_backpressure=10, max_other=3)
     )
@@ -91,7 +94,9 @@ def _ask(requests: DataFrame, cfg: RunConfig, predict: Callable, key: str = "inp
     """One answer per row; equal requests are asked once, and the answers written before they are used."""
 
     def infer(unique: DataFrame, by: str) -> DataFrame:
-        return materialize(inference.batch_infer(unique, predict, cfg.partitions, cfg.threads, cfg.retry, key=by))
+        return materialize(
+            inference.batch_infer(unique, predict, cfg.partitions, cfg.threads, cfg.retry, key=by, answers=cfg.answers_dir)
+        )
 
     return inference.infer_distinct(requests, infer, key)
 

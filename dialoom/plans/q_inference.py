@@ -13,6 +13,7 @@ from dialoom.operators.relational import rank_within
 from dialoom.plans.derived import PY_SQL, RESULT_SQL, python_scripts, result_table
 from dialoom.plans.registry import query, table
 from dialoom.schema import with_result_columns
+from dialoom.session import materialize, scratch_dir
 
 
 def stand_in(messages):
@@ -101,14 +102,35 @@ def batch_responses(spark, sf_dir):
 )
 def batch_responses_distinct(spark, sf_dir):
     """Equal requests are asked once."""
-    from dialoom.session import materialize
-
     def ask(requests, key):
         return materialize(inf.batch_infer(requests, stand_in, policy=QUICK, key=key))
 
     return _responses(inf.infer_distinct(_requests(spark, sf_dir), ask))
 
 
+@query(
+    "INF-3",
+    f"SELECT doc_id, {ANSWERED} AS content, {FAILED} AS error, {TOKENS} AS tokens FROM documents",
+)
+def batch_responses_restarted(spark, sf_dir):
+    """A run that breaks off at the longest text, started again: the answers kept, and calls for the rest."""
+    folder = f"{scratch_dir(spark)}/answers"
+    requests = _requests(spark, sf_dir)
+    longest = table(spark, sf_dir, "documents").agg(F.max("n_chars")).first()[0]
+
+    def breaks_off(messages):
+        if len(messages[-1]["content"]) == longest:
+            raise KeyboardInterrupt("stop")
+        return stand_in(messages)
+
+    try:
+        materialize(inf.batch_infer(requests, breaks_off, threads=4, policy=QUICK, answers=folder))
+    except Exception as error:  # noqa: BLE001 - the break is the point
+        if "stop" not in str(error):
+            raise
+    return _responses(inf.batch_infer(requests, stand_in, threads=4, policy=QUICK, answers=folder))
+
+
 @query(
     "INF-4",
     """SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS content, cast(sum(length(text)) AS bigint) AS tokens

@@ -168,3 +168,34 @@ def test_a_hanging_call_becomes_an_error_row(spark):
     got = {r.input_file_number: r for r in inf.batch_infer(requests, predict, policy=inf.RetryPolicy(call_seconds=0.5)).collect()}
     assert time.monotonic() - began < 25
     assert got[1].result_error == "no answer within 0.5 seconds" and got[2].result_content == "fine"
+
+
+def test_a_killed_task_asks_nothing_twice(spark, tmp_path):
+    """The worker dies after half its calls; the run started again asks for the other half only."""
+    import os
+
+    log, folder = tmp_path / "log", str(tmp_path / "answers")
+    log.mkdir()
+    rows = [(i, [{"role": "user", "content": f"text {i}"}]) for i in range(40)]
+    requests = spark.createDataFrame(rows, "input_file_number long, messages array<struct<role:string,content:string>>")
+
+    def predict(messages, dies):
+        if dies and len(list(log.iterdir())) >= 20:
+            os._exit(1)
+        (log / f"{messages[-1]['content']} {os.urandom(4).hex()}").write_text("")
+        if messages[-1]["content"] == "text 7":
+            raise inf.CallError(400, "Bad Request", '{"message": "invalid format"}')
+        return messages[-1]["content"].upper()
+
+    ask = lambda dies: inf.batch_infer(requests, lambda m: predict(m, dies), 1, 1, answers=folder, buckets=4)
+    with pytest.raises(Exception, match="(?i)worker|crash|exit"):
+        ask(True).collect()
+    assert len(list(log.iterdir())) == 20
+    for path in (tmp_path / "answers").iterdir():
+        (path / "torn.part").write_text("{")
+    got = {r.input_file_number: (r.result_content, r.result_error) for r in ask(False).collect()}
+    assert got == {i: (f"TEXT {i}", None) for i in range(40) if i != 7} | {7: (None, got[7][1])} and "Bad Request" in got[7][1]
+    asked = [p.name.rsplit(" ", 1)[0] for p in log.iterdir()]
+    assert sorted(asked) == sorted(f"text {i}" for i in range(40))
+    # Once more: nothing is asked; a changed request is.
+    assert ask(True).count() == 40 and len(list(log.iterdir())) == 40
