@@ -7,10 +7,10 @@ counts), ``path`` (main text lies below, its own text does not count) or ``out``
 everything is out, and below ``in`` nothing is a mere path, so no choice contradicts another.
 
 The model is trained on a bounded sample of pages, ``SAMPLE`` in expectation, chosen by a hash of
-the id. Their own markup labels them (what lies in an article or main element, and what lies in
+the id, each with bounded parts (``SAMPLE_...``). Their own markup labels them (what lies in an article or main element, and what lies in
 navigation, footers and marked boxes); each also lends its paragraphs to pages rebuilt in other
-layouts, with notices, side columns, forms and reader comments, so that names of elements alone
-do not decide. Extraction is one pass over whole pages without an exchange.
+layouts, with tables, link paragraphs, code, figures and definitions in the article, and with
+notices, side columns, forms and reader comments, so that names of elements alone do not decide. Extraction is one pass over whole pages without an exchange.
 
 Defined results: a NULL or empty page, or one without main text, has the empty text. Broken
 markup is read as browsers do where that is simple: open paragraphs and list items end at the
@@ -34,12 +34,17 @@ from dialoom.llm.common import hash_fraction
 from dialoom.llm.html_tree import Node, blocks, features, parse, preorder
 
 SAMPLE = 150
-SAMPLE_CHARS = 20_000  # of a sampled page's paragraphs that go into rebuilt layouts
+#: Bounds on what one sampled page lends to the training: characters of paragraphs for rebuilt layouts, characters of a
+#: title or another text, other texts, nodes. None of them touches extraction, which reads whole pages.
+SAMPLE_CHARS, SAMPLE_SHORT, SAMPLE_OTHERS, SAMPLE_NODES = 20_000, 300, 200, 2_000
+#: Rebuilt layouts of each sampled page.
+LAYOUTS = 4
 PATH_COST = 0.3
+SEPARATOR = "\n\n"  # between blocks
 
 #: Names that layouts use, fixed values.
 _MAIN = ['article', 'main', 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"',
-         'section class="article-body"', 'div class="story"', 'div role="main"', 'div class="post-content"', 'div class="text"', 'div']
+         'section class="article-body"', 'div class="story"', 'div role="main"', 'div class="post-content"', 'div class="text"', 'div', 'div', 'article']
 _MENU = ['nav', 'div class="menu"', 'ul class="nav"', 'div id="navbar"', 'div class="breadcrumb"', 'div role="navigation"']
 _TOP = ['header', 'div class="header"', 'div id="masthead"', 'div class="banner"']
 _FOOT = ['footer', 'div class="footer"', 'div id="footer"', 'div class="bottom"', 'div class="copyright"']
@@ -82,9 +87,38 @@ def rebuilt(title: str, paragraphs: list[str], other: list[str], draw: random.Ra
     links = lambda n: "".join(f'<li><a href="#">{" ".join(pick(other).split()[:2])}</a></li>' for _ in range(n))
     long = lambda: pick(paragraphs) if paragraphs else some(3)
     item = lambda: f"<p>{pick([long(), some(1), some(2)])}</p>"
+
+    def bit(text: str) -> str:
+        """A few words of a paragraph, or a number: what cells, terms and captions hold."""
+        words = text.split() or ["x"]
+        at = draw.randrange(len(words))
+        return " ".join(words[at : at + draw.choice([1, 1, 2, 3, 6])]) if draw.random() < 0.75 else f"{draw.randint(1, 30_000):,}"
+
+    def table(cell, rows: int, columns: int) -> str:
+        head = "<tr>" + "".join(f"<th>{cell()}</th>" for _ in range(columns)) + "</tr>"
+        lines = "".join("<tr>" + "".join(f"<td>{cell()}</td>" for _ in range(columns)) + "</tr>" for _ in range(rows))
+        head = f"<thead>{head}</thead>" if draw.random() < 0.3 else head
+        return f"<table>{head if draw.random() < 0.8 else ''}{f'<tbody>{lines}</tbody>' if draw.random() < 0.3 else lines}</table>"
+
+    def inset(p: str) -> str:
+        """Parts of an article that are no plain paragraphs."""
+        cell = lambda: bit(p)
+        return pick([
+            lambda: table(cell, draw.randint(1, 5), draw.randint(2, 4)),
+            lambda: f'<p><a href="#">{p}</a></p>',
+            lambda: f'<p><a href="#">{" ".join(p.split()[:8])}</a></p>',
+            lambda: f"<pre>{pick([p[:80], f'<code>{p[:60]}</code>'])}</pre>",
+            lambda: f"<figure><img src=a.png><figcaption>{bit(p)} {bit(p)}</figcaption></figure>",
+            lambda: "<dl>" + "".join(f"<dt>{bit(p)}</dt><dd>{p[:70]}</dd>" for _ in range(draw.randint(1, 4))) + "</dl>",
+            lambda: f"<{pick(['ul', 'ol'])}>" + "".join(f"<li>{bit(p)}" for _ in range(draw.randint(2, 6))) + "</ul>",
+            lambda: f"<{(tag := pick(['h2', 'h3']))}>{bit(p)}</{tag}>",
+        ])()
+
     body = []
     for k, p in enumerate(paragraphs):
         body.append(f"<p>{p}</p>" if draw.random() < 0.9 else f"<h2>{p[:50]}</h2><p>{p}</p>" if draw.random() < 0.5 else f"<blockquote><p>{p}</p></blockquote>")
+        if draw.random() < 0.25:
+            body.append(inset(p))
         if k and draw.random() < 0.05:
             body.append(f"<ul><li>{p[:60]}</li><li>{p[60:120] or p}</li></ul>")
         for names, chance in ((_AD, 0.04), (_SHARE, 0.02), (_FORM, 0.02), (_SIDE, 0.02), (_NOTICE, 0.02)):
@@ -99,6 +133,8 @@ def rebuilt(title: str, paragraphs: list[str], other: list[str], draw: random.Ra
     if draw.random() < 0.25:
         inner += talk()
     main = _closed(pick(_MAIN), inner, 1)
+    while draw.random() < 0.2:
+        main = _closed(pick(["div", "div", "section", 'div class="row"']), main, 0)
     before = [
         _closed(pick(_MENU), f"<ul>{links(draw.randint(3, 9))}</ul>", 0) if draw.random() < 0.85 else "",
         _closed(pick(_TOP), pick([f"<a>{some(1)}</a>", f"<p>{some(1)}</p>", f"<h2>{some(1)}</h2><ul>{links(3)}</ul>"]), 0) if draw.random() < 0.5 else "",
@@ -107,7 +143,7 @@ def rebuilt(title: str, paragraphs: list[str], other: list[str], draw: random.Ra
     ]
     after = [
         talk() if draw.random() < 0.4 else "",
-        _closed(pick(_SIDE), pick([f"<h3>{some(1)}</h3><ul>{links(4)}</ul>", item() + item()]), 0) if draw.random() < 0.5 else "",
+        _closed(pick(_SIDE), pick([f"<h3>{some(1)}</h3><ul>{links(4)}</ul>", item() + item(), table(lambda: str(draw.randint(1, 31)), 5, 7), f'<p><a href="#">{long()}</a></p>']), 0) if draw.random() < 0.5 else "",
         _closed(pick(_FORM), f"<label>{some(1)}</label><input><button>ok</button>", 0) if draw.random() < 0.4 else "",
         _closed(pick(_AD), pick([some(1), item()]), 0) if draw.random() < 0.3 else "",
         _closed(pick(_FOOT), pick([f"&copy; {some(1)}", item(), f"<ul>{links(4)}</ul>"]), 0) if draw.random() < 0.9 else "",
@@ -136,7 +172,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     break
                 kept.append(text)
             labels = np.array([n.label or 0 for n in nodes], np.int8)
-            out.append((features(nodes).astype(np.float32).tobytes(), labels.tobytes(), (main or [""])[0][:300], kept, [t[:300] for t in rest]))
+            x = features(nodes).astype(np.float32)
+            if len(nodes) > SAMPLE_NODES:  # evenly over the page
+                at = np.linspace(0, len(nodes) - 1, SAMPLE_NODES).astype(int)
+                x, labels = x[at], labels[at]
+            others = [t[:SAMPLE_SHORT] for t in rest[:SAMPLE_OTHERS]]
+            out.append((x.tobytes(), labels.tobytes(), (main or [""])[0][:SAMPLE_SHORT], kept, others))
         kinds = [pa.binary(), pa.binary(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in out], kinds[i]) for i in range(5)], ["x", "y", "title", "main", "other"]
@@ -159,7 +200,7 @@ def train(pages: DataFrame, id_column: str = "page_id", html_column: str = "html
         ys.append(np.frombuffer(r["y"], np.int8))
     sources = [(r["title"], r["main"], r["other"]) for r in found] or stock * 20
     for title, main, other in sources:
-        for _ in range(3):
+        for _ in range(LAYOUTS):
             paragraphs = dice.sample(main, dice.randint(1, len(main))) if main else stock[0][1]
             nodes = preorder(parse(rebuilt(title, paragraphs, [t for t in other if t] or stock[0][2], dice)))
             xs.append(features(nodes))
@@ -201,7 +242,7 @@ def extract_pages(pages: list[str | None], model: boosting.Trees, together: int
         ends = np.cumsum([len(nodes) for nodes in trees])
         for nodes, margin in zip(trees, np.split(margins, ends[:-1]), strict=True):
             number = {id(n): k for k, n in enumerate(nodes)}
-            out.append("\n".join(blocks(nodes[0], decode(nodes, margin), number)))
+            out.append(SEPARATOR.join(blocks(nodes[0], decode(nodes, margin), number)))
     return out
 
 

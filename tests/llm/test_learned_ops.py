@@ -330,7 +330,7 @@ class TestHtml:
         for k, _, page in rows:
             inner = page.split("<article>")[1].split("</article>")[0]
             title, rest = inner.removeprefix("<h1>").split("</h1>")
-            assert got[k] == "\n".join([title, *[p for p in rest.split("<p>") if p]])
+            assert got[k] == "\n\n".join([title, *[p for p in rest.split("<p>") if p]])
         # Other layouts than the one trained on.
         draw, right = random.Random(10), 0
         for _, _, page in rows[:40]:
@@ -338,11 +338,45 @@ class TestHtml:
             made = html_main.rebuilt("A title", paragraphs, [prose(draw, 5) for _ in range(5)], draw)
             nodes = html_tree.preorder(html_tree.parse(made))
             number = {id(n): k for k, n in enumerate(nodes)}
-            want = "\n".join(html_tree.blocks(nodes[0], {k for k, n in enumerate(nodes) if n.label}, number))
+            want = "\n\n".join(html_tree.blocks(nodes[0], {k for k, n in enumerate(nodes) if n.label}, number))
             clean = made.replace(' data-main="1"', "").replace(' data-main="0"', "")
             right += html_main.extract_pages([clean], model)[0] == want
         assert right >= 36
 
+    def test_hand_made_layouts(self, spark):
+        model = html_main.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+        nouns = ("road", "river", "field", "market", "winter", "summer")
+        texts = [f"The {w} of the valley was long and quiet, and people walked there every day, talking of old things." for w in nouns]
+        ps, title = lambda k: "".join(f"<p>{t}</p>" for t in texts[:k]), "A quiet valley"
+        h1, last = f"<h1>{title}</h1>", f"<p>{texts[4]}</p>"
+        cells = ["Year", "People", "1990", "1,200", "2000", "1,450"]
+        table = "<table><tr><th>{}</th><th>{}</th></tr><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>".format(*cells)
+        talk = f'<section class="comments"><h3>Comments</h3><div class="comment"><p>{texts[5]}</p></div><div class="comment"><p>I liked it.</p></div></section>'
+        side = "<aside class=sidebar><h3>More</h3><ul><li><a href=/1>One story</a></li><li><a href=/2>Two stories</a></li></ul></aside>"
+        whole = "Read the whole report of the valley here"
+        cases = [
+            (f"<article>{h1}{ps(4)}</article>", texts[:4]),
+            (f"<article>{h1}{ps(3)}{table}{last}</article>", [*texts[:3], *cells, texts[4]]),
+            (f"<article>{h1}{ps(2)}<p><a href=/x>{texts[3]}</a></p>{last}</article>", [*texts[:2], texts[3], texts[4]]),
+            (f"<article>{h1}{ps(3)}<p><a href=/x>{whole}</a></p>{last}</article>", [*texts[:3], whole, texts[4]]),
+            (f"<div class=post>{h1}{ps(5)}</div>", texts[:5]),
+            (f"<div>{h1}{ps(5)}</div>", texts[:5]),
+            (f"<div><div><div>{h1}{ps(5)}</div></div></div>", texts[:5]),
+            (f"<article>{h1}{ps(2)}<pre>x = 1; y = 2</pre>{last}</article>", [*texts[:2], "x = 1; y = 2", texts[4]]),
+            (f"<article>{h1}{ps(2)}<dl><dt>Valley</dt><dd>A low place.</dd><dt>Hill</dt><dd>A high place.</dd></dl>{last}</article>",
+             [*texts[:2], "Valley", "A low place.", "Hill", "A high place.", texts[4]]),
+            (f"<article>{h1}{ps(2)}<figure><img src=x><figcaption>The valley in spring</figcaption></figure>{last}</article>", [*texts[:2], "The valley in spring", texts[4]]),
+            (f"<article>{h1}{ps(2)}<h2>What to see</h2><ul><li>The old mill</li><li>The stone bridge</li></ul>{last}</article>",
+             [*texts[:2], "What to see", "The old mill", "The stone bridge", texts[4]]),
+            (f"<article>{h1}{ps(4)}</article>{talk}", texts[:4]),
+            (f"<article>{h1}{ps(4)}</article>{side}", texts[:4]),
+            (f"<div class=post>{h1}{ps(4)}<div class=cookie-notice>We use cookies. <button>ok</button></div></div>{talk}", texts[:4]),
+        ]
+        nav = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li><li><a href=/c>Contact</a></li></ul></nav><div class=ad>Buy now cheap things</div>"
+        foot = "<footer><p>&copy; 2024 Some Site. All rights reserved.</p></footer>"
+        got = html_main.extract_pages([f"<html><head><title>x</title></head><body>{nav}{main}{foot}</body></html>" for main, _ in cases], model)
+        assert got == ["\n\n".join([title, *want]) for _, want in cases]
+
     def test_broken_and_empty_pages(self, spark):
         _, _, model = self.trees(spark)
         pages = [None, "", "plain", "<", "<p", "</div></p>", "<!-- never closed <p>x", "<script>var a = '<p>';", "<div>" * 3000 + "x", "<p a='" * 500,
