@@ -68,47 +68,52 @@ def _starts(text: Column, pattern: str, found: Column) -> Column:
     return F.filter(sums, lambda s, i: i % 2 == 1)
 
 
-def _share(count: Column) -> Column:
-    """c log2 c, the part of a character with this count in the entropy's sum."""
-    return F.when(count > 1, count * F.log2(count)).otherwise(0.0)
+#: Characters of candidates; a window's counts of them are kept in fields of five bits, twelve to a number.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_FIELDS, _BITS = 12, 5
 
 
 def _entropy_range(candidate: Column, threshold: Column, window: int = WINDOW) -> Column:
     """``first`` and ``last`` start of a window at or above the threshold; first is -1 without one.
 
     H = log2(w) - sum(c log2 c) / w, so only the sum must be kept: the entering character's count
-    grows by one, the leaving one's shrinks by one.
+    grows by one, the leaving one's shrinks by one. The counts go along from window to window, so
+    a step costs the same anywhere in a candidate of any length.
     """
+    share = lambda c: c * math.log2(c) if c > 1 else 0.0  # noqa: E731 - c log2 c, a character's part of the sum
+    gains = F.array(*[F.lit(share(c + 1) - share(c)) for c in range(window)])
     most = F.lit(window) * (F.lit(math.log2(window)) - threshold) + F.lit(1e-9)
+    zero_counts = F.array(*[F.lit(0).cast("long")] * -(-len(ALPHABET) // _FIELDS))
 
-    def over(chars: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    def over(places: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), zero_counts.alias("counts"))
+        number = lambda c: F.floor(c / F.lit(_FIELDS)).cast("int")
+        shift = lambda c: ((c % _FIELDS) * _BITS).cast("int")
+        one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))
 
         def step(acc: Column, i: Column) -> Column:
-            entering = F.element_at(chars, i)
-            before = F.slice(chars, F.greatest(i - window, F.lit(1)), F.least(F.lit(window), i - 1))
-            leaving = F.get(chars, i - window - 1)
-            count_in = F.size(F.filter(before, lambda c: c == entering))
-            count_out = F.size(F.filter(before, lambda c: c == leaving))
-            changed = (
-                F.when(
-                    (i > window) & (entering != leaving),
-                    _share(count_in + 1) - _share(count_in) + _share(count_out - 1) - _share(count_out),
-                )
-                .when(i > window, F.lit(0.0))
-                .otherwise(_share(count_in + 1) - _share(count_in))
+            entering, leaving = F.get(places, i), F.get(places, i - window)
+            moves = leaving.isNull() | (entering != leaving)
+            held = lambda c: F.call_function("shiftright", F.get(acc["counts"], number(c)), shift(c)).bitwiseAND(31)
+            count_in, count_out = held(entering), held(leaving)
+            lost = F.when(leaving.isNotNull(), F.get(gains, (count_out - 1).cast("int"))).otherwise(0.0)
+            total = acc["sum"] + F.when(moves, F.get(gains, count_in.cast("int")) - lost).otherwise(0.0)
+            changed = F.transform(
+                acc["counts"],
+                lambda v, j: v + F.when(j == number(entering), one(entering)).otherwise(0) - F.when(j == number(leaving), one(leaving)).otherwise(0),
             )
-            total = acc["sum"] + changed
-            high = (i >= window) & (total <= most)
+            high = (i >= window - 1) & (total <= most)
             return F.struct(
                 total.alias("sum"),
-                F.when(high & (acc["first"] < 0), i - window).otherwise(acc["first"]).alias("first"),
-                F.when(high, i - window).otherwise(acc["last"]).alias("last"),
+                F.when(high & (acc["first"] < 0), i - (window - 1)).otherwise(acc["first"]).alias("first"),
+                F.when(high, i - (window - 1)).otherwise(acc["last"]).alias("last"),
+                F.when(moves, changed).otherwise(acc["counts"]).alias("counts"),
             )
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, step)
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), zero, step)
 
-    return F.element_at(F.transform(F.array(F.split(candidate, "")), over), 1)
+    places = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.element_at(F.transform(F.array(places), over), 1)
 
 
 def _base_spans(found: Column, starts: Column, checked: Column, kind: str, order: int) -> Column:

@@ -1,5 +1,6 @@
 """URL filter, PII, secrets, mixing and quality rules against plain versions and odd input."""
 
+import random
 import hashlib
 import re
 from datetime import date
@@ -241,6 +242,28 @@ class TestSecrets:
             assert ",".join(s for s in spans if not s.startswith("entropy")) == base
             assert r.n_assign == base.count("assign:") and r.n_access == base.count("access:") and r.n_hex == base.count("hex:")
 
+    def test_windows_of_random_candidates(self, spark):
+        draw = random.Random(12)
+        texts = []
+        for _ in range(150):
+            pool = draw.sample(secret_scan.ALPHABET, draw.choice([6, 10, 16, 40, 67]))
+            texts.append("7a" + "".join(draw.choice(pool) for _ in range(draw.randint(15, 90))))
+        rows = secret_scan.digest(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+        for r in rows:
+            assert [s for s in r.spans.split(",") if s.startswith("entropy")] == plain_entropy(texts[r.doc_id])
+
+    def test_a_long_candidate_takes_time_in_proportion(self, spark):
+        import time
+
+        draw, took = random.Random(13), []
+        for size in (30_000, 240_000):
+            text = "a1" + "".join(draw.choice("ABab01+/") for _ in range(size))
+            rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+            begin = time.perf_counter()
+            secret_scan.digest(rows).collect()
+            took.append(time.perf_counter() - begin)
+        assert took[1] < 8 * took[0] + 10, took
+
     def test_allow_list_suppresses_only_what_it_overlaps(self, spark):
         key = "k3J9xQ2mW8vB5nT1zR7yL4pD6sH"
         for text, want in [
