@@ -197,6 +197,9 @@ def run_corpus(
 ) -> DataFrame:
     """Ingest, convert, clean, then for documents check, repair, split and export; for files export.
 
+    The source texts are written when they are read and once more in the result; the stages between
+    write tables without them and join on the file number at the end.
+
     Returns the result table as written; ``reports.conversion_summary`` and ``status_of_all`` read
     it. With ``sql_output_dir`` the SQL files follow, and their status rows are written below
     ``table_path`` as ``sql_files``.
@@ -212,26 +215,34 @@ def run_corpus(
         table = written(ingest(spark, cfg, bpe), base)
 
     answers = written(convert(table, cfg, predict), base, "responses")
-    merged = merges.merge_responses(table, _numbered_as_int(answers), cfg.labels("conversion"))
-    table = written(merges.clean_results(merged, F.current_timestamp()), base)
+    state = table.drop(*SOURCE_TEXTS)
+    merged = merges.merge_responses(state, _numbered_as_int(answers), cfg.labels("conversion"))
+    state = merges.clean_results(merged, F.current_timestamp())
 
     if cfg.target_type == "notebook":
         checked = rounds.check_and_fix(
-            table, predict, check_fn, cfg.max_fix_attempts, cfg.labels("fix"),
+            state, predict, check_fn, cfg.max_fix_attempts, cfg.labels("fix"),
             partitions=cfg.partitions, threads=cfg.threads, policy=cfg.retry,
         )
         cells = scripts.with_cells(checked)
         split = F.when(F.col("cells").isNotNull(), scripts.join_cells("cells"))
-        table = written(cells.withColumn("result_content", split).drop("cells"), base)
-        statuses = export_documents(table, cfg)
+        state = written(cells.withColumn("result_content", split).drop("cells"), base, "state")
+        statuses = export_documents(state, cfg)
     else:
-        statuses = write_text_files(table, cfg.output_dir, cfg.output_extension)
+        state = written(state, base, "state")
+        statuses = write_text_files(state, cfg.output_dir, cfg.output_extension)
     exports = written(statuses.withColumn("export_timestamp", F.current_timestamp()), base, "exports")
-    table = written(reports.with_accuracy(merges.merge_exports(table, exports)), base)
+    done = reports.with_accuracy(merges.merge_exports(state, exports))
+    texts = table.select("input_file_number", *SOURCE_TEXTS)
+    table = written(done.join(texts, "input_file_number").select(*table.columns), base)
     if cfg.sql_output_dir and cfg.target_type == "notebook":
         convert_to_sql_files(spark, cfg, predict_sql or predict).write.mode("overwrite").parquet(f"{base}/sql_files")
     return table
 
 
+#: Columns that no stage after the first call reads.
+SOURCE_TEXTS = ("input_file_content", "input_file_content_preprocessed")
+
+
 def _numbered_as_int(responses: DataFrame) -> DataFrame:
     return responses.withColumn("input_file_number", F.col("input_file_number").cast("int"))

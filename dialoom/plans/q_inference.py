@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from dialoom.operators import inference as inf
-from dialoom.operators import reports, rounds
+from dialoom.operators import rounds
 from dialoom.operators.relational import rank_within
 from dialoom.plans.derived import PY_SQL, RESULT_SQL, python_scripts, result_table
 from dialoom.plans.registry import query, table
@@ -226,29 +226,41 @@ def token_usage(spark, sf_dir):
     return inf.usage(result_table(spark, sf_dir), ["lang"]).drop("seconds")
 
 
-JUDGED = "CASE doc_id % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.5 WHEN 2 THEN 0.2 ELSE 0.9 END"
+def _converted(messages):
+    """Answers with a statement named after the script; told what to improve, it names its column."""
+    digest = hashlib.md5(messages[1]["content"].encode()).hexdigest()
+    return f"```sql\nSELECT '{digest}'{' AS fixed' if len(messages) > 2 else ''}\n```"
+
+
+def _verdict(messages):
+    """Scores an answer by the length of its script and by whether it was mended; some calls and answers are broken."""
+    original, converted = messages[-1]["content"].removeprefix(rounds.ORIGINAL).rsplit(rounds.CONVERTED, 1)
+    n = len(original) % 10
+    if n == 7:
+        raise inf.CallError(400, "Bad Request", json.dumps({"message": "Invalid parameter x"}))
+    if n == 8:
+        return "no verdict"
+    score = 0.95 if n < 3 else 0.9 if n < 6 and converted.endswith("AS fixed") else 0.5
+    told = {"overall_score": score, "summary_reasoning": f"rest {n}", "critical_errors": [], "improvements_required": ["name the column"]}
+    return "Verdict: " + json.dumps(told)
 
 
 @query(
-    "JDG-2",
-    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 1 ELSE 2 END AS attempts, doc_id % 4 <> 2 AS accepted,
-      md5(CASE doc_id % 4 WHEN 0 THEN text WHEN 3 THEN text ELSE text || '+2' END) AS converted FROM documents""",
+    "JDG-2 JDG-1 TXT-9 TXT-13 SCR-1",
+    """WITH d AS (SELECT doc_id, text, length(text) % 10 AS n FROM documents)
+    SELECT doc_id, CASE WHEN n < 3 THEN 1 ELSE 2 END AS attempts, n < 6 AS accepted,
+      cast(CASE WHEN n < 3 THEN 0.95 WHEN n < 6 THEN 0.9 WHEN n IN (7, 8) THEN 0.0 ELSE 0.5 END AS double) AS overall_score,
+      CASE n WHEN 7 THEN 'Endpoint Error: judge' WHEN 8 THEN 'Model returned invalid format.' ELSE 'rest ' || n END AS summary_reasoning,
+      'SELECT ' || chr(39) || md5(text) || chr(39) || CASE WHEN n < 3 OR n IN (7, 8) THEN '' ELSE ' AS fixed' END AS converted FROM d""",
 )
 def judge_rounds(spark, sf_dir):
-    """Convert, let a judge answer, read the score from its answer; documents below the mark are tried once more."""
-
-    def attempt(rows, number):
-        score = F.expr(f"cast({JUDGED} AS double)") + F.lit(0.0 if number == 1 else 0.45)
-        suffix = "" if number == 1 else f"+{number}"
-        answer = F.concat(F.lit('Verdict: {"overall_score": '), score.cast("string"), F.lit(', "summary_reasoning": "s", "critical_errors": []}'))
-        tried = rows.withColumns({"converted": F.concat("text", F.lit(suffix)), "response": answer})
-        return reports.judge(tried, "response", "converted").select(*rows.columns)
-
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.lit("").alias("converted"), F.lit(0.0).alias("overall_score")
-    )
-    out = rounds.rounds(docs, attempt)
-    return out.select("doc_id", "attempts", "accepted", F.md5("converted").alias("converted"))
+    """Convert all documents, let a judge answer, read its score; those below the mark are tried once more."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("script_id"), F.col("text").alias("script"))
+    done = rounds.judged_conversion(
+        docs, _converted, _verdict, {"TABLE": "Convert."}, {"TABLE": "Judge.", "VIEW": "Judge a view."}, model="judge",
+        feedback=True, policy=QUICK, answers=f"{scratch_dir(spark)}/answers",
+    )
+    return done.select(F.col("script_id").alias("doc_id"), "attempts", "accepted", "overall_score", "summary_reasoning", "converted")
 
 
 def repair(messages):
