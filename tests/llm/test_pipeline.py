@@ -42,7 +42,7 @@ def test_empty_documents(spark, sf, tmp_path):
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql())
