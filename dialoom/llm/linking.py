@@ -316,7 +316,7 @@ def links_in_buckets(
 
     def compared(units: DataFrame) -> DataFrame:
         units = materialize(units)
-        sets = materialize(sets_of(units.select("node").distinct()))
+        sets = materialize(sets_of(materialize(units.select("node").distinct())))
         return _links(units, sets, per_cent)
 
     # Neither side of these joins is small by design, so none is left to a size.

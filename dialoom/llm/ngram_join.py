@@ -233,9 +233,10 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     members = materialize(keys.join(several.hint("merge"), "bucket").distinct())
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        readers = classes.join(nodes, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
-        # An id that stands on several rows gives the sets of all; only the wanted one stays.
-        found = read_sets(texts.join(readers.select("doc_id").distinct(), "doc_id", "left_semi"), n)
+        # Written, so that its size is known before the texts are moved for the join.
+        readers = materialize(classes.join(nodes, "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
+        # An id that stands on several rows gives the sets of all; only the wanted ones stay.
+        found = read_sets(texts.join(readers, "doc_id", "left_semi"), n)
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     return grouped(signed, classes, links_in_buckets(members, classes, sets_of, per_cent))
