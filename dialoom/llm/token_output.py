@@ -33,9 +33,9 @@ END_ID = 2
 ROW_INDEX = 1_000
 STRIPE_BYTES = 16 << 20
 #: Words, and as many of their parts, that a worker remembers, some 45 bytes each.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes of text that a worker encodes at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _MARK = "|"
 
 
