@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,82 @@ def _load_root(pattern: str) -> str:
     return parent + "/" if _has_glob(last) else pattern
 
 
-def _read_pattern(spark: SparkSession, pattern: str) -> DataFrame:
+#: Columns of a listing; ``folder`` entries are listed in turn.
+LISTED = "path string, modificationTime timestamp, length long, folder boolean"
+# Entries that leave a listing task at once, and bytes and files that a task reads.
+LISTED_ROWS = 10_000
+READ_BYTES, READ_FILES = 32 << 20, 10_000
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over below the folder they are given."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of folders, as they are met: a folder of any size takes the memory of one batch."""
+    kinds = (pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.bool_())
+    names = [c.split()[0] for c in LISTED.split(", ")]
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    rows = []
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            with os.scandir("/" + folder.removeprefix("file:").lstrip("/")) as found:
+                for entry in found:
+                    if _hidden(entry.name):
+                        continue
+                    about, inner = entry.stat(), entry.is_dir()
+                    rows.append((f"{folder.rstrip('/')}/{entry.name}", about.st_mtime_ns // 1_000_000 * 1000, about.st_size, inner))
+                    if len(rows) >= LISTED_ROWS:
+                        yield frame(rows)
+                        rows = []
+    if rows:
+        yield frame(rows)
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, modificationTime and length of the files below a local folder, listed by tasks into a written table.
+
+    One round per level of folders; the folders of a level are dealt over the tasks. Nothing comes
+    to the driver, whatever the number of files. As Spark's readers do, it leaves out hidden names
+    and empty files.
+    """
+    level, found = spark.range(1).select(F.lit("file:" + folder.rstrip("/")).alias("path")), None
+    while True:
+        entries = materialize(level.mapInArrow(_entries, LISTED))
+        files = entries.filter("NOT folder AND length > 0").drop("folder")
+        found = files if found is None else found.unionByName(files)
+        folders = entries.filter("folder").select("path")
+        if folders.isEmpty():
+            return found
+        level = folders.repartition(parallelism(spark), "path")
+
+
+@F.arrow_udf(T.BinaryType())
+def _contents(paths: pa.Array) -> pa.Array:
+    def whole(path: str) -> bytes:
+        with open_binary(path) as file:
+            return file.read()
+
+    return pa.array((whole(p.as_py()) for p in paths), pa.binary())
+
+
+# Marked so that it runs once, above every filter on the listing; who does not select it does not read a file.
+_contents = _contents.asNondeterministic()
+
+
+def _with_contents(files: DataFrame) -> DataFrame:
+    """Listed files with their bytes, read by tasks of a bounded number of bytes and files."""
+    size = files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
+    tasks = max((size["bytes"] or 0) // READ_BYTES + 1, size["files"] // READ_FILES + 1)
+    tasks = max(tasks, min(parallelism(files.sparkSession), size["files"]))
+    return files.repartition(tasks, "path").withColumn("content", _contents("path"))
+
+
+def _read_by_spark(spark: SparkSession, pattern: str) -> DataFrame:
     def reader(**options):
         binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         return binary.options(**options).load(_load_root(pattern))
@@ -85,25 +161,55 @@ def _read_pattern(spark: SparkSession, pattern: str) -> DataFrame:
     return reader().filter(matches)
 
 
+def _local_folder(spark: SparkSession, pattern: str) -> str | None:
+    """The local folder whose files a pattern chooses among; None for other storages, single files and globs of folders."""
+    root = _load_root(pattern)
+    plain = "/" + root.removeprefix("file:").lstrip("/")
+    # Without a scheme a path is the driver's own, unless the tasks run there and files are the default storage.
+    if not root.startswith("file:"):
+        storage = spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")
+        if re.match("[A-Za-z][A-Za-z0-9+.-]*:", root) or not storage.startswith("file:") or not spark.sparkContext.master.startswith("local"):
+            return None
+    return None if _has_glob(root) or not os.path.isdir(plain) else plain.rstrip("/") or "/"
+
+
 def read_scripts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Files below comma-separated folders, files and globs (``* ? [ ] **``), each file once.
 
-    Result: path, length, modificationTime, content (bytes). Select what is needed: the bytes are
-    only read when ``content`` is. A file that several paths name is kept from the first of them;
-    that is a test of its path, so nothing is shuffled.
+    Result: path, modificationTime, length, content (bytes). Select what is needed: the bytes are
+    only read when ``content`` is. A file that several paths name is kept from the first of them,
+    by a test of its path. Local folders are listed by tasks, each folder once; the listing is a
+    written table, and its paths are dealt over the tasks that read them. Other storages go through
+    Spark's reader, which lists at the driver.
     """
     given = [p.strip() for p in (paths.split(",") if isinstance(paths, str) else paths) if p.strip()]
     if not given:
         raise ValueError("no input path given")
-    out, earlier = None, []
+    out, earlier, listings, listed = [], [], {}, None
     for path in given:
         whole = _whole(path)
-        found = _read_pattern(spark, whole)
+        folder = _local_folder(spark, whole)
+        if folder is None:
+            found = _read_by_spark(spark, whole)
+        else:
+            if folder not in listings:
+                listings[folder] = list_files(spark, folder)
+            found = listings[folder]
+            if _load_root(whole) != whole:
+                found = found.filter(F.col("path").rlike(_regex(whole)))
         for before in earlier:
             found = found.filter(~F.col("path").rlike(before))
         earlier.append(_regex(whole))
-        out = found if out is None else out.unionByName(found)
-    return out
+        if folder is None:
+            out.append(found)
+        else:
+            listed = found if listed is None else listed.unionByName(found)
+    if listed is not None:
+        out.append(_with_contents(listed))
+    first, *rest = out
+    for found in rest:
+        first = first.unionByName(found)
+    return first
 
 
 def plain_path(path: Column | str) -> Column:

@@ -47,6 +47,37 @@ def test_paths(spark, tree, given, expected):
     assert names(src.read_scripts(spark, given.format(r=tree)), tree) == expected
 
 
+def test_folders_are_listed_by_tasks_as_by_the_reader(spark, tree):
+    """Same rows as Spark's reader, hidden names and empty files left out, without a file of the driver's listing in the plan."""
+    for name in ("_b.sql", ".c.sql", "_k=1/d.sql", "_h/e.sql", ".y/g.sql", "empty.sql", "x._COPYING_", "_metadata", "é %20.sql"):
+        os.makedirs(os.path.dirname(f"{tree}/{name}"), exist_ok=True)
+        with open(f"{tree}/{name}", "w") as file:
+            file.write("" if name == "empty.sql" else name)
+    for given in (tree, f"file:{tree}", f"{tree}/x/"):
+        got, told = src.read_scripts(spark, given), spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(given)
+        assert got.columns == told.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, told.collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan(got) and "ArrowEvalPython" in plan(got)
+    assert "Python" not in plan(got.select("path"))
+
+
+def test_reading_files_is_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / f"{k}.sql").write_text("x" * 1000)
+    monkeypatch.setattr(src, "READ_BYTES", 4000)
+    files = src.read_scripts(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 11 and {len(r.content) for r in files.collect()} == {1000}
+
+
+def test_files_are_made_aside_in_a_folder_of_the_task(spark, tmp_path):
+    rows = spark.range(20).selectExpr("concat('/in/d', id % 3, '/', id, '.sql') AS input_file_path", "'x' AS result_content")
+    out = tmp_path / "out"
+    done = write_text_files(rows, str(out), "sql").collect()
+    assert {r.export_status for r in done} == {"exported"} and all(os.path.isfile(r.export_output_path) for r in done)
+    assert not [n for at, folders, files in os.walk(out) for n in folders + files if n.startswith(".")]
+
+
 def test_no_path_is_an_error(spark):
     with pytest.raises(ValueError, match="no input path"):
         src.read_scripts(spark, " , ")
