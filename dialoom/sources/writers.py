@@ -27,7 +27,9 @@ def write_text_files(
     """Write ``content`` of every row that has one and return one status row per file.
 
     The result is lazy: evaluate it once, for instance by writing it as a version. Each file is
-    written aside and then moved into place, so a task that runs again leaves the same file.
+    written aside and then moved into place, so a task that runs again leaves the same file; on a
+    local storage a task has a hidden folder of its own for that, as tasks wait for each other
+    where they make files in one folder.
     ``output`` names a column with ready-made output paths; otherwise they follow from ``path``.
     ``directory`` must be one all executors share, given with its scheme; a path without one is
     taken in a local session only. A row that cannot be written, for whatever reason, is reported
@@ -44,12 +46,24 @@ def write_text_files(
         return "/" + where.removeprefix("file:").lstrip("/") if where.startswith("file:") else where
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
         import uuid
 
         from pyarrow import fs
 
         made = set()
+        top, own = plain(directory).rstrip("/"), f"._{uuid.uuid4().hex}"
+        try:
+            yield from statuses(batches, made, f"{top}/", f"{top}/{own}")
+        finally:
+            if f"{top}/{own}" in made:
+                fs.LocalFileSystem().delete_dir(f"{top}/{own}")
+
+    def statuses(batches: Iterator[pd.DataFrame], made: set, top: str, own: str) -> Iterator[pd.DataFrame]:
+        import re
+        import uuid
+
+        from pyarrow import fs
+
         for batch in batches:
             out = []
             for source, where, text in batch.itertuples(index=False):
@@ -63,7 +77,13 @@ def write_text_files(
                     if parent not in made:
                         system.create_dir(parent, recursive=True)
                         made.add(parent)
-                    aside = f"{parent}/._{uuid.uuid4().hex}"
+                    if not remote and name.startswith(top):
+                        if own not in made:
+                            system.create_dir(own, recursive=True)
+                            made.add(own)
+                        aside = f"{own}/{uuid.uuid4().hex}"
+                    else:
+                        aside = f"{parent}/._{uuid.uuid4().hex}"
                     with system.open_output_stream(aside) as stream:
                         stream.write(data)
                     system.move(aside, name)
