@@ -9,6 +9,7 @@ from dialoom.operators import merges, tokens
 from dialoom.operators.selection import select_targets
 from dialoom.plans.derived import RESULT_SQL, SCRIPTS_SQL, result_table, scripts
 from dialoom.plans.registry import query, table
+from dialoom.session import dealt
 from dialoom.sources.scripts import number_files
 from dialoom.sources.versions import latest_table
 
@@ -131,7 +132,9 @@ RANGE_TEXT = (
       UNION ALL SELECT ranges, cast(c AS int) FROM r) GROUP BY ranges, number""",
 )
 def expand_number_ranges(spark, sf_dir):
-    texts = table(spark, sf_dir, "lineitem").selectExpr(f"{RANGE_TEXT} AS ranges").distinct()
+    lines = table(spark, sf_dir, "lineitem")
+    # One exchange by the text serves both groupings; the number of its tasks follows the rows.
+    texts = dealt(lines.selectExpr(f"{RANGE_TEXT} AS ranges"), lines.count(), "ranges").distinct()
     return tokens.explode_ranges(texts, "ranges").groupBy("ranges", "number").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -70,3 +70,12 @@ def small_table(spark: SparkSession, rows: list[tuple], columns: list[tuple[str,
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+# Fixed value: rows that a task of a large grouping or join takes.
+TASK_ROWS = 400_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The frame dealt by ``keys`` over as many tasks as ``rows`` asks for, so that a task's memory stays when the input grows."""
+    return df.repartition(max(parallelism(df.sparkSession), -(-rows // TASK_ROWS)), *keys)
