@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dialoom.functions.base import as_col, is_blank, size0
 from dialoom.functions.rules import parse_error_count
@@ -26,9 +28,11 @@ CHECK_TYPE = T.StructType(
 )
 
 
-@F.pandas_udf(CHECK_TYPE)
-def _check_python(code: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([pyscripts.check_python(c) for c in code], columns=["error", "statements"])
+@F.arrow_udf(CHECK_TYPE)
+def _check_python(code: pa.Array) -> pa.Array:
+    # One script at a time leaves the batch, whatever the size of the batch.
+    checked = (pyscripts.check_python(c.as_py()) for c in code)
+    return pa.array(({"error": e, "statements": s} for e, s in checked), to_arrow_type(CHECK_TYPE))
 
 
 # Marked so that filters on a result are not pushed below it with a second run of the function.
@@ -170,9 +174,9 @@ def attach_sql_checks(
 # Cells.
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _cell_starts(code: pd.Series) -> pd.Series:
-    return code.map(pyscripts.cell_starts)
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _cell_starts(code: pa.Array) -> pa.Array:
+    return pa.array((pyscripts.cell_starts(c.as_py()) for c in code), pa.list_(pa.int32()))
 
 
 _cell_starts = _cell_starts.asNondeterministic()
