@@ -99,7 +99,8 @@ def judged_conversion(
         "converted": "string", "overall_score": "double", "summary_reasoning": "string",
         "critical_errors": "array<string>", "improvements_required": "array<string>",
     }
-    base = base.withColumns({name: F.lit(None).cast(kind) for name, kind in blank.items()})
+    # Written, as are the answers below: every step reads the rows twice, for its messages and to join the answers.
+    base = materialize(base.withColumns({name: F.lit(None).cast(kind) for name, kind in blank.items()}))
 
     def ask(rows: DataFrame, messages: Column, model_call: Callable, step: str) -> DataFrame:
         folder = f"{answers}/{step}" if answers else None
@@ -115,7 +116,7 @@ def judged_conversion(
             more = F.array(F.struct(F.lit("user").alias("role"), remarks.alias("content")))
             messages = F.when(F.size("improvements_required") > 0, F.concat(messages, more)).otherwise(messages)
         made = ask(rows.drop("converted"), messages, convert, f"convert_{number}")
-        made = made.withColumn("converted", post_clean_sql(f"convert_{number}")).drop(f"convert_{number}")
+        made = materialize(made.withColumn("converted", post_clean_sql(f"convert_{number}")).drop(f"convert_{number}"))
         payload = F.concat(F.lit(ORIGINAL), F.coalesce(script, F.lit("")), F.lit(CONVERTED), F.coalesce("converted", F.lit("")))
         judged = ask(made, build_messages(payload, _prompt(judge_prompts, DEFAULT_KIND)), judge, f"judge_{number}")
         return read_verdict(judged, f"judge_{number}", script, model).select(*base.columns)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from dialoom.operators import inference as inf
 from dialoom.operators import rounds
+from dialoom.operators.inference import CallError
 from dialoom.operators.relational import rank_within
+from dialoom.operators.rounds import CONVERTED, ORIGINAL
 from dialoom.plans.derived import PY_SQL, RESULT_SQL, python_scripts, result_table
 from dialoom.plans.registry import query, table
 from dialoom.schema import with_result_columns
@@ -234,10 +236,10 @@ def _converted(messages):
 
 def _verdict(messages):
     """Scores an answer by the length of its script and by whether it was mended; some calls and answers are broken."""
-    original, converted = messages[-1]["content"].removeprefix(rounds.ORIGINAL).rsplit(rounds.CONVERTED, 1)
+    original, converted = messages[-1]["content"].removeprefix(ORIGINAL).rsplit(CONVERTED, 1)
     n = len(original) % 10
     if n == 7:
-        raise inf.CallError(400, "Bad Request", json.dumps({"message": "Invalid parameter x"}))
+        raise CallError(400, "Bad Request", json.dumps({"message": "Invalid parameter x"}))
     if n == 8:
         return "no verdict"
     score = 0.95 if n < 3 else 0.9 if n < 6 and converted.endswith("AS fixed") else 0.5
