@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.base import as_col
 from dialoom.operators.ordering import number_rows, ordered_values, position_within
-from dialoom.session import materialize
+from dialoom.session import dealt, materialize
 
 # Fixed value: a T-SQL money amount has four decimals.
 MONEY = "decimal(19,4)"
@@ -102,16 +102,18 @@ def top_spenders(totals: DataFrame, n: int = 10) -> DataFrame:
     return top_n(spent, [F.col("total_spent").desc(), F.col("customer_name")], n)
 
 
-def sales_summary(fact: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
+def sales_summary(fact: DataFrame, customers: DataFrame, products: DataFrame, rows: int | None = None) -> DataFrame:
     """City and category: total sales, distinct customers, distinct products.
 
     fact(customer_id, product_id, sale_amount), customers(customer_id, city),
-    products(product_id, category).
+    products(product_id, category). With ``rows``, the number of sales or a bound of it, the two
+    groupings are dealt over as many tasks as they need.
     """
+    deal = (lambda df: dealt(df, rows, "customer_id", "product_id")) if rows else (lambda df: df)
     # Summed first: the distinct counts then work on a row per pair, not per sale.
-    pairs = fact.groupBy("customer_id", "product_id").agg(F.sum("sale_amount").alias("sale_amount"))
+    pairs = deal(fact).groupBy("customer_id", "product_id").agg(F.sum("sale_amount").alias("sale_amount"))
     joined = star_join(pairs, [(customers, ["customer_id"]), (products, ["product_id"])])
-    return joined.groupBy("city", "category").agg(
+    return deal(joined).groupBy("city", "category").agg(
         F.sum("sale_amount").alias("total_sales"),
         F.countDistinct("customer_id").alias("total_customers"),
         F.countDistinct("product_id").alias("total_products"),
@@ -377,16 +379,19 @@ def recursive(
         old = seen.select(*[F.col(c).alias(f"_o_{c}") for c in columns])
         return rows.join(old, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in columns], "left_anti")
 
-    level, levels, seen = materialize(anchor), [], None
+    def told(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
+        """The rows of a level as written, in mode ``union`` without the earlier ones."""
+        return materialize(unseen(rows, seen) if mode == "union" else rows)
+
+    levels, seen = [], None
+    level = told(anchor, None)
     while not level.isEmpty():
-        if mode == "union":
-            level = materialize(unseen(level, seen))
-            seen = level if seen is None else seen.unionByName(level)
+        seen = level if seen is None else seen.unionByName(level)
         levels.append(level)
         count = len(levels)
         if mode == "all" and count >= 4 and count & (count - 1) == 0 and union_all(levels).distinct().count() < count:
             raise RuntimeError("the recursion comes round: a row is its own ancestor")
-        level = materialize(step(level).select(*columns))
+        level = told(step(level).select(*columns), seen)
     return union_all(levels) if levels else level
 
 

@@ -8,6 +8,7 @@ from dialoom.operators import relational as rel
 from dialoom.plans import warehouse
 from dialoom.plans.derived import customers, orders
 from dialoom.plans.registry import query, table
+from dialoom.session import materialize
 
 
 @query(
@@ -157,7 +158,7 @@ GOLD = """gold AS (SELECT n_name AS city, p_brand AS category,
     f"WITH {GOLD} SELECT city, category, cast(total_sales AS double) AS total_sales, total_customers, total_products FROM gold",
 )
 def gold_sales_summary(spark, sf_dir):
-    summary = rel.sales_summary(*warehouse.silver_tables(spark, sf_dir))
+    summary = rel.sales_summary(*warehouse.silver_tables(spark, sf_dir), rows=table(spark, sf_dir, "lineitem").count())
     return summary.withColumn("total_sales", F.col("total_sales").cast("double"))
 
 
@@ -167,7 +168,7 @@ def gold_sales_summary(spark, sf_dir):
     HAVING sum(total_sales) > 500000""",
 )
 def gold_top_city_sales(spark, sf_dir):
-    summary = rel.sales_summary(*warehouse.silver_tables(spark, sf_dir))
+    summary = rel.sales_summary(*warehouse.silver_tables(spark, sf_dir), rows=table(spark, sf_dir, "lineitem").count())
     top = rel.top_groups(summary, "city", "total_sales", 500000, "city_sales")
     return top.withColumn("city_sales", F.col("city_sales").cast("double"))
 
@@ -466,7 +467,8 @@ def recursive_reach(spark, sf_dir):
     size = people.agg(F.count(F.lit(1)).alias("n"))
     last = people.agg(F.max("c_name").alias("c_name"))
     ring = people.join(F.broadcast(size)).selectExpr("c_custkey AS src", "(c_custkey * 7 + 1) % n AS dst")
-    edges = ring.union(people.selectExpr("c_custkey", "c_custkey div 2")).distinct()
+    # Written, as every level reads them.
+    edges = materialize(ring.union(people.selectExpr("c_custkey", "c_custkey div 2")).distinct())
     start = people.join(last, "c_name", "left_semi").selectExpr("c_custkey AS node")
     return rel.recursive(start, lambda level: level.join(edges, level.node == edges.src).select(F.col("dst").alias("node")), "union")
 
