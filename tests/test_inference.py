@@ -199,3 +199,22 @@ def test_a_killed_task_asks_nothing_twice(spark, tmp_path):
     assert sorted(asked) == sorted(f"text {i}" for i in range(40))
     # Once more: nothing is asked; a changed request is.
     assert ask(True).count() == 40 and len(list(log.iterdir())) == 40
+
+
+def test_answers_of_a_bucket_are_one_local_file(spark, tmp_path):
+    rows = [(i, [{"role": "user", "content": f"text\u2028{i}"}]) for i in range(300)]
+    requests = spark.createDataFrame(rows, "input_file_number long, messages array<struct<role:string,content:string>>")
+    ask = lambda call: inf.batch_infer(requests, call, 1, 4, answers=str(tmp_path), buckets=2).collect()
+    first = ask(lambda m: m[-1]["content"] + "\n")
+    assert sorted(len(list(d.iterdir())) for d in tmp_path.iterdir()) == [1, 1]
+    # A last line without its end is torn.
+    for folder in tmp_path.iterdir():
+        (folder / "torn.json").write_text('["a", [')
+    assert ask(lambda m: "asked again") == first
+
+
+def test_judge_stand_in_travels_without_the_operators_modules():
+    """It took whole modules along, and with them functions that hold a session."""
+    from dialoom.plans import q_inference
+
+    assert not {"rounds", "inf"} & set(q_inference._verdict.__code__.co_names)

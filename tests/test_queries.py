@@ -70,3 +70,21 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_python_functions_run_once_per_row(spark, sf):
     for name in ("extract_sql_statements", "split_cells", "python_error_classes", "check_sql_statements"):
         assert plan_of(spark, sf, name).count("ArrowEvalPython") == 1, name
+
+
+def test_tasks_of_large_groupings_follow_the_rows(spark, sf, monkeypatch):
+    from dialoom import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    for name in ("expand_number_ranges", "gold_sales_summary", "gold_top_city_sales"):
+        assert re.search(r"hashpartitioning\(.*, 1[0-9]\), REPARTITION_BY_NUM", plan_of(spark, sf, name)), name
+
+
+def test_a_level_of_a_union_recursion_is_written_once(spark, monkeypatch):
+    from dialoom.operators import relational
+
+    written = []
+    monkeypatch.setattr(relational, "materialize", lambda df: written.append(1) or df.localCheckpoint())
+    start = spark.range(1).selectExpr("0L AS node")
+    got = relational.recursive(start, lambda level: level.selectExpr("(node + 1) % 3 AS node"), "union")
+    assert sorted(r.node for r in got.collect()) == [0, 1, 2] and len(written) == 4
