@@ -55,24 +55,33 @@ def _cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: What ends in a letter or digit, and the marks behind it: the tokenizer cuts between these in any case.
-_SPLIT = r"(?s)^(?P<core>.*[\p{L}\p{N}])(?P<tail>[" + re.escape(_MARKS) + r"]*)$"
+#: Before marks that end a word: the tokenizer cuts between these in any case.
+_SPLIT = r"[\p{L}\p{N}]\z"
 #: May hold a special token, matched as it stands, or the one letter whose small form is two characters.
 _WHOLE = r"<\||\x{130}"
 #: Letters that Arrow and the tokenizer lower alike.
 _LOWERED = r"^[\x{0}-\x{24F}]*$"
 
 
+def _ends(words: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """The last ``sizes`` bytes of the words."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(words), words.offset * 4 + 4).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(starts), pa.py_buffer(raw[_ranges(ends - sizes, sizes)]))
+
+
 def _cores_and_tails(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The numbers of every word's core and tail, and the distinct parts that they number.
 
     A word's ids are its core's, the word without its closing marks, and then its tail's, these
     marks. The tokenizer lowers letters, so cores come lowered and fewer of them are encoded.
     """
-    halves = pc.extract_regex(words, pattern=_SPLIT)
-    split = pc.and_(pc.is_valid(halves), pc.invert(pc.match_substring_regex(words, _WHOLE)))
-    core = pc.if_else(split, pc.struct_field(halves, "core"), words)
-    tail = pc.if_else(split, pc.struct_field(halves, "tail"), "")
+    core = pc.ascii_rtrim(words, characters=_MARKS)
+    split = pc.and_(pc.match_substring_regex(core, _SPLIT), pc.invert(pc.match_substring_regex(words, _WHOLE)))
+    core = pc.if_else(split, core, words)
+    tail = _ends(words, pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy().astype(np.int64))
     core = pc.if_else(pc.and_(split, pc.match_substring_regex(core, _LOWERED)), pc.utf8_lower(core), core)
     numbered = pa.concat_arrays([core, tail]).dictionary_encode()
     number = numbered.indices.to_numpy().astype(np.int64)
@@ -161,11 +170,11 @@ class WordEncoder:
     def _encode(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the parts in a row, and how many each has."""
         marked = pc.match_substring(parts, _MARK).to_numpy(zero_copy_only=False)
-        texts = parts.to_pylist()
-        sizes, flats = np.zeros(len(texts), np.int64), []
+        sizes, flats = np.zeros(len(parts), np.int64), []
         others = np.flatnonzero(~marked)
         runs = [others[k : k + 500] for k in range(0, len(others), 500)]
-        joined = [f" {_MARK} ".join([texts[k] for k in run]) for run in runs]
+        cuts = np.array([*range(0, len(others), 500), len(others)], np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), parts.take(pa.array(others))), f" {_MARK} ").to_pylist()
         for run, found in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.int32)
             marks = ids == self.mark
@@ -173,13 +182,13 @@ class WordEncoder:
             flats.append(ids[~marks])
         alone = np.flatnonzero(marked)
         for k in alone:
-            ids = self.ids(texts[k])
+            ids = self.ids(parts[k].as_py())
             sizes[k] = len(ids)
             flats.append(np.array(ids, np.int32))
         # The ids lie in the order of the runs; put them into the order of the parts.
         flat = np.concatenate([np.empty(0, np.int32), *flats])
         order = np.concatenate((others, alone))
-        starts = np.empty(len(texts), np.int64)
+        starts = np.empty(len(parts), np.int64)
         starts[order] = np.cumsum(sizes[order]) - sizes[order]
         return (flat if not len(alone) else flat[_ranges(starts, sizes)]), sizes
 

@@ -229,6 +229,16 @@ class TestTokenOutput:
             want = [[*encoder.ids(t or ""), 2] for t in part]
             assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
 
+    def test_words_are_cut_before_their_closing_marks_without_a_capture(self):
+        """Captures took four fifths of the time of cutting words into parts."""
+        assert "(" not in token_output._SPLIT
+        words = pa.array(["skipped", "", "a", "a.b..", "...", "é\u0301!", "É,", "x<|", "7-", "\u4e2d|", "a_"]).slice(1)
+        cores, tails, parts = token_output._cores_and_tails(words)
+        got = [(parts[int(a)].as_py(), parts[int(b)].as_py()) for a, b in zip(cores, tails, strict=True)]
+        assert got == [
+            ("", ""), ("a", ""), ("a.b", ".."), ("...", ""), ("é\u0301!", ""), ("é", ","), ("x<|", ""), ("7", "-"), ("\u4e2d", "|"), ("a", "_")
+        ]
+
     def test_hashes_of_words_are_their_own(self):
         words = pa.array(["", "a", "b", "ab", "ba", "aa", "a\x00", "é", "x" * 70_000, "x" * 70_001])
         first, second = token_output._Hash()(words)
