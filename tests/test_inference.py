@@ -106,6 +106,19 @@ def test_distinct_requests_are_asked_once(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 11
 
 
+def test_distinct_requests_are_dealt_by_rows(spark):
+    """Short requests went into one task, whatever the time that their calls take."""
+    df = spark.range(40).selectExpr("cast(id AS int) AS input_file_number", "'t' || id AS t")
+    tasks = []
+
+    def infer(unique, key):
+        tasks.append(unique.rdd.getNumPartitions())
+        return inf.batch_infer(unique, lambda m: m[-1]["content"], key=key).localCheckpoint()
+
+    out = inf.infer_distinct(df.select("input_file_number", inf.build_messages("t").alias("messages")), infer)
+    assert tasks == [4] and {r.input_file_number: r.result_content for r in out.collect()} == {i: f"t{i}" for i in range(40)}
+
+
 def test_parse_content(spark):
     texts = ["plain", '[{"type":"text","text":"a"},{"type":"x","text":"b"},{"type":"text","text":"c"}]', "[]", "[not json", None, "[1] note"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
