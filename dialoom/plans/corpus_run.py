@@ -14,8 +14,8 @@ from dialoom.functions.text import post_clean_sql
 from dialoom.messages import DEFAULT_LANGUAGE
 from dialoom.operators import inference, merges, reports, rounds, scripts, selection, tokens
 from dialoom.schema import with_result_columns
-from dialoom.session import materialize
-from dialoom.sources.scripts import decode_content, number_files, plain_path, read_scripts
+from dialoom.session import materialize, parallelism
+from dialoom.sources.scripts import decode_content, plain_path, read_scripts
 from dialoom.sources.versions import written
 from dialoom.sources.writers import write_text_files
 
@@ -69,8 +69,8 @@ class RunConfig:
 
 def ingest(spark: SparkSession, cfg: RunConfig, bpe: Callable[[str], int] | None = None) -> DataFrame:
     """Files -> result table with token counts and the target flag."""
-    files = read_scripts(spark, cfg.input_paths).select("path", "content")
-    numbered = number_files(files).withColumnRenamed("path", "input_file_path")
+    files = read_scripts(spark, cfg.input_paths, number="input_file_number").select("path", "input_file_number", "content")
+    numbered = files.withColumnRenamed("path", "input_file_path")
     texts = decode_content(numbered, "content", cfg.encoding)
     texts = texts.withColumn("input_file_path", plain_path("input_file_path"))
     counter = tokens.choose_counter(cfg.tokenizer_type, cfg.endpoint, bpe=bpe)
@@ -116,8 +116,10 @@ def export_documents(df: DataFrame, cfg: RunConfig) -> DataFrame:
     with_code = selection.without_empty_code(df)
     # Only paths and numbers take part in naming; the texts join the names once.
     named = scripts.unique_output_paths(with_code.select("input_file_number", "input_file_path"), cfg.output_dir)
-    placed = with_code.drop("export_output_path").join(
-        named.select("input_file_number", F.concat("output_path", F.lit(".py")).alias("export_output_path")),
+    # Dealt by rows: each is a file to write, and small ones would be joined into few tasks by their bytes.
+    dealt = with_code.repartition(parallelism(df.sparkSession), "input_file_number")
+    placed = dealt.drop("export_output_path").join(
+        named.select("input_file_number", F.concat("output_path", F.lit(".py")).alias("export_output_path")).hint("merge"),
         "input_file_number",
     )
     composed = scripts.compose_document(placed, cfg.comment_lang).drop("export_error", "export_status")

@@ -134,12 +134,14 @@ def _contents(paths: pa.Array) -> pa.Array:
 _contents = _contents.asNondeterministic()
 
 
-def _with_contents(files: DataFrame) -> DataFrame:
-    """Listed files with their bytes, read by tasks of a bounded number of bytes and files."""
+def _with_contents(files: DataFrame, number: str | None = None) -> DataFrame:
+    """Listed files, numbered or not, with their bytes, read by tasks of a bounded number of bytes and files."""
     size = files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
     tasks = max((size["bytes"] or 0) // READ_BYTES + 1, size["files"] // READ_FILES + 1)
     tasks = max(tasks, min(parallelism(files.sparkSession), size["files"]))
-    return files.repartition(tasks, "path").withColumn("content", _contents("path"))
+    files = number_files(files, name=number) if number else files
+    # By a key of its own: an exchange that deals by path already would stand in for this one and be joined by its bytes.
+    return files.repartition(tasks, F.xxhash64("path")).withColumn("content", _contents("path"))
 
 
 def _read_by_spark(spark: SparkSession, pattern: str) -> DataFrame:
@@ -173,14 +175,15 @@ def _local_folder(spark: SparkSession, pattern: str) -> str | None:
     return None if _has_glob(root) or not os.path.isdir(plain) else plain.rstrip("/") or "/"
 
 
-def read_scripts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_scripts(spark: SparkSession, paths: str | Sequence[str], number: str | None = None) -> DataFrame:
     """Files below comma-separated folders, files and globs (``* ? [ ] **``), each file once.
 
     Result: path, modificationTime, length, content (bytes). Select what is needed: the bytes are
     only read when ``content`` is. A file that several paths name is kept from the first of them,
     by a test of its path. Local folders are listed by tasks, each folder once; the listing is a
     written table, and its paths are dealt over the tasks that read them. Other storages go through
-    Spark's reader, which lists at the driver.
+    Spark's reader, which lists at the driver. ``number`` names a column with the files' numbers
+    (``number_files``); where all files are listed by tasks, they get them before they are read.
     """
     given = [p.strip() for p in (paths.split(",") if isinstance(paths, str) else paths) if p.strip()]
     if not given:
@@ -204,12 +207,13 @@ def read_scripts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
             out.append(found)
         else:
             listed = found if listed is None else listed.unionByName(found)
+    early = number if not out else None
     if listed is not None:
-        out.append(_with_contents(listed))
+        out.append(_with_contents(listed, early))
     first, *rest = out
     for found in rest:
         first = first.unionByName(found)
-    return first
+    return number_files(first, name=number) if number and not early else first
 
 
 def plain_path(path: Column | str) -> Column:

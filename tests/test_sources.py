@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from dialoom.operators import inference as inf
 from dialoom.operators import reports
 from dialoom.plans import corpus_run, warehouse
+from dialoom.schema import with_result_columns
+from dialoom.session import materialize
 from dialoom.sources import scripts as src
 from dialoom.sources import versions as ver
 from dialoom.sources.writers import write_text_files
@@ -282,6 +284,24 @@ def test_update_if_exists(spark):
     assert row.first().price == 1.0 and table.count() == 1
 
 
+def test_files_are_numbered_before_they_are_read_by_tasks_of_their_own(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.sql").write_text(str(i))
+    numbered = src.read_scripts(spark, str(tmp_path), number="n").select("path", "n", "content")
+    assert numbered.rdd.getNumPartitions() == 4
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("ArrowEvalPython")[0] and "ArrowEvalPython" in plan
+    want = src.number_files(src.read_scripts(spark, str(tmp_path)).select("path", "content"), name="n")
+    assert sorted(numbered.collect()) == sorted(want.select("path", "n", "content").collect())
+
+
+def test_exported_files_are_dealt_by_rows(spark, tmp_path):
+    rows = spark.range(40).selectExpr("cast(id AS int) AS input_file_number", "'/in/' || id || '.sql' AS input_file_path", "'x = 1' AS result_content")
+    cfg = corpus_run.RunConfig("", str(tmp_path), "")
+    statuses = corpus_run.export_documents(materialize(with_result_columns(rows)), cfg)
+    assert statuses.rdd.getNumPartitions() == 8  # the written ones and the refused
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
