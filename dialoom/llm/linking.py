@@ -243,7 +243,7 @@ def _verify(per_cent: int):
 
 def _links(units: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Spanning forests of the links within each unit."""
-    placed = units.join(sets, "node").repartition("unit").sortWithinPartitions("unit").select("unit", "node", "shingles")
+    placed = units.join(sets.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit").select("unit", "node", "shingles")
     return materialize(placed.mapInArrow(_verify(per_cent), "a binary, b binary"))
 
 
@@ -316,8 +316,7 @@ def links_in_buckets(
 
     def compared(units: DataFrame) -> DataFrame:
         units = materialize(units)
-        sets = materialize(sets_of(materialize(units.select("node").distinct())))
-        return _links(units, sets, per_cent)
+        return _links(units, sets_of(materialize(units.select("node").distinct())), per_cent)
 
     # Neither side of these joins is small by design, so none is left to a size.
     home = members.groupBy("key").agg(F.max(F.struct("n", "bucket")).alias("h")).select("key", "h.bucket")
@@ -325,14 +324,18 @@ def links_in_buckets(
     links = compared(_thinned(_home_units(home), per_cent))
 
     labels = materialize(components(links).select("node", F.col("root").alias("label")))
-    named = plain.join(labels, "node").select("key", "label", "node", "n_shingles", "sketch")
+    named = plain.join(labels, "node").select("key", "label", "node")
     heads = members.join(named.hint("merge"), "key").groupBy("bucket", "label").agg(
-        F.min(F.struct(F.xxhash64("node", "bucket"), "node", "n_shingles", "sketch")).alias("m")
+        F.count("*").alias("rows"), F.max("n").alias("n"), F.min(F.struct(F.xxhash64("node", "bucket"), "key")).alias("m")
     )
-    heads = materialize(heads.select("bucket", "label", "m.node", "m.n_shingles", "m.sketch", F.lit(0).alias("work")))
-    sums = heads.groupBy("bucket").agg(F.count("*").alias("n"))
-    few = heads.join(sums.filter(F.col("n").between(2, THINNED)).select("bucket"), "bucket", "left_semi")
-    links = links.unionByName(compared(_thinned(few.withColumnRenamed("bucket", "unit"), per_cent)))
+    heads = materialize(heads.select("bucket", "label", "rows", "n", "m.key"))
+    sums = heads.groupBy("bucket").agg(F.count("*").alias("heads"))
+    few = heads.join(sums.filter(F.col("heads").between(2, THINNED)).select("bucket"), "bucket", "left_semi")
+    few = materialize(few.select(F.col("bucket").alias("unit"), "label", "key")).join(plain.hint("merge"), "key")
+    links = links.unionByName(compared(_thinned(few, per_cent)))
+    # A bucket with one label has no pair across labels, whatever is joined later.
+    one = heads.filter("rows = n").select("bucket")
+    members = materialize(members.join(one, "bucket", "left_anti"))
 
     labels = materialize(components(links).select("node", F.col("root").alias("label")))
     named = materialize(plain.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))

@@ -16,7 +16,11 @@ other one.
    ``slack`` tokens would be missing.
 3. A key holds a band of sizes as well; a set whose partner may lie in the next band is indexed in
    both. Keys of one set only are dropped, the others are buckets.
-4. Buckets are compared on full sets, first for groups of copies, then across what these have
+4. A rare token is indexed with its place in the set, a combination with the number of rare tokens.
+   If a rare token is the first that two sets have in common, none of the tokens before it is; if
+   none is rare, no rare token is. So two sizes and places tell whether sets that meet there can be
+   similar, and a set without a possible partner leaves the bucket.
+5. Buckets are compared on full sets, first for groups of copies, then across what these have
    joined (``linking``). Components of the links name every document's group.
 
 Defined results: a NULL text, or one without words, has no tokens and links with nothing; a text
@@ -50,6 +54,8 @@ VERY = 16
 #: Ratio of a band's largest size to its least; at least 100 / ``LEAST_PER_CENT``.
 BAND = 1.25
 FOLD = 1 << 20  # tokens that a summary takes in at a time
+#: Sets of a bucket whose places are compared. Larger buckets stay whole.
+PLACED = 1000
 _ADD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = (1 << 64) - 1
 
@@ -142,8 +148,12 @@ class Indexer:
 
     def keys(self, found: np.ndarray) -> np.ndarray:
         """``found`` are the sorted tokens of a set."""
+        return self.placed(found)[0]
+
+    def placed(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, and how many tokens of the set stand before a key's; all rare ones do before a combination."""
         if not len(found):
-            return found
+            return found, np.empty(0, np.int64)
         steps = slack(len(found), self.per_cent) + 1
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, found), len(self.tokens) - 1)
@@ -151,13 +161,20 @@ class Indexer:
         else:
             kind = np.ones(len(found), np.int8)
         rare = found[kind == 1][:steps]
-        out = []
+        out, places = [], []
         for band in self.bands(len(found)):
             salt = mix(np.array([band], np.uint64) * _ADD + np.uint64(1))
             out.append(mix(rare ^ salt))
+            places.append(np.arange(len(rare)))
             if len(rare) < steps:
                 out.append(self._combined(found, kind, steps - len(rare), band))
-        return np.unique(np.concatenate(out))
+                places.append(np.full(len(out[-1]), len(rare)))
+        keys, place = np.concatenate(out), np.concatenate(places)
+        order = np.lexsort((place, keys))
+        keys, place = keys[order], place[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        return keys[first], place[first]
 
     def _combined(self, found: np.ndarray, kind: np.ndarray, steps: int, band: int) -> np.ndarray:
         keys: list[int] = []
@@ -181,29 +198,103 @@ class Indexer:
         return mix(np.array(keys, np.uint64))
 
 
+_INDEX = "bucket bigint, key bigint, size int, rest int"
+
+
 def _index(shared, n: int, per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``bucket, key`` of every set; one that a task has met before is not indexed again."""
+        """``_INDEX`` of every set; one that a task has met before is not indexed again."""
         hasher, indexer, met = Hasher(), Indexer(*shared.value, per_cent), set()
         for batch in batches:
-            buckets, keys, sizes = [np.empty(0, np.uint64)], [], []
+            buckets, places, keys, sizes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], [], []
             for k in range(batch.num_rows):
                 tokens = hasher.shingles(batch.column(0)[k].as_py(), n)
                 node = set_key(tokens)
                 if node is None or node in met:
                     continue
                 met.add(node)
-                found = indexer.keys(tokens)
+                found, place = indexer.placed(tokens)
                 buckets.append(found)
+                places.append(place)
                 keys.append(_key(node))
-                sizes.append(len(found))
-            flat = np.concatenate(buckets).view(np.int64)
-            repeated = np.repeat(np.array(keys, np.int64), np.array(sizes, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(repeated)], ["bucket", "key"])
+                sizes.append(len(tokens))
+                counts.append(len(found))
+            repeated = lambda of: np.repeat(np.array(of, np.int64), np.array(counts, np.int64))  # noqa: B023, E731
+            size = repeated(sizes)
+            rest = size - np.concatenate(places)
+            columns = np.concatenate(buckets).view(np.int64), repeated(keys), size.astype(np.int32), rest.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _INDEX.split(", ")])
+
+    return run
+
+
+def paired(bucket: np.ndarray, size: np.ndarray, rest: np.ndarray, per_cent: int) -> np.ndarray:
+    """Which rows, sorted by bucket and size, have a possible partner in their bucket.
+
+    Of two sets of one bucket no more than the smaller ``rest`` can be common.
+    """
+    kept, size, rest = np.zeros(len(bucket), bool), size.astype(np.int64), rest.astype(np.int64)
+    waiting, step = [np.arange(len(bucket)), np.arange(len(bucket))], 1
+    while any(map(len, waiting)):
+        for k, by in enumerate((step, -step)):
+            at = waiting[k]
+            at = at[~kept[at] & (at + by >= 0) & (at + by < len(bucket))]
+            to = at + by
+            # Sizes only part further along a bucket.
+            near = (bucket[at] == bucket[to]) & (100 * np.minimum(size[at], size[to]) >= per_cent * np.maximum(size[at], size[to]))
+            at, to = at[near], to[near]
+            both = (100 + per_cent) * np.minimum(rest[at], rest[to]) >= per_cent * (size[at] + size[to])
+            kept[at[both]] = kept[to[both]] = True
+            waiting[k] = at[~both]
+        step += 1
+    return kept
+
+
+def _paired(per_cent: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with a possible partner in their bucket, each once, and all rows of buckets of more than ``limit``.
+        Rows come sorted by bucket and size; of a larger bucket no more than a batch is held."""
+        whole, last = None, None  # the bucket that is passed on as it comes, the row before
+        held = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.int32)] * 2
+
+        def output(rows: list[np.ndarray], kept: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in rows[:2]], ["bucket", "key"])
+
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in range(4)]
+            if not len(rows[0]):
+                continue
+            # Rows of one set come together.
+            again = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
+            new = np.concatenate(([last != (rows[0][0], rows[1][0])], ~again))
+            last = rows[0][-1], rows[1][-1]
+            passed = new & (rows[0] == whole) if whole is not None else np.zeros(len(new), bool)
+            if passed.any():
+                yield output(rows, passed)
+            held = [np.concatenate((a, b[new & ~passed])) for a, b in zip(held, rows, strict=True)]
+            if not len(held[0]):
+                continue
+            begin = int(np.flatnonzero(np.concatenate(([True], held[0][1:] != held[0][:-1])))[-1])
+            done, held = [c[:begin] for c in held], [c[begin:] for c in held]
+            yield output(done, _partners(done, per_cent, limit))
+            if len(held[0]) > limit:
+                whole = held[0][0]
+                yield output(held, np.ones(len(held[0]), bool))
+                held = [c[:0] for c in held]
+        yield output(held, _partners(held, per_cent, limit))
 
     return run
 
 
+def _partners(rows: list[np.ndarray], per_cent: int, limit: int) -> np.ndarray:
+    """``paired`` of ``bucket, key, size, rest``; larger buckets than ``limit`` stay."""
+    _, at, n = np.unique(rows[0], return_inverse=True, return_counts=True)
+    kept = n[at] > limit
+    small = np.flatnonzero(~kept & (n[at] > 1))
+    kept[small] = paired(*(rows[k][small] for k in (0, 2, 3)), per_cent)
+    return kept
+
+
 def frequent_tokens(read: DataFrame, counters: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
     """The tokens with more than a ``counters``-th of all occurrences, sorted, and their classes."""
     total = read.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
@@ -227,10 +318,12 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     first = [F.first(c).alias(c) for c in ("n_shingles", "key", "sketch")]
     named = signed.filter("doc_id is not null and node is not null")
     classes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *first))
-    keys = materialize(texts.filter("doc_id is not null").select("text").mapInArrow(_index(shared, n, per_cent), "bucket bigint, key bigint"))
-    # A set that several tasks have met counts several times here; it has no candidates then.
-    several = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(keys.join(several.hint("merge"), "bucket").distinct())
+    keys = texts.filter("doc_id is not null").select("text").mapInArrow(_index(shared, n, per_cent), _INDEX)
+    # A set that several tasks have met comes several times here, one behind the other.
+    placed = keys.repartition("bucket").sortWithinPartitions("bucket", "size", "key")
+    met = materialize(placed.mapInArrow(_paired(per_cent, PLACED), "bucket bigint, key bigint"))
+    several = met.groupBy("bucket").agg(F.count("*").alias("n"))
+    members = materialize(met.join(several.hint("merge"), "bucket"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         # Written, so that its size is known before the texts are moved for the join.

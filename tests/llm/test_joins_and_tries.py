@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,50 @@ class TestNgramJoin:
                     b = np.concatenate([shared, draw.choice(np.setdiff1d(tokens, a), union - size, replace=False)])
                     assert np.isin(indexer.keys(np.sort(a)), indexer.keys(np.sort(b))).any(), (per_cent, share, size)
 
+    def test_similar_sets_stay_in_a_bucket(self):
+        draw = np.random.default_rng(8)
+        tokens = np.unique(draw.integers(0, 1 << 63, 4000)).astype(np.uint64)
+        known = draw.random(len(tokens)) < 0.3
+        for per_cent in (80, 90):
+            indexer = ngram_join.Indexer(tokens[known], np.full(known.sum(), 2, np.int8), per_cent)
+            for size in [*range(4, 40), 100, 700]:
+                a = draw.choice(tokens, size, replace=False)
+                least = -(-per_cent * size // 100)
+                union = 100 * least // per_cent
+                b = np.concatenate([draw.choice(a, least, replace=False), draw.choice(np.setdiff1d(tokens, a), union - size, replace=False)])
+                rows = [(key, len(x), len(x) - place) for x in (a, b) for key, place in zip(*indexer.placed(np.sort(x)), strict=True)]
+                bucket, sizes, rest = map(np.array, zip(*sorted(rows), strict=True))
+                assert ngram_join.paired(bucket, sizes, rest, per_cent).any(), (per_cent, size)
+
+    def test_partners_of_a_bucket(self):
+        draw = np.random.default_rng(9)
+        rows = {}
+        for key in range(600):
+            size = int(draw.integers(1, 60))
+            rows.update({(int(bucket), key): (size, size - int(draw.integers(0, 1 + size // 5))) for bucket in draw.integers(0, 90, 4) // 3 * draw.integers(0, 2, 4)})
+        table = sorted((bucket, size, key, rest) for (bucket, key), (size, rest) in rows.items())
+        owners = defaultdict(list)
+        for bucket, size, key, rest in table:
+            owners[bucket].append((key, size, rest))
+        for limit in (1000, 15):
+            fits = lambda a, b: 190 * min(a[2], b[2]) >= 90 * (a[1] + b[1])
+            want = sorted((bucket, a[0]) for bucket, of in owners.items() for a in of if len(of) > limit or any(a != b and fits(a, b) for b in of))
+            twice = [row for row in table for _ in range(1 + (row[2] % 3 == 0))]
+            columns = [np.array(c) for c in zip(*[(b, k, s, r) for b, s, k, r in twice], strict=True)]
+            for step in (1, 7, 5000):
+                batches = (pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in columns], ["bucket", "key", "size", "rest"]) for i in range(0, len(twice), step))
+                got = [row for batch in ngram_join._paired(90, limit)(batches) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                assert sorted(got) == want
+
+    def test_unlike_texts_with_a_common_token_make_few_buckets(self, spark, monkeypatch):
+        """Two texts that share a run of words, but can't be similar, are not looked at again."""
+        monkeypatch.setattr(ngram_join, "COUNTERS", 64)
+        rows = [(2 * k + i, " ".join([f"v{k}x{i}x{j}" for j in range(90 + i * 9 * (k % 2))] + [f"s{k}x{j}" for j in range(30)])) for k in range(40) for i in range(2)]
+        met, found = [], ngram_join.links_in_buckets
+        monkeypatch.setattr(ngram_join, "links_in_buckets", lambda members, *rest: (met.append(members.count()), found(members, *rest))[1])
+        self.compare(spark, rows)
+        assert met[0] < 30  # 68 rows share a key
+
     def test_frequent_tokens_are_found_in_bounded_memory(self):
         draw = np.random.default_rng(6)
         frequent = ngram_join.Frequent(50)
