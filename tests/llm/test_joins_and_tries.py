@@ -277,7 +277,7 @@ class TestNgramJoin:
     def test_unlike_texts_with_a_common_token_make_few_buckets(self, spark, monkeypatch):
         """Two texts that share a run of words, but can't be similar, are not looked at again."""
         monkeypatch.setattr(ngram_join, "COUNTERS", 64)
-        rows = [(2 * k + i, " ".join([f"v{k}x{i}x{j}" for j in range(90 + i * 9 * (k % 2))] + [f"s{k}x{j}" for j in range(30)])) for k in range(40) for i in range(2)]
+        rows = [(2 * k + i, " ".join([f"v{k}x{i}x{j}" for j in range(90 + i * 9 * (k % 2))] + [f"s{k}x{j}" for j in range(5)])) for k in range(100) for i in range(2)]
         met, found = [], ngram_join.links_in_buckets
         monkeypatch.setattr(ngram_join, "links_in_buckets", lambda members, *rest: (met.append(members.count()), found(members, *rest))[1])
         self.compare(spark, rows)
