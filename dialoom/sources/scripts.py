@@ -163,16 +163,15 @@ def _read_by_spark(spark: SparkSession, pattern: str) -> DataFrame:
     return reader().filter(matches)
 
 
-def _local_folder(spark: SparkSession, pattern: str) -> str | None:
-    """The local folder whose files a pattern chooses among; None for other storages, single files and globs of folders."""
-    root = _load_root(pattern)
-    plain = "/" + root.removeprefix("file:").lstrip("/")
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The local folder whose files a path, as it was given, chooses among; None for other storages, single files and globs of folders."""
     # Without a scheme a path is the driver's own, unless the tasks run there and files are the default storage.
-    if not root.startswith("file:"):
+    if not path.startswith("file:"):
         storage = spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")
-        if re.match("[A-Za-z][A-Za-z0-9+.-]*:", root) or not storage.startswith("file:") or not spark.sparkContext.master.startswith("local"):
+        if not storage.startswith("file:") or not spark.sparkContext.master.startswith("local"):
             return None
-    return None if _has_glob(root) or not os.path.isdir(plain) else plain.rstrip("/") or "/"
+    root = _load_root(_whole(path))
+    return None if not root.startswith("/") or _has_glob(root) or not os.path.isdir(root) else root.rstrip("/") or "/"
 
 
 def read_scripts(spark: SparkSession, paths: str | Sequence[str], number: str | None = None) -> DataFrame:
@@ -180,10 +179,11 @@ def read_scripts(spark: SparkSession, paths: str | Sequence[str], number: str |
 
     Result: path, modificationTime, length, content (bytes). Select what is needed: the bytes are
     only read when ``content`` is. A file that several paths name is kept from the first of them,
-    by a test of its path. Local folders are listed by tasks, each folder once; the listing is a
-    written table, and its paths are dealt over the tasks that read them. Other storages go through
-    Spark's reader, which lists at the driver. ``number`` names a column with the files' numbers
-    (``number_files``); where all files are listed by tasks, they get them before they are read.
+    by a test of its path. Local folders, on a cluster those given with ``file:``, are listed by
+    tasks, each folder once; the listing is a written table, and its paths are dealt over the tasks
+    that read them. Other storages go through Spark's reader, which lists at the driver. ``number``
+    names a column with the files' numbers (``number_files``); where all files are listed by tasks,
+    they get them before they are read.
     """
     given = [p.strip() for p in (paths.split(",") if isinstance(paths, str) else paths) if p.strip()]
     if not given:
@@ -191,7 +191,7 @@ def read_scripts(spark: SparkSession, paths: str | Sequence[str], number: str |
     out, earlier, listings, listed = [], [], {}, None
     for path in given:
         whole = _whole(path)
-        folder = _local_folder(spark, whole)
+        folder = _local_folder(spark, path)
         if folder is None:
             found = _read_by_spark(spark, whole)
         else:

@@ -64,6 +64,17 @@ def test_folders_are_listed_by_tasks_as_by_the_reader(spark, tree):
     assert "Python" not in plan(got.select("path"))
 
 
+@pytest.mark.parametrize("given", ["file:{r}", "file://{r}/", "file:{r}/**/*.sql", "file:{r}, file://{r}/*.sql", "file:{r}/x/*.sql,file:{r}/x/y"])
+def test_folders_are_listed_by_tasks_on_every_cluster(spark, tree, monkeypatch, given):
+    """A folder given with its scheme is no work for the driver's listing, whatever the master is called."""
+    here = src.read_scripts(spark, given.format(r=tree).replace("file://", "").replace("file:", ""))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    got = src.read_scripts(spark, given.format(r=tree))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "ArrowEvalPython" in plan
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, here.collect())) and not got.isEmpty()
+
+
 def test_reading_files_is_dealt_by_bytes(spark, tmp_path, monkeypatch):
     for k in range(40):
         (tmp_path / f"{k}.sql").write_text("x" * 1000)
