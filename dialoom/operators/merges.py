@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.rules import normalize_export_status
 from dialoom.functions.text import clean_code_fence
-from dialoom.session import materialize
+from dialoom.session import materialize, met
 
 LABELS = (
     "model_serving_endpoint_for_conversion",
@@ -50,7 +50,7 @@ def merge_responses(
     labels = labels or {}
     key = "input_file_number"
     new = _prefixed(result, "_n_")
-    joined = source.join(new, F.col(key) == F.col("_n_" + key), "left")
+    joined = source.join(met(new), F.col(key) == F.col("_n_" + key), "left")
     ok = F.col("_n_result_content").isNotNull() & F.col("_n_result_error").isNull()
     matched = F.col("_n_" + key).isNotNull()
     changed: dict[str, Column] = {
@@ -72,7 +72,7 @@ def merge_responses(
 def merge_exports(source: DataFrame, export: DataFrame) -> DataFrame:
     """LEFT join of export results on the path; both status flavours end as exported / export_failed."""
     new = _prefixed(export, "_n_")
-    joined = source.join(new, F.col("input_file_path") == F.col("_n_input_file_path"), "left")
+    joined = source.join(met(new), F.col("input_file_path") == F.col("_n_input_file_path"), "left")
     changed = {c: F.coalesce("_n_" + c, c) for c in EXPORT_VALUES if c != "export_status"}
     changed["export_status"] = F.coalesce(normalize_export_status("_n_export_status"), F.col("export_status"))
     return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in source.columns])

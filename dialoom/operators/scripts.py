@@ -21,7 +21,7 @@ from dialoom.messages import DEFAULT_LANGUAGE, KEYS, MESSAGES, messages_table
 from dialoom.operators import pyscripts
 from dialoom.operators.ordering import position_within
 from dialoom.operators.relational import apply_explode
-from dialoom.session import materialize
+from dialoom.session import materialize, met
 
 CHECK_TYPE = T.StructType(
     [T.StructField("error", T.StringType()), T.StructField("statements", T.ArrayType(T.StringType()))]
@@ -409,7 +409,7 @@ def _competing_numbers(rows: DataFrame, order: str) -> DataFrame | None:
     number = F.regexp_extract("child", r"_([1-9]\d*)\z", 1).try_cast("bigint")
     numbered = stems.withColumn("k", number).filter(F.col("k").isNotNull())
     numbered = numbered.withColumn("parent", F.regexp_replace("child", r"_[1-9]\d*\z", ""))
-    real = materialize(numbered.join(stems.select(F.col("child").alias("parent")), "parent", "left_semi"))
+    real = materialize(numbered.join(met(stems.select(F.col("child").alias("parent"))), "parent", "left_semi"))
     if real.isEmpty():
         return None
     files = rows.join(real.select(F.col("parent").alias("stem")).distinct(), "stem", "left_semi")
@@ -473,7 +473,7 @@ def unique_output_paths(
     named = numbered.select(
         order, F.concat(F.lit(directory.rstrip("/") + "/"), _named(F.col("stem"), F.col("k"))).alias(name)
     )
-    return df.join(named, order)
+    return df.join(met(named), order)
 
 
 # Fixed value: separator line between files of one text.

@@ -14,7 +14,7 @@ from dialoom.functions.text import post_clean_sql
 from dialoom.messages import DEFAULT_LANGUAGE
 from dialoom.operators import inference, merges, reports, rounds, scripts, selection, tokens
 from dialoom.schema import with_result_columns
-from dialoom.session import materialize, parallelism
+from dialoom.session import materialize, met, parallelism
 from dialoom.sources.scripts import decode_content, plain_path, read_scripts
 from dialoom.sources.versions import written
 from dialoom.sources.writers import write_text_files
@@ -119,7 +119,7 @@ def export_documents(df: DataFrame, cfg: RunConfig) -> DataFrame:
     # Dealt by rows: each is a file to write, and small ones would be joined into few tasks by their bytes.
     dealt = with_code.repartition(parallelism(df.sparkSession), "input_file_number")
     placed = dealt.drop("export_output_path").join(
-        named.select("input_file_number", F.concat("output_path", F.lit(".py")).alias("export_output_path")).hint("merge"),
+        met(named.select("input_file_number", F.concat("output_path", F.lit(".py")).alias("export_output_path"))),
         "input_file_number",
     )
     composed = scripts.compose_document(placed, cfg.comment_lang).drop("export_error", "export_status")
@@ -236,7 +236,7 @@ def run_corpus(
     exports = written(statuses.withColumn("export_timestamp", F.current_timestamp()), base, "exports")
     done = reports.with_accuracy(merges.merge_exports(state, exports))
     texts = table.select("input_file_number", *SOURCE_TEXTS)
-    table = written(done.join(texts, "input_file_number").select(*table.columns), base)
+    table = written(done.join(met(texts), "input_file_number").select(*table.columns), base)
     if cfg.sql_output_dir and cfg.target_type == "notebook":
         convert_to_sql_files(spark, cfg, predict_sql or predict).write.mode("overwrite").parquet(f"{base}/sql_files")
     return table

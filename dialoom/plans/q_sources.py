@@ -17,7 +17,7 @@ from dialoom.plans import corpus_run, warehouse
 from dialoom.plans.derived import SCRIPTS_SQL, customers, orders, scripts
 from dialoom.plans.q_corpus import COLLAPSE, STRIP, TOKENS
 from dialoom.plans.registry import query, table
-from dialoom.session import materialize, scratch_dir
+from dialoom.session import materialize, met, scratch_dir
 from dialoom.sources.scripts import decode_content, read_archive_members, read_external_csv, read_scripts
 from dialoom.sources.versions import INSERT_ID, insert_returning, restore, stage, version_name, write_result_version, written
 from dialoom.sources.writers import write_text_files
@@ -389,7 +389,7 @@ def corpus_run_sql_files(spark, sf_dir):
         F.when(F.col("success"), "written").when(F.col("error").isNotNull(), "failed")
         .when(asked, "not converted").otherwise("over the token limit")
     )
-    joined = scripts_.join(stage_rows, "name", "left").join(files, "made", "left")
+    joined = scripts_.join(met(stage_rows), "name", "left").join(met(files), "made", "left")
     reason = F.when(F.col("error").contains("Bad Request"), "refused").otherwise(F.coalesce("error", F.lit("none")))
     return joined.select(
         F.col("name").cast("long").alias("doc_id"), status.alias("status"), reason.alias("reason"),

@@ -72,6 +72,15 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def met(df: DataFrame) -> DataFrame:
+    """The frame as a side of a join that moves both sides.
+
+    For sides with a row for each row of the input: written, such tables are so small (paths, numbers, repeated texts)
+    that they would be broadcast, but at the driver they are many times as large.
+    """
+    return df.hint("merge")
+
+
 # Fixed value: rows that a task of a large grouping or join takes.
 TASK_ROWS = 400_000
 

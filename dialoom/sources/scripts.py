@@ -139,7 +139,9 @@ def _with_contents(files: DataFrame, number: str | None = None) -> DataFrame:
     size = files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
     tasks = max((size["bytes"] or 0) // READ_BYTES + 1, size["files"] // READ_FILES + 1)
     tasks = max(tasks, min(parallelism(files.sparkSession), size["files"]))
-    files = number_files(files, name=number) if number else files
+    if number:
+        # All that a listing holds goes through the sort, so that no numbers have to be joined back.
+        files = number_rows(files, ["path"], number).withColumn(number, F.col(number).cast("int"))
     # By a key of its own: an exchange that deals by path already would stand in for this one and be joined by its bytes.
     return files.repartition(tasks, F.xxhash64("path")).withColumn("content", _contents("path"))
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialoom.operators import inference as inf
-from dialoom.operators import reports
+from dialoom.operators import merges, reports
+from dialoom.operators import scripts as ops
 from dialoom.plans import corpus_run, warehouse
-from dialoom.schema import with_result_columns
+from dialoom.plans.registry import load_all
+from dialoom.schema import EXPORT_SCHEMA, RESPONSE_SCHEMA, with_result_columns
 from dialoom.session import materialize
 from dialoom.sources import scripts as src
 from dialoom.sources import versions as ver
@@ -366,3 +368,37 @@ def test_run_without_targets_is_an_error(spark, tmp_path):
     cfg = corpus_run.RunConfig(f"{tmp_path}/in/big.sql", f"{tmp_path}/out", f"{tmp_path}/result", token_count_threshold=1)
     with pytest.raises(ValueError, match="no file"):
         corpus_run.run_corpus(spark, cfg, model)
+
+
+def broadcasts(df):
+    """The plan's broadcast joins, but those of the tables with a row per slice."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_slice" not in line]
+
+
+def test_sides_with_a_row_per_file_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Written, such tables are a few bytes per row; the driver took some hundred for each row."""
+    files = spark.range(30).selectExpr("cast(id AS int) AS input_file_number", "'/in/f' || id % 9 || '.sql' AS input_file_path")
+    state = materialize(with_result_columns(files))
+    answers = materialize(spark.createDataFrame([(k, f"a{k}", None, None, None, None, None, None) for k in range(30)], RESPONSE_SCHEMA))
+    exports = materialize(spark.createDataFrame([(f"/in/f{k}.sql", f"/out/f{k}", "exported", None, None, 1) for k in range(9)], EXPORT_SCHEMA))
+    merged = merges.merge_responses(state, answers)
+    assert not broadcasts(merged) and {r.input_file_number: r.result_content for r in merged.collect()} == {k: f"a{k}" for k in range(30)}
+    exported = merges.merge_exports(state, exports)
+    assert not broadcasts(exported) and {(r.input_file_number % 9, r.export_output_path) for r in exported.collect()} == {(k, f"/out/f{k}") for k in range(9)}
+    named = ops.unique_output_paths(files, "/out")
+    want = {k: f"/out/f{k % 9}" + (f"_{k // 9}" if k >= 9 else "") for k in range(30)}
+    assert not broadcasts(named) and {r.input_file_number: r.output_path for r in named.collect()} == want
+    monkeypatch.setattr(inf, "FEW_ANSWERS", 8)
+    requests = files.select("input_file_number", inf.build_messages("input_file_path").alias("messages"))
+    asked = inf.infer_distinct(requests, lambda r, key: materialize(inf.batch_infer(r, lambda m: m[-1]["content"], key=key)))
+    assert not broadcasts(asked) and {r.input_file_number: r.result_content for r in asked.collect()} == {k: f"/in/f{k % 9}.sql" for k in range(30)}
+    for k in range(9):
+        (tmp_path / f"{k}.sql").write_text(str(k))
+    numbered = src.read_scripts(spark, str(tmp_path), number="n")
+    assert not broadcasts(numbered) and sorted((r.n, bytes(r.content)) for r in numbered.collect()) == [(k + 1, b"%d" % k) for k in range(9)]
+
+
+@pytest.mark.parametrize("name", ["corpus_run_sql_files"])
+def test_the_whole_run_joins_its_tables_in_tasks(spark, sf, name):
+    assert not broadcasts(load_all()[name].run(spark, sf))
