@@ -399,6 +399,17 @@ def test_sides_with_a_row_per_file_are_not_broadcast(spark, tmp_path, monkeypatc
     assert not broadcasts(numbered) and sorted((r.n, bytes(r.content)) for r in numbered.collect()) == [(k + 1, b"%d" % k) for k in range(9)]
 
 
+def test_archives_are_listed_by_tasks_on_every_cluster(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as archive:
+            archive.writestr("a.sql", str(k))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    paths = src.read_scripts(spark, f"file:{tmp_path}").select("path")
+    assert "binaryFile" not in paths._jdf.queryExecution().executedPlan().toString()
+    got = src.read_archive_members(paths).collect()
+    assert sorted((os.path.basename(r.archive), r.name, bytes(r.content)) for r in got) == [(f"{k}.zip", "a.sql", b"%d" % k) for k in range(3)]
+
+
 @pytest.mark.parametrize("name", ["corpus_run_sql_files"])
 def test_the_whole_run_joins_its_tables_in_tasks(spark, sf, name):
     assert not broadcasts(load_all()[name].run(spark, sf))
