@@ -349,7 +349,7 @@ def corpus_run_documents(spark, sf_dir):
         F.coalesce(F.regexp_replace("result_content", r"\A# COMMAND ----------\n", ""), F.lit("none")).alias("code"),
         F.col("accuracy_percent").alias("accuracy"),
     )
-    return rows.join(status, "input_file_number").drop("input_file_number")
+    return rows.join(met(status), "input_file_number").drop("input_file_number")
 
 
 @query(

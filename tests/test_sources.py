@@ -410,6 +410,6 @@ def test_archives_are_listed_by_tasks_on_every_cluster(spark, tmp_path, monkeypa
     assert sorted((os.path.basename(r.archive), r.name, bytes(r.content)) for r in got) == [(f"{k}.zip", "a.sql", b"%d" % k) for k in range(3)]
 
 
-@pytest.mark.parametrize("name", ["corpus_run_sql_files"])
+@pytest.mark.parametrize("name", ["corpus_run_documents", "corpus_run_sql_files"])
 def test_the_whole_run_joins_its_tables_in_tasks(spark, sf, name):
     assert not broadcasts(load_all()[name].run(spark, sf))
